@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, sharding, warc
+from . import line_dedup, secrets, sharding, simhash, warc
 from .scratch import materialise, scratch_path
 
 
@@ -35,6 +35,29 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base kinds counted and digested, all kinds listed."""
+    found = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secrets.BASE]
+    text = lambda spans: F.array_join(
+        F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ","
+    )
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    own = F.filter("spans", lambda x: x["kind"].isin(base))
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in base],
+        F.sha2(text(own).cast("binary"), 256).alias("base_sha256"),
+        text(F.col("spans")).alias("spans"),
+    )
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives, read back and assembled by capture."""
     path = scratch_path(spark, "archive")
