@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, secrets, sharding, simhash, warc
+from . import line_dedup, packing, quality, secrets, sharding, simhash, tokens, warc
 from .scratch import materialise, scratch_path
 
 
@@ -29,6 +29,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, _table(spark, sf_dir, "labels"), "quality")
+    return quality.score_quality(docs.select("doc_id", "text", "n_chars"), model).select(
+        "doc_id",
+        quality.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every document without the lines that others hold too."""
     found = line_dedup.drop_shared_lines(_table(spark, sf_dir, "documents"), min_docs=2, min_chars=10)
@@ -52,6 +64,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces of at most 2048 tokens, packed."""
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), *tokens.public_byte_bpe(), capacity=2048, end_id=0, with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, radius=3)
