@@ -29,6 +29,20 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
 FROM v
 """
 
+OP3 = """
+WITH RECURSIVE v AS (
+       SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+       WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND list_sum(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) > 0),
+     l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+           WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98e0),
+     r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+     n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+     c AS (SELECT a, min(b) AS m FROM r GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, c.m AS component_id, vec_id = c.m AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5, "op9_warc": OP9}
+    return {"op3_embeddings": OP3, "op5_line_dedup": OP5, "op9_warc": OP9}
