@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, line_dedup, packing, quality, secrets, sharding, simhash, tokens, warc
+from . import chat, decontaminate, embeddings, line_dedup, packing, quality, secrets, sharding, simhash, tokens, warc
 from .scratch import materialise, scratch_path
 
 
@@ -29,6 +29,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn with the role found without looking at the given one; roles are learnt from four fifths."""
+    turns = _table(spark, sf_dir, "conversations")
+    model = chat.fit_roles(turns.where(~quality.held_out("conv_id")))
+    return chat.parse_turns(turns.drop("role"), model).select("conv_id", "turn", "part", "role", "rendered")
+
+
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of every vector."""
     found = embeddings.link_embeddings(_table(spark, sf_dir, "embeddings"), 0.98)
