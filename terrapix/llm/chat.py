@@ -84,6 +84,7 @@ def fit_roles(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
         if x.b is not None or x["first"]:
             moves[n if x.b is None else x.b, x.r] += x["count"]
     moves = 0.98 * moves / moves.sum(1, keepdims=True) + 0.02 / n  # no order of roles is impossible
+    moves[:, counts.sum(1) == 0] = 1e-9  # a role without examples needs a marker
     return RoleModel(np.log(moves), features)
 
 
