@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_aggregates, q_joins, q_ordered, q_scalar  # noqa: F401
+from . import q_aggregates, q_joins, q_ordered, q_scalar, q_stats  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
