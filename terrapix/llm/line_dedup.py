@@ -7,6 +7,9 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import materialise
+from .skew import hot_keys, salted_join
+
 BLANKS = " \t\n\x0b\x0c\r"
 LAST_ID = (1 << 63) - 1
 
@@ -36,7 +39,7 @@ def drop_shared_lines(
     Null ids are together one document that comes after all others. An empty table gives an empty one.
 
     Lines travel as 128-bit hashes with positions, never as texts: counts per hash are pre-aggregated before
-    the shuffle, and a hot hash meets its count in a join that adaptive execution can split.
+    the shuffle, and the lines of a hot hash are salted where they meet its count.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -48,14 +51,15 @@ def drop_shared_lines(
     )
     hashed = keys.select("doc", "row", "pos", *_hashes(F.col("key")))
     if min_docs == 2:  # two documents at least: the least id is not the greatest
-        shared = hashed.groupBy("h1", "h2").agg(F.min("doc").alias("keeper"), F.max("doc").alias("other"))
-        shared = shared.where("keeper < other").drop("other")
+        shared = hashed.groupBy("h1", "h2").agg(F.min("doc").alias("keeper"), F.max("doc").alias("other"), F.count(F.lit(1)).alias("n"))
+        shared = shared.where("keeper < other").select("h1", "h2", "keeper", "n")
     else:
-        each = hashed.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
-        shared = each.groupBy("h1", "h2").agg(F.min("doc").alias("keeper"), F.count(F.lit(1)).alias("n"))
-        shared = shared.where(F.col("n") >= min_docs).drop("n")
+        each = hashed.groupBy("h1", "h2", "doc").agg(F.count(F.lit(1)).alias("k"))
+        shared = each.groupBy("h1", "h2").agg(F.min("doc").alias("keeper"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("docs"))
+        shared = shared.where(F.col("docs") >= min_docs).drop("docs")
+    shared = materialise(shared, "shared")
     gone = (
-        hashed.join(shared, ["h1", "h2"])
+        salted_join(hashed, shared.drop("n"), ["h1", "h2"], hot_keys(shared, ["h1", "h2"], "n"), "doc")
         .where("doc <> keeper")
         .groupBy("doc", "row")
         .agg(F.collect_set("pos").alias("gone"))
