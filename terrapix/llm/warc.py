@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .skew import hot_keys, salted_join
+
 END = "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
@@ -21,9 +23,8 @@ RECORD = (
 )
 
 
-def sha1_base32(col: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1 of a string or binary column."""
-    hexed = F.sha1(col.cast("binary"))
+def base32_of_sha1(hexed: Column) -> Column:
+    """Bare upper-case base32 of a SHA-1 in 40 hex digits."""
     out = []
     for g in range(8):  # 5 hex digits are 4 base32 digits
         v = F.conv(F.substring(hexed, 1 + 5 * g, 5), 16, 10).cast("int")
@@ -73,17 +74,17 @@ def write_warc(
         F.col(id_col).alias("id"),
         F.regexp_replace(F.col(url_col), r"[\r\n]", " ").alias("url"),
         body.alias("body"),
-        sha1_base32(body).alias("digest"),
+        F.sha1(body.cast("binary")).alias("digest"),
     )
     firsts = (
         rows.where(F.octet_length("body") >= min_revisit_bytes)
         .groupBy("digest")
         .agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1 and first is not null")
-        .select("digest", "first")
+        .select("digest", "first", "n")
     )
     light = rows.where(F.octet_length("body") >= min_revisit_bytes).select("id", "digest")
-    later = light.join(firsts, "digest").where("not (id <=> first)").distinct()
+    later = salted_join(light, firsts.drop("n"), ["digest"], hot_keys(firsts, ["digest"], "n"), "id").where("not (id <=> first)").distinct()
     later = later.select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "first")
     marked = rows.join(later, F.col("id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
     again = F.col("first").isNotNull()
@@ -96,7 +97,7 @@ def write_warc(
         [
             ("WARC-Record-ID", main_id),
             *common,
-            ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+            ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_of_sha1(F.col("digest")))),
             ("WARC-Profile", F.when(again, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
             ("WARC-Refers-To", F.when(again, origin)),
             ("Content-Type", F.lit("application/http; msgtype=response")),
@@ -202,9 +203,10 @@ def assemble(records: DataFrame) -> DataFrame:
 
     captures = main.join(side("request"), "capture_id", "left").join(side("metadata"), "capture_id", "left")
     origin = captures.where(F.col("main.record_type") == "response").select(
-        F.col("capture_id").alias("origin_id"),
+        F.col("capture_id").alias("refers_to"),
         F.struct(F.col("main.payload_bytes"), F.col("main.computed_digest"), F.col("metadata.fields")).alias("origin"),
     )
-    return captures.join(origin, (F.col("main.record_type") == "revisit") & (F.col("main.refers_to") == F.col("origin_id")), "left").select(
-        "capture_id", F.col("main").alias("capture"), "request", "metadata", "origin"
-    )
+    captures = captures.withColumn("refers_to", F.when(F.col("main.record_type") == "revisit", F.col("main.refers_to")))
+    counts = records.where("record_type = 'revisit' and refers_to is not null").groupBy("refers_to").agg(F.count(F.lit(1)).alias("n"))
+    joined = salted_join(captures, origin, ["refers_to"], hot_keys(counts, ["refers_to"], "n"), "capture_id", "left")
+    return joined.select("capture_id", F.col("main").alias("capture"), "request", "metadata", "origin")
