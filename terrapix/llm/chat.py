@@ -108,18 +108,18 @@ def _after(best: np.ndarray, step: np.ndarray) -> np.ndarray:
     return (best[:, :, None] + step[None, : best.shape[1], :]).max(1)
 
 
-def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, bool]]:
-    """Parts of batches with equal keys, and whether a part begins a new key."""
-    last = None
+def _runs(batches: Iterator[pd.DataFrame], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows that follow each other with equal values in the first ``keys`` columns, with those values."""
+    last, held = None, []
     for batch in batches:
-        if not len(batch):
-            continue
-        own = [tuple(None if x != x or x is None else x for x in r) for r in batch[keys].itertuples(index=False)]
-        start = 0
-        for i in range(1, len(own) + 1):
-            if i == len(own) or own[i] != own[start]:
-                yield batch.iloc[start:i], own[start] != last
-                last, start = own[start], i
+        for row in batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None):
+            if held and row[:keys] != last:
+                yield last, held
+                held = []
+            last = row[:keys]
+            held.append(row)
+    if held:
+        yield last, held
 
 
 def parse_turns(
@@ -146,88 +146,71 @@ def parse_turns(
     )
     kind, turn_kind = (turns.schema[c].dataType.simpleString() for c in (conv_col, turn_col))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, best, out = None, None, []
-        for part, new in _runs(batches, ["c", "s"]):
-            if new and key is not None:
-                out.append((*key, best.tobytes()))
-            if new:
-                key, best = (part["c"].iloc[0], part["s"].iloc[0]), None
-            for f, x in zip(part["f"], part["x"], strict=True):
-                for step in model.steps(f, _markers(x)[0]):
-                    best = step if best is None else _after(best, step)
-            if len(out) > 5000:
-                yield pd.DataFrame(out, columns=["c", "s", "m"])
+    def batched(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+        out = []
+        for row in rows:
+            out.append(row)
+            if len(out) == 4000:
+                yield pd.DataFrame(out, columns=names)
                 out = []
-        if key is not None:
-            out.append((*key, best.tobytes()))
-        yield pd.DataFrame(out, columns=["c", "s", "m"])
+        yield pd.DataFrame(out, columns=names)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found() -> Iterator[tuple]:
+            for key, run in _runs(batches, 2):
+                best = None
+                for _, _, _, x, f in run:
+                    for step in model.steps(f, _markers(x)[0]):
+                        best = step if best is None else _after(best, step)
+                yield (*key, best.tobytes())
+
+        yield from batched(found(), ["c", "s", "m"])
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chain: list[tuple] = []
-
-        def solve() -> pd.DataFrame:
-            at, back = None, []
-            for _, _, m in chain:
-                step = np.frombuffer(m).reshape(n + 1, n)
-                total = step[n] if at is None else (at[:, None] + step[:n]).max(0)
-                back.append(None if at is None else (at[:, None] + step[:n]).argmax(0))
-                at = total
-            state, found = int(at.argmax()), []
-            for (c, s, _), b in zip(reversed(chain), reversed(back), strict=True):
-                entry = n if b is None else int(b[state])
-                found.append((c, s, entry, state))
-                state = entry
-            return pd.DataFrame(found, columns=["c", "s", "a", "b"])
-
-        for part, new in _runs(batches, ["c"]):
-            if new and chain:
-                yield solve()
-                chain = []
-            chain += list(part[["c", "s", "m"]].itertuples(index=False, name=None))
-        if chain:
-            yield solve()
+        def found() -> Iterator[tuple]:
+            for _, chain in _runs(batches, 1):
+                at, back = None, []
+                for _, _, m in chain:
+                    step = np.frombuffer(m).reshape(n + 1, n)
+                    total = step[n:] if at is None else at[:, None] + step[:n]
+                    back.append(None if at is None else total.argmax(0))
+                    at = total.max(0)
+                state = int(at.argmax())
+                for (c, s, _), b in zip(reversed(chain), reversed(back), strict=True):
+                    entry = n if b is None else int(b[state])
+                    yield c, s, entry, state
+                    state = entry
+
+        yield from batched(found(), ["c", "s", "a", "b"])
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-
-        def solve() -> list[tuple]:
-            at = np.full(n + 1, NONE)
-            at[held[0][4]] = 0
-            back, texts = [], []
-            for c, t, f, x, _, _ in held:
-                marks, contents = _markers(x)
-                texts += [(c, t, k, content) for k, content in enumerate(contents)]
-                for step in model.steps(f, marks):
-                    total = at[:, None] + step[: len(at)]
-                    back.append(total.argmax(0))
-                    at = total.max(0)
-            state, roles = held[0][5], []
-            for b in reversed(back):
-                roles.append(state)
-                state = int(b[state])
-            return [(*x, ROLES[r]) for x, r in zip(texts, reversed(roles), strict=True)]
-
-        out: list[tuple] = []
-        names = ["c", "t", "part", "content", "role"]
-        for part, new in _runs(batches, ["c", "s"]):
-            if new and held:
-                out += solve()
-                held = []
-            held += list(part[["c", "t", "f", "x", "a", "b"]].itertuples(index=False, name=None))
-            if len(out) > 2000:
-                yield pd.DataFrame(out, columns=names)
-                out = []
-        if held:
-            out += solve()
-        yield pd.DataFrame(out, columns=names)
+        def found() -> Iterator[tuple]:
+            for _, run in _runs(batches, 2):
+                at = np.full(n + 1, NONE)
+                at[run[0][5]] = 0
+                back, texts = [], []
+                for c, _, t, x, f, _, _ in run:
+                    marks, contents = _markers(x)
+                    texts += [(c, t, k, content) for k, content in enumerate(contents)]
+                    for step in model.steps(f, marks):
+                        total = at[:, None] + step[: len(at)]
+                        back.append(total.argmax(0))
+                        at = total.max(0)
+                state, roles = run[0][6], []
+                for b in reversed(back):
+                    roles.append(state)
+                    state = int(b[state])
+                for row, r in zip(texts, reversed(roles), strict=True):
+                    yield (*row, ROLES[r])
+
+        yield from batched(found(), ["c", "t", "part", "content", "role"])
 
     order = ["c", "s", "t", "x"]
     scored = rows.repartition("c", "s").sortWithinPartitions(*order).mapInPandas(score, f"c {kind}, s long, m binary")
     bounds = scored.repartition("c").sortWithinPartitions("c", "s").mapInPandas(ends, f"c {kind}, s long, a int, b int")
     bounds = bounds.select(F.col("c").alias("bc"), F.col("s").alias("bs"), "a", "b")
     joined = rows.join(bounds, rows["c"].eqNullSafe(bounds["bc"]) & (rows["s"] == bounds["bs"]))
-    decoded = joined.drop("bc", "bs").repartition("c", "s").sortWithinPartitions(*order)
+    decoded = joined.select("c", "s", "t", "x", "f", "a", "b").repartition("c", "s").sortWithinPartitions(*order)
     found = decoded.mapInPandas(decode, f"c {kind}, t {turn_kind}, part int, content string, role string")
     return found.select(
         F.col("c").alias(conv_col),
