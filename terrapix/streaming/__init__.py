@@ -1,0 +1 @@
+"""Nothing is streamed: the surveyed work has no streaming operators."""
