@@ -24,25 +24,31 @@ def ranked_prefix(df: DataFrame, order: str, key: str, values: list[str], descen
     """``df`` with ``rank`` (from 1), ``n`` and ``cum_<value>`` along a total order, without sorting in one task.
 
     Rows are dealt into ranges of the order column, whose bounds are approximate quantiles; each range is summed
-    and ranked by itself and then shifted by the totals of the ranges before it, a table of ``buckets`` rows per
-    group. The order is the column (``descending`` or not), then the key. Null order values come last.
+    and ranked by itself and then shifted by the totals of the ranges before it, a small table per group. A value
+    that fills whole ranges is dealt further into ranges of the key, if that is a number. The order is the column
+    (``descending`` or not), then the key. Null order values come last.
     """
     by = by or []
     x = F.col(order).cast("double")
     x = -x if descending else x
-    qs = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(*by).agg(F.percentile_approx(x, F.array(*map(F.lit, qs)), 1000).alias("q_"))
+    qs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    numeric = key != order and dict(df.dtypes)[key].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    key_bounds = F.percentile_approx(F.col(key).cast("double"), qs, 1000) if numeric else F.array().cast("array<double>")
+    bounds = df.groupBy(*by).agg(F.percentile_approx(x, qs, 1000).alias("q_"), key_bounds.alias("kq_"))
     keyed = df.join(F.broadcast(bounds), by) if by else df.crossJoin(F.broadcast(bounds))
-    bucket = F.when(x.isNull() | F.col("q_").isNull(), F.lit(buckets)).otherwise(F.size(F.filter("q_", lambda b: b < x)))
-    keyed = keyed.withColumn("b_", bucket).drop("q_")
-    inside = Window.partitionBy(*by, "b_").orderBy(x.asc_nulls_last(), F.col(key).asc())
-    sums = keyed.groupBy(*by, "b_").agg(F.count("*").alias("c_"), *[F.sum(v).alias(f"s_{v}") for v in values])
-    before = Window.partitionBy(*by).orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sums.select(*by, "b_", F.coalesce(F.sum("c_").over(before), F.lit(0)).alias("c0_"), F.sum("c_").over(Window.partitionBy(*by)).alias("n"), *[F.coalesce(F.sum(f"s_{v}").over(before), F.lit(0)).alias(f"o_{v}") for v in values])
+    alone = x.isNull() | F.col("q_").isNull()
+    bucket = F.when(alone, F.lit(buckets)).otherwise(F.size(F.filter("q_", lambda b: b < x)))
+    full = alone | (F.size(F.filter("q_", lambda b: b == x)) > 1)
+    part = F.when(full & F.col("kq_").isNotNull(), 1 + F.size(F.filter("kq_", lambda b: b < F.col(key).cast("double")))).otherwise(0)
+    keyed = keyed.withColumns({"b_": bucket, "p_": part}).drop("q_", "kq_")
+    inside = Window.partitionBy(*by, "b_", "p_").orderBy(x.asc_nulls_last(), F.col(key).asc())
+    sums = keyed.groupBy(*by, "b_", "p_").agg(F.count("*").alias("c_"), *[F.sum(v).alias(f"s_{v}") for v in values])
+    before = Window.partitionBy(*by).orderBy("b_", "p_").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sums.select(*by, "b_", "p_", F.coalesce(F.sum("c_").over(before), F.lit(0)).alias("c0_"), F.sum("c_").over(Window.partitionBy(*by)).alias("n"), *[F.coalesce(F.sum(f"s_{v}").over(before), F.lit(0)).alias(f"o_{v}") for v in values])
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
     local = keyed.withColumns({"rank": F.row_number().over(inside), **{f"cum_{v}": F.coalesce(F.sum(v).over(running), F.lit(0)) for v in values}})
-    joined = local.join(F.broadcast(shift), [*by, "b_"])
-    return joined.withColumns({"rank": F.col("rank") + F.col("c0_"), **{f"cum_{v}": F.col(f"cum_{v}") + F.col(f"o_{v}") for v in values}}).drop("b_", "c0_", *[f"o_{v}" for v in values])
+    joined = local.join(F.broadcast(shift), [*by, "b_", "p_"])
+    return joined.withColumns({"rank": F.col("rank") + F.col("c0_"), **{f"cum_{v}": F.col(f"cum_{v}") + F.col(f"o_{v}") for v in values}}).drop("b_", "p_", "c0_", *[f"o_{v}" for v in values])
 
 
 def cumulative_curve(df: DataFrame, order: str, value: str, key: str) -> DataFrame:

@@ -332,9 +332,11 @@ def g25b(t):
 LAM = "SELECT i * 11 + j AS lam_id, CAST(i AS DOUBLE) / 10 AS l1, CAST(j AS DOUBLE) / 10 AS l2, CAST(10 - i - j AS DOUBLE) / 10 AS l3 FROM range(11) a(i), range(11) b(j) WHERE i + j <= 10"
 
 
-@query("g26_lambda_grid", "", LAM)
+@query("g26_lambda_grid", "pixels", f"SELECT lam_id, l1, l2, l3, round(l1 * a + l2 * b + l3 * c, 6) AS mean_score FROM ({LAM}) g, (SELECT avg(u1) AS a, avg(u2) AS b, avg(u3) AS c FROM ({UNIT}) u) m")
 def g26(t):
-    return Y.lambda_grid(t.spark, 10)
+    means = _unit(t).agg(F.avg("u1").alias("a"), F.avg("u2").alias("b"), F.avg("u3").alias("c"))
+    df = Y.lambda_grid(t.spark, 10).crossJoin(means)
+    return df.select("lam_id", "l1", "l2", "l3", r4(F.col("l1") * F.col("a") + F.col("l2") * F.col("b") + F.col("l3") * F.col("c"), 6).alias("mean_score"))
 
 
 EVAL = f"""SELECT lam_id, l1, l2, l3, {', '.join(f'sum({u} * (1 - (k - 0.5e0) / n) / n) AS kernel_{u}' for u in U)}, {', '.join(f'sum({u} * (area_m2 / 1e4) * (n - k + 0.5e0) / n) / sum(area_m2 / 1e4) AS perf_{u}' for u in U)}

@@ -67,6 +67,13 @@ def test_ranked_prefix_with_ties_and_nulls(spark):
         assert got[i] == (k, total)
 
 
+def test_ranked_prefix_of_one_value(spark):
+    df = spark.range(2000).select(F.col("id"), F.when(F.col("id") % 3 > 0, 1.0).otherwise(F.col("id") / 1000).alias("x"), F.lit(1).alias("v"))
+    order = sorted(((-(1.0 if i % 3 else i / 1000)), i) for i in range(2000))
+    got = {r.id: (r["rank"], r.cum_v) for r in ranking.ranked_prefix(df, "x", "id", ["v"], buckets=16).collect()}
+    assert got == {i: (k, k) for k, (_, i) in enumerate(order, 1)}
+
+
 def test_abandonment_matches_plain_regex(spark):
     rnd = random.Random(3)
     cells = ["11" + "".join(rnd.choice("111000000007") for _ in range(29)) for _ in range(300)]
