@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import materialise
+from .skew import hot_keys, salted_join
 from .simhash import fingerprint, fingerprint_edges, shingle_hashes, words_of
 
 SLICES = 32
@@ -100,8 +101,8 @@ def near_duplicate_groups(
     entries = nodes.select("node", F.explode("keys").alias("key"))
     turn = lambda k: F.struct(F.xxhash64(F.lit(k), "key", "node"), F.col("node"))
     hubs = entries.groupBy("key").agg(F.min(turn(1)).alias("p"), F.min(turn(2)).alias("q"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    hubs = hubs.select("key", F.array("p.node", "q.node").alias("hubs"))
-    pairs = entries.join(hubs, "key").select("node", F.explode("hubs").alias("hub"))
+    hubs = materialise(hubs.select("key", F.array("p.node", "q.node").alias("hubs"), "c"), "hubs")
+    pairs = salted_join(entries, hubs.drop("c"), ["key"], hot_keys(hubs, ["key"], "c"), "node").select("node", F.explode("hubs").alias("hub"))
     pairs = pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).where("a > b").distinct()
     side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "n")])
     close = pairs.join(side("a"), "a").join(side("b"), "b").where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR)
