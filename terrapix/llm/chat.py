@@ -138,11 +138,12 @@ def parse_turns(
     """
     n = len(ROLES)
     rows = turns.select(
-        F.col(conv_col).alias("c"),
+        F.col(conv_col).cast("string").alias("c"),  # as a float, an id would lose digits
         F.floor(F.coalesce(F.col(turn_col), F.lit(0)) / CHUNK).cast("long").alias("s"),
-        F.col(turn_col).alias("t"),
+        F.col(turn_col).cast("string").alias("t"),
         F.coalesce(F.col(text_col), F.lit("")).alias("x"),
         turn_features(F.col(text_col)).alias("f"),
+        F.col(turn_col).alias("o"),
     )
     kind, turn_kind = (turns.schema[c].dataType.simpleString() for c in (conv_col, turn_col))
 
@@ -159,7 +160,7 @@ def parse_turns(
         def found() -> Iterator[tuple]:
             for key, run in _runs(batches, 2):
                 best = None
-                for _, _, _, x, f in run:
+                for _, _, _, x, f, _ in run:
                     for step in model.steps(f, _markers(x)[0]):
                         best = step if best is None else _after(best, step)
                 yield (*key, best.tobytes())
@@ -187,16 +188,16 @@ def parse_turns(
         def found() -> Iterator[tuple]:
             for _, run in _runs(batches, 2):
                 at = np.full(n + 1, NONE)
-                at[run[0][5]] = 0
+                at[run[0][6]] = 0
                 back, texts = [], []
-                for c, _, t, x, f, _, _ in run:
+                for c, _, t, x, f, _, _, _ in run:
                     marks, contents = _markers(x)
                     texts += [(c, t, k, content) for k, content in enumerate(contents)]
                     for step in model.steps(f, marks):
                         total = at[:, None] + step[: len(at)]
                         back.append(total.argmax(0))
                         at = total.max(0)
-                state, roles = run[0][6], []
+                state, roles = run[0][7], []
                 for b in reversed(back):
                     roles.append(state)
                     state = int(b[state])
@@ -205,16 +206,16 @@ def parse_turns(
 
         yield from batched(found(), ["c", "t", "part", "content", "role"])
 
-    order = ["c", "s", "t", "x"]
-    scored = rows.repartition("c", "s").sortWithinPartitions(*order).mapInPandas(score, f"c {kind}, s long, m binary")
-    bounds = scored.repartition("c").sortWithinPartitions("c", "s").mapInPandas(ends, f"c {kind}, s long, a int, b int")
+    order = ["c", "s", "o", "x"]
+    scored = rows.repartition("c", "s").sortWithinPartitions(*order).mapInPandas(score, "c string, s long, m binary")
+    bounds = scored.repartition("c").sortWithinPartitions("c", "s").mapInPandas(ends, "c string, s long, a int, b int")
     bounds = bounds.select(F.col("c").alias("bc"), F.col("s").alias("bs"), "a", "b")
     joined = rows.join(bounds, rows["c"].eqNullSafe(bounds["bc"]) & (rows["s"] == bounds["bs"]))
-    decoded = joined.select("c", "s", "t", "x", "f", "a", "b").repartition("c", "s").sortWithinPartitions(*order)
-    found = decoded.mapInPandas(decode, f"c {kind}, t {turn_kind}, part int, content string, role string")
+    decoded = joined.select("c", "s", "t", "x", "f", "o", "a", "b").repartition("c", "s").sortWithinPartitions(*order)
+    found = decoded.mapInPandas(decode, "c string, t string, part int, content string, role string")
     return found.select(
-        F.col("c").alias(conv_col),
-        F.col("t").alias(turn_col),
+        F.col("c").cast(kind).alias(conv_col),
+        F.col("t").cast(turn_kind).alias(turn_col),
         "part",
         "role",
         "content",

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -173,8 +174,8 @@ def find_overlaps(
     bounded size, and every block sees all documents. An empty table on either side gives an empty one.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    chosen = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"))
-    schema = f"id {kind}, item bigint, start_word bigint, n_matched bigint, n_words bigint"
+    chosen = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].alias("t"))  # as a float, an id would lose digits
+    schema = "id string, item bigint, start_word bigint, n_matched bigint, n_words bigint"
     out = None
     for index in _blocks(benchmark, item_col, item_text_col, block_bytes):
 
@@ -186,7 +187,7 @@ def find_overlaps(
         part = chosen.mapInPandas(work, schema)
         out = part if out is None else out.union(part)
     return out.select(
-        F.col("id").alias(id_col),
+        F.col("id").cast(kind).alias(id_col),
         F.col("item").alias(item_col),
         "start_word",
         "n_matched",
@@ -208,9 +209,10 @@ def drop_contaminated(
     out = docs
     for index in _blocks(benchmark, item_col, item_text_col, block_bytes):
 
-        def work(batches: Iterator[pd.DataFrame], index: SeedIndex = index) -> Iterator[pd.DataFrame]:
+        def work(batches: Iterator[pa.RecordBatch], index: SeedIndex = index) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b[[not found for found in index.search(b[text_col], least)]]
+                texts = b.column(text_col).to_pylist()
+                yield b.filter(pa.array([not found for found in index.search(texts, least)], pa.bool_()))
 
-        out = out.mapInPandas(work, docs.schema)
+        out = out.mapInArrow(work, docs.schema)
     return out

@@ -170,9 +170,10 @@ def link_embeddings(
     repeat an id and vector link with each other; an id with several vectors has the links of all of them.
     """
     quantiser = fit_quantiser(vectors, id_col, vec_col, sample)
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("e"), F.col(label_col).cast("long").alias("label"))
     if quantiser is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+        return vectors.select(F.col(id_col), F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"))
+    as_text = lambda c: F.col(c).cast("string")  # noqa: E731  as a float, an id would lose digits
+    rows = vectors.select(as_text(id_col).alias("id"), F.col(vec_col).alias("e"), as_text(label_col).alias("label"))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -184,7 +185,8 @@ def link_embeddings(
             yield pd.DataFrame({"id": b["id"], "label": b["label"], "code": codes.view(np.int64), "v": v})
 
     kind = vectors.schema[id_col].dataType.simpleString()
-    whole = rows.mapInPandas(encode, f"id {kind}, label long, code long, v binary")
+    whole = rows.mapInPandas(encode, "id string, label string, code long, v binary")
+    whole = whole.withColumns({"id": F.col("id").cast(kind), "label": F.col("label").cast("long")})
     linkable = F.col("v").isNotNull() & F.col("label").isNotNull() & F.col("id").isNotNull()
     coded = materialise(whole.withColumns({"h1": F.when(linkable, F.xxhash64("v")), "h2": F.when(linkable, F.xxhash64(F.lit(7), "v"))}), "codes")
     nodes = materialise(

@@ -9,8 +9,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import materialise
 
@@ -212,13 +214,13 @@ def score_quality(
     """
     meta = [c for c in metadata if c in docs.columns]
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            columns = [b[c] for c in meta]
-            rows = zip(*columns, strict=True) if columns else ((),) * len(b)
-            scores = [model.score(*featurise(t, _scaled(m))) for t, m in zip(b[text_col], rows, strict=True)]
-            yield b.assign(**{score_col: np.array(scores, np.float64)})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # the columns pass as they are
+            columns = [b.column(c).to_pylist() for c in meta]
+            rows = zip(*columns, strict=True) if columns else ((),) * b.num_rows
+            texts = b.column(text_col).to_pylist()
+            scores = [model.score(*featurise(t, _scaled(m))) for t, m in zip(texts, rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, score_col])
 
     kept = docs.drop(score_col)
-    extra = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInPandas(work, f"{extra}, `{score_col}` double")
+    return kept.mapInArrow(work, T.StructType([*kept.schema.fields, T.StructField(score_col, T.DoubleType())]))

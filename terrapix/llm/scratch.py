@@ -20,9 +20,22 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get().rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/terrapix-{uuid.uuid4().hex}/{name}"
+    top = f"{shared_dir(spark)}/terrapix-{uuid.uuid4().hex}"
+    _made.append(top)
+    return f"{top}/{name}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables that this driver made; results that read them must be stored by then."""
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -266,7 +266,6 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, id_col
             yield pd.DataFrame({"id": batch["id"], "spans": found})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    chosen = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"))
-    return chosen.mapInPandas(
-        scan, f"id {kind}, spans array<struct<kind:string,start:bigint,stop:bigint,secret:string>>"
-    ).withColumnRenamed("id", id_col)
+    chosen = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].alias("t"))  # as a float, an id would lose digits
+    found = chosen.mapInPandas(scan, "id string, spans array<struct<kind:string,start:bigint,stop:bigint,secret:string>>")
+    return found.select(found["id"].cast(kind).alias(id_col), "spans")

@@ -55,7 +55,9 @@ def simhash(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"id": batch["id"], "fp": found.view(np.int64)})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("t")).mapInPandas(work, f"id {kind}, fp bigint")
+    chosen = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].alias("t"))  # as a float, an id would lose digits
+    found = chosen.mapInPandas(work, "id string, fp bigint")
+    return found.select(F.col("id").cast(kind).alias("id"), "fp")
 
 
 class BkTree:

@@ -56,6 +56,7 @@ def write_warc(
     min_revisit_bytes: int = 0,
     compression: str = "gzip",
     files: int | None = None,
+    records_per_file: int = 30_000,
 ) -> None:
     """Write a request, a response or revisit and a metadata record for every row of ``pages`` under ``path``.
 
@@ -63,7 +64,8 @@ def write_warc(
     ``min_revisit_bytes`` bytes the one with the smallest id is a response, and the others revisit it without
     a payload; rows that repeat that id with that payload are responses too, and if no row of a group has an
     id, all are responses. A null url is left out of the headers. Line breaks in a url become blanks. An empty
-    table writes an archive without records.
+    table writes an archive without records. A file has ``records_per_file`` records at most, since an archive is
+    read whole by one task.
 
     Records end with CR LF CR LF, which is the text sink's line separator here: the files go through Spark's
     committer to any file system that Spark can write, and a task that is run again leaves no second copy.
@@ -119,7 +121,7 @@ def write_warc(
     out = marked.select(F.explode(F.array(request, main, meta)).alias("value"))
     if files:
         out = out.repartition(files)
-    out.write.option("lineSep", END).option("compression", compression).text(path)
+    out.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
 
 
 def parse_records(data: bytes, with_payload: bool = True) -> Iterator[dict]:

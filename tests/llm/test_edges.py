@@ -30,6 +30,21 @@ def none(docs):
     return docs.where("false")
 
 
+def test_large_ids_beside_nulls_keep_their_digits(spark):
+    big = (1 << 62) + 1
+    df = spark.createDataFrame([(big, "some text " * 9, 3), (None, None, None)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(big, 1)], "doc_id long, quality int")
+    outs = [
+        secrets.scan_secrets(df), simhash.simhash_groups(df), packing.pack_documents(df, *tokens.public_byte_bpe()),
+        quality.score_quality(df, quality.fit_quality(df, labels)), decontaminate.drop_contaminated(df, spark.createDataFrame([(1, "x")], "item_id long, text string")),
+    ]
+    assert all({r.doc_id for r in out.collect()} == {big, None} for out in outs)
+    turns = spark.createDataFrame([(big, big, "a", "user"), (None, None, "b", "user")], "conv_id long, turn long, text string, role string")
+    assert {(r.conv_id, r.turn) for r in chat.parse_turns(turns, chat.fit_roles(turns)).collect()} == {(big, big), (None, None)}
+    vectors = spark.createDataFrame([(big, [1.0, 2.0], 1), (None, None, None)], "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id for r in embeddings.link_embeddings(vectors).collect()} == {big, None}
+
+
 def test_components_of_a_chain_and_of_nothing(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
