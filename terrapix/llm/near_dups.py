@@ -68,7 +68,7 @@ def near_duplicate_groups(
     Two documents are near duplicates if their sets of ``shingle``-word shingles have a Jaccard similarity of
     ``min_similarity`` or more. Documents with equal sets are one node. Candidates are documents whose whole
     SimHash fingerprints link within ``radius`` bits (BK-trees), and documents that share the fingerprint of a
-    slice, a part of the set that hashes choose; the latter are decided by whole fingerprints and by the sets'
+    slice, a part of the set that hashes choose; all of them are decided by whole fingerprints and by the sets'
     similarity. In a slice every document meets two others that a hash chooses by slice, not all, so that a group of
     copies costs as many pairs as it has members and slices.
 
@@ -105,6 +105,14 @@ def near_duplicate_groups(
     pairs = salted_join(entries, hubs.drop("c"), ["key"], hot_keys(hubs, ["key"], "c"), "node").select("node", F.explode("hubs").alias("hub"))
     pairs = pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).where("a > b").distinct()
     side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "n")])
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    same_print = nodes.join(prints, "fp").where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = fingerprint_edges(prints, radius)
+    by_print = near.join(prints.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(
+        prints.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v"
+    )
+    by_print = by_print.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = pairs.union(by_print).union(same_print).distinct()
     close = pairs.join(side("a"), "a").join(side("b"), "b").where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR)
     close = close.where((F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * min_similarity))
     sets = lambda x: nodes.select(F.col("node").alias(x), F.col("least").alias(f"least_{x}"))
@@ -117,14 +125,7 @@ def near_duplicate_groups(
             yield p.loc[good, ["a", "b"]]
 
     linked = compared.mapInPandas(decide, f"a {kind}, b {kind}")
-    prints = nodes.groupBy("fp").agg(F.min("node").alias("first"))
-    same_print = nodes.join(prints, "fp").where("node > first").select("node", "first")
-    near = fingerprint_edges(prints, radius)
-    by_print = near.join(prints.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(
-        prints.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v"
-    )
-    edges = linked.union(by_print.select("a", "b")).union(same_print)
-    roots = components(edges)
+    roots = components(linked)
     labels = nodes.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("component_id"))
     return found.select("id", "s1", "s2").join(labels, ["s1", "s2"]).select(F.col("id").alias(id_col), "component_id")
 
