@@ -18,8 +18,6 @@ SLICES = 32
 """Slices of a document that are looked up at most; a pair at similarity 0.8 shares one with probability 0.99."""
 SKETCH = 256
 """Shingle sets up to this size are compared whole, larger ones by this many least hashes of their union."""
-FAR = 18
-"""Whole fingerprints of five-word shingles at similarity 0.8 differ in about 10 of 64 bits, in over 18 hardly ever."""
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,8 +66,8 @@ def near_duplicate_groups(
     Two documents are near duplicates if their sets of ``shingle``-word shingles have a Jaccard similarity of
     ``min_similarity`` or more. Documents with equal sets are one node. Candidates are documents whose whole
     SimHash fingerprints link within ``radius`` bits (BK-trees), and documents that share the fingerprint of a
-    slice, a part of the set that hashes choose; all of them are decided by whole fingerprints and by the sets'
-    similarity. In a slice every document meets two others that a hash chooses by slice, not all, so that a group of
+    slice, a part of the set that hashes choose; all of them are decided by the sets' sizes and
+    similarity, since fingerprints count repeats that sets have not. In a slice every document meets two others that a hash chooses by slice, not all, so that a group of
     copies costs as many pairs as it has members and slices.
 
     Null and empty texts are one group. Rows with null ids are in no group. Rows that repeat an id are one
@@ -104,7 +102,7 @@ def near_duplicate_groups(
     hubs = materialise(hubs.select("key", F.array("p.node", "q.node").alias("hubs"), "c"), "hubs")
     pairs = salted_join(entries, hubs.drop("c"), ["key"], hot_keys(hubs, ["key"], "c"), "node").select("node", F.explode("hubs").alias("hub"))
     pairs = pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).where("a > b").distinct()
-    side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "n")])
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
     prints = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     same_print = nodes.join(prints, "fp").where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     near = fingerprint_edges(prints, radius)
@@ -113,7 +111,7 @@ def near_duplicate_groups(
     )
     by_print = by_print.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = pairs.union(by_print).union(same_print).distinct()
-    close = pairs.join(side("a"), "a").join(side("b"), "b").where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR)
+    close = pairs.join(side("a"), "a").join(side("b"), "b")
     close = close.where((F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * min_similarity))
     sets = lambda x: nodes.select(F.col("node").alias(x), F.col("least").alias(f"least_{x}"))
     compared = close.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", "n_a", "n_b", "least_a", "least_b")

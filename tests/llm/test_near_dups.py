@@ -18,3 +18,11 @@ def kept(spark, texts):
 def test_texts_of_one_repeated_phrase_are_not_linked_by_their_fingerprints(spark):
     texts = [" ".join(["spam"] * 400 + words(k, 40)) for k in range(6)]
     assert kept(spark, texts) == list(range(6))
+
+
+def test_repeats_inside_a_text_do_not_hide_a_near_copy(spark):
+    texts = []
+    for k in range(8):
+        own = words(100 + k, 200)
+        texts += [" ".join(own), " ".join(own[:16] * 60 + own)]
+    assert kept(spark, texts) == list(range(0, 16, 2))
