@@ -16,8 +16,6 @@ from .simhash import fingerprint, fingerprint_edges, shingle_hashes, words_of
 
 SLICES = 32
 """Slices of a document that are looked up at most; a pair at similarity 0.8 shares one with probability 0.99."""
-SKETCH = 256
-"""Shingle sets up to this size are compared whole, larger ones by this many least hashes of their union."""
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,14 +46,12 @@ def slice_keys(h: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def similarity(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> float:
-    """Jaccard similarity of two sets from their least hashes; exact where both are whole."""
-    if not n_a or not n_b:
-        return float(n_a == n_b)
-    union = np.union1d(a, b)
-    if n_a > len(a) or n_b > len(b):
-        union = union[:SKETCH]
-    return float((np.isin(union, a) & np.isin(union, b)).mean())
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two whole sets in ascending order; of two empty ones 1."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared)
 
 
 def near_duplicate_groups(
@@ -80,20 +76,19 @@ def near_duplicate_groups(
             for key, text in zip(b["id"], b["t"], strict=True):
                 h = shingle_hashes(words_of(text), shingle)
                 own = np.unique(h)
-                least = np.unique((_mixed(own) >> np.uint64(32)).astype(np.uint32))[:SKETCH]
                 s1, s2 = _mixed(own).sum(dtype=np.uint64), _mixed(own ^ MIX).sum(dtype=np.uint64)
-                rows.append((key, int(s1.view(np.int64)), int(s2.view(np.int64)), fingerprint(h), len(own), slice_keys(own).view(np.int64), least.tobytes()))
-            frame = pd.DataFrame(rows, columns=["id", "s1", "s2", "fp", "n", "keys", "least"])
+                rows.append((key, int(s1.view(np.int64)), int(s2.view(np.int64)), fingerprint(h), len(own), slice_keys(own).view(np.int64), own.tobytes()))
+            frame = pd.DataFrame(rows, columns=["id", "s1", "s2", "fp", "n", "keys", "whole"])
             frame["fp"] = np.array(frame["fp"].tolist(), np.uint64).view(np.int64)
             yield frame
 
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("id"), docs[text_col].alias("t"))
     found = materialise(
-        chosen.mapInPandas(work, f"id {kind}, s1 long, s2 long, fp long, n long, keys array<long>, least binary"), "sets"
+        chosen.mapInPandas(work, f"id {kind}, s1 long, s2 long, fp long, n long, keys array<long>, whole binary"), "sets"
     )
     nodes = materialise(
-        found.groupBy("s1", "s2").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in ("fp", "n", "keys", "least")]),
+        found.groupBy("s1", "s2").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in ("fp", "n", "keys", "whole")]),
         "nodes",
     )
     entries = nodes.select("node", F.explode("keys").alias("key"))
@@ -113,13 +108,13 @@ def near_duplicate_groups(
     pairs = pairs.union(by_print).union(same_print).distinct()
     close = pairs.join(side("a"), "a").join(side("b"), "b")
     close = close.where((F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * min_similarity))
-    sets = lambda x: nodes.select(F.col("node").alias(x), F.col("least").alias(f"least_{x}"))
-    compared = close.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", "n_a", "n_b", "least_a", "least_b")
+    sets = lambda x: nodes.select(F.col("node").alias(x), F.col("whole").alias(f"whole_{x}"))
+    compared = close.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", "whole_a", "whole_b")
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            sets = zip(p["least_a"], p["n_a"], p["least_b"], p["n_b"], strict=True)
-            good = [similarity(np.frombuffer(x, np.uint32), m, np.frombuffer(y, np.uint32), n) >= min_similarity for x, m, y, n in sets]
+            sets = zip(p["whole_a"], p["whole_b"], strict=True)
+            good = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= min_similarity for x, y in sets]
             yield p.loc[good, ["a", "b"]]
 
     linked = compared.mapInPandas(decide, f"a {kind}, b {kind}")

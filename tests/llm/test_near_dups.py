@@ -26,3 +26,12 @@ def test_repeats_inside_a_text_do_not_hide_a_near_copy(spark):
         own = words(100 + k, 200)
         texts += [" ".join(own), " ".join(own[:16] * 60 + own)]
     assert kept(spark, texts) == list(range(0, 16, 2))
+
+
+def test_long_texts_are_decided_on_whole_sets(spark):
+    texts = []
+    for k in range(12):
+        own = words(300 + k, 2000)
+        cut = 440 if k % 2 else 420  # 0.78 and 0.79 of the whole
+        texts += [" ".join(own), " ".join(own[: 2000 - cut])]
+    assert kept(spark, texts) == list(range(24))
