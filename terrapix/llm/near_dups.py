@@ -1,4 +1,4 @@
-"""Near-duplicate documents by SimHash: BK-tree links of whole fingerprints and equal fingerprints of slices."""
+"""Near-duplicate documents by whole shingle sets: candidates share a rare shingle, links are exact."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -14,8 +14,12 @@ from .scratch import materialise
 from .skew import hot_keys, salted_join
 from .simhash import fingerprint, fingerprint_edges, shingle_hashes, words_of
 
-SLICES = 32
-"""Slices of a document that are looked up at most; a pair at similarity 0.8 shares one with probability 0.99."""
+SAMPLE = 8192
+"""Documents from which common shingles are learnt; those only go last in the order of shingles, whatever is learnt."""
+COMMON = 3
+"""Documents of the sample from which on a shingle is common."""
+MOST = 1 << 18
+"""Common shingles that are told to the tasks at most."""
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -24,26 +28,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def slice_counts(n: int) -> list[int]:
-    """Into how many slices a set of ``n`` shingles is dealt: a power of two for slices of about 8 shingles (of 4
-    in small sets), and the next one too where a set up to a quarter larger or smaller would be dealt otherwise."""
-    want = np.log2(max(n, 1) / 8) if n >= 8 * SLICES else min(np.log2(max(n, 1) / 4), np.log2(SLICES))
-    return sorted({1 << max(0, int(np.floor(want + d + 0.5))) for d in (-0.33, 0, 0.33)})
+def prefix_size(n: int, min_similarity: float) -> int:
+    """Of a set of ``n``, so many first members that one is shared with the first members of every similar set.
+
+    A similar set shares ``min_similarity * n`` members at least, in any order that all sets have in common.
+    """
+    return n - int(np.ceil(min_similarity * n - 1e-9)) + 1 if n else 0
 
 
-def slice_keys(h: np.ndarray) -> np.ndarray:
-    """Keys of the first ``SLICES`` slices of a set of distinct hashes: two sets have one in common if a slice is equal."""
-    out = []
-    for m in slice_counts(len(h)):
-        own = _mixed(h + np.uint64(m))
-        number = own & np.uint64(m - 1)
-        chosen = number < np.uint64(SLICES)
-        number, own = number[chosen].astype(np.int64), _mixed(own[chosen])
-        order = np.argsort(number, kind="stable")
-        number, first = np.unique(number[order], return_index=True)
-        if len(number):
-            out.append(_mixed(np.add.reduceat(own[order], first) + _mixed((number.astype(np.uint64) + np.uint64(1)) * np.uint64(m))))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+def prefix(own: np.ndarray, common: np.ndarray, min_similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first members of a set, those in ``common`` (ascending) last and else by a hash: (others, common ones)."""
+    at = np.searchsorted(common, own)
+    last = common[np.minimum(at, len(common) - 1)] == own if len(common) else np.zeros(len(own), bool)
+    chosen = np.lexsort((_mixed(own), last))[: prefix_size(len(own), min_similarity)]
+    return own[chosen[~last[chosen]]], own[chosen[last[chosen]]]
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -54,21 +52,68 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
+def _common_shingles(chosen: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles of several documents of a sample, the most common ``MOST`` at most, in ascending order."""
+
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for text in b["t"]:
+                yield pd.DataFrame({"h": np.unique(shingle_hashes(words_of(text), shingle)).view(np.int64)})
+
+    rows = max(1, chosen.count())
+    sample = chosen.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(rows)) < SAMPLE)
+    counts = sample.mapInPandas(hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= COMMON)
+    found = counts.orderBy(F.desc("c"), "h").limit(MOST).select("h").toPandas()["h"]
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, kind: str, min_similarity: float) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) of nodes whose whole ``sets`` (node, n, whole) are similar."""
+    for x in ("a", "b"):
+        counts = pairs.groupBy(x).agg(F.count(F.lit(1)).alias("c"))
+        sizes = sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
+        pairs = salted_join(pairs, sizes, [x], hot_keys(counts, [x], "c"), "b" if x == "a" else "a")
+    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    pairs = materialise(pairs.where(small >= large * min_similarity - 1e-6).select("a", "b").distinct(), "pairs")
+    for x in ("a", "b"):
+        counts = pairs.groupBy(x).agg(F.count(F.lit(1)).alias("c"))
+        whole = sets.select(F.col("node").alias(x), F.col("whole").alias(f"whole_{x}"))
+        pairs = salted_join(pairs, whole, [x], hot_keys(counts, [x], "c"), "b" if x == "a" else "a")
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            both = zip(p["whole_a"], p["whole_b"], strict=True)
+            good = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= min_similarity for x, y in both]
+            yield p.loc[good, ["a", "b"]]
+
+    return pairs.select("a", "b", "whole_a", "whole_b").mapInPandas(decide, f"a {kind}, b {kind}")
+
+
+def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct()
+
+
 def near_duplicate_groups(
     docs: DataFrame, shingle: int = 5, min_similarity: float = 0.8, radius: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id, component_id) of every row with an id: the smallest id that links of near duplicates reach.
 
     Two documents are near duplicates if their sets of ``shingle``-word shingles have a Jaccard similarity of
-    ``min_similarity`` or more. Documents with equal sets are one node. Candidates are documents whose whole
-    SimHash fingerprints link within ``radius`` bits (BK-trees), and documents that share the fingerprint of a
-    slice, a part of the set that hashes choose; all of them are decided by the sets' sizes and
-    similarity, since fingerprints count repeats that sets have not. In a slice every document meets two others that a hash chooses by slice, not all, so that a group of
-    copies costs as many pairs as it has members and slices.
+    ``min_similarity`` or more. Documents with equal sets are one node. All pairs of similar sets are
+    candidates: in an order of shingles that all sets share, the first ``prefix_size`` members of two similar sets
+    have one in common, a key. Common shingles go last in that order, so that they are keys of few documents.
+    Whole sets decide every candidate. Whole SimHash fingerprints within ``radius`` bits (BK-trees) only name
+    pairs to try first.
+
+    Members of a key that are in one component do not meet, nor do those that share too few members from the key on
+    (the first key of a similar pair passes).
 
     Null and empty texts are one group. Rows with null ids are in no group. Rows that repeat an id are one
     document. An empty table gives an empty one.
     """
+    kind = docs.schema[id_col].dataType.simpleString()
+    chosen = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("id"), docs[text_col].alias("t"))
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(chosen, shingle))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -77,48 +122,61 @@ def near_duplicate_groups(
                 h = shingle_hashes(words_of(text), shingle)
                 own = np.unique(h)
                 s1, s2 = _mixed(own).sum(dtype=np.uint64), _mixed(own ^ MIX).sum(dtype=np.uint64)
-                rows.append((key, int(s1.view(np.int64)), int(s2.view(np.int64)), fingerprint(h), len(own), slice_keys(own).view(np.int64), own.tobytes()))
-            frame = pd.DataFrame(rows, columns=["id", "s1", "s2", "fp", "n", "keys", "whole"])
+                rare, often = (x.view(np.int64) for x in prefix(own, common.value, min_similarity))
+                rows.append((key, int(s1.view(np.int64)), int(s2.view(np.int64)), fingerprint(h), len(own), rare, often))
+            frame = pd.DataFrame(rows, columns=["id", "s1", "s2", "fp", "n", "rare", "often"])
             frame["fp"] = np.array(frame["fp"].tolist(), np.uint64).view(np.int64)
             yield frame
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    chosen = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("id"), docs[text_col].alias("t"))
     found = materialise(
-        chosen.mapInPandas(work, f"id {kind}, s1 long, s2 long, fp long, n long, keys array<long>, whole binary"), "sets"
+        chosen.mapInPandas(work, f"id {kind}, s1 long, s2 long, fp long, n int, rare array<long>, often array<long>"), "sets"
     )
     nodes = materialise(
-        found.groupBy("s1", "s2").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in ("fp", "n", "keys", "whole")]),
+        found.groupBy("s1", "s2").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in ("fp", "n", "rare", "often")]),
         "nodes",
     )
-    entries = nodes.select("node", F.explode("keys").alias("key"))
-    turn = lambda k: F.struct(F.xxhash64(F.lit(k), "key", "node"), F.col("node"))
-    hubs = entries.groupBy("key").agg(F.min(turn(1)).alias("p"), F.min(turn(2)).alias("q"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    hubs = materialise(hubs.select("key", F.array("p.node", "q.node").alias("hubs"), "c"), "hubs")
-    pairs = salted_join(entries, hubs.drop("c"), ["key"], hot_keys(hubs, ["key"], "c"), "node").select("node", F.explode("hubs").alias("hub"))
-    pairs = pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).where("a > b").distinct()
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
+    columns = ["key", "node", "n", "at"]
+    keys = nodes.select("node", "n", F.posexplode("rare").alias("at", "key")).select(*columns)
+    often = nodes.select("node", "n", F.size("rare").alias("before"), F.posexplode("often").alias("at", "key"))
+    often = often.select("key", "node", "n", (F.col("before") + F.col("at")).alias("at"))
+    by_key = Window.partitionBy("key").orderBy("node")
+    met = keys.select("*", F.lag("node").over(by_key).alias("p"), F.lead("node").over(by_key).alias("q"))
+    entries = materialise(met.where("p is not null or q is not null").select(*columns).union(often), "entries")
+    members = chosen.join(entries.select(F.col("node").alias("id")).distinct(), "id").dropDuplicates(["id", "t"])
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = [np.unique(shingle_hashes(words_of(t), shingle)) for t in b["t"]]
+            yield pd.DataFrame({"node": b["id"], "n": [len(x) for x in own], "whole": [x.tobytes() for x in own]})
+
+    sets = materialise(members.mapInPandas(whole, f"node {kind}, n long, whole binary"), "members")
     prints = nodes.groupBy("fp").agg(F.min("node").alias("first"))
-    same_print = nodes.join(prints, "fp").where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    same_print = nodes.join(prints, "fp").where("node > first").select("node", "first")
     near = fingerprint_edges(prints, radius)
     by_print = near.join(prints.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(
         prints.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v"
     )
-    by_print = by_print.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = pairs.union(by_print).union(same_print).distinct()
-    close = pairs.join(side("a"), "a").join(side("b"), "b")
-    close = close.where((F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * min_similarity))
-    sets = lambda x: nodes.select(F.col("node").alias(x), F.col("whole").alias(f"whole_{x}"))
-    compared = close.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", "whole_a", "whole_b")
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            sets = zip(p["whole_a"], p["whole_b"], strict=True)
-            good = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= min_similarity for x, y in sets]
-            yield p.loc[good, ["a", "b"]]
-
-    linked = compared.mapInPandas(decide, f"a {kind}, b {kind}")
-    roots = components(linked)
+    edges = materialise(_similar(_ordered(by_print.select("a", "b").union(same_print), "a", "b"), sets, kind, min_similarity), "links")
+    roots = components(edges)
+    most_shared = F.least(F.col("n") - F.col("at"), F.col("hub_n") - F.col("hub_at"))  # if no member before this key is shared
+    least_shared = (F.col("n") + F.col("hub_n")) * (min_similarity / (1 + min_similarity)) - 1e-6
+    apart_yet = (F.col("root") != F.col("hub_root")) & (most_shared >= least_shared)
+    while True:
+        placed = entries.join(roots, "node", "left").select(*columns, F.coalesce("root", "node").alias("root"))
+        counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
+        counts = counts.agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"))
+        counts = counts.select("key", "all", ((F.col("all") * F.col("all") - F.col("own")) / 2).cast("long").alias("apart"))
+        live = materialise(counts.where("apart > 0"), "live")
+        apart = live.agg(F.sum("apart")).first()[0]
+        if not apart:
+            break
+        hot = hot_keys(live, ["key"], "apart")
+        entries = materialise(salted_join(placed, live.select("key"), ["key"], hot_keys(live, ["key"], "all"), "node"), "entries")
+        others = entries.select("key", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "at", "root")])
+        pairs = salted_join(entries, others, ["key"], hot, "node").where(apart_yet & (F.col("node") > F.col("hub_node")))
+        edges = materialise(edges.union(_similar(_ordered(pairs, "node", "hub_node"), sets, kind, min_similarity)), "links")
+        roots = components(edges)
+        break
     labels = nodes.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("component_id"))
     return found.select("id", "s1", "s2").join(labels, ["s1", "s2"]).select(F.col("id").alias(id_col), "component_id")
 

@@ -35,3 +35,12 @@ def test_long_texts_are_decided_on_whole_sets(spark):
         cut = 440 if k % 2 else 420  # 0.78 and 0.79 of the whole
         texts += [" ".join(own), " ".join(own[: 2000 - cut])]
     assert kept(spark, texts) == list(range(24))
+
+
+def test_short_and_long_pairs_at_the_limit_are_found(spark):
+    texts = []
+    for k in range(10):
+        for n, less in ((9, 1), (14, 2), (24, 4), (1204, 228)):  # 5, 10, 20 and 1,200 shingles
+            own = words(1000 * n + k, n)
+            texts += [" ".join(own), " ".join(own[: n - less])]
+    assert kept(spark, texts) == list(range(0, 80, 2))
