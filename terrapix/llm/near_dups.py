@@ -20,6 +20,12 @@ COMMON = 3
 """Documents of the sample from which on a shingle is common."""
 MOST = 1 << 18
 """Common shingles that are told to the tasks at most."""
+PAIRS = 64
+"""Pairs for each entry of a key up to which all that are left meet at once."""
+HUBS = 64
+"""Hubs of a key in the last round of hubs; after it, all that are left meet."""
+PARITY = 1024
+"""Bits of a set's parities: two sets have as many members apart at least as they have bits apart."""
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,6 +50,11 @@ def prefix(own: np.ndarray, common: np.ndarray, min_similarity: float) -> tuple[
     return own[chosen[~last[chosen]]], own[chosen[last[chosen]]]
 
 
+def parities(own: np.ndarray) -> bytes:
+    """For each of ``PARITY`` parts that a hash deals a set into, whether its size is odd."""
+    return np.packbits(np.bincount((_mixed(own) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two whole sets in ascending order; of two empty ones 1."""
     if not len(a) or not len(b):
@@ -68,13 +79,25 @@ def _common_shingles(chosen: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, kind: str, min_similarity: float) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b) of nodes whose whole ``sets`` (node, n, whole) are similar."""
+    """Those of the distinct ``pairs`` (a, b) of nodes whose whole ``sets`` (node, n, odd, whole) are similar.
+
+    Pairs whose sizes or parities prove them apart are dropped before whole sets travel.
+    """
     for x in ("a", "b"):
         counts = pairs.groupBy(x).agg(F.count(F.lit(1)).alias("c"))
-        sizes = sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
+        sizes = sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}"))
         pairs = salted_join(pairs, sizes, [x], hot_keys(counts, [x], "c"), "b" if x == "a" else "a")
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    pairs = materialise(pairs.where(small >= large * min_similarity - 1e-6).select("a", "b").distinct(), "pairs")
+
+    def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            a, b = (np.frombuffer(b"".join(p[c]), np.uint8).reshape(len(p), PARITY // 8) for c in ("odd_a", "odd_b"))
+            apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            most = (p["n_a"] + p["n_b"]).to_numpy() * ((1 - min_similarity) / (1 + min_similarity)) + 1e-6
+            yield p.loc[apart <= most, ["a", "b"]]
+
+    pairs = pairs.where(small >= large * min_similarity - 1e-6).mapInPandas(possible, f"a {kind}, b {kind}")
+    pairs = materialise(pairs.distinct(), "pairs")
     for x in ("a", "b"):
         counts = pairs.groupBy(x).agg(F.count(F.lit(1)).alias("c"))
         whole = sets.select(F.col("node").alias(x), F.col("whole").alias(f"whole_{x}"))
@@ -106,7 +129,8 @@ def near_duplicate_groups(
     pairs to try first.
 
     Members of a key that are in one component do not meet, nor do those that share too few members from the key on
-    (the first key of a similar pair passes).
+    (the first key of a similar pair passes). While the pairs left are many, members of a key meet one hub, then
+    two, four and so on, and a hub that met all others leaves its key; then all that are left meet, so none is untried.
 
     Null and empty texts are one group. Rows with null ids are in no group. Rows that repeat an id are one
     document. An empty table gives an empty one.
@@ -147,9 +171,9 @@ def near_duplicate_groups(
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             own = [np.unique(shingle_hashes(words_of(t), shingle)) for t in b["t"]]
-            yield pd.DataFrame({"node": b["id"], "n": [len(x) for x in own], "whole": [x.tobytes() for x in own]})
+            yield pd.DataFrame({"node": b["id"], "n": [len(x) for x in own], "odd": [parities(x) for x in own], "whole": [x.tobytes() for x in own]})
 
-    sets = materialise(members.mapInPandas(whole, f"node {kind}, n long, whole binary"), "members")
+    sets = materialise(members.mapInPandas(whole, f"node {kind}, n long, odd binary, whole binary"), "members")
     prints = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     same_print = nodes.join(prints, "fp").where("node > first").select("node", "first")
     near = fingerprint_edges(prints, radius)
@@ -157,7 +181,7 @@ def near_duplicate_groups(
         prints.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v"
     )
     edges = materialise(_similar(_ordered(by_print.select("a", "b").union(same_print), "a", "b"), sets, kind, min_similarity), "links")
-    roots = components(edges)
+    roots, most, hubs = components(edges), PAIRS * entries.count(), 1
     most_shared = F.least(F.col("n") - F.col("at"), F.col("hub_n") - F.col("hub_at"))  # if no member before this key is shared
     least_shared = (F.col("n") + F.col("hub_n")) * (min_similarity / (1 + min_similarity)) - 1e-6
     apart_yet = (F.col("root") != F.col("hub_root")) & (most_shared >= least_shared)
@@ -170,13 +194,25 @@ def near_duplicate_groups(
         apart = live.agg(F.sum("apart")).first()[0]
         if not apart:
             break
-        hot = hot_keys(live, ["key"], "apart")
+        few = apart <= most or hubs > HUBS
+        hot = hot_keys(live, ["key"], "apart" if few else "all")
         entries = materialise(salted_join(placed, live.select("key"), ["key"], hot_keys(live, ["key"], "all"), "node"), "entries")
-        others = entries.select("key", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "at", "root")])
-        pairs = salted_join(entries, others, ["key"], hot, "node").where(apart_yet & (F.col("node") > F.col("hub_node")))
+        if few:
+            others = entries.select("key", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "at", "root")])
+            pairs = salted_join(entries, others, ["key"], hot, "node").where(apart_yet & (F.col("node") > F.col("hub_node")))
+        else:
+            turns = [F.min(F.struct(F.xxhash64(F.lit(hubs + k), "node").alias("turn"), *columns[1:], "root")).alias(f"h{k}") for k in range(hubs)]
+            heads = entries.groupBy("key").agg(*turns)
+            heads = materialise(heads.select("key", F.array_distinct(F.array(*[F.struct(*[F.col(f"h{k}.{c}").alias(c) for c in (*columns[1:], "root")]) for k in range(hubs)])).alias("hubs")), "hubs")
+            both = salted_join(entries, heads, ["key"], hot, "node")
+            pairs = both.select("node", "n", "at", "root", F.explode("hubs").alias("x"))
+            pairs = pairs.select("node", "n", "at", "root", *[F.col(f"x.{c}").alias(f"hub_{c}") for c in ("node", "n", "at", "root")]).where(apart_yet)
+            entries = materialise(both.where(~F.array_contains(F.col("hubs.node"), F.col("node"))).select(*columns), "entries")
+            hubs *= 2
         edges = materialise(edges.union(_similar(_ordered(pairs, "node", "hub_node"), sets, kind, min_similarity)), "links")
         roots = components(edges)
-        break
+        if few:
+            break
     labels = nodes.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("component_id"))
     return found.select("id", "s1", "s2").join(labels, ["s1", "s2"]).select(F.col("id").alias(id_col), "component_id")
 

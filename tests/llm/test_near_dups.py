@@ -44,3 +44,25 @@ def test_short_and_long_pairs_at_the_limit_are_found(spark):
             own = words(1000 * n + k, n)
             texts += [" ".join(own), " ".join(own[: n - less])]
     assert kept(spark, texts) == list(range(0, 80, 2))
+
+
+def test_links_between_members_of_a_family_are_those_of_brute_force(spark, monkeypatch):
+    rnd = random.Random(7)
+    texts = []
+    for k in range(2):
+        own = words(5000 + k, 60)
+        for _ in range(25):  # a chain of copies, of which only neighbours are near
+            texts.append(" ".join(own))
+            own[rnd.randrange(60)] = f"x{rnd.randint(0, 10**9)}"
+    rnd.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    while any(label[i] != label[j] for i, j in links):
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for pairs in (near_dups.PAIRS, 0):  # 0: hubs only
+        monkeypatch.setattr(near_dups, "PAIRS", pairs)
+        got = {r.doc_id: r.component_id for r in near_dups.near_duplicate_groups(df).collect()}
+        assert [got[i] for i in range(len(texts))] == label
