@@ -179,11 +179,13 @@ def labelled_union(positives: DataFrame, negatives: DataFrame, columns: list[str
 
 
 def negatives_by_generation(spark, weights: np.ndarray, means: np.ndarray, covs: np.ndarray, columns: list[str], n: int, cut: float, jitter: float = 0.15, seed: int = 7) -> DataFrame:
-    """About ``n`` rows drawn from a mixture whose log density is below ``cut``, jittered by a share of the deviations."""
+    """``n`` rows drawn from a mixture whose log density is below ``cut``, jittered by a share of the deviations.
+
+    Further ranges of draws follow, sized by the share that passed, until ``n`` rows pass. Raises if 8 ranges do not give them.
+    """
     chol = np.array([np.linalg.cholesky(c) for c in covs])
     edges = np.cumsum(weights) / weights.sum()
     d = means.shape[1]
-    base = spark.range(n * 4).select("id", F.rand(seed).alias("u"), F.array(*[F.randn(seed + 1 + i) for i in range(d)]).alias("z"), F.array(*[F.randn(seed + 101 + i) for i in range(d)]).alias("e"))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -193,9 +195,21 @@ def negatives_by_generation(spark, weights: np.ndarray, means: np.ndarray, covs:
             x = x + jitter * np.sqrt(np.diagonal(covs, axis1=1, axis2=2))[k] * (np.stack(b["e"].tolist()) if len(b) else z)
             yield pd.DataFrame({"id": b["id"], **{c: x[:, i] for i, c in enumerate(columns)}})
 
-    drawn = base.mapInPandas(draw, "id long, " + ", ".join(f"`{c}` double" for c in columns))
-    scored = mixture_score(drawn, columns, weights, means, covs, "id").where(F.col("logdens") < cut).select("id")
-    return drawn.join(scored, "id", "left_semi").orderBy("id").limit(n)
+    def passed(start: int, stop: int, seed: int) -> DataFrame:
+        base = spark.range(start, stop).select("id", F.rand(seed).alias("u"), F.array(*[F.randn(seed + 1 + i) for i in range(d)]).alias("z"), F.array(*[F.randn(seed + 101 + i) for i in range(d)]).alias("e"))
+        drawn = base.mapInPandas(draw, "id long, " + ", ".join(f"`{c}` double" for c in columns))
+        scored = mixture_score(drawn, columns, weights, means, covs, "id").where(F.col("logdens") < cut).select("id")
+        return drawn.join(scored, "id", "left_semi")
+
+    parts, have, start, stop = [], 0, 0, max(1, n * 4)
+    for k in range(8):
+        parts.append(passed(start, stop, seed + 1000 * k))
+        have += parts[-1].count()
+        if have >= n:
+            return reduce(DataFrame.unionByName, parts).orderBy("id").limit(n)
+        more = int((n - have) * stop / have * 1.2) + 16 if have else 4 * stop
+        start, stop = stop, stop + more
+    raise RuntimeError(f"only {have} of {n} rows passed in {stop} draws")
 
 
 def negatives_hybrid(selected: DataFrame, generated: DataFrame, n: int, share: float = 0.7, key: str = "id") -> DataFrame:
