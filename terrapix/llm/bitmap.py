@@ -8,26 +8,31 @@ from pyspark.sql import functions as F
 
 MAP_BITS = 26
 """A map has ``2 ** MAP_BITS`` bits at most (8 MB), however many keys there are; then more rows pass, but none is lost."""
+BITS_A_KEY = 256
 
 
 class BitMap:
-    """Slots of hashes: a hash whose slot is empty is not among the keys."""
+    """Two slots for every hash, from its first and its last bits: one with an empty slot is not among the keys."""
 
     def __init__(self, bits: int, at: np.ndarray, values: np.ndarray) -> None:
         self.bits = bits
         self.map = np.zeros(1 << (bits - 6), np.uint64)
         self.map[at] = values
 
+    def _set(self, slot: np.ndarray) -> np.ndarray:
+        return ((self.map[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+
     def may_have(self, keys: np.ndarray) -> np.ndarray:
         """For each hash (unsigned) whether it may be among the keys."""
-        slot = keys >> np.uint64(64 - self.bits)
-        return ((self.map[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+        out = self._set(keys >> np.uint64(64 - self.bits))
+        out[out] = self._set(keys[out] & np.uint64((1 << self.bits) - 1))
+        return out
 
 
 def bit_map(keys: DataFrame, column: str, count: int) -> BitMap:
-    """The map of a column of hashes, 16 bits each as far as ``MAP_BITS`` allows; it comes to the driver in words of 64 bits."""
-    bits = min(MAP_BITS, max(12, (16 * count).bit_length()))
-    slots = keys.select(F.shiftrightunsigned(column, 64 - bits).alias("slot"))
-    words = slots.select(F.shiftrightunsigned("slot", 6).alias("w"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("b"))
+    """The map of a column of well-mixed hashes; it comes to the driver in words of 64 bits."""
+    bits = min(MAP_BITS, max(16, (BITS_A_KEY * count).bit_length()))
+    slots = F.explode(F.array(F.shiftrightunsigned(column, 64 - bits), F.col(column).bitwiseAND((1 << bits) - 1)))
+    words = keys.select(slots.alias("slot")).select(F.shiftrightunsigned("slot", 6).alias("w"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("b"))
     found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     return BitMap(bits, found["w"].to_numpy(np.int64), found["b"].to_numpy(np.int64).view(np.uint64))
