@@ -11,6 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrapix.operators.ranking import ranked_prefix
+
+from .scratch import materialise
+
 ROLES = ("system", "user", "assistant", "tool")
 # Names by which transcripts mark their speakers.
 SPEAKERS = {
@@ -27,7 +31,11 @@ MARKER = re.compile(
 SURE = 0.999
 """Probability that a marker names its speaker."""
 CHUNK = 64
-"""Turns of a conversation that one step of the search takes."""
+"""Turns of a conversation in a stretch, which one step of the search takes."""
+FOLD = 256
+"""Stretches that are one step of the search along a conversation."""
+LONG = 1 << 16
+"""Turns up to which one task puts a conversation in order."""
 NONE = -1e30
 
 
@@ -112,7 +120,7 @@ def _runs(batches: Iterator[pd.DataFrame], keys: int) -> Iterator[tuple[tuple, l
     """Rows that follow each other with equal values in the first ``keys`` columns, with those values."""
     last, held = None, []
     for batch in batches:
-        for row in batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None):
+        for row in batch.itertuples(index=False, name=None):
             if held and row[:keys] != last:
                 yield last, held
                 held = []
@@ -122,6 +130,57 @@ def _runs(batches: Iterator[pd.DataFrame], keys: int) -> Iterator[tuple[tuple, l
         yield last, held
 
 
+def _batched(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    out = []
+    for row in rows:
+        out.append(row)
+        if len(out) == 4000:
+            yield pd.DataFrame(out, columns=names)
+            out = []
+    yield pd.DataFrame(out, columns=names)
+
+
+def best_path(steps: list[np.ndarray], entry: int, end: int | None = None) -> list[tuple[int, int]]:
+    """(state before, state after) of every step on the best path from ``entry`` to ``end``, or to the best end."""
+    at = np.full(len(ROLES) + 1, NONE)
+    at[entry] = 0
+    back = []
+    for step in steps:
+        total = at[:, None] + step[: len(at)]
+        back.append(total.argmax(0))
+        at = total.max(0)
+    state, out = int(at.argmax()) if end is None else end, []
+    for b in reversed(back):
+        out.append((int(b[state]), state))
+        state = int(b[state])
+    return out[::-1]
+
+
+def _product(steps: list[np.ndarray]) -> np.ndarray:
+    best = steps[0]
+    for step in steps[1:]:
+        best = _after(best, step)
+    return best
+
+
+def _in_order(light: DataFrame) -> DataFrame:
+    """``light`` with ``r``: the place (from 0) of every turn in its conversation.
+
+    Turns go by number, null first, and turns that repeat by a hash of their texts. Conversations of more than
+    ``LONG`` turns that have over one in 1000 of all turns, so fewer than 1000, are ranked in ranges over many tasks.
+    """
+    counts = light.groupBy("c").agg(F.count(F.lit(1)).alias("k_"))
+    total = counts.agg(F.sum("k_").alias("all_"))
+    long = F.broadcast(counts.where(F.col("k_") > LONG).crossJoin(total).where(F.col("k_") * 1000 > F.col("all_")).select("c"))
+    inside = Window.partitionBy("c").orderBy(F.col("o").asc_nulls_first(), "hx", "rid")
+    usual = light.join(long, "c", "left_anti").withColumn("r", F.row_number().over(inside) - 1)
+    mixed = F.pmod(F.xxhash64("rid"), F.lit(1 << 24))
+    rest = light.join(long, "c", "left_semi").withColumns({"od_": F.coalesce(F.col("o").cast("double"), F.lit(float("-inf"))), "hk_": F.shiftleft(F.shiftright("hx", 24), 24) + mixed})
+    rest = ranked_prefix(rest, "od_", "hk_", [], descending=False, by=["c"], groups=1000).withColumn("r", F.col("rank") - 1)
+    columns = ["c", "rid", "f", "marks", "r"]
+    return usual.select(*columns).union(rest.select(*columns))
+
+
 def parse_turns(
     turns: DataFrame, model: RoleModel, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text"
 ) -> DataFrame:
@@ -129,93 +188,94 @@ def parse_turns(
 
     Roles are the most likely ones of the whole conversation by Viterbi over all its turns in their order. A
     speaker marker at the start of a line begins a new part and leaves the content. A conversation is cut into
-    stretches of 64 turns: their score matrices are formed apart and multiplied along the conversation, then
-    every stretch is decoded between the roles found at its ends, so that a very long conversation is spread
-    over tasks and the result is still exact.
-
-    A null or empty text is a part with empty content. A null conversation id is one conversation; turns that
-    are null come first, and turns that repeat come in the order of their texts. An empty table gives an empty one.
+    stretches of ``CHUNK`` turns, and those into runs of ``FOLD`` stretches: their score matrices are formed apart and
+    multiplied along the conversation, then runs and stretches are decoded between the roles found at their ends. So a
+    very long conversation is spread over tasks, and the result is still exact. Texts are not shuffled for that, only
+    a small number and the markers of each turn; roles are joined to the texts at the end.
+
+    A null or empty text is a part with empty content. A row with a null conversation id is a conversation of its
+    own. Turn numbers are numbers; null ones come first, and turns that repeat a number come in the order of a hash
+    of their texts. An empty table gives an empty one.
     """
     n = len(ROLES)
-    rows = turns.select(
-        F.col(conv_col).cast("string").alias("c"),  # as a float, an id would lose digits
-        F.floor(F.coalesce(F.col(turn_col), F.lit(0)) / CHUNK).cast("long").alias("s"),
-        F.col(turn_col).cast("string").alias("t"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("x"),
-        turn_features(F.col(text_col)).alias("f"),
-        F.col(turn_col).alias("o"),
-    )
-    kind, turn_kind = (turns.schema[c].dataType.simpleString() for c in (conv_col, turn_col))
-
-    def batched(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
-        out = []
-        for row in rows:
-            out.append(row)
-            if len(out) == 4000:
-                yield pd.DataFrame(out, columns=names)
-                out = []
-        yield pd.DataFrame(out, columns=names)
+    base = turns.select(
+        F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn_"), F.coalesce(F.col(text_col), F.lit("")).alias("x")
+    ).withColumn("rid", F.monotonically_increasing_id())
+    base = materialise(base, "turns")
+
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            marks = [[-1 if m is None else m for m in _markers(x)[0]] for x in b["x"]]
+            yield pd.DataFrame({"rid": b["rid"], "c": b["c"], "t": b["t"], "hx": b["hx"], "f": b["f"], "marks": marks})
+
+    own = F.when(F.col("conv").isNull(), F.concat(F.lit("r"), F.col("rid").cast("string"))).otherwise(F.concat(F.lit("c"), F.col("conv").cast("string")))
+    light = base.select("rid", own.alias("c"), F.col("turn_").cast("string").alias("t"), F.xxhash64("x").alias("hx"), turn_features(F.col("x")).alias("f"), "x")
+    light = light.mapInPandas(marked, "rid long, c string, t string, hx long, f int, marks array<int>")
+    light = light.withColumn("o", F.col("t").cast(turns.schema[turn_col].dataType)).drop("t")
+    placed = _in_order(light).select("c", F.floor(F.col("r") / CHUNK).cast("long").alias("s"), "r", "rid", "f", "marks")
+    placed = materialise(placed, "placed")
+
+    def steps_of(run: list[tuple]) -> Iterator[tuple[int, list[np.ndarray]]]:
+        for _, _, _, rid, f, marks, *_ in run:
+            yield rid, model.steps(f, [None if m < 0 else m for m in marks])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = ((*key, _product([x for _, steps in steps_of(run) for x in steps]).tobytes()) for key, run in _runs(batches, 2))
+        yield from _batched(found, ["c", "s", "m"])
+
+    def matrix(m: bytes) -> np.ndarray:
+        return np.frombuffer(m).reshape(n + 1, n)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = ((*key, _product([matrix(row[3]) for row in run]).tobytes()) for key, run in _runs(batches, 2))
+        yield from _batched(found, ["c", "b", "m"])
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found() -> Iterator[tuple]:
-            for key, run in _runs(batches, 2):
-                best = None
-                for _, _, _, x, f, _ in run:
-                    for step in model.steps(f, _markers(x)[0]):
-                        best = step if best is None else _after(best, step)
-                yield (*key, best.tobytes())
+            for (c,), run in _runs(batches, 1):
+                for row, (a, z) in zip(run, best_path([matrix(x[2]) for x in run], n), strict=True):
+                    yield c, row[1], a, z
 
-        yield from batched(found(), ["c", "s", "m"])
+        yield from _batched(found(), ["c", "b", "a", "z"])
 
-    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found() -> Iterator[tuple]:
-            for _, chain in _runs(batches, 1):
-                at, back = None, []
-                for _, _, m in chain:
-                    step = np.frombuffer(m).reshape(n + 1, n)
-                    total = step[n:] if at is None else at[:, None] + step[:n]
-                    back.append(None if at is None else total.argmax(0))
-                    at = total.max(0)
-                state = int(at.argmax())
-                for (c, s, _), b in zip(reversed(chain), reversed(back), strict=True):
-                    entry = n if b is None else int(b[state])
-                    yield c, s, entry, state
-                    state = entry
-
-        yield from batched(found(), ["c", "s", "a", "b"])
+            for (c, _), run in _runs(batches, 2):
+                for row, (a, z) in zip(run, best_path([matrix(x[3]) for x in run], run[0][4], run[0][5]), strict=True):
+                    yield c, row[2], a, z
+
+        yield from _batched(found(), ["c", "s", "a", "z"])
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found() -> Iterator[tuple]:
             for _, run in _runs(batches, 2):
-                at = np.full(n + 1, NONE)
-                at[run[0][6]] = 0
-                back, texts = [], []
-                for c, _, t, x, f, _, _, _ in run:
-                    marks, contents = _markers(x)
-                    texts += [(c, t, k, content) for k, content in enumerate(contents)]
-                    for step in model.steps(f, marks):
-                        total = at[:, None] + step[: len(at)]
-                        back.append(total.argmax(0))
-                        at = total.max(0)
-                state, roles = run[0][7], []
-                for b in reversed(back):
-                    roles.append(state)
-                    state = int(b[state])
-                for row, r in zip(texts, reversed(roles), strict=True):
-                    yield (*row, ROLES[r])
-
-        yield from batched(found(), ["c", "t", "part", "content", "role"])
-
-    order = ["c", "s", "o", "x"]
-    scored = rows.repartition("c", "s").sortWithinPartitions(*order).mapInPandas(score, "c string, s long, m binary")
-    bounds = scored.repartition("c").sortWithinPartitions("c", "s").mapInPandas(ends, "c string, s long, a int, b int")
-    bounds = bounds.select(F.col("c").alias("bc"), F.col("s").alias("bs"), "a", "b")
-    joined = rows.join(bounds, rows["c"].eqNullSafe(bounds["bc"]) & (rows["s"] == bounds["bs"]))
-    decoded = joined.select("c", "s", "t", "x", "f", "o", "a", "b").repartition("c", "s").sortWithinPartitions(*order)
-    found = decoded.mapInPandas(decode, "c string, t string, part int, content string, role string")
+                turns_ = list(steps_of(run))
+                path = iter(best_path([x for _, steps in turns_ for x in steps], run[0][6], run[0][7]))
+                for rid, steps in turns_:
+                    yield rid, [next(path)[1] for _ in steps]
+
+        yield from _batched(found(), ["rid", "roles"])
+
+    mats = placed.repartition("c", "s").sortWithinPartitions("c", "s", "r").mapInPandas(score, "c string, s long, m binary")
+    mats = materialise(mats.select("c", F.floor(F.col("s") / FOLD).cast("long").alias("b"), "s", "m"), "stretches")
+    folded = mats.repartition("c", "b").sortWithinPartitions("c", "b", "s").mapInPandas(fold, "c string, b long, m binary")
+    ends = folded.repartition("c").sortWithinPartitions("c", "b").mapInPandas(chain, "c string, b long, a int, z int")
+    both = mats.join(ends, ["c", "b"]).select("c", "b", "s", "m", "a", "z").repartition("c", "b").sortWithinPartitions("c", "b", "s")
+    bounds = both.mapInPandas(inside, "c string, s long, a int, z int")
+    dealt = placed.join(bounds, ["c", "s"]).select("c", "s", "r", "rid", "f", "marks", "a", "z").repartition("c", "s").sortWithinPartitions("c", "s", "r")
+    roles = dealt.mapInPandas(decode, "rid long, roles array<int>")
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"rid": b["rid"], "contents": [_markers(x)[1] for x in b["x"]]})
+
+    contents = base.select("rid", "x").mapInPandas(split, "rid long, contents array<string>").select("rid", F.posexplode("contents").alias("part", "content"))
+    named = F.array(*[F.lit(r) for r in ROLES])
+    found = contents.join(roles, "rid").join(base.select("rid", "conv", "turn_"), "rid")
+    found = found.withColumn("role", F.get(named, F.get("roles", F.col("part"))))
     return found.select(
-        F.col("c").cast(kind).alias(conv_col),
-        F.col("t").cast(turn_kind).alias(turn_col),
+        F.col("conv").alias(conv_col),
+        F.col("turn_").alias(turn_col),
         "part",
         "role",
         "content",
