@@ -1,10 +1,11 @@
-"""WARC archives: written by Spark's text sink, read back by declared lengths, assembled into captures."""
+"""WARC archives: written by Spark's text sink in files of bounded size, read back as streams, assembled into captures."""
 
 from __future__ import annotations
 
 import base64
 import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from .skew import hot_keys, salted_join
 
 END = "\r\n\r\n"
+FILE_BYTES = 128 << 20
+"""Bytes of records, as stored, after which a file ends; an archive is read whole by one task."""
+CHUNK = 1 << 20
+EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
 RECORD = (
@@ -56,7 +61,7 @@ def write_warc(
     min_revisit_bytes: int = 0,
     compression: str = "gzip",
     files: int | None = None,
-    records_per_file: int = 30_000,
+    file_bytes: int = FILE_BYTES,
 ) -> None:
     """Write a request, a response or revisit and a metadata record for every row of ``pages`` under ``path``.
 
@@ -64,11 +69,13 @@ def write_warc(
     ``min_revisit_bytes`` bytes the one with the smallest id is a response, and the others revisit it without
     a payload; rows that repeat that id with that payload are responses too, and if no row of a group has an
     id, all are responses. A null url is left out of the headers. Line breaks in a url become blanks. An empty
-    table writes an archive without records. A file has ``records_per_file`` records at most, since an archive is
-    read whole by one task.
+    table writes an archive without records. A file ends after ``file_bytes`` stored bytes, so it has less than
+    that and one record more.
 
-    Records end with CR LF CR LF, which is the text sink's line separator here: the files go through Spark's
-    committer to any file system that Spark can write, and a task that is run again leaves no second copy.
+    With ``gzip`` every record, with the CR LF CR LF that ends it, is a gzip member of its own; else (``none``) records
+    are plain. The files go through Spark's text sink, whose line separator is CR LF CR LF between plain records and
+    an empty gzip member between others: so Spark's committer puts them on any file system that it can write, and a
+    task that is run again leaves no second copy.
     """
     body = F.coalesce(F.col(body_col), F.lit(""))
     rows = pages.select(
@@ -121,34 +128,102 @@ def write_warc(
     out = marked.select(F.explode(F.array(request, main, meta)).alias("value"))
     if files:
         out = out.repartition(files)
-    out.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
+    packed = compression == "gzip"
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = 0
+        for b in batches:
+            data, part = [], []
+            for value in b["value"]:
+                raw = value.encode()
+                data.append(gzip.compress(raw + END.encode(), 6, mtime=0) if packed else raw)
+                part.append(size // file_bytes)
+                size += len(data[-1])
+            yield pd.DataFrame({"value": data, "part": part})
+
+    stored = out.mapInPandas(number, "value binary, part long").withColumn("value", F.col("value").cast("string"))
+    sink = stored.write.partitionBy("part").option("compression", "none").option("encoding", "ISO-8859-1")
+    sink.option("lineSep", EMPTY_MEMBER.decode("latin-1") if packed else END).text(path)
+
+
+class _Stream:
+    """The bytes of an archive, plain or gzip with one or many members, of which a record or so is held at a time."""
+
+    def __init__(self, data: bytes) -> None:
+        self.parts, self.held = self._unpacked(data) if data[:2] == b"\x1f\x8b" else self._slices(data), bytearray()
+
+    @staticmethod
+    def _slices(data: bytes) -> Iterator[bytes]:
+        view = memoryview(data)
+        for k in range(0, len(data), CHUNK):
+            yield bytes(view[k : k + CHUNK])
+
+    @staticmethod
+    def _unpacked(data: bytes) -> Iterator[bytes]:
+        at = 0
+        while at < len(data) and data[at : at + 2] == b"\x1f\x8b":
+            member = zlib.decompressobj(31)
+            while not member.eof:
+                if at >= len(data):
+                    raise ValueError("a gzip member without an end")
+                part = data[at : at + CHUNK]
+                at += len(part)
+                yield member.decompress(part, CHUNK)
+                while member.unconsumed_tail and not member.eof:
+                    yield member.decompress(member.unconsumed_tail, CHUNK)
+            at -= len(member.unused_data)
+
+    def more(self) -> bool:
+        part = next(self.parts, None)
+        if part is None:
+            return False
+        self.held += part
+        return True
+
+    def find(self, mark: bytes) -> int:
+        """Where ``mark`` begins in what is held, which grows until it is there; -1 for nowhere."""
+        begin = 0
+        while (at := self.held.find(mark, begin)) < 0:
+            begin = max(0, len(self.held) - len(mark))
+            if not self.more():
+                return -1
+        return at
+
+    def take(self, size: int) -> bytes:
+        while len(self.held) < size and self.more():
+            pass
+        out = bytes(self.held[:size])
+        del self.held[:size]
+        return out
 
 
 def parse_records(data: bytes, with_payload: bool = True) -> Iterator[dict]:
-    """Records of an archive (gzip, one or many members, or plain), one after the other by their declared lengths."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    view, at = memoryview(data), 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        stop = data.find(b"\r\n\r\n", start)
+    """Records of an archive (gzip, one or many members, or plain), one after the other by their declared lengths.
+
+    The archive is unpacked as it is read, so that memory holds one record, not the whole. What lies between
+    records is skipped; one that is shorter than it says raises.
+    """
+    stream = _Stream(data)
+    while (start := stream.find(b"WARC/")) >= 0:
+        stream.take(start)
+        stop = stream.find(b"\r\n\r\n")
         if stop < 0:
             raise ValueError("a record without an end of its headers")
         head = {}
-        for line in data[start:stop].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in stream.take(stop + 4).decode("utf-8", "replace").split("\r\n")[1:-2]:
             k, _, v = line.partition(":")
             head[k.strip().lower()] = v.strip()
         size = int(head["content-length"])
-        block = view[stop + 4 : stop + 4 + size]
+        block = stream.take(size)
         if len(block) < size:
             raise ValueError("a record shorter than its Content-Length")
-        at = stop + 4 + size
         mime = head.get("content-type", "")
         fields, payload = {}, block
         if mime.startswith("application/http"):
-            cut = data.find(b"\r\n\r\n", stop + 4, at)
-            payload = block[cut + 4 - stop - 4 :] if cut >= 0 else block[:0]
+            cut = block.find(b"\r\n\r\n")
+            payload = block[cut + 4 :] if cut >= 0 else b""
         elif mime.startswith("application/warc-fields"):
-            pairs = (x.partition(":") for x in bytes(block).decode("utf-8", "replace").split("\r\n") if x)
+            pairs = (x.partition(":") for x in block.decode("utf-8", "replace").split("\r\n") if x)
             fields = {k.strip(): v.strip() for k, _, v in pairs}
         yield {
             "record_type": head.get("warc-type"),
@@ -162,12 +237,13 @@ def parse_records(data: bytes, with_payload: bool = True) -> Iterator[dict]:
             "payload_bytes": len(payload),
             "computed_digest": base64.b32encode(hashlib.sha1(payload).digest()).decode(),
             "fields": fields,
-            "payload": bytes(payload) if with_payload else None,
+            "payload": payload if with_payload else None,
         }
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """One row per record of the archives under ``path``; an archive is read whole by one task, so keep files small."""
+    """One row per record of the archives under ``path``. An archive's stored bytes are read whole by one task (2 GB at
+    most, a limit of Spark's reader) and unpacked record by record."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in RECORD.replace("map<string,string>", "map").split(", ")]
@@ -183,7 +259,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                 if rows:
                     yield pd.DataFrame(rows, columns=names)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInPandas(parse, RECORD)
 
 
