@@ -16,6 +16,10 @@ from .scratch import materialise
 
 BITS = 64
 BLOCK = 1 << 14
+HOT = 1 << 16
+"""Fingerprints of a shard from which on pairs of its blocks are shards of their own."""
+SHARE = 16
+"""Hot shards are recognised by every 16th fingerprint; that only tells how the work is dealt."""
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -142,12 +146,28 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint_edges(fps: DataFrame, radius: int = 3, blocks: int | None = None, fp_col: str = "fp") -> DataFrame:
+def _cells(keyed: DataFrame, hot: int) -> DataFrame:
+    """``keyed`` (t, k, fp) with ``cell``: 0, but in a hot shard one row for every pair of blocks that has the row's block.
+
+    Each two fingerprints of a shard meet in one cell, of two blocks of about ``hot`` fingerprints at most. A shard is
+    hot if it has more than ``hot`` and more than one in 10,000 of all rows, so the table of them may be broadcast.
+    """
+    counts = keyed.where(F.pmod(F.xxhash64(F.lit(3), "fp"), F.lit(SHARE)) == 0).groupBy("t", "k").agg((F.count(F.lit(1)) * SHARE).alias("c_"))
+    total = counts.agg(F.sum("c_").alias("all_"))
+    large = counts.crossJoin(F.broadcast(total)).where((F.col("c_") > hot) & (F.col("c_") * 10_000 > F.col("all_")))
+    marked = keyed.join(F.broadcast(large.select("t", "k", F.ceil(F.col("c_") / hot).cast("int").alias("n_"))), ["t", "k"], "left")
+    own = F.pmod(F.xxhash64(F.lit(4), "fp"), F.col("n_")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("n_") - 1), lambda i: F.least(i, own) * F.col("n_") + F.greatest(i, own))
+    return marked.withColumn("cell", F.explode(F.when(F.col("n_").isNull(), F.array(F.lit(0))).otherwise(pairs))).drop("n_")
+
+
+def fingerprint_edges(fps: DataFrame, radius: int = 3, blocks: int | None = None, fp_col: str = "fp", hot: int = HOT) -> DataFrame:
     """Edges (u, v) that join just those distinct fingerprints which links within ``radius`` bits join.
 
     Fingerprints that agree under one of the masks meet in a shard; every shard with two or more gets a
     BK-tree, which all its members query. A shard yields one edge per member at most, to the least one it
-    reaches there, so that a dense group costs as many rows as it has members and not their pairs.
+    reaches there, so that a dense group costs as many rows as it has members and not their pairs. A shard of more
+    than ``hot`` fingerprints is dealt to several tasks (:func:`_cells`).
     """
     masks = [_signed(m) for m in block_masks(radius, blocks or radius + 2)]
     tables = F.explode(
@@ -167,13 +187,13 @@ def fingerprint_edges(fps: DataFrame, radius: int = 3, blocks: int | None = None
             return pd.DataFrame({"u": own[moved].view(np.int64), "v": own[to[moved]].view(np.int64)}) if moved.any() else None
 
         for batch in batches:
-            t, k, fp = batch["t"].to_numpy(), batch["k"].to_numpy(), batch["fp"].to_numpy()
+            t, k, cell, fp = (batch[c].to_numpy() for c in ("t", "k", "cell", "fp"))
             if not len(t):
                 continue
-            new = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1
+            new = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (cell[1:] != cell[:-1])) + 1
             bounds = np.concatenate([[0], new, [len(t)]])
             out = []
-            if held and last != (t[0], k[0]):
+            if held and last != (t[0], k[0], cell[0]):
                 out.append(shard(held))
                 held = []
             size = np.diff(bounds)
@@ -187,7 +207,7 @@ def fingerprint_edges(fps: DataFrame, radius: int = 3, blocks: int | None = None
                     held = []
                 else:
                     out.append(shard([part]))
-            last = (t[-1], k[-1])
+            last = (t[-1], k[-1], cell[-1])
             out = [x for x in out if x is not None]
             if out:
                 yield pd.concat(out, ignore_index=True)
@@ -195,7 +215,9 @@ def fingerprint_edges(fps: DataFrame, radius: int = 3, blocks: int | None = None
             yield x
 
     keyed = fps.select(F.col(fp_col).alias("fp")).select("fp", tables.alias("s")).select("s.t", "s.k", "fp")
-    return keyed.repartition("t", "k").sortWithinPartitions("t", "k").mapInPandas(work, "u bigint, v bigint")
+    order = ["t", "k", "cell"]
+    dealt = _cells(keyed, hot).select(*order, "fp")
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInPandas(work, "u bigint, v bigint")
 
 
 def simhash_groups(
