@@ -11,7 +11,6 @@ from .scratch import materialise
 from .skew import hot_keys, salted_join
 
 BLANKS = " \t\n\x0b\x0c\r"
-LAST_ID = (1 << 63) - 1
 
 
 def _ascii_lower(col: Column) -> Column:
@@ -35,24 +34,27 @@ def drop_shared_lines(
     Keys of at least ``min_chars`` code points that ``min_docs`` documents hold lose all their lines, except in
     the smallest id that holds the key. Adds n_lines (before) and n_dropped, in
     place of columns of those names; other columns stay as they are.
-    A null or empty text is one empty line and stays an empty text. Rows that repeat an id are one document.
-    Null ids are together one document that comes after all others. An empty table gives an empty one.
+    A null or empty text is one empty line and stays an empty text. Ids may be of any type that has an order. Rows
+    that repeat an id are one document. Null ids are together one document that comes after all others. An empty
+    table gives an empty one.
 
     Lines travel as 128-bit hashes with positions, never as texts: counts per hash are pre-aggregated before
     the shuffle, and the lines of a hot hash are salted where they meet its count.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.coalesce(F.col(id_col), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("row"), text.alias("body")
+        F.col(id_col).alias("doc"), F.xxhash64(text).alias("row"), text.alias("body")
     )
     lines = rows.select("doc", "row", F.posexplode(F.split(_ascii_lower(F.col("body")), "\n", -1)).alias("pos", "line"))
     keys = lines.select("doc", "row", "pos", F.btrim("line", F.lit(BLANKS)).alias("key")).where(
         F.char_length("key") >= min_chars
     )
     hashed = keys.select("doc", "row", "pos", *_hashes(F.col("key")))
-    if min_docs == 2:  # two documents at least: the least id is not the greatest
-        shared = hashed.groupBy("h1", "h2").agg(F.min("doc").alias("keeper"), F.max("doc").alias("other"), F.count(F.lit(1)).alias("n"))
-        shared = shared.where("keeper < other").select("h1", "h2", "keeper", "n")
+    if min_docs == 2:  # two documents at least: the least id is not the greatest, or there is a null beside it
+        shared = hashed.groupBy("h1", "h2").agg(
+            F.min("doc").alias("keeper"), F.max("doc").alias("other"), F.max(F.col("doc").isNull()).alias("more"), F.count(F.lit(1)).alias("n")
+        )
+        shared = shared.where("keeper is not null and (keeper < other or more)").select("h1", "h2", "keeper", "n")
     else:
         each = hashed.groupBy("h1", "h2", "doc").agg(F.count(F.lit(1)).alias("k"))
         shared = each.groupBy("h1", "h2").agg(F.min("doc").alias("keeper"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("docs"))
@@ -60,14 +62,14 @@ def drop_shared_lines(
     shared = materialise(shared, "shared")
     gone = (
         salted_join(hashed, shared.drop("n"), ["h1", "h2"], hot_keys(shared, ["h1", "h2"], "n"), "doc")
-        .where("doc <> keeper")
+        .where("not (doc <=> keeper)")
         .groupBy("doc", "row")
         .agg(F.collect_set("pos").alias("gone"))
     )
     new = ("n_lines", "n_dropped")
     whole = docs.select(
         F.struct(*docs.columns).alias("row_in"),
-        F.coalesce(F.col(id_col), F.lit(LAST_ID)).alias("doc"),
+        F.col(id_col).alias("doc"),
         F.xxhash64(text).alias("row"),
         F.split(text, "\n", -1).alias("lines"),
     )
@@ -75,7 +77,8 @@ def drop_shared_lines(
         F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get("lines", i)
     )
     plain = F.coalesce(F.col("row_in")[text_col], F.lit(""))
-    return whole.join(gone, ["doc", "row"], "left").select(
+    gone = gone.select(F.col("doc").alias("doc_"), F.col("row").alias("row_"), "gone")
+    return whole.join(gone, F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("row") == F.col("row_")), "left").select(
         *[
             (F.when(F.col("gone").isNull(), plain).otherwise(F.array_join(kept, "\n")) if c == text_col else F.col("row_in")[c]).alias(c)
             for c in docs.columns

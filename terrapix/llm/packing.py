@@ -137,9 +137,10 @@ def pack(items: DataFrame, length_col: str = "length", capacity: int = CAPACITY,
     locally (dealt by a hash of the whole row, so a run task gives the same again); bins that are nearly full are
     done. The others are items of the next round, in which a task merges ``fan`` nodes, until one node is left;
     each node hands on a bounded number of bins. Sequences have any number; offsets are gapless from 0.
-    Repeated rows are packed as often as they come; an empty table gives an empty one.
+    Repeated rows are packed as often as they come; an empty table gives an empty one. Columns of ``items`` that are
+    called sequence_id or offset are replaced.
     """
-    spark = items.sparkSession
+    spark, items = items.sparkSession, items.drop("sequence_id", "offset")
     parts = max(1, -(-items.count() // part_items))
     schema = T.StructType([*items.schema.fields, T.StructField("__bin", T.LongType()), T.StructField("__offset", T.LongType())])
     names = items.columns
@@ -151,7 +152,7 @@ def pack(items: DataFrame, length_col: str = "length", capacity: int = CAPACITY,
 
     dealt = items.withColumn("__part", F.pmod(F.xxhash64(*names), F.lit(parts)).cast("long"))
     placed = materialise(dealt.groupBy("__part").applyInArrow(local, schema), "placed")
-    moves = spark.createDataFrame([], "__bin long, to long, shift long")
+    moves = spark.createDataFrame([], "__bin long, __to long, __shift long")
     if parts > 1:
         full = int(capacity * nearly_full)
         state = placed.groupBy(F.col("__bin").alias("bin")).agg(F.sum(length_col).cast("long").alias("fill"))
@@ -171,12 +172,12 @@ def pack(items: DataFrame, length_col: str = "length", capacity: int = CAPACITY,
             merged.append(done if last else done.where("not open"))
             state = done.where("open").drop("open")
         for x in merged:
-            joined = x.where(F.size("members") > 1).select(F.col("bin").alias("to"), F.explode("members").alias("m"))
-            moves = moves.union(joined.select(F.col("m.bin").alias("__bin"), "to", F.col("m.shift").alias("shift")))
+            joined = x.where(F.size("members") > 1).select(F.col("bin").alias("__to"), F.explode("members").alias("m"))
+            moves = moves.union(joined.select(F.col("m.bin").alias("__bin"), "__to", F.col("m.shift").alias("__shift")))
     return placed.join(moves, "__bin", "left").select(
         *names,
-        F.coalesce("to", "__bin").alias("sequence_id"),
-        (F.col("__offset") + F.coalesce("shift", F.lit(0))).alias("offset"),
+        F.coalesce("__to", "__bin").alias("sequence_id"),
+        (F.col("__offset") + F.coalesce("__shift", F.lit(0))).alias("offset"),
     )
 
 
