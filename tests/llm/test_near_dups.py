@@ -62,7 +62,7 @@ def test_links_between_members_of_a_family_are_those_of_brute_force(spark, monke
         for i, j in links:
             label[i] = label[j] = min(label[i], label[j])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for pairs in (near_dups.PAIRS, 0):  # 0: hubs only
+    for pairs in (near_dups.PAIRS, 0, -1):
         monkeypatch.setattr(near_dups, "PAIRS", pairs)
         got = {r.doc_id: r.component_id for r in near_dups.near_duplicate_groups(df).collect()}
         assert [got[i] for i in range(len(texts))] == label
