@@ -5,10 +5,13 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import class_by
+from ..functions.distributions import t_critical
+from .quantiles import quantiles
+from .ranking import ranked_prefix
 
 
 def group_mean(df: DataFrame, keys: list[str], column: str, out: str = "mean") -> DataFrame:
@@ -46,11 +49,10 @@ def profit_totals(df: DataFrame, key: str, value: str, area: str = "area_m2") ->
 
 
 def decile_extremes(df: DataFrame, value: str, key: str) -> DataFrame:
-    """Means of the lowest and of the highest tenth of a small table's rows (at least one row each)."""
-    n = df.agg(F.greatest(F.floor(F.count("*") / 10), F.lit(1)).alias("k_"))
-    up, down = Window.orderBy(F.col(value), key), Window.orderBy(F.col(value).desc(), key)
-    ranked = df.withColumns({"up_": F.row_number().over(up), "down_": F.row_number().over(down)}).crossJoin(F.broadcast(n))
-    return ranked.agg(F.avg(F.when(F.col("up_") <= F.col("k_"), F.col(value))).alias("lowest_mean"), F.avg(F.when(F.col("down_") <= F.col("k_"), F.col(value))).alias("highest_mean"), F.max("k_").alias("k"))
+    """Means of the lowest and of the highest tenth of the rows (at least one row each), by distributed ranks."""
+    k = F.greatest(F.floor(F.col("n") / 10), F.lit(1))
+    ranked = ranked_prefix(df, value, key, [], descending=False)
+    return ranked.agg(F.avg(F.when(F.col("rank") <= k, F.col(value))).alias("lowest_mean"), F.avg(F.when(F.col("rank") > F.col("n") - k, F.col(value))).alias("highest_mean"), F.max(k).alias("k"))
 
 
 def block_of(idx: str, factor: int) -> Column:
@@ -104,7 +106,10 @@ def hex_cell(x: Column, y: Column, size: float) -> tuple[Column, Column]:
 
 
 def hex_agg(df: DataFrame, size: float, mean: list[str], skewed: list[str], classes: list[str], q: float = 0.75, x: str = "lon", y: str = "lat") -> DataFrame:
-    """By hexagon: means, a quantile of the positive values of skewed columns, and the commonest class (least of ties)."""
+    """By hexagon: means, a quantile of the positive values of skewed columns, and the commonest class (least of ties).
+
+    A hexagon has as many cells as its area holds, whatever the table's size, so its values are ranked in one aggregate.
+    """
     a, b = hex_cell(F.col(x), F.col(y), size)
     most = [F.mode(c, True).alias(c) for c in classes]
     return df.withColumns({"q": a, "r": b}).groupBy("q", "r").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in mean], *[F.percentile(F.when(F.col(c) > 0, F.col(c)), F.lit(q)).alias(c) for c in skewed], *most)
@@ -112,14 +117,16 @@ def hex_agg(df: DataFrame, size: float, mean: list[str], skewed: list[str], clas
 
 def lat_band_ci(df: DataFrame, value: str, step: float = 0.5, by: list[str] | None = None) -> DataFrame:
     """Mean and 2.5 % and 97.5 % quantiles by band of latitude."""
-    band = (F.floor(F.col("lat") / step) * step).alias("band")
-    out = df.groupBy(*(by or []), band).agg(F.avg(value).alias("mean"), F.percentile(value, F.array(F.lit(0.025), F.lit(0.975))).alias("q_"), F.count("*").alias("n"))
-    return out.withColumns({"low": F.col("q_")[0], "high": F.col("q_")[1]}).drop("q_")
+    keys = [*(by or []), "band"]
+    rows = df.withColumn("band", F.floor(F.col("lat") / step) * step)
+    out = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    ends = quantiles(rows, {"q_": F.col(value)}, [0.025, 0.975], keys)
+    return out.join(ends, keys, "left").withColumns({"low": F.col("q_")[0], "high": F.col("q_")[1]}).select(*keys, "mean", "n", "low", "high")
 
 
 def weighted_histogram(df: DataFrame, value: str, weight: str, n: int = 20) -> DataFrame:
     """Sum of weights in ``n`` equal bins between the 1st and 99th percentile; what lies outside is left out."""
-    ends = df.agg(F.percentile(value, F.array(F.lit(0.01), F.lit(0.99))).alias("e_"))
+    ends = quantiles(df, {"e_": F.col(value)}, [0.01, 0.99])
     x, low, width = F.col(value), F.col("e_")[0], (F.col("e_")[1] - F.col("e_")[0]) / n
     k = F.least(F.floor((x - low) / width), F.lit(n - 1)).cast("int")
     return df.crossJoin(F.broadcast(ends)).where((x >= low) & (x <= F.col("e_")[1])).groupBy(k.alias("bin")).agg(F.sum(weight).alias("weight"), F.count("*").alias("n"))
@@ -127,7 +134,7 @@ def weighted_histogram(df: DataFrame, value: str, weight: str, n: int = 20) -> D
 
 def quantile_table(df: DataFrame, columns: list[str], qs: list[float]) -> DataFrame:
     """Exact quantiles, one row per column."""
-    one = df.agg(*[F.percentile(c, F.array(*map(F.lit, qs))).alias(c) for c in columns])
+    one = quantiles(df, {c: F.col(c) for c in columns}, qs)
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("q")) for c in columns]))
     return one.select(rows.alias("x")).select("x.name", *[F.col("x.q")[i].alias(f"q{round(q * 1000)}") for i, q in enumerate(qs)])
 
@@ -183,15 +190,18 @@ def waterfall(fact: DataFrame, alts: DataFrame, policy: Column, key: str = "pixe
 
 
 def policy_path_stats(df: DataFrame, policy: Column, value: str, key: str = "pixel_id") -> DataFrame:
-    """By policy over pixels: mean of pixel means with deviation, number, and the share of positive paths."""
+    """By policy over pixels: mean of pixel means with deviation, number and 95 % t interval, and the share of positive paths."""
     per = df.groupBy(policy.alias("policy"), key).agg(F.avg(value).alias("m_"), F.count("*").alias("paths_"), F.count_if(F.col(value) > 0).alias("good_"))
-    return per.groupBy("policy").agg(F.count("*").alias("pixels"), F.avg("m_").alias("mean"), F.stddev("m_").alias("sd"), F.min("m_").alias("lowest"), F.max("m_").alias("highest"), (F.sum("good_") / F.sum("paths_")).alias("positive"))
+    out = per.groupBy("policy").agg(F.count("*").alias("pixels"), F.avg("m_").alias("mean"), F.stddev("m_").alias("sd"), F.min("m_").alias("lowest"), F.max("m_").alias("highest"), (F.sum("good_") / F.sum("paths_")).alias("positive"))
+    half = t_critical(F.col("pixels") - 1) * F.col("sd") / F.sqrt("pixels")
+    return out.withColumn("half_", half).withColumns({"low": F.col("mean") - F.col("half_"), "high": F.col("mean") + F.col("half_")}).drop("half_")
 
 
 def policy_year_stats(df: DataFrame, policy: Column, value: str, key: str = "pixel_id", year: str = "analysis_year") -> DataFrame:
     """By policy and year over pixel means: mean, deviation, number and quartiles."""
     per = df.groupBy(policy.alias("policy"), year, key).agg(F.avg(value).alias("m_"))
-    out = per.groupBy("policy", year).agg(F.avg("m_").alias("mean"), F.stddev("m_").alias("sd"), F.count("m_").alias("n"), F.percentile("m_", F.array(F.lit(0.25), F.lit(0.75))).alias("q_"))
+    out = per.groupBy("policy", year).agg(F.avg("m_").alias("mean"), F.stddev("m_").alias("sd"), F.count("m_").alias("n"))
+    out = out.join(quantiles(per, {"q_": F.col("m_")}, [0.25, 0.75], ["policy", year]), ["policy", year], "left")
     return out.withColumns({"q25": F.col("q_")[0], "q75": F.col("q_")[1]}).drop("q_")
 
 
@@ -219,13 +229,22 @@ def quality_report(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def condition_number(df: DataFrame, columns: list[str]) -> float:
-    """Of the covariance matrix; d x d sums come to the driver."""
+    """Of the covariance matrix (n - 1, 1e-12 added along the diagonal); d x d sums come to the driver."""
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    row = df.agg(*[F.covar_pop(columns[i], columns[j]) for i, j in pairs]).first()
+    row = df.agg(*[F.covar_samp(columns[i], columns[j]) for i, j in pairs]).first()
     m = np.zeros((len(columns), len(columns)))
     for (i, j), v in zip(pairs, row, strict=True):
-        m[i, j] = m[j, i] = v
-    return float(np.linalg.cond(m))
+        m[i, j] = m[j, i] = np.nan if v is None else v
+    w = np.clip(np.linalg.eigvalsh(m + np.eye(len(m)) * 1e-12), 0.0, None) if np.isfinite(m).all() else np.array([np.nan])
+    return float(w.max() / (w.min() + 1e-18))
+
+
+def quality_summary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row over all columns: rows, missing, infinite and zero values, the range of variances, numbers of columns
+    of no (up to 1e-12) and of low variance (up to 1e-4), and the condition number of the covariances."""
+    stats = quality_report(df, columns)
+    out = stats.agg(F.sum("nans").alias("nans"), F.sum("infs").alias("infs"), F.sum("zeros").alias("zeros"), F.min("variance").alias("least_variance"), F.max("variance").alias("greatest_variance"), F.count_if(F.col("variance") <= 1e-12).alias("no_variance"), F.count_if(F.col("variance") <= 1e-4).alias("low_variance"))
+    return out.withColumns({"n_rows": F.lit(df.count()), "condition": F.lit(condition_number(df, columns))})
 
 
 def describe_shape(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -235,7 +254,8 @@ def describe_shape(df: DataFrame, columns: list[str]) -> DataFrame:
     root up to 1 and log beyond for a right tail, square for a left one.
     """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "name", "v")
-    stats = long.groupBy("name").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev("v").alias("sd"), F.skewness("v").alias("skew"), F.kurtosis("v").alias("kurt"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    stats = long.groupBy("name").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev("v").alias("sd"), F.skewness("v").alias("skew"), F.kurtosis("v").alias("kurt"))
+    stats = stats.join(quantiles(long, {"q": F.col("v")}, [0.25, 0.5, 0.75], ["name"]), "name")
     iqr = F.col("q")[2] - F.col("q")[0]
     out = long.join(F.broadcast(stats), "name").groupBy("name").agg(
         F.count_if((F.col("v") < F.col("q")[0] - 1.5 * iqr) | (F.col("v") > F.col("q")[2] + 1.5 * iqr)).alias("iqr_outliers"),
@@ -249,14 +269,14 @@ def describe_shape(df: DataFrame, columns: list[str]) -> DataFrame:
 def class_by_nonzero_quantile(df: DataFrame, column: str, qs: tuple[float, ...] = (0.1, 0.3, 0.5, 0.7, 0.9)) -> DataFrame:
     """Class 0 for zero (and null), else 1 and up by quantiles of the values that are not zero."""
     nonzero = F.when(F.col(column) != 0, F.col(column))
-    breaks = df.agg(F.percentile(nonzero, F.array(*map(F.lit, qs))).alias("b_"))
+    breaks = quantiles(df, {"b_": nonzero}, list(qs))
     cls = F.when(F.coalesce(F.col(column), F.lit(0)) == 0, 0).otherwise(class_by(F.col(column), F.col("b_"), 1))
     return df.crossJoin(F.broadcast(breaks)).withColumn("cls", cls.cast("int")).drop("b_")
 
 
 def quantile_groups(df: DataFrame, column: str, k: int = 10, out: str = "grp", cuts: tuple[int, int] = (3, 7)) -> DataFrame:
     """Quantile class of a column collapsed to Low, Mid and High; the lowest class includes its edge."""
-    breaks = df.agg(F.percentile(column, F.array(*[F.lit(i / k) for i in range(1, k)])).alias("b_"))
+    breaks = quantiles(df, {"b_": F.col(column)}, [i / k for i in range(1, k)])
     cls = class_by(F.col(column), F.col("b_"))
     name = F.when(cls < cuts[0], "Low").when(cls < cuts[1], "Mid").when(cls.isNotNull(), "High")
     return df.crossJoin(F.broadcast(breaks)).withColumn(out, name).drop("b_")
@@ -273,12 +293,20 @@ def national_totals(df: DataFrame, density: str, area: str = "area_m2") -> DataF
     return df.agg((F.sum(F.col(density) * ha) / 1e9).alias("gt_c"), (F.sum(F.col(density) * ha) * 3.667 / 1e9).alias("gt_co2"), (F.stddev(density) / F.sqrt(F.count(density))).alias("se"))
 
 
-def component_stats(df: DataFrame, posterior: str, groups: list[int] | None = None) -> DataFrame:
+def component_stats(df: DataFrame, posterior: str) -> DataFrame:
     """Mean posterior and number of rows dominated, by component of an array of probabilities (first of ties)."""
     top = F.array_position(F.col(posterior), F.array_max(posterior)) - 1
     rows = df.select(F.posexplode(posterior).alias("component", "p"), top.alias("top"))
     return rows.groupBy("component").agg(F.avg("p").alias("mean_p"), F.count_if(F.col("top") == F.col("component")).alias("dominant"))
 
 
+def cluster_stats(df: DataFrame, posterior: str, clusters: dict[int, list[int]]) -> DataFrame:
+    """By cluster of components: the mean of the summed posteriors, and rows whose greatest component is in it, in one pass."""
+    top = F.array_position(F.col(posterior), F.array_max(posterior)) - 1
+    total = lambda own: F.avg(reduce(lambda a, b: a + b, [F.get(posterior, F.lit(k)) for k in own]))
+    one = df.agg(*[F.struct(F.lit(c).alias("cluster"), total(own).alias("mean_p"), F.count_if(top.isin(own)).alias("dominant")).alias(f"c{c}") for c, own in clusters.items()])
+    return one.select(F.explode(F.array(*[f"c{c}" for c in clusters])).alias("x")).select("x.*")
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from ..functions.distributions import t_critical
+from .quantiles import bounds_of, count_below, quantiles
+
+FEW = 4096
+"""Groups up to which small tables by group are broadcast: at most 4096 * 65 * 65 rows, of groups with many ties."""
 
 
 def dedup_keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -20,35 +24,55 @@ def dedup_prefer(df: DataFrame, keys: list[str], column: str, preferred: int, or
     return df.withColumn("rn_", F.row_number().over(w)).where("rn_ = 1").drop("rn_")
 
 
-def ranked_prefix(df: DataFrame, order: str, key: str, values: list[str], descending: bool = True, by: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+def _number(key: Column, kind: str) -> Column:
+    """A number that never falls along a key: the key itself, or the first seven bytes of a text; null for other kinds."""
+    if kind.split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"):
+        return key.cast("double")
+    if kind == "string":
+        return F.conv(F.hex(F.rpad(F.substring(key.cast("binary"), 1, 7), F.lit(7), F.lit(b"\x00"))), 16, 10).cast("double")
+    return F.lit(None).cast("double")
+
+
+def ranked_prefix(
+    df: DataFrame, order: str, key: str, values: list[str], descending: bool = True, by: list[str] | None = None, levels: int = 6, groups: int | None = None, share: int = 1
+) -> DataFrame:
     """``df`` with ``rank`` (from 1), ``n`` and ``cum_<value>`` along a total order, without sorting in one task.
 
-    Rows are dealt into ranges of the order column, whose bounds are approximate quantiles; each range is summed
-    and ranked by itself and then shifted by the totals of the ranges before it, a small table per group. A value
-    that fills whole ranges is dealt further into ranges of the key, if that is a number. The order is the column
-    (``descending`` or not), then the key. Null order values come last.
+    Rows are dealt into ``2 ** levels`` ranges of the order column, whose bounds are approximate quantiles; each range
+    is summed and ranked by itself and then shifted by the totals of the ranges before it, a small table per group. A
+    value that fills whole ranges is dealt further into ranges of the key (of a text by its first bytes). The order is
+    the column (``descending`` or not), then the key. Null order values come last. Columns of the names that are added
+    are replaced.
+
+    Bounds and totals are broadcast if ``groups``, the number of groups ``by``, is at most ``FEW`` (counted if not
+    given), else joined as Spark sees fit. With ``share`` the bounds come from every ``share``-th key, which only
+    tells how rows are dealt.
     """
     by = by or []
+    used = {order, key, *values, *by}
+    df = df.drop(*[c for c in ("rank", "n", *[f"cum_{v}" for v in values]) if c in df.columns and c not in used])
+    if by and groups is None:
+        groups = df.select(*by).distinct().limit(FEW + 1).count()
+    small = F.broadcast if not by or groups <= FEW else lambda x: x
+    buckets = 1 << levels
     x = F.col(order).cast("double")
-    x = -x if descending else x
-    qs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    numeric = key != order and dict(df.dtypes)[key].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
-    key_bounds = F.percentile_approx(F.col(key).cast("double"), qs, 1000) if numeric else F.array().cast("array<double>")
-    bounds = df.groupBy(*by).agg(F.percentile_approx(x, qs, 1000).alias("q_"), key_bounds.alias("kq_"))
-    keyed = df.join(F.broadcast(bounds), by) if by else df.crossJoin(F.broadcast(bounds))
-    alone = x.isNull() | F.col("q_").isNull()
-    bucket = F.when(alone, F.lit(buckets)).otherwise(F.size(F.filter("q_", lambda b: b < x)))
-    full = alone | (F.size(F.filter("q_", lambda b: b == x)) > 1)
-    part = F.when(full & F.col("kq_").isNotNull(), 1 + F.size(F.filter("kq_", lambda b: b < F.col(key).cast("double")))).otherwise(0)
-    keyed = keyed.withColumns({"b_": bucket, "p_": part}).drop("q_", "kq_")
-    inside = Window.partitionBy(*by, "b_", "p_").orderBy(x.asc_nulls_last(), F.col(key).asc())
+    keyed = df.withColumns({"x_": -x if descending else x, "y_": F.lit(None).cast("double") if key == order else _number(F.col(key), dict(df.dtypes)[key])})
+    seen = keyed if share == 1 else keyed.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0)
+    bounds = seen.groupBy(*by).agg(bounds_of(F.col("x_"), levels, 1000).alias("q_"), bounds_of(F.col("y_"), levels, 1000).alias("kq_"))
+    keyed = keyed.join(small(bounds), by, "left") if by else keyed.crossJoin(small(bounds))
+    for column, array, closed, out in (("x_", "q_", False, "b_"), ("x_", "q_", True, "e_"), ("y_", "kq_", False, "p_")):
+        keyed = count_below(keyed, column, array, levels, out, closed)
+    alone = F.col("x_").isNull() | F.col("q_").isNull()
+    full = (alone | (F.col("e_") - F.col("b_") > 1)) & F.col("y_").isNotNull() & F.col("kq_").isNotNull()
+    keyed = keyed.withColumns({"b_": F.when(alone, F.lit(buckets)).otherwise(F.col("b_")), "p_": F.when(full, F.col("p_") + 1).otherwise(0)}).drop("q_", "kq_", "e_", "y_")
+    inside = Window.partitionBy(*by, "b_", "p_").orderBy(F.col("x_").asc_nulls_last(), F.col(key).asc())
     sums = keyed.groupBy(*by, "b_", "p_").agg(F.count("*").alias("c_"), *[F.sum(v).alias(f"s_{v}") for v in values])
     before = Window.partitionBy(*by).orderBy("b_", "p_").rowsBetween(Window.unboundedPreceding, -1)
     shift = sums.select(*by, "b_", "p_", F.coalesce(F.sum("c_").over(before), F.lit(0)).alias("c0_"), F.sum("c_").over(Window.partitionBy(*by)).alias("n"), *[F.coalesce(F.sum(f"s_{v}").over(before), F.lit(0)).alias(f"o_{v}") for v in values])
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
     local = keyed.withColumns({"rank": F.row_number().over(inside), **{f"cum_{v}": F.coalesce(F.sum(v).over(running), F.lit(0)) for v in values}})
-    joined = local.join(F.broadcast(shift), [*by, "b_", "p_"])
-    return joined.withColumns({"rank": F.col("rank") + F.col("c0_"), **{f"cum_{v}": F.col(f"cum_{v}") + F.col(f"o_{v}") for v in values}}).drop("b_", "p_", "c0_", *[f"o_{v}" for v in values])
+    joined = local.join(small(shift), [*by, "b_", "p_"])
+    return joined.withColumns({"rank": F.col("rank") + F.col("c0_"), **{f"cum_{v}": F.col(f"cum_{v}") + F.col(f"o_{v}") for v in values}}).drop("b_", "p_", "x_", "c0_", *[f"o_{v}" for v in values])
 
 
 def cumulative_curve(df: DataFrame, order: str, value: str, key: str) -> DataFrame:
@@ -68,7 +92,7 @@ def cross_sort_scores(df: DataFrame, metrics: list[str], key: str, area: str = "
     """Efficiency of every metric under the order of every metric: (sorted_by, target, efficiency)."""
     stack = F.explode(F.array(*[F.struct(F.lit(m).alias("sorted_by"), F.col(m).cast("double").alias("o")) for m in metrics]))
     long = df.select(key, F.col(area).alias("a_"), *metrics, stack.alias("s")).select(key, "a_", *metrics, "s.sorted_by", "s.o")
-    ranked = ranked_prefix(long, "o", key, [], by=["sorted_by"])
+    ranked = ranked_prefix(long, "o", key, [], by=["sorted_by"], groups=len(metrics))
     ha = F.col("a_") / 1e4
     weight = ha * (F.col("n") - F.col("rank") + 0.5) / F.col("n")
     wide = ranked.groupBy("sorted_by").agg(*[(F.sum(F.col(m) * weight) / F.sum(ha)).alias(m) for m in metrics])
@@ -76,11 +100,12 @@ def cross_sort_scores(df: DataFrame, metrics: list[str], key: str, area: str = "
 
 
 def score_spread(scores: DataFrame) -> DataFrame:
-    """Mean, deviation and coefficient of variation of each order's efficiencies relative to the targets' own order."""
+    """Mean, deviation, coefficient of variation and 95 % t interval of each order's efficiencies relative to the targets' own order."""
     own = scores.where("sorted_by = target").select("target", F.col("efficiency").alias("own"))
     rel = scores.join(own, "target").withColumn("rel", F.try_divide("efficiency", "own"))
-    out = rel.groupBy("sorted_by").agg(F.avg("rel").alias("mean"), F.stddev("rel").alias("sd"))
-    return out.withColumn("cv", F.try_divide("sd", "mean"))
+    out = rel.groupBy("sorted_by").agg(F.avg("rel").alias("mean"), F.stddev("rel").alias("sd"), F.count("rel").alias("n_"))
+    half = t_critical(F.col("n_") - 1) * F.col("sd") / F.sqrt("n_")
+    return out.withColumns({"cv": F.try_divide("sd", "mean"), "half_": half}).withColumns({"low": F.col("mean") - F.col("half_"), "high": F.col("mean") + F.col("half_")}).drop("n_", "half_")
 
 
 def capacity_target(df: DataFrame, order: str, target: float, capacity: str, totals: list[str], key: str, area: str = "area_m2") -> DataFrame:
@@ -106,19 +131,22 @@ def demand_met(flagged: DataFrame, group: str, power: str) -> DataFrame:
 def state_integrals(df: DataFrame, state: str, orders: list[str], metrics: list[str], area: str = "area_m2", step: float = 0.5) -> DataFrame:
     """By state and order: area under the running sum of metric times hectares over bins of global percentiles.
 
-    Bins are closed at both ends, so a value on an edge counts in both. The running sum and its trapezoids are
-    linear in the bins' sums, so that one aggregate does without a window.
+    Bins are closed at both ends, so a value on an edge counts in both, and a run of equal edges in all bins between.
+    The running sum and its trapezoids are linear in the bins' sums, and the bins of a value are a run, so that a
+    row's weight has a closed form and one aggregate does without a window.
     """
     m = round(100 / step)
-    qs = F.array(*[F.lit(1 - i / m) for i in range(m + 1)])
-    edges = df.agg(*[F.percentile(o, qs).alias(f"e_{o}") for o in orders])
-    wide = df.crossJoin(F.broadcast(edges))
-    stack = F.explode(F.array(*[F.struct(F.lit(o).alias("sorted_by"), F.col(o).cast("double").alias("o"), F.col(f"e_{o}").alias("e")) for o in orders]))
-    long = wide.select(state, (F.col(area) / 1e4).alias("ha_"), *metrics, stack.alias("s"))
-    bins = F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: (F.col("s.o") <= F.get(F.col("s.e"), i)) & (F.col("s.o") >= F.get(F.col("s.e"), i + 1)))
-    rows = long.select(state, "ha_", *metrics, F.col("s.sorted_by").alias("sorted_by"), F.explode(bins).alias("bin"))
-    weight = (m - F.col("bin") - 0.5 - F.when(F.col("bin") == 0, 0.5).otherwise(0.0)) / (m - 1)
-    return rows.groupBy(state, "sorted_by").agg(*[F.sum(F.col(x) * F.col("ha_") * weight).alias(x) for x in metrics])
+    levels = (m + 1).bit_length()
+    edges = quantiles(df, {o: F.col(o) for o in orders}, [1 - i / m for i in reversed(range(m + 1))])
+    more = F.array_repeat(F.lit(float("inf")), (1 << levels) - 2 - m)
+    stack = F.explode(F.array(*[F.struct(F.lit(o).alias("sorted_by"), F.col(o).cast("double").alias("o_"), F.concat(F.col(f"e_{o}"), more).alias("e_")) for o in orders]))
+    wide = df.crossJoin(F.broadcast(edges.select(*[F.col(o).alias(f"e_{o}") for o in orders])))
+    long = wide.select(state, (F.col(area) / 1e4).alias("ha_"), *metrics, stack.alias("s_")).select(state, "ha_", *metrics, "s_.*").where("o_ is not null")
+    long = count_below(count_below(long, "o_", "e_", levels, "lo_"), "o_", "e_", levels, "hi_", True)
+    first, last = F.greatest(F.col("lo_") - 1, F.lit(0)), F.least(F.col("hi_") - 1, F.lit(m - 1))
+    n = last - first + 1
+    weight = ((first + last) * n / 2 + n / 2 - F.when(last == m - 1, 0.5).otherwise(0.0)) / (m - 1)
+    return long.groupBy(state, "sorted_by").agg(*[F.sum(F.col(x) * F.col("ha_") * weight).alias(x) for x in metrics])
 
 
 def improvement_vs_others(integrals: DataFrame, state: str, best: str, metrics: list[str]) -> DataFrame:
@@ -191,10 +219,15 @@ def kernel_efficiency(df: DataFrame, order: str, values: list[str], key: str, ki
 
 
 def policy_permutation(df: DataFrame, score: str, key: str, kind: str = "decreasing") -> DataFrame:
-    """(key, position): the best score at the position of greatest weight, and so on."""
-    ranked = with_kernel(ranked_prefix(df, score, key, []), kind)
-    places = ranked.select("rank", "w", "n")
-    heavy = ranked_prefix(places.withColumnRenamed("rank", "position"), "w", "position", []).select("position", "rank")
+    """(key, position): the best score at the position of greatest weight, and so on.
+
+    Weights fall from the first position, from the last, or from the middle; that order is taken in whole numbers, so
+    that places equally far from the middle are ties (the lesser first) whatever their weights are rounded to.
+    """
+    ranked = ranked_prefix(df, score, key, [])
+    far = {"decreasing": F.col("rank"), "increasing": -F.col("rank")}.get(kind, F.abs(2 * F.col("rank") - 1 - F.col("n")))
+    places = ranked.select(F.col("rank").alias("position"), (-far).alias("near_"))
+    heavy = ranked_prefix(places, "near_", "position", []).select("position", "rank")
     return ranked.select(key, score, "rank").join(heavy, "rank").select(key, score, "position")
 
 

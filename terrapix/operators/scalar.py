@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import class_by, clip, least_strict, total
+from .quantiles import quantiles
 
 # Constants of the energy and carbon formulas.
 EARTH_RADIUS_M = 6371000.0
@@ -169,8 +170,9 @@ def unit_2020(unit: Column) -> Column:
 
 def clip_upper_quantile(df: DataFrame, columns: list[str], q: float = 0.99) -> DataFrame:
     """Cap columns at their quantile, an exact one, that is joined as a single row."""
-    caps = df.agg(*[F.percentile(c, F.lit(q)).alias(f"cap_{c}") for c in columns])
-    return df.crossJoin(F.broadcast(caps)).withColumns({c: F.least(c, f"cap_{c}") for c in columns}).drop(*[f"cap_{c}" for c in columns])
+    caps = quantiles(df, {f"cap_{c}": F.col(c) for c in columns}, [q])
+    capped = {c: F.least(F.col(c), F.col(f"cap_{c}")[0]) for c in columns}
+    return df.crossJoin(F.broadcast(caps)).withColumns(capped).drop(*[f"cap_{c}" for c in columns])
 
 
 def safe_log1p(x: Column, low: float = -1 + 1e-6) -> Column:
@@ -204,8 +206,7 @@ def normalise(df: DataFrame, column: str, how: str = "minmax", out: str = "scale
 
 def bivariate_class(df: DataFrame, a: str, b: str, k: int = 5) -> DataFrame:
     """Quantile classes 0..k-1 of two columns and their joint code."""
-    qs = F.array(*[F.lit(i / k) for i in range(1, k)])
-    breaks = df.agg(F.percentile(a, qs).alias("qa_"), F.percentile(b, qs).alias("qb_"))
+    breaks = quantiles(df, {"qa_": F.col(a), "qb_": F.col(b)}, [i / k for i in range(1, k)])
     out = df.crossJoin(F.broadcast(breaks)).withColumns({"class_a": class_by(F.col(a), F.col("qa_")), "class_b": class_by(F.col(b), F.col("qb_"))})
     return out.withColumn("class_ab", F.col("class_a") * k + F.col("class_b")).drop("qa_", "qb_")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clip
+from .quantiles import quantiles
 
 # Fixed values of the discounted sums.
 RATE = 1.05
@@ -118,20 +119,23 @@ def npv_pv(pixels: DataFrame, factors: DataFrame, capital: DataFrame, keys: list
     return df.withColumns({"npv_ha": (F.col(generation) * F.col("a") - kw * (F.col("capex") + F.col("b"))) / ha, "cost_ha": kw * (F.col("capex") + F.col("b")) / ha})
 
 
-def npv_crop(yields: DataFrame, prices: DataFrame, key: str, targets: list[int]) -> DataFrame:
-    """Discounted margin of crops by cell and target year.
+def npv_crop(yields: DataFrame, prices: DataFrame, key: str, targets: list[int], scenario: str | None = None) -> DataFrame:
+    """Discounted margin of crops by cell, price scenario (a column of the prices, if named) and target year.
 
     ``yields`` has (key, crop, kg); ``prices`` has (crop, year, price) for every year. A year's revenue is the
-    revenue-weighted mean of the crops' revenues, sum(r * r) / sum(r).
+    revenue-weighted mean of the crops' revenues, sum(r * r) / sum(r). Prices are a table of crops, scenarios and years.
     """
+    by = [scenario] if scenario else []
     r = F.col("kg") * F.col("price") / 1000
     rows = yields.where("kg > 0").join(F.broadcast(prices.where(f"price > 0 and year > {START} and year <= {START + LIFE}")), "crop")
-    yearly = rows.groupBy(key, "year").agg(F.try_divide(F.sum(r * r), F.sum(r)).alias("rev"))
+    yearly = rows.groupBy(key, *by, "year").agg(F.try_divide(F.sum(r * r), F.sum(r)).alias("rev"))
     gain = F.coalesce(F.col("rev"), F.lit(0.0)) * CROP_MARGIN / F.pow(F.lit(RATE), F.col("year") - START)
-    per = yearly.groupBy(key).agg(*[F.sum(F.when(F.col("year") <= t, gain).otherwise(0.0)).alias(str(t)) for t in targets])
-    every = yields.select(key).distinct().join(per, key, "left").na.fill(0.0, [str(t) for t in targets])
-    long = every.unpivot([key], [str(t) for t in targets], "target", "gain")
-    return long.select(key, F.col("target").cast("int").alias("target"), (F.col("gain") - CROP_INVESTMENT).alias("npv_ha"))
+    per = yearly.groupBy(key, *by).agg(*[F.sum(F.when(F.col("year") <= t, gain).otherwise(0.0)).alias(str(t)) for t in targets])
+    every = yields.select(key).distinct()
+    every = every.crossJoin(F.broadcast(prices.select(*by).distinct())) if by else every
+    every = every.join(per, [key, *by], "left").na.fill(0.0, [str(t) for t in targets])
+    long = every.unpivot([key, *by], [str(t) for t in targets], "target", "gain")
+    return long.select(key, *by, F.col("target").cast("int").alias("target"), (F.col("gain") - CROP_INVESTMENT).alias("npv_ha"))
 
 
 def wood_omega(half_lives: dict[str, float], years: int = 30, delta: float = 0.05, bef: float = 1.3) -> float:
@@ -161,7 +165,7 @@ def net_expected_benefit(pv: DataFrame, alts: DataFrame, weights: DataFrame, key
 
 def demand_ratio(df: DataFrame, group: list[str], value: str, alpha: float = 0.3, clipped: bool = True) -> DataFrame:
     """(value / median of the group) ** alpha, cut to 0.7 to 1.3 on request."""
-    med = df.groupBy(*group).agg(F.percentile(value, F.lit(0.5)).alias("med_"))
+    med = quantiles(df, {"q_": F.col(value)}, [0.5], group).select(*group, F.col("q_")[0].alias("med_"))
     ratio = F.pow(F.try_divide(F.col(value), F.col("med_")), F.lit(alpha))
     return df.join(med, group).withColumn("ratio", clip(ratio, 0.7, 1.3) if clipped else ratio).drop("med_")
 

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import product
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
+FULL = 256
+"""Sources of a cube, for each neighbour that is asked for, above which the first cubes are made smaller."""
+
 
 def rectangles(df: DataFrame, lat_lo: str = "lat_lo", lat_hi: str = "lat_hi", lon_lo: str = "lon_lo", lon_hi: str = "lon_hi") -> DataFrame:
     """``df`` with ``rings``: one closed ring around each row's box."""
@@ -103,36 +108,45 @@ def nearest(
     source_key: str,
     keep: list[str],
     k: int = 1,
-    x: str = "lon",
-    y: str = "lat",
+    axes: tuple[str, ...] = ("lon", "lat"),
 ) -> DataFrame:
     """(target_key, source_key, keep..., d2, rank) of the ``k`` nearest sources of every target, ties by source key.
 
-    Both sides are bucketed into squares. A target looks at the nine squares around it; its answer is complete if
-    the k-th distance is at most the side of a square, else it goes on to squares of twice the side. So dense
-    regions end in the first round and only targets in empty regions go on; rounds end when a square covers all.
-    Sources and targets with a null coordinate are left out; fewer than ``k`` sources give fewer rows.
+    Both sides are bucketed into cubes of the ``axes`` (two or three). A target looks at the cubes around it; its
+    answer is complete if the k-th distance is at most the side of a cube, else it goes on to cubes of twice the side.
+    The first side is so small that the fullest cube has few sources, so dense regions end in the first rounds, and only
+    targets in empty regions go on; rounds end when a cube covers all. Sources and targets with a null coordinate are
+    left out; fewer than ``k`` sources give fewer rows.
     """
-    src = sources.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(source_key).alias("s_"), F.col(x).alias("sx_"), F.col(y).alias("sy_"), *[F.col(c).alias(f"v_{c}") for c in keep])
-    box = src.agg(F.count("*"), F.min("sx_"), F.max("sx_"), F.min("sy_"), F.max("sy_")).first()
-    left = targets.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(target_key).alias("t_"), F.col(x).alias("tx_"), F.col(y).alias("ty_"))
-    names = ["t_", "s_", *[f"v_{c}" for c in keep], "d2", "rank"]
+    known = lambda df: df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in axes]))
+    src = known(sources).select(F.col(source_key).alias("s_"), *[F.col(c).alias(f"s{i}_") for i, c in enumerate(axes)], *[F.col(c).alias(f"v_{c}") for c in keep])
+    left = known(targets).select(F.col(target_key).alias("t_"), *[F.col(c).alias(f"t{i}_") for i, c in enumerate(axes)])
+    names, dims = ["t_", "s_", *[f"v_{c}" for c in keep], "d2", "rank"], range(len(axes))
+    ends = lambda df, p: df.agg(F.count("*"), *[f(f"{p}{i}_") for i in dims for f in (F.min, F.max)]).first()
+    box = ends(src, "s")
     if not box[0]:
         empty = left.join(src, F.lit(False)).withColumns({"d2": F.lit(0.0), "rank": F.lit(1)})
         return empty.select(*names).toDF(target_key, source_key, *keep, "d2", "rank")
-    own = left.agg(F.min("tx_"), F.max("tx_"), F.min("ty_"), F.max("ty_")).first()
-    if own[0] is None:
-        own = box[1:]
-    span = max(max(box[2], own[1]) - min(box[1], own[0]), max(box[4], own[3]) - min(box[3], own[2]), 1e-9)
-    side = max(span / 1e6, max(box[2] - box[1], box[4] - box[3], 1e-9) / max(1.0, math.sqrt(box[0] / (2.0 * k))))
+    own = ends(left, "t")
+    own = own if own[0] else box
+    span = max(*[max(box[2 + 2 * i], own[2 + 2 * i]) - min(box[1 + 2 * i], own[1 + 2 * i]) for i in dims], 1e-9)
+    extent = max(*[box[2 + 2 * i] - box[1 + 2 * i] for i in dims], 1e-9)
+    side = max(span / 1e6, extent / max(1.0, (box[0] / (2.0 * k)) ** (1 / len(axes))))
+    cell = lambda v, s: F.floor(F.col(v) / s).cast("long")
+    for _ in range(12):
+        fullest = src.groupBy(*[cell(f"s{i}_", side) for i in dims]).count().agg(F.max("count")).first()[0]
+        if fullest <= FULL * k or side <= span / 1e6:
+            break
+        side /= 2
+    offsets = [[F.lit(o).alias(f"o{i}") for i, o in enumerate(c)] for c in product((-1, 0, 1), repeat=len(axes))]
+    around, cells = F.explode(F.array(*[F.struct(*o) for o in offsets])), [f"c{i}_" for i in dims]
     done, rounds = [], 0
     while True:
         last = side >= 2 * span or rounds > 60
-        cell = lambda v, s=side: F.floor(v / s).cast("long")
-        around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        asked = left.withColumn("o_", around).select("t_", "tx_", "ty_", (cell(F.col("tx_")) + F.col("o_.i")).alias("cx_"), (cell(F.col("ty_")) + F.col("o_.j")).alias("cy_"))
-        held = src.withColumns({"cx_": cell(F.col("sx_")), "cy_": cell(F.col("sy_"))})
-        pairs = asked.join(held, ["cx_", "cy_"]).withColumn("d2", (F.col("tx_") - F.col("sx_")) ** 2 + (F.col("ty_") - F.col("sy_")) ** 2)
+        asked = left.withColumn("o_", around).select("t_", *[f"t{i}_" for i in dims], *[(cell(f"t{i}_", side) + F.col(f"o_.o{i}")).alias(c) for i, c in enumerate(cells)])
+        held = src.withColumns({c: cell(f"s{i}_", side) for i, c in enumerate(cells)})
+        d2 = reduce(lambda a, b: a + b, [(F.col(f"t{i}_") - F.col(f"s{i}_")) ** 2 for i in dims])
+        pairs = asked.join(held, cells).withColumn("d2", d2)
         if k == 1:
             best = pairs.groupBy("t_").agg(F.min(F.struct("d2", "s_", *[f"v_{c}" for c in keep])).alias("b")).select("t_", "b.*").withColumn("rank", F.lit(1))
             found = best.withColumn("far", F.col("d2"))
@@ -143,9 +157,8 @@ def nearest(
         if last:
             done.append(found.select(*names))
             break
-        found = found.where(F.col("far") <= side * side).select(*names).persist(StorageLevel.MEMORY_AND_DISK)
-        done.append(found)
-        left = left.join(found.select("t_").distinct(), "t_", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
+        done.append(stored(found.where(F.col("far") <= side * side).select(*names), "near"))
+        left = stored(left.join(done[-1].select("t_").distinct(), "t_", "left_anti"), "left")
         if left.isEmpty():
             break
         side, rounds = side * 2, rounds + 1
@@ -185,15 +198,22 @@ def distance_to_features(cells: DataFrame, features: DataFrame, key: str, featur
         x, y = equal_area_xy(F.col("lat"), F.col("lon"))
         return df.select(k, x.alias("x"), y.alias("y"))
 
-    near = nearest(flat(cells, key), flat(features, feature_key), key, feature_key, [], x="x", y="y")
+    near = nearest(flat(cells, key), flat(features, feature_key), key, feature_key, [], axes=("x", "y"))
     return near.select(key, F.sqrt("d2").alias("metres"))
 
 
 def densify(lines: DataFrame, step: float, key: str = "line_id") -> DataFrame:
-    """Points along line segments (x1, y1, x2, y2), both ends and at most ``step`` apart."""
+    """Points along line segments (x1, y1, x2, y2), both ends and at most ``step`` apart, numbered by ``i``."""
     n = F.greatest(F.lit(1), F.ceil(F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2) / step)).cast("int")
     at = F.col("i") / F.col("n")
-    return lines.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n")))).select(key, (F.col("x1") + (F.col("x2") - F.col("x1")) * at).alias("lon"), (F.col("y1") + (F.col("y2") - F.col("y1")) * at).alias("lat"))
+    points = lines.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    return points.select(key, "i", (F.col("x1") + (F.col("x2") - F.col("x1")) * at).alias("lon"), (F.col("y1") + (F.col("y2") - F.col("y1")) * at).alias("lat"))
+
+
+def distance_to_lines(cells: DataFrame, lines: DataFrame, key: str, line_key: str, step: float) -> DataFrame:
+    """Metres from every cell to the nearest point of lines that are cut into points ``step`` degrees apart at most."""
+    points = densify(lines, step, line_key).withColumn("point_", F.struct(line_key, "i"))
+    return distance_to_features(cells, points, key, "point_")
 
 
 def sample_grid(points: DataFrame, grid: DataFrame, value: str, lat0: float, lon0: float, dlat: float, dlon: float, method: str = "nearest") -> DataFrame:

@@ -9,16 +9,22 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clip
-from ..functions.distributions import f_upper, t_two_sided
+from ..functions.distributions import f_upper, probit, t_p_value, t_two_sided
+from ..sources.tables import stored
+from .quantiles import quantiles
 from .ranking import pit, ranked_prefix
+from .spatial import nearest
+
+START = 4096
+"""Rows from which the starts of a mixture are drawn."""
+RIDGE = 1e-6
 
 # Bounds of the difficulty levels and their shares by strategy.
 PIT_BINS = {3: (0.0, 0.05, 0.25, 0.60), 2: (0.0, 0.05, 0.30)}
@@ -36,8 +42,8 @@ L18 = (
 
 def preprocess(df: DataFrame, numerics: list[str], category: str, classes: range = range(1, 10)) -> DataFrame:
     """Median-imputed, standardised (population) numerics and a fixed one-hot of a class; unknown classes are all zero."""
-    med = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"m_{c}") for c in numerics])
-    filled = df.crossJoin(F.broadcast(med)).withColumns({c: F.coalesce(F.col(c).cast("double"), f"m_{c}") for c in numerics}).drop(*[f"m_{c}" for c in numerics])
+    med = quantiles(df, {f"m_{c}": F.col(c) for c in numerics}, [0.5])
+    filled = df.crossJoin(F.broadcast(med)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"m_{c}")[0]) for c in numerics}).drop(*[f"m_{c}" for c in numerics])
     stats = filled.agg(*[f(c).alias(f"{k}_{c}") for c in numerics for k, f in (("mu", F.avg), ("sd", F.stddev_pop))])
     scaled = {c: F.when(F.col(f"sd_{c}") == 0, 0.0).otherwise((F.col(c) - F.col(f"mu_{c}")) / F.col(f"sd_{c}")) for c in numerics}
     out = filled.crossJoin(F.broadcast(stats)).withColumns(scaled).drop(*[f"{k}_{c}" for c in numerics for k in ("mu", "sd")])
@@ -48,26 +54,123 @@ def with_vector(df: DataFrame, columns: list[str], out: str = "features") -> Dat
     return VectorAssembler(inputCols=columns, outputCol=out).transform(df)
 
 
-def fit_mixture(df: DataFrame, columns: list[str], ks: list[int], seed: int = 42):
-    """The mixture of the number of components with the least BIC, and a list of (k, log-likelihood, BIC)."""
-    data = with_vector(df, columns).select("features").persist()
-    n, d = data.count(), len(columns)
-    best, table = None, []
+class Mixture:
+    """Weights, means and full covariances of a Gaussian mixture."""
+
+    def __init__(self, weights: np.ndarray, means: np.ndarray, covs: np.ndarray, diagonal: bool) -> None:
+        self.weights, self.means, self.covs, self.diagonal = weights, means, covs, diagonal
+        low = np.linalg.cholesky(covs)
+        self.inverse, self.log_scale = np.linalg.inv(low), np.log(np.diagonal(low, axis1=1, axis2=2)).sum(1)
+
+    def parts(self, x: np.ndarray) -> np.ndarray:
+        """Log of weight times density, rows by components."""
+        z = np.einsum("kij,nkj->nki", self.inverse, x[:, None, :] - self.means[None])
+        return np.log(self.weights) - 0.5 * (z * z).sum(2) - self.log_scale - 0.5 * x.shape[1] * np.log(2 * np.pi)
+
+    def parameters(self) -> float:
+        k, d = self.means.shape
+        return k * (1 + d + (d if self.diagonal else d * (d + 1) / 2)) - 1
+
+    def renewed(self, sums: np.ndarray) -> Mixture:
+        """The maximisation step from sums of responsibilities, of values and of products, by component."""
+        k, d = self.means.shape
+        n, s, ss = sums[:, 0], sums[:, 1 : 1 + d], sums[:, 1 + d :].reshape(k, d, d)
+        alive = n > 1e-8
+        safe = np.where(alive, n, 1.0)
+        means = np.where(alive[:, None], s / safe[:, None], self.means)
+        covs = ss / safe[:, None, None] - means[:, :, None] * means[:, None, :]
+        covs = covs * np.eye(d) if self.diagonal else (covs + covs.transpose(0, 2, 1)) / 2
+        covs = np.where(alive[:, None, None], covs, self.covs) + RIDGE * np.eye(d)
+        weights = np.maximum(n, 1e-8)
+        return Mixture(weights / weights.sum(), means, covs, self.diagonal)
+
+
+def fit_mixture(
+    df: DataFrame,
+    columns: list[str],
+    ks: list[int],
+    key: str,
+    seed: int = 42,
+    restarts: int = 2,
+    diagonal: bool = False,
+    criterion: str = "bic",
+    rounds: int = 25,
+    tolerance: float = 1e-3,
+) -> tuple[Mixture, list[tuple]]:
+    """The best mixture over numbers of components and ``restarts``, and a list of (k, restart, log-likelihood, BIC, held-out mean).
+
+    All candidates are fitted together: one job a round gives the sums of every candidate, added up by component in
+    Spark, so that the driver sees candidates x components x (1 + d + d * d) numbers, whatever the rows. Starts are rows
+    of a sample of ``START`` rows by a seeded hash. With ``criterion`` ``bic`` all rows are fitted and the least BIC is
+    best; with ``heldout`` every tenth row by a hash of ``key`` is left out and the greatest mean log-likelihood there is
+    best. A candidate rests once its mean log-likelihood gains less than ``tolerance``. Rows with a null are left out.
+    """
+    hold = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(10)) == 0
+    data = df.na.drop(subset=columns).select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)], F.xxhash64(F.lit(seed + 1), key).alias("h"), (hold if criterion == "heldout" else F.lit(False)).alias("held"))
+    data, d = stored(data, "mixture"), len(columns)
+    names = [f"x{i}" for i in range(d)]
+    start = np.array([list(r)[:d] for r in data.where("not held").orderBy("h", *names).limit(START).select(*names).collect()], np.float64).reshape(-1, d)
+    if not len(start):
+        raise ValueError("no rows to fit")
+    spread = np.cov(start, rowvar=False, ddof=0).reshape(d, d) if len(start) > 1 else np.eye(d)
+    spread = (spread * np.eye(d) if diagonal else spread) + RIDGE * np.eye(d)
+    models, resting = {}, set()
     for k in ks:
-        model = GaussianMixture(k=k, seed=seed, maxIter=30).fit(data)
-        ll = model.summary.logLikelihood
-        bic = math.log(n) * (k * (1 + d + d * (d + 1) / 2) - 1) - 2 * ll
-        table.append((k, ll, bic))
-        if best is None or bic < best[0]:
-            best = (bic, model)
-    data.unpersist()
-    return best[1], table
-
-
-def mixture_arrays(model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights, means and covariances of a fitted mixture."""
-    rows = model.gaussiansDF.collect()
-    return np.array(model.weights), np.array([r["mean"].toArray() for r in rows]), np.array([r["cov"].toArray() for r in rows])
+        for r in range(restarts):
+            rng = np.random.default_rng([seed, k, r])
+            models[k, r] = Mixture(np.full(k, 1 / k), start[rng.choice(len(start), k, replace=len(start) < k)], np.repeat(spread[None], k, 0), diagonal)
+    order = list(models)
+
+    def sums_of(current: dict) -> dict:
+        """Of each candidate: (sums by component, log-likelihood, rows, held-out log-likelihood, held-out rows)."""
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = {c: np.zeros((len(m.weights), 1 + d + d * d)) for c, m in current.items()}
+            ends = {c: np.zeros(4) for c in current}
+            for b in batches:
+                for lo in range(0, len(b), 2048):
+                    part = b.iloc[lo : lo + 2048]
+                    x, held = part[names].to_numpy(np.float64), part["held"].to_numpy(bool)
+                    both = np.concatenate([np.ones((len(x), 1)), x, (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)], 1)
+                    for c, m in current.items():
+                        logs = m.parts(x)
+                        top = logs.max(1)
+                        dens = top + np.log(np.exp(logs - top[:, None]).sum(1))
+                        share = np.exp(logs - dens[:, None])
+                        total[c] += share[~held].T @ both[~held]
+                        ends[c] += [dens[~held].sum(), (~held).sum(), dens[held].sum(), held.sum()]
+            for c in current:
+                values = np.concatenate([total[c].ravel(), ends[c]])
+                yield pd.DataFrame({"c": order.index(c), "i": np.arange(len(values)), "v": values})
+
+        got = data.mapInPandas(work, "c int, i int, v double").groupBy("c", "i").agg(F.sum("v").alias("v")).toPandas()
+        out = {}
+        for c, part in got.groupby("c"):
+            v = part.sort_values("i")["v"].to_numpy()
+            out[order[c]] = (v[:-4].reshape(-1, 1 + d + d * d), *v[-4:].tolist())
+        return out
+
+    last: dict = {}
+    for step in range(rounds + 1):
+        active = {c: m for c, m in models.items() if c not in resting}
+        if not active:
+            break
+        for c, (sums, ll, n, held_ll, held_n) in sums_of(active).items():
+            if step == rounds or (c in last and (ll - last[c][0]) / max(1.0, n) < tolerance):
+                resting.add(c)
+            else:
+                models[c] = models[c].renewed(sums)
+            last[c] = (ll, n, held_ll, held_n)
+    table = []
+    for c, m in models.items():
+        ll, n, held_ll, held_n = last[c]
+        table.append((*c, ll, math.log(max(1.0, n)) * m.parameters() - 2 * ll, held_ll / held_n if held_n else float("nan")))
+    best = min(table, key=lambda t: t[3]) if criterion == "bic" else max(table, key=lambda t: t[4])
+    return models[best[:2]], table
+
+
+def mixture_arrays(model: Mixture) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return model.weights, model.means, model.covs
 
 
 def mixture_score(df: DataFrame, columns: list[str], weights: np.ndarray, means: np.ndarray, covs: np.ndarray, key: str) -> DataFrame:
@@ -95,9 +198,10 @@ def calibrate(df: DataFrame, column: str, robust: bool = True) -> DataFrame:
     """One row of mu, sd, low and high: median and 1.4826 times the MAD, or mean and deviation."""
     if not robust:
         return df.agg(F.avg(column).alias("mu"), F.stddev_pop(column).alias("sd"), F.min(column).alias("low"), F.max(column).alias("high"))
-    med = df.agg(F.percentile(column, F.lit(0.5)).alias("mu"))
-    dev = df.crossJoin(F.broadcast(med)).agg(F.first("mu").alias("mu"), (F.percentile(F.abs(F.col(column) - F.col("mu")), F.lit(0.5)) * 1.4826 + 1e-12).alias("sd"), F.min(column).alias("low"), F.max(column).alias("high"))
-    return dev
+    med = quantiles(df, {"mu": F.col(column)}, [0.5]).select(F.col("mu")[0].alias("mu"))
+    mad = quantiles(df.crossJoin(F.broadcast(med)), {"d_": F.abs(F.col(column) - F.col("mu"))}, [0.5])
+    ends = df.agg(F.min(column).alias("low"), F.max(column).alias("high"))
+    return med.crossJoin(mad).crossJoin(ends).select("mu", (F.col("d_")[0] * 1.4826 + 1e-12).alias("sd"), "low", "high")
 
 
 def env_score(df: DataFrame, column: str, stats: DataFrame, method: str = "sigmoid", alpha: float = 1.0, out: str = "score") -> DataFrame:
@@ -113,7 +217,8 @@ def env_score(df: DataFrame, column: str, stats: DataFrame, method: str = "sigmo
 
 def similar_mask(reference: DataFrame, query: DataFrame, column: str, q: float = 0.05) -> DataFrame:
     """Whether a row's log density reaches the reference's quantile, and its z-score there."""
-    ref = reference.agg(F.percentile(column, F.lit(q)).alias("cut_"), F.avg(column).alias("mu_"), F.stddev_pop(column).alias("sd_"))
+    ref = quantiles(reference, {"q_": F.col(column)}, [q]).select(F.col("q_")[0].alias("cut_"))
+    ref = ref.crossJoin(reference.agg(F.avg(column).alias("mu_"), F.stddev_pop(column).alias("sd_")))
     out = query.crossJoin(F.broadcast(ref))
     return out.withColumns({"similar": F.col(column) >= F.col("cut_"), "z": (F.col(column) - F.col("mu_")) / F.col("sd_")}).drop("cut_", "mu_", "sd_")
 
@@ -169,20 +274,24 @@ def negatives_by_selection(positives: DataFrame, pool: DataFrame, column: str, k
     scored = pit(positives, pool, column)
     level = reduce(lambda o, i: F.when((F.col("pit") >= bins[i]) & (F.col("pit") < bins[i + 1]), i).otherwise(o), range(levels), F.lit(None).cast("int"))
     rows = scored.withColumn("level", level).where("level is not null").withColumn("h_", F.xxhash64(F.lit(seed), key).cast("double"))
-    ranked = ranked_prefix(rows, "h_", key, [], descending=False, by=["level"])
+    ranked = ranked_prefix(rows, "h_", key, [], descending=False, by=["level"], groups=levels)
     wanted = F.get(F.array(*map(F.lit, quota)), F.col("level"))
     return ranked.where(F.col("rank") <= wanted).select(*pool.columns, "pit", "level")
 
 
 def labelled_union(positives: DataFrame, negatives: DataFrame, columns: list[str]) -> DataFrame:
+    """Both with ``label`` 1 and 0."""
     return positives.select(*columns, F.lit(1).alias("label")).unionByName(negatives.select(*columns, F.lit(0).alias("label")))
 
 
-def negatives_by_generation(spark, weights: np.ndarray, means: np.ndarray, covs: np.ndarray, columns: list[str], n: int, cut: float, jitter: float = 0.15, seed: int = 7) -> DataFrame:
-    """``n`` rows drawn from a mixture whose log density is below ``cut``, jittered by a share of the deviations.
+def negatives_by_generation(positives: DataFrame, key: str, weights: np.ndarray, means: np.ndarray, covs: np.ndarray, columns: list[str], n: int, cut: float, jitter: float = 0.15, seed: int = 7) -> DataFrame:
+    """``n`` rows (id, columns, nearest): positives nearest to draws from a mixture whose log density is below ``cut``.
 
-    Further ranges of draws follow, sized by the share that passed, until ``n`` rows pass. Raises if 8 ranges do not give them.
+    Each draw takes the values of the positive nearest to it among the ``columns`` (two or three, ties by key), which
+    is named in ``nearest``, with normal noise of ``jitter`` times the positives' deviations. Further ranges of draws
+    follow, sized by the share that passed, until ``n`` pass. Raises if 8 ranges do not give them.
     """
+    spark = positives.sparkSession
     chol = np.array([np.linalg.cholesky(c) for c in covs])
     edges = np.cumsum(weights) / weights.sum()
     d = means.shape[1]
@@ -192,24 +301,35 @@ def negatives_by_generation(spark, weights: np.ndarray, means: np.ndarray, covs:
             k = np.minimum(np.searchsorted(edges, b["u"].to_numpy()), len(edges) - 1)
             z = np.stack(b["z"].tolist()) if len(b) else np.empty((0, d))
             x = means[k] + np.einsum("nij,nj->ni", chol[k], z)
-            x = x + jitter * np.sqrt(np.diagonal(covs, axis1=1, axis2=2))[k] * (np.stack(b["e"].tolist()) if len(b) else z)
             yield pd.DataFrame({"id": b["id"], **{c: x[:, i] for i, c in enumerate(columns)}})
 
     def passed(start: int, stop: int, seed: int) -> DataFrame:
-        base = spark.range(start, stop).select("id", F.rand(seed).alias("u"), F.array(*[F.randn(seed + 1 + i) for i in range(d)]).alias("z"), F.array(*[F.randn(seed + 101 + i) for i in range(d)]).alias("e"))
+        base = spark.range(start, stop).select("id", F.rand(seed).alias("u"), F.array(*[F.randn(seed + 1 + i) for i in range(d)]).alias("z"))
         drawn = base.mapInPandas(draw, "id long, " + ", ".join(f"`{c}` double" for c in columns))
         scored = mixture_score(drawn, columns, weights, means, covs, "id").where(F.col("logdens") < cut).select("id")
-        return drawn.join(scored, "id", "left_semi")
+        return stored(drawn.join(scored, "id", "left_semi"), "drawn")
 
     parts, have, start, stop = [], 0, 0, max(1, n * 4)
     for k in range(8):
         parts.append(passed(start, stop, seed + 1000 * k))
         have += parts[-1].count()
         if have >= n:
-            return reduce(DataFrame.unionByName, parts).orderBy("id").limit(n)
+            break
         more = int((n - have) * stop / have * 1.2) + 16 if have else 4 * stop
         start, stop = stop, stop + more
-    raise RuntimeError(f"only {have} of {n} rows passed in {stop} draws")
+    else:
+        raise RuntimeError(f"only {have} of {n} rows passed in {stop} draws")
+    chosen = reduce(DataFrame.unionByName, parts).orderBy("id").limit(n)
+    near = nearest(chosen, positives.withColumnRenamed(key, "nearest"), "id", "nearest", columns, axes=tuple(columns))
+    noise = positives.agg(*[F.stddev_pop(c).alias(f"sd_{c}") for c in columns])
+    rows = near.crossJoin(F.broadcast(noise))
+    unit = lambda i: F.sqrt(-2 * F.log(draw01(F.col("id"), seed + 10 + i))) * F.cos(2 * math.pi * draw01(F.col("id"), seed + 50 + i))
+    return rows.select("id", *[(F.col(c) + jitter * F.col(f"sd_{c}") * unit(i)).alias(c) for i, c in enumerate(columns)], "nearest")
+
+
+def draw01(key: Column, seed: int) -> Column:
+    """A number above 0 and up to 1 that a hash makes of a key, the same every time."""
+    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11) + 1) / float(1 << 53)
 
 
 def negatives_hybrid(selected: DataFrame, generated: DataFrame, n: int, share: float = 0.7, key: str = "id") -> DataFrame:
@@ -328,7 +448,8 @@ def ols_univariate(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
 
 
 def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
-    """Coefficients with errors, t and p values and inflation factors; R2, adjusted R2, F test, AIC and BIC repeated."""
+    """Coefficients with errors, t and p values and inflation factors; R2, adjusted R2, F test, AIC, BIC and the
+    condition number of the design (with its intercept) repeated."""
     data = with_vector(df.na.drop(subset=[y, *xs]), xs)
     model = LinearRegression(featuresCol="features", labelCol=y, solver="normal").fit(data)
     s = model.summary
@@ -339,22 +460,29 @@ def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     for (i, j), v in zip(pairs, got, strict=True):
         corr[i, j] = corr[j, i] = 1.0 if i == j else v
     vif = np.diag(np.linalg.pinv(corr))
+    design = [F.lit(1.0), *[F.col(x).cast("double") for x in xs]]
+    cells = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    gram = np.zeros((k + 1, k + 1))
+    for (i, j), v in zip(cells, df.na.drop(subset=[y, *xs]).agg(*[F.sum(design[i] * design[j]) for i, j in cells]).first(), strict=True):
+        gram[i, j] = gram[j, i] = v
+    w = np.linalg.eigvalsh(gram)
+    condition = math.sqrt(w.max() / max(w.min(), 1e-300))
     rss = s.meanSquaredError * n
     ll = -n / 2 * (math.log(2 * math.pi * max(rss, 1e-300) / n) + 1)
     f = (s.r2 / k) / max(1e-300, (1 - s.r2) / (n - k - 1))
-    fit = (float(s.r2), float(1 - (1 - s.r2) * (n - 1) / (n - k - 1)), float(f_upper(f, k, n - k - 1)), 2 * (k + 1) - 2 * ll, math.log(n) * (k + 1) - 2 * ll)
+    fit = (float(s.r2), float(1 - (1 - s.r2) * (n - 1) / (n - k - 1)), float(f_upper(f, k, n - k - 1)), 2 * (k + 1) - 2 * ll, math.log(n) * (k + 1) - 2 * ll, condition)
     coefs = [*model.coefficients.toArray().tolist(), float(model.intercept)]
     rows = [(name, c, float(e), float(t), float(t_two_sided(t, n - k - 1)), float(v), *fit) for name, c, e, t, v in zip([*xs, "intercept"], coefs, s.coefficientStandardErrors, s.tValues, [*vif.tolist(), float("nan")], strict=True)]
-    return df.sparkSession.createDataFrame(rows, "term string, coefficient double, error double, t double, p double, vif double, r2 double, r2_adjusted double, p_model double, aic double, bic double")
+    return df.sparkSession.createDataFrame(rows, "term string, coefficient double, error double, t double, p double, vif double, r2 double, r2_adjusted double, p_model double, aic double, bic double, condition double")
 
 
 def transform_vars(df: DataFrame, column: str) -> DataFrame:
-    """Standardised, log-shifted, root-shifted and squared forms of a column, and the logit of its squeezed min-max form."""
+    """Standardised, log-shifted, root-shifted and squared forms of a column, and the logit and probit of its squeezed min-max form."""
     s = df.agg(F.min(column).alias("lo_"), F.max(column).alias("hi_"), F.avg(column).alias("mu_"), F.stddev_pop(column).alias("sd_"), F.count(column).alias("n_"))
     x = F.col(column)
     unit = (x - F.col("lo_")) / (F.col("hi_") - F.col("lo_"))
     squeezed = (unit * (F.col("n_") - 1) + 0.5) / F.col("n_")
-    out = df.crossJoin(F.broadcast(s)).withColumns({"standard": (x - F.col("mu_")) / F.col("sd_"), "log_shift": F.log(x - F.col("lo_") + 1), "sqrt_shift": F.sqrt(x - F.col("lo_") + 0.001), "square": x * x, "logit": F.log(squeezed / (1 - squeezed))})
+    out = df.crossJoin(F.broadcast(s)).withColumns({"standard": (x - F.col("mu_")) / F.col("sd_"), "log_shift": F.log(x - F.col("lo_") + 1), "sqrt_shift": F.sqrt(x - F.col("lo_") + 0.001), "square": x * x, "logit": F.log(squeezed / (1 - squeezed)), "probit": probit(squeezed)})
     return out.drop("lo_", "hi_", "mu_", "sd_", "n_")
 
 
@@ -367,6 +495,21 @@ def box_cox_lambda(df: DataFrame, column: str, grid: tuple[float, ...] = (-2, -1
     return one.select(rows.alias("r")).select("r.*")
 
 
+def yeo_johnson(x: Column, g: float) -> Column:
+    """The Yeo-Johnson transform, for values of either sign."""
+    up = F.log1p(F.abs(x)) if g == 0 else (F.pow(F.abs(x) + 1, F.lit(float(g))) - 1) / g
+    down = F.log1p(F.abs(x)) if g == 2 else (F.pow(F.abs(x) + 1, F.lit(float(2 - g))) - 1) / (2 - g)
+    return F.when(x >= 0, up).otherwise(-down)
+
+
+def yeo_johnson_lambda(df: DataFrame, column: str, grid: tuple[float, ...] = (-2, -1.5, -1, -0.5, 0, 0.5, 1, 1.5, 2)) -> DataFrame:
+    """(lambda, log-likelihood) of the Yeo-Johnson transform, one aggregate for the whole grid."""
+    x = F.col(column).cast("double")
+    one = df.where(x.isNotNull()).agg(F.count("*").alias("n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("sl"), *[F.var_pop(yeo_johnson(x, g)).alias(f"v{i}") for i, g in enumerate(grid)])
+    rows = F.explode(F.array(*[F.struct(F.lit(float(g)).alias("lam"), (-F.col("n") / 2 * F.log(f"v{i}") + (g - 1) * F.col("sl")).alias("ll")) for i, g in enumerate(grid)]))
+    return one.select(rows.alias("r")).select("r.*")
+
+
 def ttest_table(df: DataFrame, group: str, value: str) -> DataFrame:
     """By group: n, mean, deviation, t against zero, Cohen's d and the normal 95 % interval."""
     out = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev(value).alias("sd"))
@@ -376,8 +519,7 @@ def ttest_table(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def with_p_values(table: DataFrame) -> DataFrame:
     """A small table with ``p`` of its t and n - 1, and stars."""
-    p = F.udf(lambda t, n: None if t is None or n is None or n < 2 else float(t_two_sided(t, n - 1)), "double")
-    out = table.withColumn("p", p("t", "n"))
+    out = table.withColumn("p", t_p_value(F.col("t"), F.col("n") - 1))
     return out.withColumn("stars", F.when(F.col("p") < 0.001, "***").when(F.col("p") < 0.01, "**").when(F.col("p") < 0.05, "*").otherwise(""))
 
 

@@ -11,9 +11,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+from .quantiles import bounds_of, count_below, quantiles
 from .ranking import kernel_weight, ranked_prefix
 
 
+CHAMPIONS = 512
+RANGE = 8192
+"""Points of a front that one task holds of one range."""
+STEP = 512
+MOST_WEIGHTS = 10_000
+"""Weights that one evaluation takes; their table is broadcast."""
+
+
 def ccd(columns: list[str], weights: list[float | Column] | None = None, form: str = "product") -> tuple[Column, Column, Column]:
     """Coupling C, benefit T and coordination sqrt(C * T) of objectives in 0..1.
 
@@ -83,46 +93,74 @@ def evaluate_lambdas(df: DataFrame, grid: DataFrame, columns: list[str], key: st
     a weight nor a task sorts the table alone.
     """
     u = [F.col(c) for c in columns]
+    weights = grid.count()
+    if weights > MOST_WEIGHTS:
+        raise ValueError(f"{weights} weights; evaluate them in parts of {MOST_WEIGHTS} at most")
     rows = df.select(key, area, *columns).crossJoin(F.broadcast(grid)).withColumn("s_", F.col("l1") * u[0] + F.col("l2") * u[1] + F.col("l3") * u[2])
-    ranked = ranked_prefix(rows, "s_", key, [], by=["lam_id"], buckets=16)
+    ranked = ranked_prefix(rows, "s_", key, [], by=["lam_id"], levels=4, groups=weights, share=8)
     w = kernel_weight(F.col("rank"), F.col("n"), kernel)
     ha = F.col(area) / 1e4
     place = ha * (F.col("n") - F.col("rank") + 0.5) / F.col("n")
     return ranked.groupBy("lam_id", "l1", "l2", "l3").agg(*[F.sum(F.col(c) * w).alias(f"kernel_{c}") for c in columns], *[(F.sum(F.col(c) * place) / F.sum(ha)).alias(f"perf_{c}") for c in columns])
 
 
-def _skyline(x: np.ndarray) -> np.ndarray:
-    """Numbers of rows that no other row dominates (greater is better; equal rows all stay)."""
-    order = np.lexsort(tuple(-x[:, i] for i in reversed(range(x.shape[1]))))
-    kept: list[int] = []
-    front = np.empty((0, x.shape[1]))
-    for i in order.tolist():
-        if len(front) and ((front >= x[i]).all(1) & (front > x[i]).any(1)).any():
-            continue
-        kept.append(i)
-        front = np.vstack([front, x[i]])
-    return np.array(sorted(kept), int)
+def _dominated(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """For each row of ``x`` whether a row of ``by`` is as great in every column and greater in one."""
+    out = np.zeros(len(x), bool)
+    for k in range(0, len(x), STEP):
+        part = x[k : k + STEP]
+        for j in range(0, len(by), STEP):
+            left = np.flatnonzero(~out[k : k + STEP])
+            a, b = part[left, None, :], by[None, j : j + STEP, :]
+            out[k + left] |= ((b >= a).all(2) & (b > a).any(2)).any(1)
+    return out
 
 
 def pareto_front(df: DataFrame, columns: list[str], maximize: list[bool] | None = None) -> DataFrame:
     """Rows that no other row beats in one column without losing in another.
 
-    Each task keeps the skyline of its own rows batch by batch; the survivors, few of any table, meet in one last
-    task. Rows with a null in a column are left out.
+    Rows of equal values are one point. ``CHAMPIONS`` points of the greatest standardised sums go to all tasks and
+    drop most others; each batch drops what its own points dominate. The points left are dealt into ranges of the
+    first column, and only a range of that or greater values can dominate a point, so every pair of ranges is a task
+    of its own: no task holds more than two ranges, even where all points are on the front. Rows with a null or NaN
+    in a column are left out.
     """
-    sign = np.array([1.0 if m else -1.0 for m in (maximize or [True] * len(columns))])
-
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+    signs = [1.0 if m else -1.0 for m in (maximize or [True] * len(columns))]
+    clean = df.na.drop(subset=columns)
+    names = [f"v{i}_" for i in range(len(columns))]
+    signed = [(F.col(c).cast("double") * s).alias(n) for c, s, n in zip(columns, signs, names, strict=True)]
+    points = clean.select(*signed).distinct()
+    kind = ", ".join(f"{n} double" for n in names)
+    stats = points.agg(*[f(n) for n in names for f in (F.avg, F.stddev_pop)]).first()
+    total = reduce(lambda a, b: a + b, [(F.col(n) - (stats[2 * i] or 0.0)) / (stats[2 * i + 1] or 1.0) for i, n in enumerate(names)])
+    best = np.array([list(r) for r in points.orderBy(total.desc(), *names).limit(CHAMPIONS).collect()], np.float64).reshape(-1, len(names))
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            held = b if held is None else pd.concat([held, b], ignore_index=True)
-            if len(held):
-                held = held.iloc[_skyline(held[columns].to_numpy(np.float64) * sign)]
-        if held is not None:
-            yield held
+            x = b.to_numpy(np.float64)
+            x = x[~_dominated(x, best)]
+            yield pd.DataFrame(x[~_dominated(x, x)], columns=names)
+
+    left = stored(points.mapInPandas(own, kind), "front")
+    levels = min(8, max(0, (left.count() // RANGE).bit_length()))
+    if levels:
+        bounds = left.agg(bounds_of(F.col(names[0]), levels).alias("q_"))
+        placed = count_below(left.crossJoin(F.broadcast(bounds)), names[0], "q_", levels, "p_").drop("q_")
+    else:
+        placed = left.withColumn("p_", F.lit(0))
+    last = (1 << levels) - 1
+    asks = placed.withColumns({"ask_": F.lit(True), "q_": F.explode(F.sequence(F.col("p_"), F.lit(last)))})
+    held = placed.withColumns({"ask_": F.lit(False), "q_": F.col("p_")}).withColumn("p_", F.explode(F.sequence(F.lit(0), F.col("q_"))))
 
-    clean = df.na.drop(subset=columns)
-    return clean.mapInPandas(local, df.schema).repartition(1).mapInPandas(local, df.schema)
+    def beaten(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[names].to_numpy(np.float64)
+        ask = pdf["ask_"].to_numpy(bool)
+        return pd.DataFrame(x[ask][_dominated(x[ask], x[~ask])], columns=names)
+
+    gone = asks.unionByName(held).groupBy("p_", "q_").applyInPandas(beaten, kind).distinct()
+    front = left.join(gone, names, "left_anti")
+    keyed = clean.withColumns(dict(zip(names, [(F.col(c).cast("double") * s) for c, s in zip(columns, signs, strict=True)], strict=True)))
+    return keyed.join(front, names, "left_semi").select(*df.columns)
 
 
 def locate_in_front(point: DataFrame, front: DataFrame, columns: list[str]) -> DataFrame:
@@ -180,7 +218,8 @@ def carbon_matrix(pixels: DataFrame, factors: DataFrame, availability: list[int]
     scaling is common to all cells, so cells are aggregated once and the small tables crossed afterwards.
     """
     density = F.col(kwh) / (F.col(area) / 1e4)
-    base = pixels.agg((F.sum(kwh) / 1e15).alias("g_"), (F.avg(density) / 1e6).alias("m_"), (F.percentile(density, F.lit(0.5)) / 1e6).alias("d_"))
+    base = pixels.agg((F.sum(kwh) / 1e15).alias("g_"), (F.avg(density) / 1e6).alias("m_"))
+    base = base.crossJoin(quantiles(pixels, {"q_": density}, [0.5]).select((F.col("q_")[0] / 1e6).alias("d_")))
     spark = pixels.sparkSession
     grid = spark.createDataFrame([(a, e, a / 100 * e / base_efficiency) for a in availability for e in efficiency], "availability int, efficiency double, f_ double")
     rows = factors.crossJoin(F.broadcast(base)).crossJoin(F.broadcast(grid))
@@ -205,9 +244,9 @@ def decade_carbon(pixels: DataFrame, grams: list[float], kwh: str, area: str, ke
     return out.withColumn("total", F.col("decade_1") + F.col("decade_2") + F.col("decade_3"))
 
 
-def crop_revenue_cells(yields: DataFrame, prices: DataFrame, key: str, margin: float = 0.20, rate: float = 1.05, years: int = 30) -> DataFrame:
-    """By cell: tonnes, revenue, revenue-weighted revenue and its discounted margin over a number of years."""
+def crop_revenue_cells(yields: DataFrame, prices: DataFrame, keys: list[str], margin: float = 0.20, rate: float = 1.05, years: int = 30) -> DataFrame:
+    """By keys (the cell, and a price's scenario and year): tonnes, revenue, revenue-weighted revenue and its discounted margin."""
     annuity = sum(margin / rate**t for t in range(1, years + 1))
     rows = yields.join(F.broadcast(prices), "crop").withColumn("r_", F.col("kg") * F.col("price") / 1000).where("kg > 0")
-    out = rows.groupBy(key).agg((F.sum("kg") / 1000).alias("tonnes"), F.sum("r_").alias("revenue"), (F.sum(F.col("r_") * F.col("r_")) / F.sum("r_")).alias("weighted"))
+    out = rows.groupBy(*keys).agg((F.sum("kg") / 1000).alias("tonnes"), F.sum("r_").alias("revenue"), (F.sum(F.col("r_") * F.col("r_")) / F.sum("r_")).alias("weighted"))
     return out.withColumn("npv", F.col("weighted") * annuity)

@@ -283,10 +283,21 @@ def d23(t):
     return rounded(A.waterfall(t.npv, t.alts, S.policy_group(F.col("policy_category"))), "policy")
 
 
+def _t_critical(nu: str) -> str:
+    """The 97.5 % point of t by its expansion around the normal one, which is exact to many digits for large ``nu``."""
+    z = 1.959963984540054
+    terms = [z, (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
+    return "(" + " + ".join(f"{c!r} / pow({nu}, {i})" for i, c in enumerate(terms)) + ")"
+
+
+T_CRITICAL = _t_critical("(count(*) - 1)")
+
+
 @query(
     "d24_policy_path_stats",
     "npv",
-    f"""SELECT policy, count(*) AS pixels, round(avg(m), 4) AS mean, round(stddev_samp(m), 4) AS sd, round(min(m), 4) AS lowest, round(max(m), 4) AS highest, round(sum(good) / sum(paths), 4) AS positive
+    f"""SELECT policy, count(*) AS pixels, round(avg(m), 4) AS mean, round(stddev_samp(m), 4) AS sd, round(min(m), 4) AS lowest, round(max(m), 4) AS highest, round(sum(good) / sum(paths), 4) AS positive,
+        round(avg(m) - {T_CRITICAL} * stddev_samp(m) / sqrt(count(*)), 4) AS low, round(avg(m) + {T_CRITICAL} * stddev_samp(m) / sqrt(count(*)), 4) AS high
         FROM (SELECT {POLICY} AS policy, pixel_id, avg(npv_usd) AS m, count(*) AS paths, count(*) FILTER (npv_usd > 0) AS good FROM npv GROUP BY 1, 2) a GROUP BY 1""",
 )
 def d24(t):
@@ -344,6 +355,21 @@ def d29(t):
     return rounded(A.quality_report(t.pixels, ["npv", "carbon", "prob", "wind"]), "name", places=0)
 
 
+FOUR = ("npv", "carbon", "prob", "wind")
+MEANS = ", ".join(f"var_pop({c}) AS v{i}" for i, c in enumerate(FOUR))
+
+
+@query(
+    "d29_quality_summary",
+    "pixels",
+    f"""SELECT n AS n_rows, CAST(nans AS BIGINT) AS nans, CAST(infs AS BIGINT) AS infs, CAST(zeros AS BIGINT) AS zeros, round(least(v0, v1, v2, v3), 0) AS least_variance, round(greatest(v0, v1, v2, v3), 0) AS greatest_variance,
+        CAST({' + '.join(f'CAST(v{i} <= 1e-12 AS INT)' for i in range(4))} AS BIGINT) AS no_variance, CAST({' + '.join(f'CAST(v{i} <= 1e-4 AS INT)' for i in range(4))} AS BIGINT) AS low_variance
+        FROM (SELECT count(*) AS n, {MEANS}, {' + '.join(f'count(*) FILTER ({c} IS NULL OR isnan({c}))' for c in FOUR)} AS nans, {' + '.join(f'count(*) FILTER (isinf({c}))' for c in FOUR)} AS infs, {' + '.join(f'count(*) FILTER ({c} = 0)' for c in FOUR)} AS zeros FROM pixels) s""",
+)
+def d29b(t):
+    return rounded(A.quality_summary(t.pixels, list(FOUR)).drop("condition"), "n_rows", "nans", "infs", "zeros", "no_variance", "low_variance", places=0)
+
+
 MOMENTS = """SELECT '{c}' AS name, s.n, round(mu, 4) AS mean, round(sd, 4) AS sd, round(sk, 4) AS skew, round(ku, 4) AS kurt, round(q[2], 4) AS median,
     (SELECT count(*) FROM pixels WHERE {c} < q[1] - 1.5e0 * (q[3] - q[1]) OR {c} > q[3] + 1.5e0 * (q[3] - q[1])) AS iqr_outliers, (SELECT count(*) FROM pixels WHERE abs({c} - mu) > 2.5e0 * sd) AS z_outliers,
     CASE WHEN abs(sk) <= 0.5e0 THEN 'none' WHEN sk > 1 THEN 'log' WHEN sk > 0.5e0 THEN 'sqrt' ELSE 'square' END AS advice
@@ -433,3 +459,13 @@ def posterior(t, n: int = 4):
 )
 def d36(t):
     return rounded(A.component_stats(posterior(t), "p"), "component", places=6)
+
+
+@query(
+    "d36_cluster_stats",
+    "",
+    f"""SELECT CAST(c AS INT) AS cluster, round(CASE c WHEN 1 THEN avg(p[1] + p[3]) ELSE avg(p[2] + p[4]) END, 6) AS mean_p, count(*) FILTER ((list_position(p, list_max(p)) % 2 = 1) = (c = 1)) AS dominant
+        FROM ({POST}) x, (VALUES (1), (2)) AS k(c) GROUP BY c""",
+)
+def d36b(t):
+    return rounded(A.cluster_stats(posterior(t), "p", {1: [0, 2], 2: [1, 3]}), "cluster", "dominant", places=6)

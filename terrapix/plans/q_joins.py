@@ -155,10 +155,10 @@ def c14b(t):
 @query(
     "c15_resample_grid",
     "pixels",
-    f"""WITH g AS ({GRID}) SELECT pixel_id, v AS sampled FROM (SELECT * FROM pixels WHERE pixel_id % 3 = 0) p LEFT JOIN g ON g.lat_idx = CAST(round_even((lat - 25e0) / 0.625e0, 0) AS BIGINT) AND g.lon_idx = CAST(round_even((lon + 125e0) / 1.5625e0, 0) AS BIGINT)""",
+    f"""WITH g AS ({GRID}) SELECT pixel_id, v AS sampled FROM (SELECT * FROM pixels WHERE landcover <= 3) p LEFT JOIN g ON g.lat_idx = CAST(round_even((lat - 25e0) / 0.625e0, 0) AS BIGINT) AND g.lon_idx = CAST(round_even((lon + 125e0) / 1.5625e0, 0) AS BIGINT)""",
 )
 def c15(t):
-    land = t.pixels.where("pixel_id % 3 = 0")
+    land = t.pixels.where("landcover <= 3")
     return G.resample_grid(_grid(t), t.pixels.select("pixel_id", "lat", "lon"), "v", 25.0, -125.0, 0.625, 1.5625, mask=land).select("pixel_id", "sampled")
 
 
@@ -166,10 +166,21 @@ XY = "6371000e0 * radians({a}.lon), 6371000e0 * sin(radians({a}.lat))"
 FAR2 = "pow(6371000e0 * (radians(p.lon) - radians(s.lon)), 2) + pow(6371000e0 * (sin(radians(p.lat)) - sin(radians(s.lat))), 2)"
 
 
-@query("c16_distance_to_features", "pixels sites", f"SELECT pixel_id, round(sqrt(min({FAR2})), 2) AS metres FROM pixels p, (SELECT * FROM sites WHERE unique_id % 10 = 0) s WHERE pixel_id % 7 = 0 GROUP BY 1")
+@query("c16_distance_to_features", "pixels sites", f"SELECT pixel_id, round(sqrt(min({FAR2})), 2) AS metres FROM pixels p, sites s GROUP BY 1")
 def c16(t):
-    df = G.distance_to_features(t.pixels.where("pixel_id % 7 = 0"), t.sites.where("unique_id % 10 = 0"), "pixel_id", "unique_id")
-    return rounded(df, "pixel_id", places=2)
+    return rounded(G.distance_to_features(t.pixels, t.sites, "pixel_id", "unique_id"), "pixel_id", places=2)
+
+
+@query(
+    "c16_distance_to_lines",
+    "pixels sites",
+    f"""WITH v AS (SELECT s.lon + 0.8e0 * i / 5 AS lon, s.lat + 0.6e0 * i / 5 AS lat FROM sites s, (SELECT unnest(range(6)) AS i) k)
+        SELECT pixel_id, round(sqrt(min({FAR2})), 2) AS metres FROM pixels p, v s GROUP BY 1""",
+)
+def c16b(t):
+    ends = [F.col("lon").alias("x1"), F.col("lat").alias("y1"), (F.col("lon") + 0.8).alias("x2"), (F.col("lat") + 0.6).alias("y2")]
+    lines = t.sites.select(F.col("unique_id").alias("line_id"), *ends)
+    return rounded(G.distance_to_lines(t.pixels, lines, "pixel_id", "line_id", 0.21), "pixel_id", places=2)
 
 
 @query("c17_polygon_mask", "pixels states", f"SELECT pixel_id, s.state_key IN (1, 2, 12) AS masked FROM pixels {STATE}")

@@ -64,7 +64,8 @@ def e5(t):
     "e5_score_spread",
     "pixels",
     f"""WITH c AS ({CROSS}) SELECT c.sorted_by, round(avg(c.efficiency / o.efficiency), 4) AS mean, round(stddev_samp(c.efficiency / o.efficiency), 4) AS sd,
-        round(stddev_samp(c.efficiency / o.efficiency) / avg(c.efficiency / o.efficiency), 4) AS cv
+        round(stddev_samp(c.efficiency / o.efficiency) / avg(c.efficiency / o.efficiency), 4) AS cv,
+        round(avg(c.efficiency / o.efficiency) - 4.302652729911275e0 * stddev_samp(c.efficiency / o.efficiency) / sqrt(3), 4) AS low, round(avg(c.efficiency / o.efficiency) + 4.302652729911275e0 * stddev_samp(c.efficiency / o.efficiency) / sqrt(3), 4) AS high
         FROM c JOIN c o ON c.target = o.target AND o.sorted_by = o.target GROUP BY 1""",
 )
 def e5b(t):
@@ -200,10 +201,10 @@ def _lines(view, keys, x, y, where, years, extend=False):
         SELECT {k}, CAST(tx AS INT) AS {x}, round(CASE WHEN x0 = x1 THEN y0 ELSE y0 + (y1 - y0) * (tx - x0) / (x1 - x0) END, 4) AS {y} FROM (SELECT q.*, {val('q.x0')} AS y0, {val('q.x1')} AS y1 FROM b q) w"""
 
 
-@query("e14_interp_series", "scen_long", _lines("scen_long", ["model", "scenario"], "analysis_year", "value", "variable = 'om'", (2015, 2025, 2033, 2047, 2055)))
+@query("e14_interp_series", "scen_long", _lines("scen_long", ["model", "scenario", "variable"], "analysis_year", "value", "true", (2015, 2025, 2033, 2047, 2055)))
 def e14(t):
-    out = T.interp_series(t.scen_long.where("variable = 'om'"), ["model", "scenario"], "analysis_year", "value", [2015, 2025, 2033, 2047, 2055])
-    return rounded(out, "model", "scenario", "analysis_year")
+    out = T.interp_series(t.scen_long, ["model", "scenario", "variable"], "analysis_year", "value", [2015, 2025, 2033, 2047, 2055])
+    return rounded(out, "model", "scenario", "variable", "analysis_year")
 
 
 @query(
@@ -219,12 +220,12 @@ def e14b(t):
 @query(
     "e15_interp_between_grids",
     "alts",
-    """SELECT a.pixel_id, round(a.npv_agri + (b.npv_agri - a.npv_agri) * 0.5e0, 4) AS npv_agri FROM alts a JOIN alts b ON a.pixel_id = b.pixel_id
-       WHERE a.rcp_category = 'RCP2.6' AND b.rcp_category = 'RCP2.6' AND a.analysis_year = 2020 AND b.analysis_year = 2030""",
+    """SELECT a.pixel_id, a.rcp_category, round(a.npv_agri + (b.npv_agri - a.npv_agri) * 0.5e0, 4) AS npv_agri FROM alts a JOIN alts b ON a.pixel_id = b.pixel_id AND a.rcp_category = b.rcp_category
+       WHERE a.analysis_year = 2020 AND b.analysis_year = 2030""",
 )
 def e15(t):
-    one = t.alts.where("rcp_category = 'RCP2.6'")
-    return rounded(T.interp_between_grids(one.where("analysis_year = 2020"), one.where("analysis_year = 2030"), ["pixel_id"], "npv_agri", 2020, 2030, 2025), "pixel_id")
+    keys = ["pixel_id", "rcp_category"]
+    return rounded(T.interp_between_grids(t.alts.where("analysis_year = 2020"), t.alts.where("analysis_year = 2030"), keys, "npv_agri", 2020, 2030, 2025), *keys)
 
 
 PRICES = "(SELECT scenario, lst[1] AS p20, lst[2] AS p30 FROM (SELECT scenario, list(value ORDER BY analysis_year) AS lst FROM scen_long WHERE variable = '{v}' GROUP BY 1) z)"
@@ -240,7 +241,7 @@ KW = "area_m2 * 0.17e0"
               WHERE m.p20 IS NOT NULL AND m.p30 IS NOT NULL GROUP BY 1),
         k AS (SELECT scenario, value AS capex FROM scen_long WHERE variable = 'capital' AND analysis_year = 2020)
         SELECT pixel_id, f.scenario, round((rsds * area_m2 * a - {KW} * (capex + b)) / (area_m2 / 1e4), 2) AS npv_ha, round({KW} * (capex + b) / (area_m2 / 1e4), 2) AS cost_ha
-        FROM pixels, f JOIN k ON f.scenario = k.scenario WHERE f.scenario IN ('{{}}', '{{}}') OR f.a > 0 AND pixel_id % 50 = 0""".replace("'{}', '{}'", "'NONE'"),
+        FROM pixels, f JOIN k ON f.scenario = k.scenario""",
 )
 def e16(t):
     years = list(range(2020, 2031))
@@ -249,7 +250,7 @@ def e16(t):
     line = lambda v: T.interp_series(t.scen_long.where(f"variable = '{v}' and analysis_year <= 2030").join(known, ids, "left_semi"), ids, "analysis_year", "value", years).select("scenario", F.col("analysis_year").alias("year"), F.col("value").alias(v))
     factors = T.scenario_factors(line("price").join(line("om"), ["scenario", "year"]), ids, [2030])
     capital = t.scen_long.where("variable = 'capital' and analysis_year = 2020").select("scenario", F.col("value").alias("capex"))
-    pixels = t.pixels.where("pixel_id % 50 = 0").withColumn("kwh", F.col("rsds") * F.col("area_m2"))
+    pixels = t.pixels.withColumn("kwh", F.col("rsds") * F.col("area_m2"))
     return rounded(T.npv_pv(pixels, factors, capital, ids).select("pixel_id", "scenario", "npv_ha", "cost_ha"), "pixel_id", "scenario", places=2)
 
 
@@ -260,27 +261,28 @@ SERIES = "SELECT v.item, v.scenario, v.year, v.value / w.value * 1000 AS price F
 @query(
     "e17_npv_crop",
     "crops crop_price",
-    f"""WITH p AS (SELECT item AS crop, year, price FROM ({SERIES}) s WHERE scenario = 'BAU' AND year > 2020),
-        r AS (SELECT pixel_id, year, sum(kg * price / 1000 * (kg * price / 1000)) / sum(kg * price / 1000) AS rev FROM ({YIELDS}) y JOIN p ON y.crop = p.crop WHERE kg > 0 GROUP BY 1, 2)
-        SELECT c.pixel_id, CAST(t AS INT) AS target, round(coalesce(sum(rev * 0.2e0 / pow(1.05e0, year - 2020)) FILTER (year <= t), 0) - 4340e0, 2) AS npv_ha
-        FROM crops c CROSS JOIN (SELECT unnest([2020, 2030, 2040, 2050]) AS t) z LEFT JOIN r ON c.pixel_id = r.pixel_id GROUP BY 1, 2""",
+    f"""WITH p AS (SELECT item AS crop, scenario, year, price FROM ({SERIES}) s WHERE year > 2020),
+        r AS (SELECT pixel_id, scenario, year, sum(kg * price / 1000 * (kg * price / 1000)) / sum(kg * price / 1000) AS rev FROM ({YIELDS}) y JOIN p ON y.crop = p.crop WHERE kg > 0 GROUP BY 1, 2, 3)
+        SELECT c.pixel_id, z.scenario, CAST(t AS INT) AS target, round(coalesce(sum(rev * 0.2e0 / pow(1.05e0, year - 2020)) FILTER (year <= t), 0) - 4340e0, 2) AS npv_ha
+        FROM crops c CROSS JOIN (SELECT scenario, unnest([2020, 2030, 2040, 2050]) AS t FROM (SELECT DISTINCT scenario FROM crop_price) d) z
+        LEFT JOIN r ON c.pixel_id = r.pixel_id AND z.scenario = r.scenario GROUP BY 1, 2, 3""",
 )
 def e17(t):
     names = [c for c in t.crops.columns if c.endswith("dw_ha")]
     long = t.crops.unpivot("pixel_id", names, "name", "v")
     yields = long.select("pixel_id", S.crop_of_column(F.col("name")).alias("crop"), S.yield_kg(F.col("v"), F.col("name")).alias("kg"))
-    prices = T.crop_price_series(t.crop_price).where("scenario = 'BAU'").select(F.col("item").alias("crop"), "year", "price")
-    return rounded(T.npv_crop(yields, prices, "pixel_id", [2020, 2030, 2040, 2050]), "pixel_id", "target", places=2)
+    prices = T.crop_price_series(t.crop_price).select(F.col("item").alias("crop"), "scenario", "year", "price")
+    return rounded(T.npv_crop(yields, prices, "pixel_id", [2020, 2030, 2040, 2050], "scenario"), "pixel_id", "scenario", "target", places=2)
 
 
 @query(
     "e18_npv_forest",
     "alts pixels",
-    "SELECT a.pixel_id, analysis_year, round(-cost_usd + CASE WHEN analysis_year - 2020 >= 30 THEN least(60e0 + carbon, prob * 30) * 0.4e0 * 150e0 / pow(1.05e0, 30) ELSE 0e0 END, 4) AS npv FROM alts a JOIN pixels p ON a.pixel_id = p.pixel_id WHERE rcp_category = 'RCP4.5'",
+    "SELECT a.pixel_id, rcp_category, analysis_year, round(-cost_usd + CASE WHEN analysis_year - 2020 >= 30 THEN least(60e0 + carbon, prob * 30) * 0.4e0 * 150e0 / pow(1.05e0, 30) ELSE 0e0 END, 4) AS npv FROM alts a JOIN pixels p ON a.pixel_id = p.pixel_id",
 )
 def e18(t):
-    df = t.alts.where("rcp_category = 'RCP4.5'").join(t.pixels.select("pixel_id", (60.0 + F.col("carbon")).alias("pot_agb"), F.col("prob").alias("sequestration")), "pixel_id").withColumnRenamed("cost_usd", "cost")
-    return df.select("pixel_id", "analysis_year", r4(T.npv_forest(df, F.col("analysis_year"), 0.4, 150.0)).alias("npv"))
+    df = t.alts.join(t.pixels.select("pixel_id", (60.0 + F.col("carbon")).alias("pot_agb"), F.col("prob").alias("sequestration")), "pixel_id").withColumnRenamed("cost_usd", "cost")
+    return df.select("pixel_id", "rcp_category", "analysis_year", r4(T.npv_forest(df, F.col("analysis_year"), 0.4, 150.0)).alias("npv"))
 
 
 @query("e19_npv_natural", "alts", "SELECT pixel_id, rcp_category, analysis_year, round(-cost_usd, 4) AS npv FROM alts")
@@ -367,11 +369,12 @@ def e27(t):
     return rounded(R.kernel_efficiency(t.pixels, "npv", ["prob", "carbon"], "pixel_id"), places=6)
 
 
-PLACED = f"""SELECT r.pixel_id, p.position FROM (SELECT pixel_id, row_number() OVER (ORDER BY npv DESC, pixel_id) AS k FROM pixels) r
-    JOIN (SELECT k AS position, row_number() OVER (ORDER BY w DESC, k) AS o FROM (SELECT k, {W.format(k='gaussian')} AS w FROM (SELECT row_number() OVER (ORDER BY npv DESC, pixel_id) AS k, count(*) OVER () AS n FROM pixels) b) a) p ON r.k = p.o"""
-
-
-@query("e28_policy_permutation", "pixels")
+@query(
+    "e28_policy_permutation",
+    "pixels",
+    """SELECT r.pixel_id, p.position FROM (SELECT pixel_id, row_number() OVER (ORDER BY npv DESC, pixel_id) AS k FROM pixels) r
+       JOIN (SELECT k AS position, row_number() OVER (ORDER BY abs(2 * k - 1 - n), k) AS o FROM (SELECT row_number() OVER (ORDER BY npv DESC, pixel_id) AS k, count(*) OVER () AS n FROM pixels) b) p ON r.k = p.o""",
+)
 def e28(t):
     return R.policy_permutation(t.pixels, "npv", "pixel_id", "gaussian").select("pixel_id", F.col("position").cast("long").alias("position"))
 
@@ -401,15 +404,19 @@ def e30(t):
     return R.within_between(t.pixels, "state_key", ["npv"]).select("pixel_id", r4("npv_between").alias("npv_between"), r4("npv_within").alias("npv_within"))
 
 
+OFF_HALF = 0.0137  # sums of means of cents are often just halves, which the last bit of a sum would round either way
+
+
 @query(
     "e31_cumulative_policy_paths",
     "npv",
-    f"""SELECT pixel_id, row_number() OVER w AS rank, {', '.join(f'round(sum({p}) OVER (w ROWS UNBOUNDED PRECEDING), 0) AS cum_{p}' for p in ('P1', 'P2', 'P3', 'total'))}
+    f"""SELECT pixel_id, row_number() OVER w AS rank, {', '.join(f'round(sum({p}) OVER (w ROWS UNBOUNDED PRECEDING) + {OFF_HALF}, 0) AS cum_{p}' for p in ('P1', 'P2', 'P3', 'total'))}
         FROM (SELECT *, P1 + P2 + P3 AS total FROM (SELECT pixel_id, {', '.join(f"coalesce(avg(npv_usd) FILTER ({POLICY} = '{p}'), 0e0) AS {p}" for p in ('P1', 'P2', 'P3'))} FROM npv GROUP BY 1) a) b WINDOW w AS (ORDER BY total DESC, pixel_id)""",
 )
 def e31(t):
     df = R.policy_paths(t.npv, "pixel_id", S.policy_group(F.col("policy_category")), "npv_usd", ["P1", "P2", "P3"])
-    return rounded(df.withColumn("rank", F.col("rank").cast("long")), "pixel_id", "rank", places=0)
+    sums = {f"cum_{p}": F.col(f"cum_{p}") + OFF_HALF for p in ("P1", "P2", "P3", "total")}
+    return rounded(df.withColumns({"rank": F.col("rank").cast("long"), **sums}), "pixel_id", "rank", places=0)
 
 
 @query(

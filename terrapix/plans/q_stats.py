@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import distributions as D
 from ..functions import r4
 from ..operators import panel as P
 from ..operators import scalar as S
@@ -37,14 +38,14 @@ def g1(t):
 
 def _mixture(t, ks=(2, 3)):
     scaled = M.preprocess(t.pixels, NUM, "landcover")
-    model, table = M.fit_mixture(scaled, NUM, list(ks))
+    model, table = M.fit_mixture(scaled, NUM, list(ks), "pixel_id")
     return scaled, *M.mixture_arrays(model), table
 
 
 @query("g2_fit_mixture")
 def g2(t):
-    *_, table = _mixture(t)
-    return t.spark.createDataFrame([(k, float(ll), float(b)) for k, ll, b in table], "k int, log_likelihood double, bic double")
+    *_, table = _mixture(t, range(15, 36, 2))
+    return t.spark.createDataFrame([(k, r, float(ll), float(b)) for k, r, ll, b, _ in table], "k int, restart int, log_likelihood double, bic double")
 
 
 @query("g3_mixture_score")
@@ -133,13 +134,14 @@ def g10(t):
 
 def _generated(t):
     scaled, w, m, c, _ = _mixture(t)
-    cut = M.mixture_score(scaled.where("pixel_id % 10 = 0"), NUM, w, m, c, "pixel_id").agg(F.avg("logdens") - F.stddev_pop("logdens")).first()[0]
-    return scaled, M.negatives_by_generation(t.spark, w, m, c, NUM, scaled.where("pixel_id % 10 = 0").count(), cut)
+    positives = scaled.where("pixel_id % 10 = 0").select("pixel_id", *NUM)
+    cut = M.mixture_score(positives, NUM, w, m, c, "pixel_id").agg(F.avg("logdens") - F.stddev_pop("logdens")).first()[0]
+    return scaled, M.negatives_by_generation(positives, "pixel_id", w, m, c, NUM, positives.count(), cut)
 
 
 @query("g11_negatives_by_generation")
 def g11(t):
-    return rounded(_generated(t)[1], "id")
+    return rounded(_generated(t)[1], "id", "nearest")
 
 
 @query("g12_negatives_hybrid")
@@ -155,7 +157,15 @@ def _labelled(t):
     return t.pixels.select("pixel_id", "prob", "carbon", "wind", (F.col("npv") / 1e5).alias("npv"), (F.col("prob") + F.col("npv") / 1e6 > 0.5).cast("int").alias("label"))
 
 
-@query("g13_stratified_split")
+LABELLED = "SELECT CAST(prob + npv / 1e6 > 0.5e0 AS INT) AS label FROM pixels"
+
+
+@query(
+    "g13_stratified_split",
+    "pixels",
+    f"""SELECT label, CAST(p AS INT) AS part, CAST(CASE p WHEN 0 THEN round(n * 0.6e0) WHEN 1 THEN round(n * 0.8e0) - round(n * 0.6e0) ELSE n - round(n * 0.8e0) END AS BIGINT) AS n
+        FROM (SELECT label, count(*) AS n FROM ({LABELLED}) l GROUP BY 1) a, (SELECT unnest([0, 1, 2]) AS p) b""",
+)
 def g13(t):
     return M.stratified_split(_labelled(t), "label", "pixel_id").groupBy("label", "part").agg(F.count("*").alias("n"))
 
@@ -166,7 +176,7 @@ FEATURES = ["prob", "carbon", "wind", "npv"]
 @query("g14_train_compare")
 def g14(t):
     parts = M.stratified_split(_labelled(t), "label", "pixel_id")
-    return rounded(M.train_compare(parts.where("part = 0"), parts.where("part = 2"), FEATURES, "label", ("forest", "logistic"))[1], "model")
+    return rounded(M.train_compare(parts.where("part = 0"), parts.where("part = 2"), FEATURES, "label")[1], "model")
 
 
 @query("g15_score_pool")
@@ -215,15 +225,21 @@ def g17(t):
     return rounded(M.pu_threshold_sweep(df.where("pixel_id % 2 = 0"), df.where("pixel_id % 2 = 1"), "label", "prob"), "threshold", places=6)
 
 
-@query("g17_best_threshold")
+@query(
+    "g17_best_threshold",
+    "pixels",
+    f"""WITH s AS (SELECT c, d, pow(tp / (tp + fn), 2) / greatest(d, 0.001e0) AS f FROM (SELECT c, CAST(count(*) FILTER (label = 1 AND prob >= c) AS DOUBLE) AS tp, CAST(count(*) FILTER (label = 1 AND prob < c) AS DOUBLE) AS fn,
+               (SELECT avg(CAST(prob >= c AS INT)) FROM pixels WHERE pixel_id % 2 = 1) AS d FROM ({SCORED}) x, (SELECT CAST(i AS DOUBLE) * 5 / 100 AS c FROM range(1, 20) x(i)) g WHERE pixel_id % 2 = 0 GROUP BY 1) a)
+        SELECT round(coalesce((SELECT c FROM s WHERE d >= 0.001e0 ORDER BY f DESC, c LIMIT 1), (SELECT c FROM s ORDER BY d DESC, c LIMIT 1)), 2) AS threshold""",
+)
 def g17b(t):
     df = _scored(t)
-    return M.best_threshold(M.pu_threshold_sweep(df.where("pixel_id % 2 = 0"), df.where("pixel_id % 2 = 1"), "label", "prob"))
+    return rounded(M.best_threshold(M.pu_threshold_sweep(df.where("pixel_id % 2 = 0"), df.where("pixel_id % 2 = 1"), "label", "prob")), places=2)
 
 
 @query("g18_learning_curve")
 def g18(t):
-    return rounded(M.learning_curve(_labelled(t), FEATURES, "label", "pixel_id", (0.3, 1.0), 2), "size")
+    return rounded(M.learning_curve(_labelled(t), FEATURES, "label", "pixel_id"), "size")
 
 
 @query(
@@ -241,22 +257,48 @@ def g19b(t):
     return rounded(M.ols(t.pixels, "npv", ["prob", "carbon", "wind"]), "term")
 
 
+def _poly(x, coefficients):
+    return " + ".join(f"{c!r} * pow({x}, {len(coefficients) - 1 - i})" for i, c in enumerate(coefficients))
+
+
+TAIL = f"(({_poly('sqrt(-2 * ln(least(q, 1 - q)))', D.PROBIT_C)}) / ({_poly('sqrt(-2 * ln(least(q, 1 - q)))', (*D.PROBIT_D, 1.0))}))"
+PROBIT = f"""CASE WHEN q < 0.02425e0 THEN {TAIL} WHEN q > 1 - 0.02425e0 THEN -{TAIL} ELSE ({_poly('pow(q - 0.5e0, 2)', D.PROBIT_A)}) * (q - 0.5e0) / ({_poly('pow(q - 0.5e0, 2)', (*D.PROBIT_B, 1.0))}) END"""
+LAMBDAS = (-2, -1.5, -1, -0.5, 0, 0.5, 1, 1.5, 2)
+
+
+def _likelihoods(form, jacobian, where):
+    """Oracle of a grid of transforms: -n / 2 log variance + (lambda - 1) * sum of the logs."""
+    one = lambda g: f"SELECT CAST({g} AS DOUBLE) AS lam, round(-count(*) / 2e0 * ln(var_pop({form(g)})) + ({g} - 1) * sum({jacobian}), 4) AS ll FROM pixels WHERE {where}"
+    return " UNION ALL ".join(one(g) for g in LAMBDAS)
+
+
+def _yeo_johnson(g):
+    up = "ln(1 + abs(carbon))" if g == 0 else f"(pow(abs(carbon) + 1, {g}) - 1) / ({g})"
+    down = "ln(1 + abs(carbon))" if g == 2 else f"(pow(abs(carbon) + 1, {2 - g}) - 1) / ({2 - g})"
+    return f"CASE WHEN carbon >= 0 THEN {up} ELSE -({down}) END"
+
+
 @query(
     "g20_transform_vars",
     "pixels",
-    """SELECT pixel_id, round((carbon - mu) / sd, 6) AS standard, round(ln(carbon - lo + 1), 6) AS log_shift, round(sqrt(carbon - lo + 0.001e0), 6) AS sqrt_shift, round(carbon * carbon, 4) AS square, round(ln(q / (1 - q)), 6) AS logit
+    f"""SELECT pixel_id, round((carbon - mu) / sd, 6) AS standard, round(ln(carbon - lo + 1), 6) AS log_shift, round(sqrt(carbon - lo + 0.001e0), 6) AS sqrt_shift, round(carbon * carbon, 4) AS square, round(ln(q / (1 - q)), 6) AS logit, round({PROBIT}, 6) AS probit
        FROM (SELECT *, ((carbon - lo) / (hi - lo) * (n - 1) + 0.5e0) / n AS q FROM pixels, (SELECT min(carbon) AS lo, max(carbon) AS hi, avg(carbon) AS mu, stddev_pop(carbon) AS sd, count(carbon) AS n FROM pixels) s) x""",
 )
 def g20(t):
     df = M.transform_vars(t.pixels.select("pixel_id", "carbon"), "carbon").drop("carbon")
-    return df.select("pixel_id", *[r4(c, 4 if c == "square" else 6).alias(c) for c in ("standard", "log_shift", "sqrt_shift", "square", "logit")])
+    return df.select("pixel_id", *[r4(c, 4 if c == "square" else 6).alias(c) for c in ("standard", "log_shift", "sqrt_shift", "square", "logit", "probit")])
 
 
-@query("g20_box_cox", "pixels")
+@query("g20_box_cox", "pixels", _likelihoods(lambda g: "ln(rsds)" if g == 0 else f"(pow(rsds, {g}) - 1) / ({g})", "ln(rsds)", "rsds > 0"))
 def g20b(t):
     return rounded(M.box_cox_lambda(t.pixels, "rsds"))
 
 
+@query("g20_yeo_johnson", "pixels", _likelihoods(_yeo_johnson, "sign(carbon) * ln(1 + abs(carbon))", "carbon IS NOT NULL"))
+def g20c(t):
+    return rounded(M.yeo_johnson_lambda(t.pixels, "carbon"))
+
+
 TT = "SELECT state_key, count({v}) AS n, round(avg({v}), 4) AS mean, round(stddev_samp({v}), 4) AS sd, round(avg({v}) / (stddev_samp({v}) / sqrt(count({v}))), 4) AS t, round(avg({v}) / stddev_samp({v}), 6) AS d, round(avg({v}) - 1.96e0 * stddev_samp({v}) / sqrt(count({v})), 3) AS low, round(avg({v}) + 1.96e0 * stddev_samp({v}) / sqrt(count({v})), 3) AS high FROM pixels GROUP BY 1"
 
 
@@ -284,14 +326,27 @@ def g22(t):
     return M.sample_by_group(t.pixels, ["state_key", "landcover"], 5, "pixel_id").select("state_key", "landcover", "pixel_id")
 
 
+LEVELS = {"depth": [1, 2, 3], "width": [8, 16, 32], "rate": [0.1, 0.01, 0.001], "drop": [0.0, 0.2, 0.4], "heads": [1, 2, 4], "batch": [32, 64, 128]}
+
+
 def _runs(t):
-    levels = {"depth": [1, 2, 3], "width": [8, 16, 32], "rate": [0.1, 0.01, 0.001], "drop": [0.0, 0.2, 0.4], "heads": [1, 2, 4], "batch": [32, 64, 128]}
-    design = M.design_l18(t.spark, levels)
+    design = M.design_l18(t.spark, LEVELS)
     means = t.pixels.groupBy((F.col("pixel_id") % 18 + 1).cast("int").alias("exp_id")).agg(F.avg("prob").alias("f1"))
-    return design.join(means, "exp_id"), list(levels)
+    return design.join(means, "exp_id"), list(LEVELS)
+
 
+DESIGN = "(VALUES " + ", ".join("(" + ", ".join(map(str, (k + 1, *row))) + ")" for k, row in enumerate(M.L18)) + ") AS d(exp_id, depth, width, rate, \"drop\", heads, batch)"
+RUNS = f"SELECT d.*, f1 FROM {DESIGN} JOIN (SELECT pixel_id % 18 + 1 AS e, avg(prob) AS f1 FROM pixels GROUP BY 1) m ON exp_id = e"
 
-@query("g23_sensitivity_tables")
+
+@query(
+    "g23_sensitivity_tables",
+    "pixels",
+    " UNION ALL ".join(
+        f"""SELECT '{f}' AS factor, CAST([{', '.join(map(str, values))}]["{f}"] AS DOUBLE) AS level, round(avg(f1), 4) AS mean, count(f1) AS n FROM ({RUNS}) r GROUP BY "{f}\""""
+        for f, values in LEVELS.items()
+    ),
+)
 def g23(t):
     runs, factors = _runs(t)
     return rounded(M.sensitivity_tables(runs, factors, "f1"), "factor", "level")
@@ -319,7 +374,18 @@ def g24(t):
     return _unit(t).select("pixel_id", r4(c, 6).alias("c"), r4(b, 6).alias("t"), r4(d, 6).alias("d"))
 
 
-@query("g25_ccd_optimize")
+MEAN_CCD = f"avg(sqrt(greatest({CC} * (u1 * a + u2 * b + u3 * (1 - a - b)), 0e0)))"
+FIRST = f"SELECT a, b FROM (SELECT i, j, i / 10e0 AS a, j / 10e0 AS b FROM range(11) x(i), range(11) y(j) WHERE i + j <= 10) p, u GROUP BY i, j, a, b ORDER BY {MEAN_CCD} DESC, i, j LIMIT 1"
+SECOND = "SELECT i, j, f.a + 0.2e0 * (i - 5) / 10 AS a, f.b + 0.2e0 * (j - 5) / 10 AS b FROM f, range(11) x(i), range(11) y(j)"
+
+
+@query(
+    "g25_ccd_optimize",
+    "pixels",
+    f"""WITH u AS ({UNIT}), f AS ({FIRST})
+        SELECT round(a, 4) AS l1, round(b, 4) AS l2, round(1 - a - b, 4) AS l3, round({MEAN_CCD}, 4) AS ccd FROM (SELECT * FROM ({SECOND}) s WHERE a >= -1e-12 AND b >= -1e-12 AND a + b <= 1 + 1e-12) p, u
+        GROUP BY i, j, a, b ORDER BY {MEAN_CCD} DESC, i, j LIMIT 1""",
+)
 def g25(t):
     return rounded(Y.ccd_optimize(_unit(t), U, (10, 10)))
 
@@ -437,16 +503,17 @@ ANNUITY = sum(0.2 / 1.05**y for y in range(1, 31))
 @query(
     "g36_crop_revenue_cells",
     "crops crop_price",
-    f"""WITH p AS (SELECT v.item AS crop, v.value / w.value * 1000 AS price FROM crop_price v JOIN crop_price w ON v.item = w.item AND v.scenario = w.scenario AND v.year = w.year WHERE v.element = 'value' AND w.element = 'tonnes' AND w.value > 0 AND v.scenario = 'BAU' AND v.year = 2025),
+    f"""WITH p AS (SELECT v.item AS crop, v.scenario, v.year, v.value / w.value * 1000 AS price FROM crop_price v JOIN crop_price w ON v.item = w.item AND v.scenario = w.scenario AND v.year = w.year WHERE v.element = 'value' AND w.element = 'tonnes' AND w.value > 0),
         y AS (SELECT pixel_id, 'maize' AS crop, maize_rcp26_kg_dw_ha AS kg FROM crops UNION ALL SELECT pixel_id, 'wheat', coalesce(wheat_rcp26_10kg_dw_ha, 0) * 10 FROM crops UNION ALL SELECT pixel_id, 'soybean', soybean_rcp26_kg_dw_ha FROM crops)
-        SELECT pixel_id, round(sum(kg) / 1000, 6) AS tonnes, round(sum(r), 4) AS revenue, round(sum(r * r) / sum(r), 4) AS weighted, round(sum(r * r) / sum(r) * {ANNUITY!r}, 4) AS npv FROM (SELECT pixel_id, kg, kg * price / 1000 AS r FROM y JOIN p ON y.crop = p.crop WHERE kg > 0) z GROUP BY 1""",
+        SELECT pixel_id, scenario, year, round(sum(kg) / 1000, 6) AS tonnes, round(sum(r), 4) AS revenue, round(sum(r * r) / sum(r), 4) AS weighted, round(sum(r * r) / sum(r) * {ANNUITY!r}, 4) AS npv
+        FROM (SELECT pixel_id, scenario, year, kg, kg * price / 1000 AS r FROM y JOIN p ON y.crop = p.crop WHERE kg > 0) z GROUP BY 1, 2, 3""",
 )
 def g36(t):
     names = [c for c in t.crops.columns if c.endswith("dw_ha")]
     yields = t.crops.unpivot("pixel_id", names, "name", "v").select("pixel_id", S.crop_of_column(F.col("name")).alias("crop"), S.yield_kg(F.col("v"), F.col("name")).alias("kg"))
-    prices = T.crop_price_series(t.crop_price).where("scenario = 'BAU' and year = 2025").select(F.col("item").alias("crop"), "price")
-    out = Y.crop_revenue_cells(yields, prices, "pixel_id")
-    return out.select("pixel_id", r4("tonnes", 6).alias("tonnes"), *[r4(c).alias(c) for c in ("revenue", "weighted", "npv")])
+    prices = T.crop_price_series(t.crop_price).select(F.col("item").alias("crop"), "scenario", "year", "price")
+    out = Y.crop_revenue_cells(yields, prices, ["pixel_id", "scenario", "year"])
+    return out.select("pixel_id", "scenario", "year", r4("tonnes", 6).alias("tonnes"), *[r4(c).alias(c) for c in ("revenue", "weighted", "npv")])
 
 
 # sources and sinks
@@ -487,11 +554,10 @@ def a4(t):
 @query(
     "a5_grid_wide",
     "alts pixels",
-    "SELECT a.pixel_id, a.analysis_year, npv_agri AS agri, npv_forest AS forest, round(p.npv, 4) AS price FROM alts a JOIN pixels p ON a.pixel_id = p.pixel_id WHERE rcp_category = 'RCP2.6'",
+    "SELECT a.pixel_id, a.analysis_year, npv_agri AS agri, npv_forest AS forest, round(p.npv, 4) AS price FROM (SELECT pixel_id, analysis_year, avg(npv_agri) AS npv_agri, avg(npv_forest) AS npv_forest FROM alts GROUP BY 1, 2) a JOIN pixels p ON a.pixel_id = p.pixel_id",
 )
 def a5(t):
-    one = t.alts.where("rcp_category = 'RCP2.6'")
-    grid = lambda c: one.select("pixel_id", "analysis_year", F.col(c).alias("value"))
+    grid = lambda c: t.alts.groupBy("pixel_id", "analysis_year").agg(F.avg(c).alias("value"))
     out = IO.grid_wide({"agri": grid("npv_agri"), "forest": grid("npv_forest")}, {"price": t.pixels.select("pixel_id", F.col("npv").alias("value"))}, ["pixel_id"], "analysis_year")
     return out.withColumn("price", r4("price"))
 

@@ -15,9 +15,31 @@ SCENARIO_ALIASES = ("rcp", "rcp_scenario", "rcp_category")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared checkpoint folder, or in a temporary one where the session names none."""
+    """A new path in the shared checkpoint folder; a temporary one where a local session names none (a cluster raises)."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{(conf or tempfile.mkdtemp(prefix='terrapix-')).rstrip('/')}/grid-{uuid.uuid4().hex}/{name}"
+    if not conf and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    top = f"{(conf or tempfile.mkdtemp(prefix='terrapix-')).rstrip('/')}/grid-{uuid.uuid4().hex}"
+    _made.append(top)
+    return f"{top}/{name}"
+
+
+_made: list[str] = []
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again, which cuts the lineage."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate files that this driver made; results that read them must be stored by then."""
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def require(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
