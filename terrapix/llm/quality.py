@@ -190,9 +190,9 @@ def fit_quality(
     total = kept.agg(F.sum("n")).first()[0] or 0
     if total > sample_features:
         kept = kept.where(F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(1_000_000)) < int(1_000_000 * sample_features / total))
-    got = sorted(((r.key, bytes(r.s), bytes(r.v), r.y) for r in kept.collect()))
-    found = [(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for _, s, v, _ in got]
-    return FactorisationMachine().fit(found, np.array([x[3] for x in got]))
+    got = kept.orderBy("key", "s", "v", "y").select("s", "v", "y").toArrow()
+    found = [(np.frombuffer(s.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for s, v in zip(got["s"], got["v"], strict=True)]
+    return FactorisationMachine().fit(found, got["y"].to_numpy())
 
 
 def _scaled(metadata) -> tuple:
