@@ -45,14 +45,18 @@ def _inside(x: Column, y: Column, edges: Column) -> Column:
 def points_in_polygons(points: DataFrame, polygons: DataFrame, keep: list[str], bucket: float = 2.0, x: str = "lon", y: str = "lat") -> DataFrame:
     """Every point with the ``keep`` columns of each polygon that it lies within (its sides excluded).
 
-    Polygons are spread over the square buckets that their boxes meet and joined to points by bucket, so only
-    near pairs are tested, row by row inside the JVM; no pair of tables is crossed. A point with a null coordinate is in none.
+    Polygons are spread over the square buckets that their boxes meet, each with the sides that a ray to the right from
+    a point of the bucket may cross, and joined to points by bucket. So only near pairs are tested, row by row inside the
+    JVM; no pair of tables is crossed. A point with a null coordinate is in none.
     """
     xs, ys = F.flatten(F.transform("rings", lambda r: F.transform(r, lambda p: p["x"]))), F.flatten(F.transform("rings", lambda r: F.transform(r, lambda p: p["y"])))
     cell = lambda v: F.floor(v / bucket).cast("long")
     spread = lambda v: F.explode(F.sequence(cell(F.array_min(v)), cell(F.array_max(v))))
     shapes = polygons.select(*[F.col(c).alias(f"poly_{c}") for c in keep], _edges(F.col("rings")).alias("edges_"), ys.alias("ys_"), spread(xs).alias("bx_"))
     shapes = shapes.withColumn("by_", spread(F.col("ys_"))).drop("ys_")
+    low, high, left = (F.col("by_") - 1e-9) * bucket, (F.col("by_") + 1 + 1e-9) * bucket, (F.col("bx_") - 1e-9) * bucket
+    met = lambda e: (F.greatest(e["y1"], e["y2"]) >= low) & (F.least(e["y1"], e["y2"]) <= high) & (F.greatest(e["x1"], e["x2"]) >= left)
+    shapes = shapes.withColumn("edges_", F.filter("edges_", met)).where(F.size("edges_") > 0)
     keyed = points.withColumns({"bx_": cell(F.col(x)), "by_": cell(F.col(y))})
     hit = keyed.join(shapes, ["bx_", "by_"]).where(_inside(F.col(x), F.col(y), F.col("edges_")))
     return hit.select(*points.columns, *[F.col(f"poly_{c}").alias(c) for c in keep])
