@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bitmap import bit_map
 from .components import components
 from .scratch import materialise
-from .skew import hot_keys, salted_join
-from .simhash import fingerprint, fingerprint_edges, shingle_hashes, words_of
+from .simhash import fingerprint, fingerprint_edges, words_of
 
 SAMPLE = 8192
 """Documents from which common shingles are learnt; those only go last in the order of shingles, whatever is learnt."""
@@ -20,15 +21,39 @@ COMMON = 3
 """Documents of the sample from which on a shingle is common."""
 MOST = 1 << 18
 """Common shingles that are told to the tasks at most."""
-PAIRS = 64
-"""Pairs for each entry of a key up to which all that are left meet at once."""
-HUBS = 64
-"""Hubs of a key in the last round of hubs; after it, all that are left meet."""
+PAIRS = 16
+"""Pairs for each node up to which all that are left meet at once."""
+HUBS = (1, 4, 16)
+"""Hubs of a key in rounds that come before; after them, or after one that halves nothing, all that are left meet."""
 PARITY = 1024
-"""Bits of a set's parities: two sets have as many members apart at least as they have bits apart."""
+"""Bits of a set's parities at least; a set of more members has as many bits, rounded up to a power of two."""
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+class _Words(dict):
+    """64-bit hashes of words, kept for words seen lately."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word, 3)
+        return h
+
+
+def shingles(text: str | None, size: int, seen: _Words) -> np.ndarray:
+    """A hash of every run of ``size`` words, repeats included; of all words where they are fewer; none for none."""
+    words = words_of(text)
+    h = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+    width = min(size, len(h))
+    if not width:
+        return h
+    out = np.full(len(h) - width + 1, width, np.uint64)
+    for k in range(width):
+        out = (out ^ h[k : k + len(out)]) * MIX
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * MIX
     return x ^ (x >> np.uint64(29))
@@ -51,8 +76,22 @@ def prefix(own: np.ndarray, common: np.ndarray, min_similarity: float) -> tuple[
 
 
 def parities(own: np.ndarray) -> bytes:
-    """For each of ``PARITY`` parts that a hash deals a set into, whether its size is odd."""
-    return np.packbits(np.bincount((_mixed(own) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+    """For each of so many parts that a hash deals a set into, whether its size is odd.
+
+    Two sets have as many members apart at least as they have bits apart.
+    """
+    bits = max(PARITY, 1 << max(0, len(own) - 1).bit_length())
+    return np.packbits(np.bincount((_mixed(own) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Bits in which two parities differ; the longer one is folded to the length of the other."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -67,9 +106,10 @@ def _common_shingles(chosen: DataFrame, shingle: int) -> np.ndarray:
     """Shingles of several documents of a sample, the most common ``MOST`` at most, in ascending order."""
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = _Words()
         for b in batches:
             for text in b["t"]:
-                yield pd.DataFrame({"h": np.unique(shingle_hashes(words_of(text), shingle)).view(np.int64)})
+                yield pd.DataFrame({"h": np.unique(shingles(text, shingle, seen)).view(np.int64)})
 
     rows = max(1, chosen.count())
     sample = chosen.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(rows)) < SAMPLE)
@@ -78,42 +118,100 @@ def _common_shingles(chosen: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, kind: str, min_similarity: float) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b) of nodes whose whole ``sets`` (node, n, odd, whole) are similar.
+class _Decider:
+    """Which pairs of nodes are similar: sizes and parities drop pairs that they prove apart, whole sets decide the rest."""
 
-    Pairs whose sizes or parities prove them apart are dropped before whole sets travel.
-    """
-    for x in ("a", "b"):
-        counts = pairs.groupBy(x).agg(F.count(F.lit(1)).alias("c"))
-        sizes = sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}"))
-        pairs = salted_join(pairs, sizes, [x], hot_keys(counts, [x], "c"), "b" if x == "a" else "a")
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-
-    def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            a, b = (np.frombuffer(b"".join(p[c]), np.uint8).reshape(len(p), PARITY // 8) for c in ("odd_a", "odd_b"))
-            apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-            most = (p["n_a"] + p["n_b"]).to_numpy() * ((1 - min_similarity) / (1 + min_similarity)) + 1e-6
-            yield p.loc[apart <= most, ["a", "b"]]
-
-    pairs = pairs.where(small >= large * min_similarity - 1e-6).mapInPandas(possible, f"a {kind}, b {kind}")
-    pairs = materialise(pairs.distinct(), "pairs")
-    for x in ("a", "b"):
-        counts = pairs.groupBy(x).agg(F.count(F.lit(1)).alias("c"))
-        whole = sets.select(F.col("node").alias(x), F.col("whole").alias(f"whole_{x}"))
-        pairs = salted_join(pairs, whole, [x], hot_keys(counts, [x], "c"), "b" if x == "a" else "a")
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            both = zip(p["whole_a"], p["whole_b"], strict=True)
-            good = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= min_similarity for x, y in both]
-            yield p.loc[good, ["a", "b"]]
-
-    return pairs.select("a", "b", "whole_a", "whole_b").mapInPandas(decide, f"a {kind}, b {kind}")
+    def __init__(self, nodes: DataFrame, chosen: DataFrame, kind: str, shingle: int, min_similarity: float) -> None:
+        self.nodes, self.chosen, self.kind, self.shingle, self.least = nodes, chosen, kind, shingle, min_similarity
+
+    @staticmethod
+    def _with(pairs: DataFrame, side: str, other: DataFrame) -> DataFrame:
+        """A hub has many pairs, but they are only as many as its key has members; adaptive execution splits them."""
+        return pairs.join(other.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in other.columns]), side)
+
+    def _possible(self, pairs: DataFrame) -> DataFrame:
+        least = self.least
+
+        def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in batches:
+                apart = np.array([bits_apart(a, b) for a, b in zip(p["odd_a"], p["odd_b"], strict=True)], np.int64)
+                most = (p["n_a"] + p["n_b"]).to_numpy() * ((1 - least) / (1 + least)) + 1e-6
+                yield p.loc[apart <= most, ["a", "b"]]
+
+        for side in ("a", "b"):
+            pairs = self._with(pairs, side, self.nodes.select("node", "n", "odd"))
+        sized = pairs.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-6)
+        return sized.mapInPandas(possible, f"a {self.kind}, b {self.kind}")
+
+    def _sets(self, pairs: DataFrame, count: int) -> DataFrame:
+        """(node, whole) of the nodes of ``pairs``, from their texts; a bit map tells the tasks which texts to read."""
+        needed = pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("h"))
+        index, shingle = bit_map(needed, "h", 2 * count), self.shingle
+
+        def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen = _Words()
+            for b in batches:
+                b = b[index.may_have(b["h"].to_numpy(np.int64).view(np.uint64))]
+                own = [np.unique(shingles(t, shingle, seen)) for t in b["t"]]
+                yield pd.DataFrame({"node": b["id"], "sum": [int(x.sum(dtype=np.uint64).view(np.int64)) for x in own], "whole": [x.tobytes() for x in own]})
+
+        keyed = self.chosen.select(F.xxhash64("id").alias("h"), "id", "t")
+        return keyed.mapInPandas(whole, f"node {self.kind}, sum long, whole binary").dropDuplicates(["node", "sum"]).select("node", "whole")
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """The similar ones of ``pairs`` (a, b), stored."""
+        pairs = materialise(self._possible(pairs.distinct()), "possible")
+        if not (count := pairs.count()):
+            return pairs
+        sets, least = self._sets(pairs, count), self.least
+
+        def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in batches:
+                both = zip(p["whole_a"], p["whole_b"], strict=True)
+                good = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in both]
+                yield p.loc[good, ["a", "b"]]
+
+        for side in ("a", "b"):
+            pairs = self._with(pairs, side, sets)
+        found = pairs.select("a", "b", "whole_a", "whole_b").mapInPandas(decide, f"a {self.kind}, b {self.kind}")
+        return materialise(found, "links")
 
 
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    return pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct()
+    return pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b")
+
+
+def _firm() -> Column:
+    return F.col("u") >= F.col("n")
+
+
+def _alive() -> Column:
+    return _firm() | ((F.col("u") >= F.col("low")) & (F.col("n") <= F.col("high")))
+
+
+def _ends(how=lambda x: x) -> dict:
+    """Of a key: the members, the least size and the greatest ``u`` of firm ones."""
+    return {"all": how(F.count(F.lit(1))), "low": how(F.min(F.when(_firm(), F.col("n")))), "high": how(F.max(F.when(_firm(), F.col("u"))))}
+
+
+def _entries(nodes: DataFrame, min_similarity: float) -> DataFrame:
+    """(key, node, n, u) of the first members of every node's set that others have too.
+
+    A pair whose first common key is this one shares n - at members of either set at most, so a partner's size is
+    ``u`` at most. If a member's ``u`` is below its own size n, a partner's is above, which makes that one firm; a
+    key's members that no firm one can be a partner of are left out.
+    """
+    c = min_similarity / (1 + min_similarity)
+    columns = ["key", "node", "n", ((F.col("n") - F.col("at")) / c - F.col("n") + 1e-6).alias("u")]
+    rare = nodes.select("node", "n", F.posexplode("rare").alias("at", "key")).select(*columns)
+    often = nodes.select("node", "n", F.size("rare").alias("before"), F.posexplode("often").alias("k", "key"))
+    often = often.withColumn("at", F.col("before") + F.col("k")).select(*columns)
+    same = Window.partitionBy("key")
+    rare = rare.withColumns(_ends(lambda x: x.over(same)))
+    ends = often.groupBy("key").agg(*[v.alias(k) for k, v in _ends().items()])
+    often = often.join(ends, "key")
+    kept = [x.where((F.col("all") > 1) & _alive()).select("key", "node", "n", "u") for x in (rare, often)]
+    return materialise(kept[0].union(kept[1]), "entries")
 
 
 def near_duplicate_groups(
@@ -128,9 +226,10 @@ def near_duplicate_groups(
     Whole sets decide every candidate. Whole SimHash fingerprints within ``radius`` bits (BK-trees) only name
     pairs to try first.
 
-    Members of a key that are in one component do not meet, nor do those that share too few members from the key on
-    (the first key of a similar pair passes). While the pairs left are many, members of a key meet one hub, then
-    two, four and so on, and a hub that met all others leaves its key; then all that are left meet, so none is untried.
+    Members of a key that are in one component do not meet, nor do those whose sizes and places of the key prove
+    them apart (the first key of a similar pair passes). While the pairs left are many, the members of a key meet
+    hubs, first the one with the fewest shingles of its own, and a hub that met all others leaves its key; then all
+    that are left meet, so none is untried.
 
     Null and empty texts are one group. Rows with null ids are in no group. Rows that repeat an id are one
     document. An empty table gives an empty one.
@@ -140,79 +239,66 @@ def near_duplicate_groups(
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(chosen, shingle))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = _Words()
         for b in batches:
             rows = []
             for key, text in zip(b["id"], b["t"], strict=True):
-                h = shingle_hashes(words_of(text), shingle)
+                h = shingles(text, shingle, seen)
                 own = np.unique(h)
                 s1, s2 = _mixed(own).sum(dtype=np.uint64), _mixed(own ^ MIX).sum(dtype=np.uint64)
                 rare, often = (x.view(np.int64) for x in prefix(own, common.value, min_similarity))
-                rows.append((key, int(s1.view(np.int64)), int(s2.view(np.int64)), fingerprint(h), len(own), rare, often))
-            frame = pd.DataFrame(rows, columns=["id", "s1", "s2", "fp", "n", "rare", "often"])
+                rows.append((key, int(s1.view(np.int64)), int(s2.view(np.int64)), fingerprint(h), len(own), parities(own), rare, often))
+            frame = pd.DataFrame(rows, columns=["id", "s1", "s2", "fp", "n", "odd", "rare", "often"])
             frame["fp"] = np.array(frame["fp"].tolist(), np.uint64).view(np.int64)
             yield frame
 
     found = materialise(
-        chosen.mapInPandas(work, f"id {kind}, s1 long, s2 long, fp long, n int, rare array<long>, often array<long>"), "sets"
+        chosen.mapInPandas(work, f"id {kind}, s1 long, s2 long, fp long, n int, odd binary, rare array<long>, often array<long>"), "sets"
     )
-    nodes = materialise(
-        found.groupBy("s1", "s2").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in ("fp", "n", "rare", "often")]),
-        "nodes",
-    )
-    columns = ["key", "node", "n", "at"]
-    keys = nodes.select("node", "n", F.posexplode("rare").alias("at", "key")).select(*columns)
-    often = nodes.select("node", "n", F.size("rare").alias("before"), F.posexplode("often").alias("at", "key"))
-    often = often.select("key", "node", "n", (F.col("before") + F.col("at")).alias("at"))
-    by_key = Window.partitionBy("key").orderBy("node")
-    met = keys.select("*", F.lag("node").over(by_key).alias("p"), F.lead("node").over(by_key).alias("q"))
-    entries = materialise(met.where("p is not null or q is not null").select(*columns).union(often), "entries")
-    members = chosen.join(entries.select(F.col("node").alias("id")).distinct(), "id").dropDuplicates(["id", "t"])
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            own = [np.unique(shingle_hashes(words_of(t), shingle)) for t in b["t"]]
-            yield pd.DataFrame({"node": b["id"], "n": [len(x) for x in own], "odd": [parities(x) for x in own], "whole": [x.tobytes() for x in own]})
-
-    sets = materialise(members.mapInPandas(whole, f"node {kind}, n long, odd binary, whole binary"), "members")
+    first = [F.first(c).alias(c) for c in ("fp", "n", "odd", "rare", "often")]
+    nodes = materialise(found.groupBy("s1", "s2").agg(F.min("id").alias("node"), *first), "nodes")
+    entries, decider = _entries(nodes, min_similarity), _Decider(nodes, chosen, kind, shingle, min_similarity)
     prints = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     same_print = nodes.join(prints, "fp").where("node > first").select("node", "first")
     near = fingerprint_edges(prints, radius)
     by_print = near.join(prints.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(
         prints.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v"
     )
-    edges = materialise(_similar(_ordered(by_print.select("a", "b").union(same_print), "a", "b"), sets, kind, min_similarity), "links")
-    roots, most, hubs = components(edges), PAIRS * entries.count(), 1
-    most_shared = F.least(F.col("n") - F.col("at"), F.col("hub_n") - F.col("hub_at"))  # if no member before this key is shared
-    least_shared = (F.col("n") + F.col("hub_n")) * (min_similarity / (1 + min_similarity)) - 1e-6
-    apart_yet = (F.col("root") != F.col("hub_root")) & (most_shared >= least_shared)
+    edges = decider.similar(_ordered(by_print.select("a", "b").union(same_print), "a", "b"))
+    limit, turn, before, last = PAIRS * nodes.count(), 0, None, False
+    columns = ["node", "n", "u", "root"]
+    possible = (F.col("root") != F.col("hub_root")) & (F.col("n") <= F.col("hub_u")) & (F.col("hub_n") <= F.col("u"))
+    entries = entries.withColumn("root", F.col("node"))  # in the first round all meet their hubs
     while True:
-        placed = entries.join(roots, "node", "left").select(*columns, F.coalesce("root", "node").alias("root"))
-        counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
-        counts = counts.agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"))
-        counts = counts.select("key", "all", ((F.col("all") * F.col("all") - F.col("own")) / 2).cast("long").alias("apart"))
-        live = materialise(counts.where("apart > 0"), "live")
-        apart = live.agg(F.sum("apart")).first()[0]
-        if not apart:
-            break
-        few = apart <= most or hubs > HUBS
-        hot = hot_keys(live, ["key"], "apart" if few else "all")
-        entries = materialise(salted_join(placed, live.select("key"), ["key"], hot_keys(live, ["key"], "all"), "node"), "entries")
-        if few:
-            others = entries.select("key", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "at", "root")])
-            pairs = salted_join(entries, others, ["key"], hot, "node").where(apart_yet & (F.col("node") > F.col("hub_node")))
+        if last:
+            others = entries.where(_firm()).select("key", *[F.col(c).alias(f"hub_{c}") for c in columns])
+            pairs = entries.join(others, "key").where(possible & ~(_firm() & (F.col("node") <= F.col("hub_node"))))
         else:
-            turns = [F.min(F.struct(F.xxhash64(F.lit(hubs + k), "node").alias("turn"), *columns[1:], "root")).alias(f"h{k}") for k in range(hubs)]
-            heads = entries.groupBy("key").agg(*turns)
-            heads = materialise(heads.select("key", F.array_distinct(F.array(*[F.struct(*[F.col(f"h{k}.{c}").alias(c) for c in (*columns[1:], "root")]) for k in range(hubs)])).alias("hubs")), "hubs")
-            both = salted_join(entries, heads, ["key"], hot, "node")
-            pairs = both.select("node", "n", "at", "root", F.explode("hubs").alias("x"))
-            pairs = pairs.select("node", "n", "at", "root", *[F.col(f"x.{c}").alias(f"hub_{c}") for c in ("node", "n", "at", "root")]).where(apart_yet)
-            entries = materialise(both.where(~F.array_contains(F.col("hubs.node"), F.col("node"))).select(*columns), "entries")
-            hubs *= 2
-        edges = materialise(edges.union(_similar(_ordered(pairs, "node", "hub_node"), sets, kind, min_similarity)), "links")
+            hubs = [F.max(F.struct((F.col("u") - F.col("n")).alias("turn"), *columns)).alias("h0")]
+            hubs += [F.min(F.struct(F.xxhash64(F.lit(turn * 100 + k), "node").alias("turn"), *columns)).alias(f"h{k}") for k in range(1, HUBS[turn])]
+            each = [F.struct(*[F.col(f"h{k}.{c}").alias(c) for c in columns]) for k in range(HUBS[turn])]
+            heads = entries.where(_firm()).groupBy("key").agg(*hubs).select("key", F.array_distinct(F.array(*each)).alias("hubs"))
+            both = entries.join(materialise(heads, "hubs"), "key")
+            pairs = both.select(*columns, F.explode("hubs").alias("x")).select(*columns, *[F.col(f"x.{c}").alias(f"hub_{c}") for c in columns])
+            pairs = pairs.where(possible)
+            entries = materialise(both.where(~F.array_contains(F.col("hubs.node"), F.col("node"))).select("key", "node", "n", "u"), "entries")
+            turn += 1
+        edges = edges.union(decider.similar(_ordered(pairs, "node", "hub_node")))
         roots = components(edges)
-        if few:
+        if last:
+            break
+        placed = entries.join(roots, "node", "left").select("key", "node", "n", "u", F.coalesce("root", "node").alias("root"))
+        by_root = placed.groupBy("key", "root").agg(F.count_if(_firm()).alias("firm"), *[v.alias(k) for k, v in _ends().items()])
+        live = by_root.groupBy("key").agg(
+            (F.sum("all") * F.sum("firm") - F.sum(F.col("all") * F.col("firm"))).alias("apart"), F.min("low").alias("low"), F.max("high").alias("high")
+        )
+        live = materialise(live.where("apart > 0"), "live")
+        apart = live.agg(F.sum("apart")).first()[0]
+        if not apart:
             break
+        last = apart <= limit or turn == len(HUBS) or (before is not None and 2 * apart > before)
+        before = apart
+        entries = materialise(placed.join(live.select("key", "low", "high"), "key").where(_alive()).select("key", *columns), "entries")
     labels = nodes.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("component_id"))
     return found.select("id", "s1", "s2").join(labels, ["s1", "s2"]).select(F.col("id").alias(id_col), "component_id")
 
