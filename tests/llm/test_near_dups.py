@@ -1,7 +1,10 @@
 """Near duplicates are just what the whole shingle sets say."""
 
+import os
 import random
 
+import pytest
+
 from terrapix.llm import near_dups
 
 
@@ -66,3 +69,30 @@ def test_links_between_members_of_a_family_are_those_of_brute_force(spark, monke
         monkeypatch.setattr(near_dups, "PAIRS", pairs)
         got = {r.doc_id: r.component_id for r in near_dups.near_duplicate_groups(df).collect()}
         assert [got[i] for i in range(len(texts))] == label
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_documents_of_the_smallest_tables_are_grouped_as_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sets = {}
+    for r in docs.collect():
+        w = (r.text or "").encode().lower().split()
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    links = [(i, j) for i in sets for j in sets if j < i and near(sets[i], sets[j])]
+    label = {i: i for i in sets}
+    while any(label[i] != label[j] for i, j in links):
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    assert {r.doc_id: r.component_id for r in near_dups.near_duplicate_groups(docs).collect()} == label
+
+
+def test_parities_never_show_more_apart_than_there_is():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n, more in ((10, 3), (900, 200), (3000, 10), (70_000, 9_000)):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[more // 2 :], rng.integers(0, 1 << 63, more).astype(np.uint64)]))
+        apart = near_dups.bits_apart(near_dups.parities(a), near_dups.parities(b))
+        assert apart <= len(np.setxor1d(a, b)) and apart == near_dups.bits_apart(near_dups.parities(b), near_dups.parities(a)) > 0

@@ -164,3 +164,24 @@ def test_pipeline_stages(spark, documents):
         else:
             assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()}
     assert P.run(spark, SMALL).count() > 0
+
+
+def test_pipeline_on_nulls_repeats_extra_columns_and_nothing(spark, tmp_path):
+    import corpus_pipeline as P
+
+    good = " ".join(f"word{k} goes with other{k * 7 % 50}" for k in range(60))
+    item = "a benchmark item of just ten words that must go"
+    rows = [(1, good), (2, good), (3, good.replace("word9 ", "changed ")), (4, f"{good[:300]} {item} and so on"), (None, good[500:]), (5, None), (6, ""), (7, "x"), (7, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node string, rid int, row_ string, to int, key string"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "n", 1, "r", 2, "k") for i, t in rows], schema)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, item), (None, good), (2, None)], "item_id long, text string")
+    for name, part in (("some", docs), ("none", docs.where("false"))):
+        for table, df in (("documents", part), ("labels", labels), ("benchmark", bench)):
+            df.write.parquet(str(tmp_path / name / f"{table}.parquet"))
+    for _, stage in P.STAGES[1:4]:
+        docs = stage(spark, docs, str(tmp_path / "some"))
+        assert docs.columns == [x.split()[0] for x in schema.split(", ")]
+    kept = [r.doc_id for r in docs.collect()]
+    assert set(kept) <= {1, 2, 3, 5, 6, 7, None} and {1, None} <= set(kept) and 4 not in kept
+    assert P.run(spark, str(tmp_path / "some")).count() > 0 and P.run(spark, str(tmp_path / "none")).count() == 0
