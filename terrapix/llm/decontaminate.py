@@ -30,7 +30,7 @@ class _Hashes(dict):
     """64-bit hashes of words, kept for words seen lately."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word.encode(), 1)
         return h
