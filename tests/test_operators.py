@@ -60,7 +60,7 @@ def test_nearest_without_sources(spark):
 
 def test_ranked_prefix_with_ties_and_nulls(spark):
     rows = [(i, float(i % 7) if i % 11 else None, i % 3) for i in range(500)]
-    got = {r.id: (r["rank"], r.cum_v) for r in ranking.ranked_prefix(spark.createDataFrame(rows, "id int, x double, v int"), "x", "id", ["v"], buckets=8).collect()}
+    got = {r.id: (r["rank"], r.cum_v) for r in ranking.ranked_prefix(spark.createDataFrame(rows, "id int, x double, v int"), "x", "id", ["v"], levels=3).collect()}
     total = 0
     for k, (i, _, v) in enumerate(sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0])), 1):
         total += v
@@ -70,7 +70,7 @@ def test_ranked_prefix_with_ties_and_nulls(spark):
 def test_ranked_prefix_of_one_value(spark):
     df = spark.range(2000).select(F.col("id"), F.when(F.col("id") % 3 > 0, 1.0).otherwise(F.col("id") / 1000).alias("x"), F.lit(1).alias("v"))
     order = sorted(((-(1.0 if i % 3 else i / 1000)), i) for i in range(2000))
-    got = {r.id: (r["rank"], r.cum_v) for r in ranking.ranked_prefix(df, "x", "id", ["v"], buckets=16).collect()}
+    got = {r.id: (r["rank"], r.cum_v) for r in ranking.ranked_prefix(df, "x", "id", ["v"], levels=4).collect()}
     assert got == {i: (k, k) for k, (_, i) in enumerate(order, 1)}
 
 
