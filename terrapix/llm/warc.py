@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import materialise
 from .skew import hot_keys, salted_join
 
 END = "\r\n\r\n"
@@ -68,7 +69,8 @@ def write_warc(
     The payload is the body in UTF-8 (null: empty). Of rows with equal payloads of at least
     ``min_revisit_bytes`` bytes the one with the smallest id is a response, and the others revisit it without
     a payload; rows that repeat that id with that payload are responses too, and if no row of a group has an
-    id, all are responses. A null url is left out of the headers. Line breaks in a url become blanks. An empty
+    id, all are responses. Every row has three records of its own: rows that repeat another in id, url and payload
+    are numbered. A null id is left out of the metadata and a null url out of the headers. Line breaks in a url become blanks. An empty
     table writes an archive without records. A file ends after ``file_bytes`` stored bytes, so it has less than
     that and one record more.
 
@@ -78,27 +80,39 @@ def write_warc(
     task that is run again leaves no second copy.
     """
     body = F.coalesce(F.col(body_col), F.lit(""))
+    page, url = F.col(id_col).cast("string"), F.regexp_replace(F.col(url_col), r"[\r\n]", " ")
+    digest, known = F.sha1(body.cast("binary")), lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
     rows = pages.select(
-        F.col(id_col).cast("string").alias("page"),
+        page.alias("page"),
         F.col(id_col).alias("id"),
-        F.regexp_replace(F.col(url_col), r"[\r\n]", " ").alias("url"),
+        url.alias("url"),
         body.alias("body"),
-        F.sha1(body.cast("binary")).alias("digest"),
+        digest.alias("digest"),
+        F.md5(F.concat_ws("|", known(page), digest, known(url))).alias("key"),
     )
+    able = (F.octet_length("body") >= min_revisit_bytes) & F.col("id").isNotNull()
     firsts = (
-        rows.where(F.octet_length("body") >= min_revisit_bytes)
-        .groupBy("digest")
-        .agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1 and first is not null")
-        .select("digest", "first", "n")
+        rows.groupBy("digest")
+        .agg(F.min(F.when(able, F.struct("id", "key"))).alias("origin"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
     )
-    light = rows.where(F.octet_length("body") >= min_revisit_bytes).select("id", "digest")
-    later = salted_join(light, firsts.drop("n"), ["digest"], hot_keys(firsts, ["digest"], "n"), "id").where("not (id <=> first)").distinct()
-    later = later.select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "first")
-    marked = rows.join(later, F.col("id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
+    light = rows.select("id", "key", "digest")
+    met = salted_join(light, firsts.drop("n"), ["digest"], hot_keys(firsts, ["digest"], "n"), "key")
+    first = F.when(~F.col("id").eqNullSafe(F.col("origin.id")), F.col("origin.key"))
+    marks = met.groupBy("key").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"))
+    marks = materialise(marks.where("first is not null or copies > 1"), "marks")
+    repeats = marks.where("copies > 1")
+    marked = rows.join(marks, "key", "left").withColumn("copy", F.lit(0).cast("long"))
+    if not repeats.isEmpty():
+        placed = rows.withColumn("nth", F.monotonically_increasing_id())
+        met = salted_join(placed, repeats, ["key"], hot_keys(repeats, ["key"], "copies"), "nth").drop("nth")
+        same = [F.first(c).alias(c) for c in met.columns if c != "key"]
+        copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
+        again = met.groupBy("key").agg(*same).select("*", copy)
+        marked = marked.where("coalesce(copies, 1) = 1").unionByName(again)
     again = F.col("first").isNotNull()
-    main_id = _uuid(F.coalesce("page", F.lit("null")), F.col("digest"), F.lit("response"))
-    origin = _uuid(F.col("first").cast("string"), F.col("digest"), F.lit("response"))
+    main_id = _uuid(F.col("key"), F.col("copy").cast("string"), F.lit("response"))
+    origin = _uuid(F.col("first"), F.lit("0"), F.lit("response"))
     common = [("WARC-Target-URI", F.col("url")), ("WARC-Date", F.lit(DATE))]
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8" + END), F.when(again, F.lit("")).otherwise(F.col("body")))
     main = _record(
@@ -124,7 +138,7 @@ def write_warc(
         block,
     )
     request = side("request", "application/http; msgtype=request", F.concat(F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(" HTTP/1.1" + END)))
-    meta = side("metadata", "application/warc-fields", F.concat(F.lit("page-id: "), F.coalesce("page", F.lit("")), F.lit("\r\n")))
+    meta = side("metadata", "application/warc-fields", F.when(F.col("page").isNull(), F.lit("")).otherwise(F.concat(F.lit("page-id: "), F.col("page"), F.lit("\r\n"))))
     out = marked.select(F.explode(F.array(request, main, meta)).alias("value"))
     if files:
         out = out.repartition(files)

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from terrapix.llm import chat, components, decontaminate, embeddings, line_dedup, near_dups, packing, quality, secrets, sharding, simhash, tokens, warc
+from terrapix.llm import chat, components, decontaminate, embeddings, line_dedup, near_dups, packing, quality, queries, secrets, sharding, simhash, tokens, warc
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, unit int, gone string, lines string, row string, doc string, id string, t string, fp string, n_lines int, score double, part_ int"
 LONG = " ".join(f"word{i % 977} other{i}" for i in range(60_000))
@@ -324,21 +324,30 @@ def test_warc(spark, tmp_path):
         path = str(tmp_path / compression)
         warc.write_warc(pages, path, compression=compression)
         got = warc.assemble(warc.read_warc(spark, path)).collect()
-        kinds = sorted((r.metadata["fields"]["page-id"], r.capture.record_type) for r in got)
+        kinds = sorted((r.metadata["fields"].get("page-id", ""), r.capture.record_type) for r in got)
         assert ("3", "revisit") in kinds and ("1", "response") in kinds and ("5", "revisit") in kinds and ("2", "response") in kinds
         assert all(r.request is not None and r.capture.computed_digest is not None for r in got)
         assert {bytes(r.capture.payload).decode() for r in got if r.capture.record_type == "response"} == {html, "", "only"}
-        assert all(r.origin.payload_bytes == len(html.encode()) for r in got if r.metadata["fields"]["page-id"] == "3")
+        assert all(r.origin.payload_bytes == len(html.encode()) for r in got if r.metadata["fields"].get("page-id") == "3")
     path = str(tmp_path / "small")
     warc.write_warc(pages, path, file_bytes=1000)
     stored = [p.read_bytes() for p in (tmp_path / "small").rglob("part-*")]
     assert len(stored) > 3 and all(len(x) < 2000 for x in stored)
-    assert len(warc.assemble(warc.read_warc(spark, path)).collect()) == len({(r[0], r[2] or "") for r in data})
+    assert len(warc.assemble(warc.read_warc(spark, path)).collect()) == len(data)
     path = str(tmp_path / "empty")
     warc.write_warc(pages.where("false"), path)
     assert warc.assemble(warc.read_warc(spark, path)).count() == 0
 
 
+def test_repeated_pages_and_null_ids_are_rows_of_their_own(spark, tmp_path):
+    data = [(1, "u", "a"), (1, "u", "a"), (1, "v", "a"), (None, "u", "a"), (None, "u", "a"), (2, "u", "a"), (2, "u", "a"), (7, "u", "only"), (None, None, "b"), (None, None, "b")]
+    pages = spark.createDataFrame([(*r, 1, "x") for r in data], "page_id long, url string, html string, copies int, key string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in queries.op9_warc(spark, str(tmp_path)).collect())
+    again = [(0, 1, "revisit", 1)] * 2 + [(2, 1, "revisit", 1)] * 2
+    assert got == sorted([(1, 1, "response", 0)] * 3 + again + [(7, 4, "response", 0)] + [(0, 1, "response", 0)] * 2)
+
+
 def test_archives_of_others_are_read_as_streams():
     import gzip
     import io
