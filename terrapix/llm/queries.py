@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each applies one operator to its whole table."""
+"""The queries op1 to op13: each applies one operator to its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, line_dedup, packing, quality, secrets, sharding, simhash, tokens, warc
+from . import chat, decontaminate, embeddings, line_dedup, packing, pieces, quality, secrets, sharding, simhash, tokens, warc
 from .scratch import materialise, scratch_path
 
 
@@ -109,5 +109,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 0.8)
 
 
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids, of the byte spans of its pieces and of the decoded text."""
+    model = pieces.read_model(tokens.public_piece_bpe())
+    return pieces.encode_texts(_table(spark, sf_dir, "documents"), model, with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}

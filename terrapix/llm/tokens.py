@@ -8,3 +8,10 @@ def public_byte_bpe(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
     import public_tokenizers
 
     return str(public_tokenizers.path(name)), public_tokenizers.PATTERN
+
+
+def public_piece_bpe(name: str = "piece_bpe_32k.model") -> str:
+    """Path of the sentencepiece model."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
