@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, line_dedup, packing, pieces, quality, secrets, sharding, simhash, tokens, warc
+from . import chat, decontaminate, embeddings, line_dedup, packing, pieces, quality, secrets, sharding, simhash, tokens, warc, whitening
 from .scratch import materialise, scratch_path
 
 
@@ -109,6 +109,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 0.8)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's whitened coordinates on the first 32 components."""
+    found = whitening.whiten_embeddings(_table(spark, sf_dir, "embeddings"), 32)
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids, of the byte spans of its pieces and of the decoded text."""
     model = pieces.read_model(tokens.public_piece_bpe())
