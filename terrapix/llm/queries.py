@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, line_dedup, packing, pieces, quality, secrets, sharding, simhash, tokens, warc, whitening
+from . import chat, decontaminate, embeddings, line_dedup, packing, pieces, quality, secrets, sharding, simhash, tokens, trie, warc, whitening
 from .scratch import materialise, scratch_path
 
 
@@ -115,6 +115,14 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, whose first turns are those of the conversation with the next lower multiple of 5."""
+    placed = trie.in_order(trie.turn_keys(_table(spark, sf_dir, "conversations")))
+    c = F.col("c")
+    mixed = trie.graft_heads(placed, c - c % 5, F.crc32(c.cast("string")) % 9, 8)
+    return trie.trie_nodes(mixed, placed.select("c").distinct())
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids, of the byte spans of its pieces and of the decoded text."""
     model = pieces.read_model(tokens.public_piece_bpe())
