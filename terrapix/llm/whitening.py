@@ -10,7 +10,7 @@ from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
 from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import materialise
@@ -80,27 +80,29 @@ def _centred(x: str, sums: list[int], n: int):
     return F.zip_with(F.col(x), fixed, lambda a, s: (a * n - s).cast("double") / n)
 
 
-def fit_whitening(rows: DataFrame, n: int, sums: list[int], size: int, parts: int = 1) -> Whitening:
-    """The components of all ``rows`` (index below ``size``, x), ``n`` vectors of one length: blocks, scatter, local eigenvectors."""
-    centred = rows.select("index", _centred("x", sums, n).alias("vector"))
-    covariance = scatter(block_matrix(centred, size, len(sums), parts)) / n
+def centred_blocks(rows: DataFrame, n: int, sums: list[int], size: int, parts: int = 1) -> BlockMatrix:
+    """Blocks of the centred ``rows`` (index below ``size``, x), ``n`` vectors of one length with the given sums."""
+    return block_matrix(rows.select("index", _centred("x", sums, n).alias("vector")), size, len(sums), parts)
+
+
+def fit_whitening(blocks: BlockMatrix, n: int, sums: list[int]) -> Whitening:
+    """The components of all rows, from their centred blocks: scatter, then local eigenvectors."""
+    covariance = scatter(blocks) / n
     values, vectors = np.linalg.eigh((covariance + covariance.T) / 2)
     values, vectors = values[::-1], vectors[:, ::-1]
     least = max(values[0], 0.0) * len(sums) * np.finfo(float).eps
     return Whitening(n, sums, values, vectors, float(np.trace(covariance)), int((values > least).sum()))
 
 
-def project(rows: DataFrame, model: Whitening, components: int, size: int, parts: int = 1) -> DataFrame:
-    """(index, whitened): the blocks of centred rows times the whitening matrix of the first components. Blocks are
-    whole, so an index that has no row in ``rows`` may come with zeros."""
-    centred = rows.select("index", _centred("x", model.sums, model.n).alias("vector"))
-    left = block_matrix(centred, size, len(model.sums), parts)
+def project(spark: SparkSession, blocks: BlockMatrix, model: Whitening, components: int) -> DataFrame:
+    """(index, whitened): centred blocks times the whitening matrix of the first components. Blocks are whole, so an
+    index without a row may come with zeros."""
     whitener = model.vectors[:, :components] / np.sqrt(model.values[:components])
-    step = left.colsPerBlock
+    step = blocks.colsPerBlock
     cut = [whitener[k : k + step] for k in range(0, len(whitener), step)]
-    blocks = [((k, 0), DenseMatrix(len(x), components, x.flatten("F").tolist())) for k, x in enumerate(cut)]
-    right = BlockMatrix(rows.sparkSession.sparkContext.parallelize(blocks, 1), step, components, len(whitener), components)
-    found = left.multiply(right).toIndexedRowMatrix()
+    parts = [((k, 0), DenseMatrix(len(x), components, x.flatten("F").tolist())) for k, x in enumerate(cut)]
+    right = BlockMatrix(spark.sparkContext.parallelize(parts, 1), step, components, len(whitener), components)
+    found = blocks.multiply(right).toIndexedRowMatrix()
     table = callMLlibFunc("getIndexedRows", found._java_matrix_wrapper._java_model)
     return table.select("index", vector_to_array("vector").alias("whitened"))
 
@@ -142,14 +144,15 @@ def whiten_embeddings(df: DataFrame, components: int = 32, id_col: str = "vec_id
 
 
 def _whiten(rows: DataFrame, n: int, sums: list[int], components: int, size: int, parts: int) -> DataFrame:
-    model = fit_whitening(rows, n, sums, size, parts)
+    blocks = centred_blocks(rows, n, sums, size, parts)
+    model = fit_whitening(blocks, n, sums)
     used, error = min(components, model.rank), None
     fixed = F.array(*[F.lit(s) for s in sums])
     squares = F.zip_with("x", fixed, lambda a, s: (a * n - s).cast("decimal(19,0)"))
     total = F.aggregate(squares, F.lit(0).cast("decimal(38,0)"), lambda acc, d: (acc + d * d).cast("decimal(38,0)"))
     out = rows.select("key_", "index", total.alias("deviation"))
     if used:
-        out = materialise(out.join(project(rows, model, used, size, parts), "index"), "whitened")
+        out = materialise(out.join(project(rows.sparkSession, blocks, model, used), "index"), "whitened")
         means = out.select(F.posexplode("whitened").alias("at", "w")).groupBy("at").agg(F.avg("w").alias("m")).orderBy("at").collect()
         centre = F.array(*[F.lit(r.m) for r in means])
         centred = out.select("index", F.zip_with("whitened", centre, lambda a, m: a - m).alias("vector"))
