@@ -1,18 +1,26 @@
-"""Spatial joins on grid buckets: point in polygon, nearest and k nearest neighbours, grid snapping and sampling."""
+"""Spatial joins: point in polygon, nearest and k nearest neighbours, grid snapping and sampling."""
 
 from __future__ import annotations
 
 import math
 from functools import reduce
-from itertools import product
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import stored
+from .kdtree import CHUNK, Boxes, Leaf, splitters
 
-FULL = 256
-"""Sources of a cube, for each neighbour that is asked for, above which the first cubes are made smaller."""
+SAMPLE = 1 << 18
+"""Sources from which the splitters of leaves are taken; they come to the driver."""
+LEAF = 4096
+"""Sources of a leaf, about; more where the tables have over 2**27 sources, as there are 2**15 leaves at most."""
+TARGETS = 8192
+"""Targets that one task looks up in a leaf."""
+PLACE_PARTS = 64
 
 
 def rectangles(df: DataFrame, lat_lo: str = "lat_lo", lat_hi: str = "lat_hi", lon_lo: str = "lon_lo", lon_hi: str = "lon_hi") -> DataFrame:
@@ -105,6 +113,43 @@ def equal_area_xy(lat: Column, lon: Column, radius: float = 6371000.0) -> tuple[
     return radius * F.radians(lon), radius * F.sin(F.radians(lat))
 
 
+def _located(rows: DataFrame, tree: DataFrame, columns: list[str], depth: int) -> DataFrame:
+    """``rows`` with ``leaf_``: the leaf of a k-d tree (one row of arrays ``axis_`` and ``value_``) that holds them."""
+    rows = rows.crossJoin(F.broadcast(tree)).withColumn("leaf_", F.lit(1))
+    at = F.array(*columns)
+    for _ in range(depth):
+        beyond = F.get(at, F.get("axis_", F.col("leaf_"))) >= F.get("value_", F.col("leaf_"))
+        rows = rows.withColumn("leaf_", F.col("leaf_") * 2 + F.when(beyond, F.lit(1)).otherwise(F.lit(0)))
+    return rows.withColumn("leaf_", F.col("leaf_") - (1 << depth)).drop("axis_", "value_")
+
+
+def _first_of_places(sources: DataFrame, place: list[str], k: int) -> DataFrame:
+    """The ``k`` first sources by key of every place, as no other source of a place is ever among the nearest. Places
+    are counted, and one with many sources is ranked in parts first."""
+    counts = sources.groupBy(*place).agg(F.count("*").alias("k_")).where(F.col("k_") > k)
+    if counts.isEmpty():
+        return sources
+    part = F.pmod(F.xxhash64("s_"), F.lit(PLACE_PARTS))
+    for by in ([*place, "part_"], place):
+        sources = sources if "part_" in sources.columns else sources.withColumn("part_", part)
+        sources = sources.withColumn("rn_", F.row_number().over(Window.partitionBy(*by).orderBy("s_"))).where(F.col("rn_") <= k)
+    return stored(sources.drop("part_", "rn_"), "places")
+
+
+def _dealt(asks: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides by leaf and part: a leaf that many targets ask is copied, and its targets are dealt over the copies."""
+    parts = asks.groupBy("leaf_").agg(F.ceil(F.count("*") / TARGETS).alias("parts_"))
+    parts = F.broadcast(parts)  # as many rows as leaves at most
+    left = asks.join(parts, "leaf_").withColumn("part_", F.pmod(F.xxhash64("t_"), F.col("parts_"))).drop("parts_")
+    right = sources.join(parts, "leaf_").withColumn("part_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_").cast("long") - 1))).drop("parts_")
+    return left, right
+
+
+def _stacked(a: pa.Array | pa.ChunkedArray, b: pa.Array | pa.ChunkedArray) -> pa.ChunkedArray:
+    parts = [c for x in (a, b) for c in (x.chunks if isinstance(x, pa.ChunkedArray) else [x])]
+    return pa.chunked_array(parts, a.type)
+
+
 def nearest(
     targets: DataFrame,
     sources: DataFrame,
@@ -116,57 +161,94 @@ def nearest(
 ) -> DataFrame:
     """(target_key, source_key, keep..., d2, rank) of the ``k`` nearest sources of every target, ties by source key.
 
-    Both sides are bucketed into cubes of the ``axes`` (two or three). A target looks at the cubes around it; its
-    answer is complete if the k-th distance is at most the side of a cube, else it goes on to cubes of twice the side.
-    The first side is so small that the fullest cube has few sources, so dense regions end in the first rounds, and only
-    targets in empty regions go on; rounds end when a cube covers all. Sources and targets with a null coordinate are
-    left out; fewer than ``k`` sources give fewer rows.
+    Sources are cut into the leaves of a k-d tree, whose splitters are medians of a sample (``SAMPLE`` rows at most; it
+    only tells how rows are dealt). A target is looked up in its own leaf, which gives a first bound; after that only
+    leaves whose boxes are within the bound are asked. Inside a leaf a small tree does the same. A leaf that many targets
+    ask is copied for parts of them, and of sources at one place only the first ``k`` count, so dense towns and repeated
+    places cost no more than others. Sources and targets with a null coordinate are left out; fewer than ``k`` sources
+    give fewer rows. Keys are numbers or texts; target keys are not repeated.
     """
-    known = lambda df: df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in axes]))
-    src = known(sources).select(F.col(source_key).alias("s_"), *[F.col(c).alias(f"s{i}_") for i, c in enumerate(axes)], *[F.col(c).alias(f"v_{c}") for c in keep])
-    left = known(targets).select(F.col(target_key).alias("t_"), *[F.col(c).alias(f"t{i}_") for i, c in enumerate(axes)])
-    names, dims = ["t_", "s_", *[f"v_{c}" for c in keep], "d2", "rank"], range(len(axes))
-    ends = lambda df, p: df.agg(F.count("*"), *[f(f"{p}{i}_") for i in dims for f in (F.min, F.max)]).first()
-    box = ends(src, "s")
-    if not box[0]:
-        empty = left.join(src, F.lit(False)).withColumns({"d2": F.lit(0.0), "rank": F.lit(1)})
-        return empty.select(*names).toDF(target_key, source_key, *keep, "d2", "rank")
-    own = ends(left, "t")
-    own = own if own[0] else box
-    span = max(*[max(box[2 + 2 * i], own[2 + 2 * i]) - min(box[1 + 2 * i], own[1 + 2 * i]) for i in dims], 1e-9)
-    extent = max(*[box[2 + 2 * i] - box[1 + 2 * i] for i in dims], 1e-9)
-    side = max(span / 1e6, extent / max(1.0, (box[0] / (2.0 * k)) ** (1 / len(axes))))
-    cell = lambda v, s: F.floor(F.col(v) / s).cast("long")
-    for _ in range(12):
-        fullest = src.groupBy(*[cell(f"s{i}_", side) for i in dims]).count().agg(F.max("count")).first()[0]
-        if fullest <= FULL * k or side <= span / 1e6:
-            break
-        side /= 2
-    offsets = [[F.lit(o).alias(f"o{i}") for i, o in enumerate(c)] for c in product((-1, 0, 1), repeat=len(axes))]
-    around, cells = F.explode(F.array(*[F.struct(*o) for o in offsets])), [f"c{i}_" for i in dims]
-    done, rounds = [], 0
-    while True:
-        last = side >= 2 * span or rounds > 60
-        asked = left.withColumn("o_", around).select("t_", *[f"t{i}_" for i in dims], *[(cell(f"t{i}_", side) + F.col(f"o_.o{i}")).alias(c) for i, c in enumerate(cells)])
-        held = src.withColumns({c: cell(f"s{i}_", side) for i, c in enumerate(cells)})
-        d2 = reduce(lambda a, b: a + b, [(F.col(f"t{i}_") - F.col(f"s{i}_")) ** 2 for i in dims])
-        pairs = asked.join(held, cells).withColumn("d2", d2)
-        if k == 1:
-            best = pairs.groupBy("t_").agg(F.min(F.struct("d2", "s_", *[f"v_{c}" for c in keep])).alias("b")).select("t_", "b.*").withColumn("rank", F.lit(1))
-            found = best.withColumn("far", F.col("d2"))
-        else:
-            w = Window.partitionBy("t_").orderBy("d2", "s_")
-            best = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            found = best.withColumn("far", F.when(F.count("*").over(Window.partitionBy("t_")) == k, F.max("d2").over(Window.partitionBy("t_"))))
-        if last:
-            done.append(found.select(*names))
-            break
-        done.append(stored(found.where(F.col("far") <= side * side).select(*names), "near"))
-        left = stored(left.join(done[-1].select("t_").distinct(), "t_", "left_anti"), "left")
-        if left.isEmpty():
-            break
-        side, rounds = side * 2, rounds + 1
-    return reduce(lambda a, b: a.union(b), done).toDF(target_key, source_key, *keep, "d2", "rank")
+    known = lambda df: df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in axes]))
+    at = lambda p: [F.col(c).cast("double").alias(f"{p}{i}_") for i, c in enumerate(axes)]
+    src = known(sources).select(F.col(source_key).alias("s_"), *at("s"), *[F.col(c).alias(f"v_{c}") for c in keep])
+    left = known(targets).select(F.col(target_key).alias("t_"), *at("t"))
+    sc, tc, dims = [f"s{i}_" for i in range(len(axes))], [f"t{i}_" for i in range(len(axes))], len(axes)
+    names = ["t_", "s_", *[f"v_{c}" for c in keep], "d2"]
+    src = _first_of_places(stored(src, "sources"), sc, k)
+    n = src.count()
+    depth = max(0, min((n // LEAF).bit_length(), (SAMPLE // 8).bit_length() - 1)) if n > LEAF else 0
+    seen = src.where(F.pmod(F.xxhash64("s_"), F.lit(max(n, 1))) < SAMPLE).select(*sc).limit(2 * SAMPLE)
+    axis, value = splitters(seen.toPandas().to_numpy(np.float64).reshape(-1, dims), depth) if depth else ([0], [0.0])
+    spark = src.sparkSession
+    tree = spark.createDataFrame([(axis, value)], "axis_ array<int>, value_ array<double>")
+    held = _located(src, tree, sc, depth)
+    held = stored(held, "leaves") if depth else held
+    low, high, count = np.full((1 << depth, dims), np.inf), np.full((1 << depth, dims), -np.inf), np.zeros(1 << depth, np.int64)
+    ends = held.groupBy("leaf_").agg(F.count("*").alias("n"), *[f(c).alias(f"{p}{i}") for i, c in enumerate(sc) for p, f in (("lo", F.min), ("hi", F.max))])
+    for r in ends.collect():  # a row for every leaf
+        count[r.leaf_], low[r.leaf_], high[r.leaf_] = r.n, [r[f"lo{i}"] for i in range(dims)], [r[f"hi{i}"] for i in range(dims)]
+    boxes = Boxes.of_leaves(low, high, count)
+
+    def rows_of(t: pa.Table, s: pa.Table, row: np.ndarray, point: np.ndarray, d2: np.ndarray) -> dict:
+        """Columns of pairs, with the types that they came with."""
+        return {"t_": t["t_"].take(pa.array(row)), **{c: s[c].take(pa.array(point)) for c in names[1:-1]}, "d2": pa.array(d2)}
+
+    def numbers(t: pa.Table, columns: list[str]) -> np.ndarray:
+        return np.stack([t[c].to_numpy(zero_copy_only=False) for c in columns], 1).astype(np.float64).reshape(-1, dims)
+
+    def leaf_of(s: pa.Table) -> Leaf:
+        rank = np.empty(len(s), np.int64)
+        rank[pc.sort_indices(s["s_"]).to_numpy()] = np.arange(len(s))
+        return Leaf(numbers(s, sc), rank, k)
+
+    def own(t: pa.Table, s: pa.Table) -> pa.Table:
+        """The nearest of the own leaf, and a row for every other leaf within the bound that they give."""
+        q, leaf = numbers(t, tc), t["leaf_"].to_numpy().astype(np.int64)
+        r2 = boxes.bound(q, leaf, k)
+        row, point, d2 = leaf_of(s).search(q, k, r2)
+        full = np.bincount(row, minlength=len(q)) == k
+        last = np.zeros(len(q))
+        np.maximum.at(last, row, d2)
+        r2 = np.where(full, np.minimum(r2, last), r2)
+        found = rows_of(t, s, row, point, d2)
+        asks, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        todo = [(a, min(a + CHUNK, len(q))) for a in range(0, len(q), CHUNK)]
+        while todo:
+            a, z = todo.pop()
+            met = boxes.meeting(q[a:z], r2[a:z], k)
+            if met is None:
+                todo += [(a, (a + z) // 2), ((a + z) // 2, z)]
+                continue
+            r2[a:z] = met[3]
+            other = met[1] != leaf[a:z][met[0]]
+            asks.append(met[0][other] + a)
+            to.append(met[1][other])
+        asks, to = np.concatenate(asks), np.concatenate(to)
+        asked = {"t_": t["t_"].take(pa.array(asks)), "d2": pa.array(r2[asks])}
+        both = {c: _stacked(x, asked.get(c, pa.nulls(len(asks), x.type))) for c, x in found.items()}
+        both |= {c: _stacked(pa.nulls(len(row), pa.float64()), pa.array(q[asks, i])) for i, c in enumerate(tc)}
+        both["leaf_"] = _stacked(pa.nulls(len(row), pa.int32()), pa.array(to.astype(np.int32)))
+        return pa.table(both)
+
+    def other(t: pa.Table, s: pa.Table) -> pa.Table:
+        return pa.table(rows_of(t, s, *leaf_of(s).search(numbers(t, tc), k, t["d2"].to_numpy().astype(np.float64))))
+
+    by = ["leaf_", "part_"]
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.join(src, F.lit(False)).withColumn("d2", F.lit(0.0)).select(*names).schema)
+    first, right = _dealt(_located(left, tree, tc, depth), held)
+    first = first.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(own, f"{kind}, " + ", ".join(f"{c} double" for c in tc) + ", leaf_ int")
+    found = first.select(*names)
+    if depth:
+        first = stored(first, "near")
+        found = first.where("leaf_ is null").select(*names)
+        asks, right = _dealt(first.where("leaf_ is not null").select("t_", *tc, "leaf_", "d2"), held)
+        found = found.union(asks.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(other, kind))
+    if k == 1:
+        best = found.groupBy("t_").agg(F.min(F.struct("d2", *names[1:-1])).alias("b")).select("t_", *[f"b.`{c}`" for c in names[1:]]).withColumn("rank", F.lit(1))
+    else:
+        w = Window.partitionBy("t_").orderBy("d2", "s_")  # k rows for each leaf that a target has asked
+        best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.select(*names, "rank").toDF(target_key, source_key, *keep, "d2", "rank")
 
 
 def fill_nonpositive_nearest(df: DataFrame, columns: list[str], key: str) -> DataFrame:

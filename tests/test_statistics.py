@@ -74,7 +74,8 @@ def test_front_by_brute_force(spark, monkeypatch, shape):
 
 
 def test_nearest_in_a_dense_town_and_in_three_dimensions(spark, monkeypatch):
-    monkeypatch.setattr(spatial, "FULL", 4)
+    for name, value in (("LEAF", 8), ("SAMPLE", 128), ("TARGETS", 7), ("PLACE_PARTS", 3)):
+        monkeypatch.setattr(spatial, name, value)
     rng = np.random.default_rng(5)
     src = np.concatenate([rng.normal(size=(300, 3)) * 0.01, rng.normal(size=(60, 3)) * 20])
     tgt = np.concatenate([rng.normal(size=(40, 3)) * 0.01, rng.normal(size=(40, 3)) * 20])
