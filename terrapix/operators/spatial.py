@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import stored
+from .cover import SIDES, TOP, covers, within
 from .kdtree import CHUNK, Boxes, Leaf, splitters
 
 SAMPLE = 1 << 18
@@ -21,6 +22,9 @@ LEAF = 4096
 TARGETS = 8192
 """Targets that one task looks up in a leaf."""
 PLACE_PARTS = 64
+FEW_CELLS = 20_000
+"""Cells of a cover that are broadcast: with ``SIDES`` sides each about 10 MB."""
+HOT_CELL = 1 << 16
 
 
 def rectangles(df: DataFrame, lat_lo: str = "lat_lo", lat_hi: str = "lat_hi", lon_lo: str = "lon_lo", lon_hi: str = "lon_hi") -> DataFrame:
@@ -30,69 +34,61 @@ def rectangles(df: DataFrame, lat_lo: str = "lat_lo", lat_hi: str = "lat_hi", lo
     return df.withColumn("rings", F.array(ring))
 
 
-def _edges(rings: Column) -> Column:
-    """Sides of all rings; an open ring is closed."""
+def points_in_polygons(points: DataFrame, polygons: DataFrame, keep: list[str], x: str = "lon", y: str = "lat", sides: int = SIDES) -> DataFrame:
+    """Every point with the ``keep`` columns of each polygon that it lies within (its sides excluded; even-odd rule).
 
-    def sides(ring: Column) -> Column:
-        return F.transform(ring, lambda p, i: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), F.get(ring, (i + 1) % F.size(ring))["x"].alias("x2"), F.get(ring, (i + 1) % F.size(ring))["y"].alias("y2")))
-
-    return F.flatten(F.transform(rings, sides))
-
-
-def _inside(x: Column, y: Column, edges: Column) -> Column:
-    """Even-odd test; a point on a side is outside."""
-    crosses = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"])
-    on = lambda e: (
-        ((e["x2"] - e["x1"]) * (y - e["y1"]) == (e["y2"] - e["y1"]) * (x - e["x1"]))
-        & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-        & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-    )
-    return (F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1) & ~F.exists(edges, on)
-
-
-def points_in_polygons(points: DataFrame, polygons: DataFrame, keep: list[str], bucket: float = 2.0, x: str = "lon", y: str = "lat") -> DataFrame:
-    """Every point with the ``keep`` columns of each polygon that it lies within (its sides excluded).
-
-    Polygons are spread over the square buckets that their boxes meet, each with the sides that a ray to the right from
-    a point of the bucket may cross, and joined to points by bucket. So only near pairs are tested, row by row inside the
-    JVM; no pair of tables is crossed. A point with a null coordinate is in none.
+    Polygons are covered by quadtree cells (:mod:`cover`), which are split until few sides are left in each. A point meets
+    the cells that hold it, one a level; an interior cell needs no test and a border cell one of its own sides only, row
+    by row inside the JVM. A cover of up to ``FEW_CELLS`` cells is broadcast; else points are joined by cell, those of
+    cells with over ``HOT_CELL`` points in parts. A point without both coordinates is in none.
     """
-    xs, ys = F.flatten(F.transform("rings", lambda r: F.transform(r, lambda p: p["x"]))), F.flatten(F.transform("rings", lambda r: F.transform(r, lambda p: p["y"])))
-    cell = lambda v: F.floor(v / bucket).cast("long")
-    spread = lambda v: F.explode(F.sequence(cell(F.array_min(v)), cell(F.array_max(v))))
-    shapes = polygons.select(*[F.col(c).alias(f"poly_{c}") for c in keep], _edges(F.col("rings")).alias("edges_"), ys.alias("ys_"), spread(xs).alias("bx_"))
-    shapes = shapes.withColumn("by_", spread(F.col("ys_"))).drop("ys_")
-    low, high, left = (F.col("by_") - 1e-9) * bucket, (F.col("by_") + 1 + 1e-9) * bucket, (F.col("bx_") - 1e-9) * bucket
-    met = lambda e: (F.greatest(e["y1"], e["y2"]) >= low) & (F.least(e["y1"], e["y2"]) <= high) & (F.greatest(e["x1"], e["x2"]) >= left)
-    shapes = shapes.withColumn("edges_", F.filter("edges_", met)).where(F.size("edges_") > 0)
-    keyed = points.withColumns({"bx_": cell(F.col(x)), "by_": cell(F.col(y))})
-    hit = keyed.join(shapes, ["bx_", "by_"]).where(_inside(F.col(x), F.col(y), F.col("edges_")))
+    cover = stored(covers(polygons, keep, sides), "cover")
+    n = cover.count()
+    levels = [r.level for r in cover.select("level").distinct().collect()]  # 17 at most
+    there = (F.abs(x) < 1e9) & (F.abs(y) < 1e9)
+    size = lambda c: F.lit(TOP) / F.pow(F.lit(2.0), c)
+    cell = F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")).alias("level")
+    keyed = points.where(there).select("*", cell).withColumns({"ix": F.floor(F.col(x) / size(F.col("level"))), "iy": F.floor(F.col(y) / size(F.col("level")))})
+    by = ["level", "ix", "iy"]
+    named = cover.select(*[F.col(c).alias(f"{c}_") for c in by], *[c for c in cover.columns if c not in by])
+    same = [F.col(c) == F.col(f"{c}_") for c in by]
+    if n <= FEW_CELLS:
+        met = keyed.join(F.broadcast(named), same)
+    else:
+        hot = keyed.join(cover.select(*by).distinct(), by, "left_semi").groupBy(*by).agg(F.ceil(F.count("*") / HOT_CELL).alias("parts_")).where("parts_ > 1")
+        hot = F.broadcast(stored(hot, "hot"))  # a row for every HOT_CELL points and level at most
+        part = F.pmod(F.xxhash64(x, y), F.coalesce("parts_", F.lit(1)))
+        left = keyed.join(hot, by, "left").withColumn("part_", part).drop("parts_")
+        right = cover.join(hot, by, "left").withColumn("part_", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts_", F.lit(1)) - 1)))
+        right = right.select(*[F.col(c).alias(f"{c}_") for c in by], F.col("part_").alias("part__"), *[c for c in cover.columns if c not in by])
+        met = left.join(right, [*same, F.col("part_") == F.col("part__")])
+    hit = met.where(within(F.col(x), F.col(y)))
     return hit.select(*points.columns, *[F.col(f"poly_{c}").alias(c) for c in keep])
 
 
-def clip_points(points: DataFrame, polygons: DataFrame, key: str, bucket: float = 2.0) -> DataFrame:
+def clip_points(points: DataFrame, polygons: DataFrame, key: str) -> DataFrame:
     """Points that lie in any polygon, once each."""
-    inside = points_in_polygons(points, polygons.select("rings"), [], bucket).select(key).distinct()
+    inside = points_in_polygons(points, polygons.select("rings"), []).select(key).distinct()
     return points.join(inside, key, "left_semi")
 
 
-def label_points(points: DataFrame, polygons: DataFrame, key: str, name: str, bucket: float = 2.0) -> DataFrame:
+def label_points(points: DataFrame, polygons: DataFrame, key: str, name: str) -> DataFrame:
     """All points with the upper-cased name of their polygon (the first by name), null outside."""
-    found = points_in_polygons(points.select(key, "lon", "lat"), polygons, [name], bucket)
+    found = points_in_polygons(points.select(key, "lon", "lat"), polygons, [name])
     labels = found.groupBy(key).agg(F.min(F.upper(name)).alias(name))
     return points.join(labels, key, "left")
 
 
-def aggregate_in_polygons(points: DataFrame, polygons: DataFrame, name: str, value: str, bucket: float = 2.0) -> DataFrame:
+def aggregate_in_polygons(points: DataFrame, polygons: DataFrame, name: str, value: str) -> DataFrame:
     """Number of points and sum of a value by polygon; polygons without points have 0."""
-    sums = points_in_polygons(points, polygons, [name], bucket).groupBy(name).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    sums = points_in_polygons(points, polygons, [name]).groupBy(name).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     every = polygons.select(name).distinct()
     return every.join(sums, name, "left").select(name, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
-def polygon_mask(points: DataFrame, layers: list[DataFrame], key: str, bucket: float = 2.0) -> DataFrame:
+def polygon_mask(points: DataFrame, layers: list[DataFrame], key: str) -> DataFrame:
     """``points`` with ``masked``: whether they lie in a polygon of any layer."""
-    hits = reduce(lambda a, b: a.union(b), [points_in_polygons(points, x.select("rings"), [], bucket).select(key) for x in layers])
+    hits = reduce(lambda a, b: a.union(b), [points_in_polygons(points, x.select("rings"), []).select(key) for x in layers])
     return points.join(hits.distinct().withColumn("masked", F.lit(True)), key, "left").withColumn("masked", F.coalesce("masked", F.lit(False)))
 
 

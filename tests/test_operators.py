@@ -35,7 +35,7 @@ def test_turned_polygon(spark):
     rnd = random.Random(1)
     pts = [(i, rnd.uniform(-4, 4), rnd.uniform(-4, 4)) for i in range(500)] + [(900, 0.0, 3.0), (901, 1.5, 1.5), (902, 0.0, 0.0), (903, 1.0, 0.5), (904, None, 1.0)]
     df = spark.createDataFrame(pts, "id int, lon double, lat double")
-    got = {r.id for r in spatial.clip_points(df, poly, "id", 0.7).collect()}
+    got = {r.id for r in spatial.clip_points(df, poly, "id").collect()}
     want = {i for i, x, y in pts if x is not None and abs(x) + abs(y) < 3 and not (abs(x) <= 1 and abs(y) <= 1)}
     assert got == want
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from terrapix.operators import kdtree, spatial
+from terrapix.operators import cover, kdtree, spatial
 
 
 @pytest.fixture
@@ -55,3 +55,65 @@ def test_pairs_examined_around_a_dense_town(k):
     for t in some:
         far = ((src - tgt[t]) ** 2).sum(1)
         assert np.allclose(np.sort(far)[:k], d2[row == t])
+
+
+def plain_inside(p, sides):
+    """Even-odd by a ray to the right; on a side is outside."""
+    x, y = p[:, 0, None], p[:, 1, None]
+    x1, y1, x2, y2 = sides.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        odd = (((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)).sum(1) % 2 == 1
+    on = ((x2 - x1) * (y - y1) == (y2 - y1) * (x - x1)) & (x >= np.minimum(x1, x2)) & (x <= np.maximum(x1, x2)) & (y >= np.minimum(y1, y2)) & (y <= np.maximum(y1, y2))
+    return odd & ~on.any(1)
+
+
+def outline(n, seed, scale=1.0, rough=0.05):
+    rng = np.random.default_rng(seed)
+    angle = np.sort(rng.uniform(0, 2 * np.pi, n))
+    r = scale * (1 + 0.3 * np.sin(7 * angle) + rough * rng.normal(size=n))
+    return np.stack([r * np.cos(angle) + 10, r * np.sin(angle) - 3], 1)
+
+
+def polygon_frame(spark, rows):
+    kind = "name string, rings array<array<struct<x: double, y: double>>>"
+    return spark.createDataFrame([(n, None if rings is None else [[(float(a), float(b)) for a, b in r] for r in rings]) for n, rings in rows], kind)
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_polygons_with_holes_crossings_and_points_on_sides(spark, monkeypatch, few):
+    monkeypatch.setattr(spatial, "FEW_CELLS", few)
+    monkeypatch.setattr(spatial, "HOT_CELL", 50)
+    shapes = {
+        "ring": [outline(300, 1), outline(40, 2, 0.4)],
+        "square": [np.array([[9, -4], [11, -4], [11, -2], [9, -2], [9, -4]])],
+        "bow": [np.array([[8.5, -3.5], [9.5, -2.5], [9.5, -3.5], [8.5, -2.5]])],
+        "far": [outline(5, 3) + 500],
+    }
+    rng = np.random.default_rng(5)
+    grid = np.stack(np.meshgrid(np.linspace(8, 12, 17), np.linspace(-5, -1, 17)), 2).reshape(-1, 2)
+    p = np.concatenate([rng.uniform([8, -5], [12, -1], (900, 2)), grid, shapes["ring"][0][:20], np.full((200, 2), [10.7, -3.1])])
+    df = points(spark, p, "id").union(spark.createDataFrame([(-1, None, 1.0), (-2, float("nan"), 1.0)], "id int, lon double, lat double"))
+    frame = polygon_frame(spark, [*shapes.items(), ("none", None), ("empty", [[]])])
+    got = {(r.id, r.name) for r in spatial.points_in_polygons(df, frame, ["name"], sides=4).collect()}
+    want = {(int(i), n) for n, rings in shapes.items() for i in np.flatnonzero(plain_inside(p, np.concatenate([np.concatenate([r, np.roll(r, -1, 0)], 1) for r in map(np.asarray, rings)])))}
+    assert got == want
+
+
+def test_a_cover_of_100_000_sides_has_few_sides_a_cell():
+    ring = outline(100_000, 6, rough=3e-5)
+    sides = np.concatenate([ring, np.roll(ring, -1, 0)], 1)
+    cells = list(cover.cover_of(sides))
+    border = [c for c in cells if len(c[4])]
+    assert np.mean([len(c[4]) for c in border]) <= cover.SIDES and max(len(c[4]) for c in border) <= cover.MOST_SIDES and len(border) < len(sides)
+    assert len({(c[0], c[1], c[2]) for c in cells}) == len(cells)
+    rng = np.random.default_rng(7)
+    p = np.concatenate([rng.uniform(8, 12, (300, 2)) - [0, 13], ring[rng.integers(0, len(ring), 300)] + rng.normal(size=(300, 2)) * 0.01])
+    where = {(c[0], c[1], c[2]): c for c in cells}
+    for x, y in p:
+        met = [c for level in {c[0] for c in cells} if (c := where.get((level, int(np.floor(x * 2**level / cover.TOP)), int(np.floor(y * 2**level / cover.TOP)))))]
+        inside = False
+        if met:
+            ((level, ix, iy, ref, own),) = met
+            size = cover.TOP / 2**level
+            inside = ref ^ cover._odd(own, (ix + cover.AT_X) * size, (iy + cover.AT_Y) * size, x, y)
+        assert inside == plain_inside(np.array([[x, y]]), sides)[0]
