@@ -92,8 +92,9 @@ class Boxes:
 class Leaf:
     """The points of one leaf in buckets of a tree of their own."""
 
-    def __init__(self, points: np.ndarray, rank: np.ndarray, k: int) -> None:
-        """``rank`` orders points at equal distances."""
+    def __init__(self, points: np.ndarray, rank: np.ndarray, k: int, low: np.ndarray | None = None, high: np.ndarray | None = None, lines: np.ndarray | None = None) -> None:
+        """``rank`` orders points at equal distances. With ``lines`` (x1, y1, x2, y2) distances are those to the segments,
+        of which the boxes from ``low`` to ``high`` hold the parts that the points stand for."""
         n, bucket = len(points), max(8, 2 * k)
         depth = max(0, int(np.ceil(np.log2(max(1.0, n / bucket)))))
         order, cuts = np.arange(n), [0, n]
@@ -106,18 +107,25 @@ class Leaf:
                 finer += [a + (z - a) // 2, z]
             cuts = finer
         sizes = np.diff(cuts)
-        self.points, self.rank, self.examined = points, rank, 0
+        self.points, self.rank, self.lines, self.examined = points, rank, lines, 0
+        low, high = points if low is None else low, points if high is None else high
         place = np.arange(sizes.max(initial=0))[None, :]
         self.members = np.where(place < sizes[:, None], order[np.minimum(np.array(cuts[:-1])[:, None] + place, max(n - 1, 0))], -1) if n else np.zeros((1, 0), np.int64)
         if n:
-            low, high = np.minimum.reduceat(points[order], cuts[:-1]), np.maximum.reduceat(points[order], cuts[:-1])
+            low, high = np.minimum.reduceat(low[order], cuts[:-1]), np.maximum.reduceat(high[order], cuts[:-1])
             self.boxes = Boxes.of_leaves(low, high, sizes)
 
     def _distances(self, q: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         inside = self.members[bucket]
         out = np.zeros(inside.shape)
-        for i in range(q.shape[1]):
+        for i in range(q.shape[1]) if self.lines is None else ():
             out += (q[:, i, None] - self.points[inside, i]) ** 2
+        if self.lines is not None:
+            x1, y1, x2, y2 = np.moveaxis(self.lines[inside], 2, 0)
+            dx, dy, px, py = x2 - x1, y2 - y1, q[:, 0, None], q[:, 1, None]
+            length = dx * dx + dy * dy
+            t = np.clip(((px - x1) * dx + (py - y1) * dy) / np.where(length > 0, length, 1.0), 0.0, 1.0)
+            out = (px - (x1 + t * dx)) ** 2 + (py - (y1 + t * dy)) ** 2
         self.examined += int((inside >= 0).sum())
         return np.where(inside >= 0, out, np.inf)
 

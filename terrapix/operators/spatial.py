@@ -154,6 +154,7 @@ def nearest(
     keep: list[str],
     k: int = 1,
     axes: tuple[str, ...] = ("lon", "lat"),
+    parts: dict[str, str] | None = None,
 ) -> DataFrame:
     """(target_key, source_key, keep..., d2, rank) of the ``k`` nearest sources of every target, ties by source key.
 
@@ -163,14 +164,20 @@ def nearest(
     ask is copied for parts of them, and of sources at one place only the first ``k`` count, so dense towns and repeated
     places cost no more than others. Sources and targets with a null coordinate are left out; fewer than ``k`` sources
     give fewer rows. Keys are numbers or texts; target keys are not repeated.
+
+    With ``parts``, names of the columns ax, ay, bx, by (a segment) and cx, cy, dx, dy (the part of it that a row stands for),
+    sources are line segments cut into short parts; distances are those to whole segments, and ``k`` is 1.
     """
+    if parts:
+        sources = sources.withColumns({a: (F.col(parts[f"c{a}"]) + F.col(parts[f"d{a}"])) / 2 for a in axes})
     known = lambda df: df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in axes]))
     at = lambda p: [F.col(c).cast("double").alias(f"{p}{i}_") for i, c in enumerate(axes)]
-    src = known(sources).select(F.col(source_key).alias("s_"), *at("s"), *[F.col(c).alias(f"v_{c}") for c in keep])
+    src = known(sources).select(F.col(source_key).alias("s_"), *at("s"), *[F.col(parts[c]).alias(f"g_{c}") for c in parts or {}], *[F.col(c).alias(f"v_{c}") for c in keep])
     left = known(targets).select(F.col(target_key).alias("t_"), *at("t"))
     sc, tc, dims = [f"s{i}_" for i in range(len(axes))], [f"t{i}_" for i in range(len(axes))], len(axes)
     names = ["t_", "s_", *[f"v_{c}" for c in keep], "d2"]
-    src = _first_of_places(stored(src, "sources"), sc, k)
+    shape = [f"g_{c}" for c in parts] if parts else sc
+    src = _first_of_places(stored(src, "sources"), shape, k)
     n = src.count()
     depth = max(0, min((n // LEAF).bit_length(), (SAMPLE // 8).bit_length() - 1)) if n > LEAF else 0
     seen = src.where(F.pmod(F.xxhash64("s_"), F.lit(max(n, 1))) < SAMPLE).select(*sc).limit(2 * SAMPLE)
@@ -180,7 +187,9 @@ def nearest(
     held = _located(src, tree, sc, depth)
     held = stored(held, "leaves") if depth else held
     low, high, count = np.full((1 << depth, dims), np.inf), np.full((1 << depth, dims), -np.inf), np.zeros(1 << depth, np.int64)
-    ends = held.groupBy("leaf_").agg(F.count("*").alias("n"), *[f(c).alias(f"{p}{i}") for i, c in enumerate(sc) for p, f in (("lo", F.min), ("hi", F.max))])
+    low_of = [F.least(f"g_c{a}", f"g_d{a}") for a in axes] if parts else [F.col(c) for c in sc]
+    high_of = [F.greatest(f"g_c{a}", f"g_d{a}") for a in axes] if parts else [F.col(c) for c in sc]
+    ends = held.groupBy("leaf_").agg(F.count("*").alias("n"), *[f(c[i]).alias(f"{p}{i}") for i in range(dims) for p, f, c in (("lo", F.min, low_of), ("hi", F.max, high_of))])
     for r in ends.collect():  # a row for every leaf
         count[r.leaf_], low[r.leaf_], high[r.leaf_] = r.n, [r[f"lo{i}"] for i in range(dims)], [r[f"hi{i}"] for i in range(dims)]
     boxes = Boxes.of_leaves(low, high, count)
@@ -190,12 +199,15 @@ def nearest(
         return {"t_": t["t_"].take(pa.array(row)), **{c: s[c].take(pa.array(point)) for c in names[1:-1]}, "d2": pa.array(d2)}
 
     def numbers(t: pa.Table, columns: list[str]) -> np.ndarray:
-        return np.stack([t[c].to_numpy(zero_copy_only=False) for c in columns], 1).astype(np.float64).reshape(-1, dims)
+        return np.stack([t[c].to_numpy(zero_copy_only=False) for c in columns], 1).astype(np.float64).reshape(-1, len(columns))
 
     def leaf_of(s: pa.Table) -> Leaf:
         rank = np.empty(len(s), np.int64)
         rank[pc.sort_indices(s["s_"]).to_numpy()] = np.arange(len(s))
-        return Leaf(numbers(s, sc), rank, k)
+        if not parts:
+            return Leaf(numbers(s, sc), rank, k)
+        c, d = numbers(s, [f"g_c{a}" for a in axes]), numbers(s, [f"g_d{a}" for a in axes])
+        return Leaf(numbers(s, sc), rank, k, np.minimum(c, d), np.maximum(c, d), numbers(s, ["g_ax", "g_ay", "g_bx", "g_by"]))
 
     def own(t: pa.Table, s: pa.Table) -> pa.Table:
         """The nearest of the own leaf, and a row for every other leaf within the bound that they give."""
@@ -284,18 +296,31 @@ def distance_to_features(cells: DataFrame, features: DataFrame, key: str, featur
     return near.select(key, F.sqrt("d2").alias("metres"))
 
 
-def densify(lines: DataFrame, step: float, key: str = "line_id") -> DataFrame:
-    """Points along line segments (x1, y1, x2, y2), both ends and at most ``step`` apart, numbered by ``i``."""
-    n = F.greatest(F.lit(1), F.ceil(F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2) / step)).cast("int")
-    at = F.col("i") / F.col("n")
-    points = lines.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
-    return points.select(key, "i", (F.col("x1") + (F.col("x2") - F.col("x1")) * at).alias("lon"), (F.col("y1") + (F.col("y2") - F.col("y1")) * at).alias("lat"))
+def cut_lines(lines: DataFrame, keep: list[str], longest: float) -> DataFrame:
+    """Segments (ax, ay, bx, by) with ``keep``, cut into parts (cx, cy, dx, dy) of at most ``longest``: a row each."""
+    n = F.greatest(F.lit(1), F.ceil(F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2) / longest)).cast("int")
+    parts = lines.withColumn("n_", n).withColumn("i_", F.explode(F.sequence(F.lit(0), F.col("n_") - 1)))
+    at = lambda axis, i: F.col(f"a{axis}") + (F.col(f"b{axis}") - F.col(f"a{axis}")) * (i / F.col("n_"))
+    ends = [at(axis, F.col("i_") + step).alias(f"{name}{axis}") for name, step in (("c", 0), ("d", 1)) for axis in "xy"]
+    return parts.select(*keep, "ax", "ay", "bx", "by", *ends)
+
 
+def distance_to_lines(cells: DataFrame, lines: DataFrame, key: str, line_key: str, parts: int = 4) -> DataFrame:
+    """Metres from every cell to the nearest place on line segments (x1, y1, x2, y2 in degrees), straight in an equal-area
+    projection, and the segment's key (the least of ties).
 
-def distance_to_lines(cells: DataFrame, lines: DataFrame, key: str, line_key: str, step: float) -> DataFrame:
-    """Metres from every cell to the nearest point of lines that are cut into points ``step`` degrees apart at most."""
-    points = densify(lines, step, line_key).withColumn("point_", F.struct(line_key, "i"))
-    return distance_to_features(cells, points, key, "point_")
+    Segments are cut into parts, about ``parts`` times as many as there are segments and each no longer than that asks
+    for, which are dealt and looked up like points; the distance is the exact one to the segment. Segments with a null
+    are left out.
+    """
+    (ax, ay), (bx, by) = (equal_area_xy(F.col(f"y{i}"), F.col(f"x{i}")) for i in (1, 2))
+    flat = lines.na.drop(subset=["x1", "y1", "x2", "y2"]).select(line_key, ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
+    size = flat.agg(F.count("*").alias("n"), F.sum(F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)).alias("m")).first()
+    cut = cut_lines(flat, [line_key], max((size.m or 0.0) / max(1, parts * size.n), 1e-3))
+    x, y = equal_area_xy(F.col("lat"), F.col("lon"))
+    columns = {c: c for c in ("ax", "ay", "bx", "by", "cx", "cy", "dx", "dy")}
+    near = nearest(cells.select(key, x.alias("x"), y.alias("y")), cut, key, line_key, [], axes=("x", "y"), parts=columns)
+    return near.select(key, line_key, F.sqrt("d2").alias("metres"))
 
 
 def sample_grid(points: DataFrame, grid: DataFrame, value: str, lat0: float, lon0: float, dlat: float, dlon: float, method: str = "nearest") -> DataFrame:

@@ -174,13 +174,16 @@ def c16(t):
 @query(
     "c16_distance_to_lines",
     "pixels sites",
-    f"""WITH v AS (SELECT s.lon + 0.8e0 * i / 5 AS lon, s.lat + 0.6e0 * i / 5 AS lat FROM sites s, (SELECT unnest(range(6)) AS i) k)
-        SELECT pixel_id, round(sqrt(min({FAR2})), 2) AS metres FROM pixels p, v s GROUP BY 1""",
+    """WITH l AS (SELECT 6371000e0 * radians(lon) AS ax, 6371000e0 * sin(radians(lat)) AS ay, 6371000e0 * radians(lon + 0.8e0) AS zx, 6371000e0 * sin(radians(lat + 0.6e0)) AS zy FROM sites),
+            v AS (SELECT ax, ay, zx - ax AS dx, zy - ay AS dy FROM l),
+            q AS (SELECT pixel_id, 6371000e0 * radians(lon) AS px, 6371000e0 * sin(radians(lat)) AS py FROM pixels),
+            t AS (SELECT pixel_id, px - ax AS ex, py - ay AS ey, dx, dy, greatest(0e0, least(1e0, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy))) AS t FROM q, v)
+        SELECT pixel_id, round(sqrt(min(pow(ex - t * dx, 2) + pow(ey - t * dy, 2))), 2) AS metres FROM t GROUP BY 1""",
 )
 def c16b(t):
     ends = [F.col("lon").alias("x1"), F.col("lat").alias("y1"), (F.col("lon") + 0.8).alias("x2"), (F.col("lat") + 0.6).alias("y2")]
     lines = t.sites.select(F.col("unique_id").alias("line_id"), *ends)
-    return rounded(G.distance_to_lines(t.pixels, lines, "pixel_id", "line_id", 0.21), "pixel_id", places=2)
+    return rounded(G.distance_to_lines(t.pixels, lines, "pixel_id", "line_id").drop("line_id"), "pixel_id", places=2)
 
 
 @query("c17_polygon_mask", "pixels states", f"SELECT pixel_id, s.state_key IN (1, 2, 12) AS masked FROM pixels {STATE}")

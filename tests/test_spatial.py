@@ -117,3 +117,20 @@ def test_a_cover_of_100_000_sides_has_few_sides_a_cell():
             size = cover.TOP / 2**level
             inside = ref ^ cover._odd(own, (ix + cover.AT_X) * size, (iy + cover.AT_Y) * size, x, y)
         assert inside == plain_inside(np.array([[x, y]]), sides)[0]
+
+
+def test_distance_to_segments_against_brute_force(spark, small):
+    rng = np.random.default_rng(9)
+    start = rng.uniform([-120, 26], [-70, 48], (120, 2))
+    ends = np.concatenate([start + rng.normal(size=(120, 2)) * 0.2, [[-60.0, 50.0], [-100.0, 30.0]]])
+    lines = np.concatenate([np.concatenate([start, [[-125.0, 25.0], [-100.0, 30.0]]]), ends], 1)  # one across all, one point
+    tgt = rng.uniform([-125, 25], [-65, 50], (200, 2))
+    frame = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(lines)] + [(999, None, 1.0, 1.0, 1.0)], "line int, x1 double, y1 double, x2 double, y2 double")
+    got = {r.t: (r.line, r.metres) for r in spatial.distance_to_lines(points(spark, tgt, "t"), frame, "t", "line").collect()}
+    flat = lambda p: np.stack([6371000.0 * np.radians(p[:, 0]), 6371000.0 * np.sin(np.radians(p[:, 1]))], 1)
+    a, b, p = flat(lines[:, :2]), flat(lines[:, 2:]), flat(tgt)
+    d = b - a
+    t = np.clip(((p[:, None] - a) * d).sum(2) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
+    far = np.sqrt(((p[:, None] - (a + t[:, :, None] * d)) ** 2).sum(2))
+    for i in range(len(tgt)):
+        assert got[i][0] == far[i].argmin() and abs(got[i][1] - far[i].min()) < 1e-6
