@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import class_by
@@ -26,6 +26,37 @@ def summary(df: DataFrame, keys: list[str], value: str, cost: str | None = None,
     return out.withColumn("viable_pct", F.col("share_") * 100).drop("share_") if viability else out
 
 
+def summary_state(df: DataFrame, keys: list[str], value: str, cost: str | None = None) -> DataFrame:
+    """What :func:`merge_states` needs of a batch: by keys the sum, number, least and greatest value, all rows and those
+    above zero, and the cost's sum and number."""
+    v = F.col(value)
+    c = F.col(cost) if cost else F.lit(None).cast("double")
+    states = {"total": F.sum(v), "n": F.count(v), "lowest": F.min(v), "highest": F.max(v), "rows": F.count(F.lit(1)), "above": F.count_if(v > 0), "cost": F.sum(c), "costs": F.count(c)}
+    return df.groupBy(*keys).agg(*[x.alias(f"state_{n}") for n, x in states.items()])
+
+
+def merge_states(states: DataFrame, keys: list[str], cost: bool = False, viability: bool = False) -> DataFrame:
+    """The :func:`summary` of all batches from their states, in any order and any grouping of batches."""
+    s = lambda n: F.col(f"state_{n}")
+    more = ([F.try_divide(F.sum(s("cost")), F.sum(s("costs"))).alias("mean_cost")] if cost else []) + ([(F.try_divide(F.sum(s("above")), F.sum(s("rows"))) * 100).alias("viable_pct")] if viability else [])
+    out = states.groupBy(*keys).agg(F.sum(s("total")).alias("total"), F.sum(s("n")).alias("n"), F.min(s("lowest")).alias("lowest"), F.max(s("highest")).alias("highest"), *more)
+    return out.withColumn("mean", F.try_divide("total", "n"))
+
+
+def write_state(df: DataFrame, path: str, batch: str, keys: list[str], value: str, cost: str | None = None) -> None:
+    """Store the state of one batch under its id: a batch that is run again replaces its state, so it counts once.
+
+    Batches write to partitions of their own and may run at the same time.
+    """
+    state = summary_state(df, keys, value, cost).withColumn("batch", F.lit(batch))
+    state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def read_summary(spark: SparkSession, path: str, keys: list[str], cost: bool = False, viability: bool = False) -> DataFrame:
+    """The summary over all batches stored under ``path``."""
+    return merge_states(spark.read.parquet(path), keys, cost, viability)
+
+
 def mean_of_means(df: DataFrame, inner: list[str], outer: list[str], value: str) -> DataFrame:
     """Mean over ``inner`` groups, then the mean, deviation and number of those by ``outer``."""
     return group_mean(df, list(dict.fromkeys([*outer, *inner])), value, "m_").groupBy(*outer).agg(F.avg("m_").alias("mean"), F.stddev("m_").alias("sd"), F.count("m_").alias("n"))

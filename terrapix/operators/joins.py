@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import first_rows
+
 
 def join_cells(frames: list[DataFrame], keys: list[str], how: str = "inner") -> DataFrame:
     """Fold of equi joins on cell keys; of columns that several tables have, the first stays."""
@@ -98,7 +100,7 @@ def union_missing(frames: list[DataFrame]) -> DataFrame:
 
 def sample_rows(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """``n`` rows by the order of a seeded hash: the same ones every time."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return first_rows(df.withColumn("h_", F.xxhash64(F.lit(seed), key)), n, "h_", key).drop("h_")
 
 
 def remaining_pool(pool: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:

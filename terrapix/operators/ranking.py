@@ -12,6 +12,11 @@ FEW = 4096
 """Groups up to which small tables by group are broadcast: at most 4096 * 65 * 65 rows, of groups with many ties."""
 
 
+FEW_ROWS = 10_000
+"""Rows of a group that one task may hold at the end of :func:`first_rows`: as many from each of its ``PARTS`` parts."""
+PARTS = 64
+
+
 def dedup_keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of every key by ``order``."""
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
@@ -75,6 +80,22 @@ def ranked_prefix(
     return joined.withColumns({"rank": F.col("rank") + F.col("c0_"), **{f"cum_{v}": F.col(f"cum_{v}") + F.col(f"o_{v}") for v in values}}).drop("b_", "p_", "x_", "c0_", *[f"o_{v}" for v in values])
 
 
+def first_rows(df: DataFrame, n: int, order: str, key: str, by: list[str] | None = None) -> DataFrame:
+    """The first ``n`` rows (of every group ``by``) in the order of a column, then the key.
+
+    Up to ``FEW_ROWS`` rows: the first ones of each of ``PARTS`` parts of a group, then the first of those, so that no task
+    sorts a group; parts are cut by a hash of the whole row, so rows that share a key spread too. More: ranks by ranges.
+    """
+    if n > FEW_ROWS:
+        return ranked_prefix(df, order, key, [], descending=False, by=by).where(F.col("rank") <= n).select(*df.columns)
+    by = by or []
+    parts = df.withColumn("part_", F.pmod(F.xxhash64(*df.columns), F.lit(PARTS)))
+    for keys in ([*by, "part_"], by):
+        w = Window.partitionBy(*keys).orderBy(order, key)
+        parts = parts.withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= n).drop("rn_")
+    return parts.select(*df.columns)
+
+
 def cumulative_curve(df: DataFrame, order: str, value: str, key: str) -> DataFrame:
     """(rank, pct, cumulative) along descending ``order``, with the point (0, 0, 0)."""
     curve = ranked_prefix(df, order, key, [value]).select(F.col("rank").cast("long").alias("rank"), (F.col("rank") / F.col("n") * 100).alias("pct"), F.col(f"cum_{value}").cast("double").alias("cumulative"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -19,7 +20,7 @@ from ..functions import clip
 from ..functions.distributions import f_upper, probit, t_p_value, t_two_sided
 from ..sources.tables import stored
 from .quantiles import quantiles
-from .ranking import pit, ranked_prefix
+from .ranking import first_rows, pit, ranked_prefix
 from .spatial import nearest
 
 START = 4096
@@ -319,7 +320,7 @@ def negatives_by_generation(positives: DataFrame, key: str, weights: np.ndarray,
         start, stop = stop, stop + more
     else:
         raise RuntimeError(f"only {have} of {n} rows passed in {stop} draws")
-    chosen = reduce(DataFrame.unionByName, parts).orderBy("id").limit(n)
+    chosen = first_rows(reduce(DataFrame.unionByName, parts), n, "id", "id")
     near = nearest(chosen, positives.withColumnRenamed(key, "nearest"), "id", "nearest", columns, axes=tuple(columns))
     noise = positives.agg(*[F.stddev_pop(c).alias(f"sd_{c}") for c in columns])
     rows = near.crossJoin(F.broadcast(noise))
@@ -335,7 +336,8 @@ def draw01(key: Column, seed: int) -> Column:
 def negatives_hybrid(selected: DataFrame, generated: DataFrame, n: int, share: float = 0.7, key: str = "id") -> DataFrame:
     """``share`` of ``n`` rows from the selected ones, the rest from the generated ones."""
     a = round(n * share)
-    return selected.orderBy(F.xxhash64(key)).limit(a).unionByName(generated.orderBy(F.xxhash64(key)).limit(n - a))
+    some = lambda df, m: first_rows(df.withColumn("h_", F.xxhash64(key)), m, "h_", key).drop("h_")
+    return some(selected, a).unionByName(some(generated, n - a))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, parts: tuple[float, ...] = (0.6, 0.2, 0.2), seed: int = 1) -> DataFrame:
@@ -510,6 +512,63 @@ def yeo_johnson_lambda(df: DataFrame, column: str, grid: tuple[float, ...] = (-2
     return one.select(rows.alias("r")).select("r.*")
 
 
+@dataclass
+class Power:
+    """The exponent of a power transform with the greatest likelihood, that likelihood and the jobs it took."""
+
+    kind: str
+    lam: float
+    likelihood: float
+    jobs: int
+
+
+def power_form(x: Column, lam: float | Column, kind: str = "yeo_johnson") -> Column:
+    """The Box-Cox (of values above 0, else null) or Yeo-Johnson transform with an exponent that may be a column."""
+    lam = F.lit(float(lam)) if isinstance(lam, (int, float)) else lam
+    part = lambda v, g: F.when(F.abs(g) < 1e-9, F.log(v)).otherwise((F.pow(v, g) - 1) / g)
+    if kind == "box_cox":
+        return F.when(x > 0, part(x, lam))
+    return F.when(x >= 0, part(F.abs(x) + 1, lam)).otherwise(-part(F.abs(x) + 1, 2 - lam))
+
+
+def best_lambda(df: DataFrame, column: str, kind: str = "yeo_johnson", low: float = -2.0, high: float = 3.0, probes: int = 24, tolerance: float = 1e-5) -> Power | None:
+    """The exponent with the greatest likelihood, by brackets: a job evaluates ``probes`` exponents, and the two beside the
+    best are the next bracket. At an end of a bracket the next one lies beyond it, three times as wide. Ends with a
+    parabola through the last three; 8 jobs at most. None for a column without (positive) values."""
+    x = F.col(column).cast("double")
+    rows = df.where((x > 0) if kind == "box_cox" else (x.isNotNull() & ~F.isnan(x))).select(x.alias("x_"))
+    slope = F.log("x_") if kind == "box_cox" else F.signum("x_") * F.log1p(F.abs(F.col("x_")))
+    total = rows.agg(F.count("*").alias("n"), F.sum(slope).alias("s")).first()
+    if not total.n:
+        return None
+    for job in range(2, 9):
+        lams = np.linspace(low, high, probes)
+        tried = F.posexplode(F.array(*[F.lit(v) for v in lams.tolist()])).alias("at", "lam")
+        form = power_form(F.col("x_"), F.col("lam"), kind)
+        spreads = {r["at"]: r.v for r in rows.select("x_", tried).groupBy("at").agg(F.var_pop(form).alias("v")).collect()}
+        spread = np.array([spreads[i] for i in range(probes)], np.float64)
+        found = -total.n / 2 * np.log(np.maximum(spread, 1e-300)) + (lams - 1) * total.s
+        k, step = int(found.argmax()), lams[1] - lams[0]
+        if step <= tolerance or spread.max() <= 0:
+            break
+        wide = 3 * (high - low)
+        low, high = (lams[0] - wide, lams[1]) if k == 0 else (lams[-2], lams[-1] + wide) if k == probes - 1 else (lams[k - 1], lams[k + 1])
+    lam = float(lams[k])
+    if 0 < k < probes - 1:
+        a, b, c = found[k - 1 : k + 2]
+        bend = a - 2 * b + c
+        lam += float(step * np.clip(0.5 * (a - c) / bend, -1, 1)) if bend < 0 else 0.0
+    return Power(kind, lam, float(found[k]), job)
+
+
+def transform_recommended(df: DataFrame, column: str, out: str = "transformed") -> tuple[DataFrame, Power | None]:
+    """``df`` with the column's best power transform: Box-Cox where all values are above 0, else Yeo-Johnson."""
+    least = df.agg(F.min(F.col(column).cast("double")).alias("m")).first().m
+    power = best_lambda(df, column, "box_cox" if least is not None and least > 0 else "yeo_johnson")
+    x = F.col(column).cast("double")
+    return df.withColumn(out, F.lit(None).cast("double") if power is None else power_form(x, power.lam, power.kind)), power
+
+
 def ttest_table(df: DataFrame, group: str, value: str) -> DataFrame:
     """By group: n, mean, deviation, t against zero, Cohen's d and the normal 95 % interval."""
     out = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev(value).alias("sd"))
@@ -528,9 +587,8 @@ def paired_table(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
 
 
 def sample_by_group(df: DataFrame, groups: list[str], n: int, key: str, seed: int = 5) -> DataFrame:
-    """``n`` rows of every group by the order of a seeded hash."""
-    w = Window.partitionBy(*groups).orderBy("h_", key)
-    return df.withColumn("h_", F.xxhash64(F.lit(seed), key)).withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= n).drop("h_", "rn_")
+    """``n`` rows of every group by the order of a seeded hash; a group of any size is cut down in parts first."""
+    return first_rows(df.withColumn("h_", F.xxhash64(F.lit(seed), key)), n, "h_", key, groups).drop("h_")
 
 
 def design_l18(spark, levels: dict[str, list]) -> DataFrame:

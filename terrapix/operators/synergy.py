@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import stored
@@ -17,6 +17,8 @@ from .ranking import kernel_weight, ranked_prefix
 
 
 CHAMPIONS = 512
+FRONT_RANGE = 1 << 15
+"""Points of up to three columns that one task sweeps."""
 RANGE = 8192
 """Points of a front that one task holds of one range."""
 STEP = 512
@@ -64,26 +66,83 @@ def dirichlet(spark, n: int, seed: int = 3) -> DataFrame:
     return rows.select("lam_id", *[(F.col(f"e{k}") / total).alias(f"l{k + 1}") for k in range(3)])
 
 
-def ccd_optimize(df: DataFrame, columns: list[str], steps: tuple[int, ...] = (10, 10), mode: str = "global") -> DataFrame:
-    """Weights that give the greatest mean coordination, which is concave in them: a grid, then finer ones around its best.
+def ccd_optimize(df: DataFrame, columns: list[str], mode: str = "global", gap: float = 1e-9, rounds: int = 60) -> DataFrame:
+    """Weights on the simplex (l1, l2, ...) that give the greatest mean coordination, and the mean (ccd) and duality gap.
 
-    ``pixel`` chooses weights for each row instead; benefit is linear in them there, so the best objective gets all.
+    The mean is concave in the weights. Every round is one aggregate: mean, gradient and second derivatives. The next
+    weights are the maximum of that quadratic on the simplex, halved until the mean rises. The gap, the greatest entry of
+    the gradient less its mean under the weights, bounds what could still be gained; rounds end when it is at most
+    ``gap``. ``pixel`` chooses weights for each row instead; benefit is linear in them there, so the best objective gets all.
     """
     c, _, _ = ccd(columns)
     if mode == "pixel":
-        top = F.greatest(*columns)
-        return df.withColumn("ccd", F.sqrt(c * top))
-    centre, width, best = (1 / 3, 1 / 3), 1.0, None
-    for k, m in enumerate(steps):
-        points = [(i / m, j / m) for i in range(m + 1) for j in range(m + 1 - i)] if k == 0 else [(centre[0] + width * (i - m / 2) / m, centre[1] + width * (j - m / 2) / m) for i in range(m + 1) for j in range(m + 1)]
-        points = [(a, b) for a, b in points if a >= -1e-12 and b >= -1e-12 and a + b <= 1 + 1e-12]
-        u = [F.col(x) for x in columns]
-        means = df.agg(*[F.avg(F.sqrt(F.greatest(c * (u[0] * a + u[1] * b + u[2] * (1 - a - b)), F.lit(0.0)))).alias(f"m{i}") for i, (a, b) in enumerate(points)]).first()
-        i = max(range(len(points)), key=lambda x: (means[x], -x))
-        centre, best = points[i], means[i]
-        width = 2.0 / m if k == 0 else width * 2 / m
-    a, b = centre
-    return df.sparkSession.createDataFrame([(float(a), float(b), float(1 - a - b), float(best))], "l1 double, l2 double, l3 double, ccd double")
+        return df.withColumn("ccd", F.sqrt(c * F.greatest(*columns)))
+    n = len(columns)
+    rows = df.select(*[F.col(x).cast("double").alias(f"u{i}_") for i, x in enumerate(columns)], c.alias("c_")).na.drop()
+    u = [F.col(f"u{i}_") for i in range(n)]
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        benefit = F.greatest(reduce(lambda a, b: a + b, [x * float(v) for x, v in zip(u, w, strict=True)]), F.lit(1e-12))
+        root = F.sqrt(F.greatest(F.col("c_"), F.lit(0.0)) * benefit)
+        one = rows.select(*u, benefit.alias("b_"), root.alias("f_"))
+        first = [F.avg(F.col("f_") * x / F.col("b_")) / 2 for x in u]
+        second = [F.avg(F.col("f_") * u[i] * u[j] / (F.col("b_") * F.col("b_"))) / -4 for i, j in pairs]
+        found = one.agg(F.avg("f_").alias("f"), *[x.alias(f"g{i}") for i, x in enumerate(first)], *[x.alias(f"h{i}_{j}") for x, (i, j) in zip(second, pairs, strict=True)]).first()
+        hess = np.zeros((n, n))
+        for i, j in pairs:
+            hess[i, j] = hess[j, i] = found[f"h{i}_{j}"] or 0.0
+        return found.f, np.array([found[f"g{i}"] or 0.0 for i in range(n)]), hess
+
+    w = np.full(n, 1 / n)
+    value, grad, hess = at(w)
+    if value is None:
+        return df.sparkSession.createDataFrame([], ", ".join(f"l{i + 1} double" for i in range(n)) + ", ccd double, gap double")
+    for _ in range(rounds):
+        if grad.max() - grad @ w <= gap:
+            break
+        step = simplex_step(w, grad, hess) - w
+        while np.abs(step).max() > 1e-14:
+            after = at(w + step)
+            if after[0] >= value:
+                break
+            step = step / 2
+        else:
+            break
+        w, (value, grad, hess) = w + step, after
+    row = (*map(float, w), float(value), float(grad.max() - grad @ w))
+    return df.sparkSession.createDataFrame([row], ", ".join(f"l{i + 1} double" for i in range(n)) + ", ccd double, gap double")
+
+
+def simplex_step(w: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> np.ndarray:
+    """The weights on the simplex that maximise the concave quadratic with this gradient and curvature at ``w``.
+
+    Active set: a weight that would fall below 0 is fixed there, and one whose gradient exceeds those of the free ones
+    is freed.
+    """
+    n, free, out = len(w), w > 0, w.copy()
+    curve = hess - np.eye(n) * max(1e-14, 1e-12 * np.abs(hess).max())
+    for _ in range(20 * n):
+        idx = np.flatnonzero(free)
+        lhs = np.zeros((len(idx) + 1, len(idx) + 1))
+        lhs[:-1, :-1], lhs[:-1, -1], lhs[-1, :-1] = curve[np.ix_(idx, idx)], -1.0, 1.0
+        rhs = np.append(-(grad - curve @ w)[idx], 1.0)
+        want = np.zeros(n)
+        want[idx] = np.linalg.lstsq(lhs, rhs, rcond=None)[0][:-1]
+        below = free & (want < 0)
+        if below.any():
+            ratio = np.where(below, out / np.maximum(out - want, 1e-300), np.inf)
+            k = int(ratio.argmin())
+            out = np.maximum(out + ratio[k] * (want - out), 0.0)
+            out[k], free[k] = 0.0, False
+            continue
+        out = want
+        slope = grad + curve @ (out - w)
+        gain = np.where(free, -np.inf, slope - slope[free].mean())
+        if gain.max(initial=-np.inf) <= 1e-13:
+            break
+        free[int(gain.argmax())] = True
+    return out / out.sum()
 
 
 def evaluate_lambdas(df: DataFrame, grid: DataFrame, columns: list[str], key: str, kernel: str = "decreasing", area: str = "area_m2") -> DataFrame:
@@ -116,32 +175,70 @@ def _dominated(x: np.ndarray, by: np.ndarray) -> np.ndarray:
     return out
 
 
-def pareto_front(df: DataFrame, columns: list[str], maximize: list[bool] | None = None) -> DataFrame:
-    """Rows that no other row beats in one column without losing in another.
+def swept(x: np.ndarray) -> np.ndarray:
+    """Which of the distinct points ``x`` (up to three columns) no other one dominates, by merging halves of their order.
 
-    Rows of equal values are one point. ``CHAMPIONS`` points of the greatest standardised sums go to all tasks and
-    drop most others; each batch drops what its own points dominate. The points left are dealt into ranges of the
-    first column, and only a range of that or greater values can dominate a point, so every pair of ranges is a task
-    of its own: no task holds more than two ranges, even where all points are on the front. Rows with a null or NaN
-    in a column are left out.
+    In falling order only an earlier point can dominate. At every level the points of a block's later half meet the
+    running maximum of the third column over those of its earlier half along the falling second column.
     """
-    signs = [1.0 if m else -1.0 for m in (maximize or [True] * len(columns))]
-    clean = df.na.drop(subset=columns)
-    names = [f"v{i}_" for i in range(len(columns))]
-    signed = [(F.col(c).cast("double") * s).alias(n) for c, s, n in zip(columns, signs, names, strict=True)]
-    points = clean.select(*signed).distinct()
-    kind = ", ".join(f"{n} double" for n in names)
-    stats = points.agg(*[f(n) for n in names for f in (F.avg, F.stddev_pop)]).first()
-    total = reduce(lambda a, b: a + b, [(F.col(n) - (stats[2 * i] or 0.0)) / (stats[2 * i + 1] or 1.0) for i, n in enumerate(names)])
-    best = np.array([list(r) for r in points.orderBy(total.desc(), *names).limit(CHAMPIONS).collect()], np.float64).reshape(-1, len(names))
+    m = len(x)
+    x = np.concatenate([x, np.zeros((m, 3 - x.shape[1]))], 1)
+    order = np.lexsort((-x[:, 2], -x[:, 1], -x[:, 0]))
+    second, third = x[order, 1], np.unique(x[order, 2], return_inverse=True)[1]
+    alive, width = np.ones(m, bool), 1
+    while width < m:
+        idx = np.flatnonzero(alive)
+        block, later = idx // (2 * width), idx // width % 2
+        along = np.lexsort((later, -second[idx], block))
+        seen = np.where(later == 0, third[idx], -1)[along] + block[along] * (m + 1)
+        most = np.maximum.accumulate(seen) - block[along] * (m + 1)
+        beaten = (later[along] == 1) & (most >= third[idx][along])
+        alive[idx[along[beaten]]] = False
+        width *= 2
+    out = np.zeros(m, bool)
+    out[order] = alive
+    return out
 
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = b.to_numpy(np.float64)
-            x = x[~_dominated(x, best)]
-            yield pd.DataFrame(x[~_dominated(x, x)], columns=names)
 
-    left = stored(points.mapInPandas(own, kind), "front")
+def merged_front(points: DataFrame, names: list[str]) -> DataFrame:
+    """The front of distinct ``points`` of up to three columns (greater is better).
+
+    Ranges of the first column of about ``FRONT_RANGE`` points are swept, each in a task. Then 2, 4, 8, ... ranges become
+    one: its lower half meets the upper half, of which the maximum of the third column counts at and above a value of the
+    second. That maximum runs along ranges of the second column, within them by a window, across them by a small table.
+    """
+    kind = ", ".join(f"{n} double" for n in names)
+    levels = min(12, max(0, (points.count() // FRONT_RANGE).bit_length()))
+
+    def ranged(df: DataFrame, column: str, out: str) -> DataFrame:
+        bounds = points.agg(bounds_of(F.col(column), levels).alias("q_"))
+        return count_below(df.crossJoin(F.broadcast(bounds)), column, "q_", levels, out).drop("q_")
+
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[swept(pdf[names].to_numpy(np.float64))]
+
+    second, third = [F.col(n) if n in names else F.lit(0.0) for n in ("v1_", "v2_")]
+    placed = ranged(points, names[0], "p_") if levels else points.withColumn("p_", F.lit(0))
+    placed = placed.groupBy("p_").applyInPandas(lambda pdf: sweep(pdf)[[*names, "p_"]], f"{kind}, p_ int")
+    if not levels:
+        return placed.select(*names)
+    placed = ranged(placed, "v1_", "s_") if "v1_" in names else placed.withColumn("s_", F.lit(0))
+    placed = stored(placed.withColumns({"a_": second, "z_": third}), "swept")
+    for level in range(levels):
+        rows = placed.withColumns({"b_": F.shiftright("p_", level + 1), "up_": F.shiftright("p_", level) % 2 == 1})
+        above = Window.partitionBy("b_").orderBy(F.col("s_").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        tops = rows.groupBy("b_", "s_").agg(F.max(F.when(F.col("up_"), F.col("z_"))).alias("t_"))
+        tops = tops.select("b_", "s_", F.max("t_").over(above).alias("t_"))
+        inside = Window.partitionBy("b_", "s_").orderBy(F.col("a_").desc(), F.col("up_").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        near = F.max(F.when(F.col("up_"), F.col("z_"))).over(inside)
+        met = rows.withColumn("n_", near).join(tops, ["b_", "s_"])
+        beaten = ~F.col("up_") & (F.coalesce(F.greatest("n_", "t_") >= F.col("z_"), F.lit(False)))
+        placed = stored(met.where(~beaten).select(*placed.columns), "merged")
+    return placed.select(*names)
+
+
+def _front_by_pairs(left: DataFrame, names: list[str], kind: str) -> DataFrame:
+    """The front of distinct points of many columns: every pair of ranges of the first one is a task."""
     levels = min(8, max(0, (left.count() // RANGE).bit_length()))
     if levels:
         bounds = left.agg(bounds_of(F.col(names[0]), levels).alias("q_"))
@@ -158,7 +255,36 @@ def pareto_front(df: DataFrame, columns: list[str], maximize: list[bool] | None
         return pd.DataFrame(x[ask][_dominated(x[ask], x[~ask])], columns=names)
 
     gone = asks.unionByName(held).groupBy("p_", "q_").applyInPandas(beaten, kind).distinct()
-    front = left.join(gone, names, "left_anti")
+    return left.join(gone, names, "left_anti")
+
+
+def pareto_front(df: DataFrame, columns: list[str], maximize: list[bool] | None = None) -> DataFrame:
+    """Rows that no other row beats in one column without losing in another.
+
+    Rows of equal values are one point. ``CHAMPIONS`` points of the greatest standardised sums go to all tasks and
+    drop most others. The points left are dealt into ranges of the first column. Up to three columns: each range is
+    swept by itself, then ranges are merged two by two, where points meet the running maxima of the greater half along the
+    second column (:func:`merged_front`): n log n comparisons even where all points are on the front. More columns: only a
+    range of that or greater values can dominate a point, so every pair of ranges is a task of its own. Rows with a
+    null or NaN in a column are left out.
+    """
+    signs = [1.0 if m else -1.0 for m in (maximize or [True] * len(columns))]
+    clean = df.na.drop(subset=columns)
+    names = [f"v{i}_" for i in range(len(columns))]
+    signed = [(F.col(c).cast("double") * s).alias(n) for c, s, n in zip(columns, signs, names, strict=True)]
+    points = clean.select(*signed).distinct()
+    kind = ", ".join(f"{n} double" for n in names)
+    stats = points.agg(*[f(n) for n in names for f in (F.avg, F.stddev_pop)]).first()
+    total = reduce(lambda a, b: a + b, [(F.col(n) - (stats[2 * i] or 0.0)) / (stats[2 * i + 1] or 1.0) for i, n in enumerate(names)])
+    best = np.array([list(r) for r in points.orderBy(total.desc(), *names).limit(CHAMPIONS).collect()], np.float64).reshape(-1, len(names))
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = b.to_numpy(np.float64)
+            yield pd.DataFrame(x[~_dominated(x, best)], columns=names)
+
+    left = stored(points.mapInPandas(own, kind), "front")
+    front = merged_front(left, names) if len(names) <= 3 else _front_by_pairs(left, names, kind)
     keyed = clean.withColumns(dict(zip(names, [(F.col(c).cast("double") * s) for c, s in zip(columns, signs, strict=True)], strict=True)))
     return keyed.join(front, names, "left_semi").select(*df.columns)
 

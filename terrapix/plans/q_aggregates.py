@@ -8,6 +8,7 @@ from ..functions import r4
 from ..operators import aggregates as A
 from ..operators import scalar as S
 from ..operators import spatial as G
+from ..sources.tables import scratch
 from .q_scalar import CARBON, LNCS, _lncs, _sql
 from .registry import query
 
@@ -51,6 +52,27 @@ def d2(t):
     return rounded(A.summary(t.npv, ["policy_category", "analysis_year"], "npv_usd"), "policy_category", places=2)
 
 
+@query("d2_npv_summary_by_batches", "npv", f"SELECT policy_category, analysis_year, {SUMMARY.format(v='npv_usd')} FROM npv GROUP BY 1, 2")
+def d2b(t):
+    path, keys = scratch(t.spark, "states"), ["policy_category", "analysis_year"]
+    for part in (3, 1, 0, 2, 1):  # in any order, one of them twice
+        A.write_state(t.npv.where(F.col("pixel_id") % 4 == part), path, f"b{part}", keys, "npv_usd")
+    return rounded(A.read_summary(t.spark, path, keys), "policy_category", places=2)
+
+
+@query(
+    "d3_npv_viability_by_batches",
+    "alts",
+    f"""SELECT rcp_category, analysis_year, {SUMMARY.format(v='npv_agri')}, round(avg(cost_usd), 2) AS mean_cost,
+        round(avg(CASE WHEN npv_agri > 0 THEN 1e0 ELSE 0e0 END) * 100, 2) AS viable_pct FROM alts GROUP BY 1, 2""",
+)
+def d3c(t):
+    path, keys = scratch(t.spark, "states"), ["rcp_category", "analysis_year"]
+    for part in (1, 0, 1):
+        A.write_state(t.alts.where(F.col("pixel_id") % 2 == part), path, f"b{part}", keys, "npv_agri", "cost_usd")
+    return rounded(A.read_summary(t.spark, path, keys, True, True), "rcp_category", places=2)
+
+
 @query(
     "d3_npv_viability",
     "alts",

@@ -17,6 +17,8 @@ SCENARIO_ALIASES = ("rcp", "rcp_scenario", "rcp_category")
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder; a temporary one where a local session names none (a cluster raises)."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    conf = conf or (current.get() if current.isDefined() else None)
     if not conf and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     top = f"{(conf or tempfile.mkdtemp(prefix='terrapix-')).rstrip('/')}/grid-{uuid.uuid4().hex}"
@@ -90,17 +92,35 @@ def tile(df: DataFrame, size: int = 500, width: int = 1000) -> DataFrame:
     return df.withColumn("tile_id", (F.floor(F.col("lat_idx") / size) * width + F.floor(F.col("lon_idx") / size)).cast("long"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def finished_tiles(spark: SparkSession, path: str) -> DataFrame:
+    """The tiles (tile_id) whose writing under ``path`` ended well: its list, not its folders, says so."""
+    done = f"{path.rstrip('/')}/_finished"
+    rows = spark.read.schema("tile_id long").parquet(done) if _exists(spark, done) else spark.createDataFrame([], "tile_id long")
+    return rows.distinct()
+
+
 def write_tiles(df: DataFrame, path: str, skip_written: bool = True) -> None:
-    """Tiles as partitions; tiles that are there already are not computed again."""
+    """Tiles as partitions; tiles on the list of finished ones are not computed again.
+
+    A tile's partition is replaced as a whole, and only after the write a tile is put on the list. So a job that failed
+    half-way is simply run again: what it left counts for nothing and no row is doubled or lost. Readers do not see
+    the list, whose name begins with an underscore.
+    """
     spark = df.sparkSession
+    tiles = df.select(F.col("tile_id").cast("long").alias("tile_id")).where("tile_id is not null").distinct()
     if skip_written:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        done = [s.getPath().getName().split("=")[1] for s in fs.listStatus(target) if "=" in s.getPath().getName()] if fs.exists(target) else []
-        if done:
-            df = df.where(~F.col("tile_id").isin(*[int(x) for x in done]))
-    df.repartition("tile_id").write.mode("append").partitionBy("tile_id").parquet(path)
+        tiles = tiles.join(finished_tiles(spark, path), "tile_id", "left_anti")
+    tiles = stored(tiles, "tiles")
+    if tiles.isEmpty():
+        return
+    rows = df.join(tiles, "tile_id", "left_semi").repartition("tile_id")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile_id").parquet(path)
+    tiles.write.mode("append").parquet(f"{path.rstrip('/')}/_finished")
 
 
 def bbox_extract(spark: SparkSession, path: str, tiles: list[int], lat: tuple[float, float], lon: tuple[float, float]) -> DataFrame:
@@ -108,8 +128,11 @@ def bbox_extract(spark: SparkSession, path: str, tiles: list[int], lat: tuple[fl
     return spark.read.parquet(path).where(F.col("tile_id").isin(*tiles) & F.col("lat").between(*lat) & F.col("lon").between(*lon))
 
 
-def write_fact(df: DataFrame, path: str, by: str = "analysis_year", fmt: str = "parquet") -> None:
-    df.write.mode("append").partitionBy(by).format(fmt).option("header", True).save(path)
+def write_fact(df: DataFrame, path: str, by: str = "analysis_year", fmt: str = "parquet", batch: str | None = None) -> None:
+    """Facts in partitions ``by`` a column. With ``batch`` each partition has one folder a batch, which the batch replaces
+    when it is run again, so that batches add up and none counts twice; without it, the touched partitions are replaced."""
+    rows, parts = (df, [by]) if batch is None else (df.withColumn("batch", F.lit(batch)), [by, "batch"])
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).format(fmt).option("header", True).save(path)
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
