@@ -119,6 +119,32 @@ def npv_pv(pixels: DataFrame, factors: DataFrame, capital: DataFrame, keys: list
     return df.withColumns({"npv_ha": (F.col(generation) * F.col("a") - kw * (F.col("capex") + F.col("b"))) / ha, "cost_ha": kw * (F.col("capex") + F.col("b")) / ha})
 
 
+def adjusted_factors(yearly: DataFrame, ratios: DataFrame, keys: list[str], region: str, targets: list[int]) -> DataFrame:
+    """:func:`scenario_factors` of every region (a_adj, b_adj) with each year weighted by the region's ``ratio`` of that
+    year, 1 where it has none. Regions are those of ``ratios`` (region, year, ratio); scenarios, years and regions are few."""
+    every = yearly.crossJoin(ratios.select(region).where(F.col(region).isNotNull()).distinct())
+    rated = every.join(ratios.select(region, "year", "ratio"), [region, "year"], "left").withColumn("ratio", F.coalesce("ratio", F.lit(1.0)))
+    return scenario_factors(rated, [*keys, region], targets, ratio="ratio").withColumnsRenamed({"a": "a_adj", "b": "b_adj"})
+
+
+def npv_pv_adjusted(pixels: DataFrame, factors: DataFrame, adjusted: DataFrame, capital: DataFrame, keys: list[str], region: str, generation: str = "kwh", area: str = "area_m2") -> DataFrame:
+    """:func:`npv_pv` for every target year with ``npv_adj_ha``, in which demand ratios weight the yearly cash flows.
+
+    Cells of a region without ratios, or of none, have the plain value there. The factors of a region, scenario and target
+    are one small table, so the cells are read once and years are never exploded.
+    """
+    both = factors.join(adjusted, [*keys, "target"])
+    known = adjusted.select(F.col(region).alias("r_")).distinct()
+    plain = factors.withColumns({region: F.lit(None).cast(dict(adjusted.dtypes)[region]), "a_adj": F.col("a"), "b_adj": F.col("b")})
+    table = both.unionByName(plain).join(capital, keys).withColumnRenamed(region, "r_")
+    cells = pixels.join(known, pixels[region] == known["r_"], "left")
+    kw, ha = F.col(area) * 0.17, F.col(area) / 1e4
+    cells = cells.withColumnRenamed("r_", "own_")
+    out = cells.join(table, F.col("own_").eqNullSafe(F.col("r_"))).drop("own_", "r_")
+    value = lambda a, b: (F.col(generation) * F.col(a) - kw * (F.col("capex") + F.col(b))) / ha
+    return out.withColumns({"npv_ha": value("a", "b"), "cost_ha": kw * (F.col("capex") + F.col("b")) / ha, "npv_adj_ha": value("a_adj", "b_adj")})
+
+
 def npv_crop(yields: DataFrame, prices: DataFrame, key: str, targets: list[int], scenario: str | None = None) -> DataFrame:
     """Discounted margin of crops by cell, price scenario (a column of the prices, if named) and target year.
 

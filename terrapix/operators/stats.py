@@ -427,6 +427,15 @@ def train_compare(train: DataFrame, test: DataFrame, columns: list[str], label:
     return models, reduce(lambda a, b: a.unionByName(b), tables).orderBy(F.desc("f1"), "model")
 
 
+def score_pool(train: DataFrame, test: DataFrame, pool: DataFrame, negatives: DataFrame, columns: list[str], label: str, key: str, names: tuple[str, ...] = ("forest", "boosted", "logistic", "mlp")) -> tuple[DataFrame, str]:
+    """(key, p) of the pool by the compared model with the best F1 on ``test``, and 0 for the rows sampled as negatives;
+    with that model's name. A row that is in both counts as a negative."""
+    models, table = train_compare(train, test, columns, label, names)
+    best = table.first().model
+    rest = pool.join(negatives.select(key).distinct(), key, "left_anti")
+    return score_model(models[best], rest, columns).select(key, "p").unionByName(negatives.select(key, F.lit(0.0).alias("p"))), best
+
+
 def learning_curve(df: DataFrame, columns: list[str], label: str, key: str, sizes: tuple[float, ...] = (0.2, 0.6, 1.0), folds: int = 3) -> DataFrame:
     """Train and validation accuracy by share of the training rows, over hash folds, for a logistic model."""
     rows = with_vector(df, columns).select(key, "features", F.col(label).cast("double").alias("label")).withColumns({"fold_": F.pmod(F.xxhash64(F.lit(3), key), F.lit(folds)), "u_": F.pmod(F.xxhash64(F.lit(4), key), F.lit(1000)) / 1000}).persist()

@@ -254,6 +254,40 @@ def e16(t):
     return rounded(T.npv_pv(pixels, factors, capital, ids).select("pixel_id", "scenario", "npv_ha", "cost_ha"), "pixel_id", "scenario", places=2)
 
 
+LINES = """SELECT scenario, variable, yr, CASE WHEN lo IS NULL THEN hi WHEN hi IS NULL OR hy = ly THEN lo ELSE lo + (hi - lo) * (yr - ly) / (hy - ly) END AS v
+    FROM (SELECT scenario, variable, yr, max_by(value, analysis_year) FILTER (analysis_year <= yr) AS lo, max(analysis_year) FILTER (analysis_year <= yr) AS ly,
+                 min_by(value, analysis_year) FILTER (analysis_year >= yr) AS hi, min(analysis_year) FILTER (analysis_year >= yr) AS hy
+          FROM scen_long, range(2021, 2051) r(yr) WHERE value IS NOT NULL AND variable IN ('price', 'om') GROUP BY 1, 2, 3) k"""
+TARGETS = [2020, 2030, 2040, 2050]
+
+
+@query(
+    "e16_npv_pv_all_targets",
+    "pixels states scen_long demand",
+    f"""WITH l AS ({LINES}),
+        y AS (SELECT p.scenario, p.yr, p.v / pow(1.05e0, p.yr - 2020) / 277.778e0 AS a, m.v / pow(1.05e0, p.yr - 2020) AS b FROM l p JOIN l m ON p.scenario = m.scenario AND p.yr = m.yr WHERE p.variable = 'price' AND m.variable = 'om'),
+        d AS (SELECT state, year, sum(mmbtu) AS e FROM demand WHERE scenario = 'MID' AND final_energy = 'ELECTRICITY' AND year BETWEEN 2020 AND 2050 GROUP BY 1, 2),
+        q AS (SELECT s.state_key, d.year, greatest(0.7e0, least(1.3e0, pow(e / median(e) OVER (PARTITION BY d.year), 0.3e0))) AS ratio FROM d JOIN states s ON s.name = d.state),
+        z AS (SELECT s.state_key, y.scenario, t.target, coalesce(sum(y.a) FILTER (y.yr <= t.target), 0) AS a, coalesce(sum(y.b) FILTER (y.yr <= t.target), 0) AS b,
+                     coalesce(sum(y.a * coalesce(ratio, 1)) FILTER (y.yr <= t.target), 0) AS aa, coalesce(sum(y.b * coalesce(ratio, 1)) FILTER (y.yr <= t.target), 0) AS ba
+              FROM states s CROSS JOIN y CROSS JOIN (SELECT unnest({TARGETS}) AS target) t LEFT JOIN q ON q.state_key = s.state_key AND q.year = y.yr GROUP BY 1, 2, 3),
+        k AS (SELECT scenario, value AS capex FROM scen_long WHERE variable = 'capital' AND analysis_year = 2020 AND value IS NOT NULL)
+        SELECT p.state_key, z.scenario, z.target, count(*) AS cells, round(avg(({{v}}) / (area_m2 / 1e4)), 2) AS npv_ha, round(avg({KW} * (capex + b) / (area_m2 / 1e4)), 2) AS cost_ha, round(avg(({{w}}) / (area_m2 / 1e4)), 2) AS npv_adj_ha
+        FROM pixels p JOIN z ON p.state_key = z.state_key JOIN k ON k.scenario = z.scenario GROUP BY 1, 2, 3""".replace("{v}", f"rsds * area_m2 * a - {KW} * (capex + b)").replace("{w}", f"rsds * area_m2 * aa - {KW} * (capex + ba)"),
+)
+def e16b(t):
+    years, ids = list(range(2020, 2051)), ["scenario"]
+    line = lambda v: T.interp_series(t.scen_long.where(f"variable = '{v}'"), ids, "analysis_year", "value", years).select("scenario", F.col("analysis_year").alias("year"), F.col("value").alias(v))
+    yearly = line("price").join(line("om"), ["scenario", "year"])
+    energy = t.demand.where("scenario = 'MID' and final_energy = 'ELECTRICITY' and year between 2020 and 2050").groupBy("state", "year").agg(F.sum("mmbtu").alias("e"))
+    ratios = T.demand_ratio(energy, ["year"], "e").join(t.states.select("state_key", F.col("name").alias("state")), "state").select("state_key", "year", "ratio")
+    capital = t.scen_long.where("variable = 'capital' and analysis_year = 2020 and value is not null").select("scenario", F.col("value").alias("capex"))
+    pixels = t.pixels.withColumn("kwh", F.col("rsds") * F.col("area_m2"))
+    found = T.npv_pv_adjusted(pixels, T.scenario_factors(yearly, ids, TARGETS), T.adjusted_factors(yearly, ratios, ids, "state_key", TARGETS), capital, ids, "state_key")
+    out = found.groupBy("state_key", "scenario", "target").agg(F.count("*").alias("cells"), *[F.avg(c).alias(c) for c in ("npv_ha", "cost_ha", "npv_adj_ha")])
+    return rounded(out, "state_key", "scenario", "target", places=2)
+
+
 YIELDS = " UNION ALL ".join(f"SELECT pixel_id, '{c.split('_')[0]}' AS crop, coalesce({c}, 0e0){' * 10' if '10kg' in c else ''} AS kg FROM crops" for c in ("maize_rcp26_kg_dw_ha", "wheat_rcp26_10kg_dw_ha", "soybean_rcp26_kg_dw_ha"))
 SERIES = "SELECT v.item, v.scenario, v.year, v.value / w.value * 1000 AS price FROM crop_price v JOIN crop_price w ON v.item = w.item AND v.scenario = w.scenario AND v.year = w.year WHERE v.element = 'value' AND w.element = 'tonnes' AND w.value > 0"
 

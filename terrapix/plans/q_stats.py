@@ -182,10 +182,8 @@ def g14(t):
 @query("g15_score_pool")
 def g15(t):
     parts = M.stratified_split(_labelled(t), "label", "pixel_id")
-    models, _ = M.train_compare(parts.where("part = 0"), parts.where("part = 2"), FEATURES, "label", ("logistic",))
-    pool = parts.where("part > 0")
-    scored = M.score_model(models["logistic"], pool, FEATURES).select("pixel_id", "p")
-    return rounded(scored.union(parts.where("part = 0 and label = 0").select("pixel_id", F.lit(0.0))), "pixel_id")
+    train = parts.where("part = 0")
+    return rounded(M.score_pool(train, parts.where("part = 2"), parts.where("part > 0"), train.where("label = 0"), FEATURES, "label", "pixel_id")[0], "pixel_id")
 
 
 SCORED = "SELECT pixel_id, prob, CAST(pixel_id % 3 = 0 OR prob > 0.8e0 AS INT) AS label FROM pixels"
