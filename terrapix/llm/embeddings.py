@@ -21,9 +21,10 @@ BITS = 64
 WITHIN = 7
 """Codes of 32 bits or more that differ in so many bits or fewer always meet in a table, whatever the number of vectors."""
 RADIUS = 12
-"""Codes that meet and differ in more bits are not looked at further."""
+"""Codes that meet and differ in more bits are not looked at further. With ``BITS`` for both all pairs of a label meet."""
 HOT = 4096
 """A bucket with more members is searched by several tasks."""
+FEW_HOT = 100_000
 STEP = 1024
 SMALL = 64
 SHARE = 16
@@ -94,16 +95,19 @@ class Tables:
     """Cuts of a code into parts, one table each, and how many bits may differ in a part for two codes to meet there.
 
     Parts grow with the logarithm of the number of vectors, so that buckets do not. By the pigeonhole principle
-    two codes within ``WITHIN`` bits meet in a table if the radii and the number of tables add up to more than that.
+    two codes within ``within`` bits meet in a table if the radii and the number of tables add up to more than that.
     A code lies in its own bucket (at home) and, in a table of radius 1, visits those of the keys with one bit less.
+    More than that finds (``within`` of twice the number of tables or more) takes one table, in which all codes meet.
     """
 
-    def __init__(self, bits: int, vectors: int) -> None:
+    def __init__(self, bits: int, vectors: int, within: int = WITHIN) -> None:
         size = min(16, max(8, max(1, vectors).bit_length() - 4))
         n = min(bits, max(4, min(8, bits // size)))
         cut = [round(k * bits / n) for k in range(n + 1)]
         self.cuts = list(zip(cut, cut[1:], strict=False))
-        self.radii = [int(t < WITHIN + 1 - n) for t in range(n)]
+        self.radii = [int(t < within + 1 - n) for t in range(n)]
+        if within >= 2 * n and within > WITHIN:
+            self.cuts, self.radii = [(0, 0)], [0]
 
     def entries(self, code: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
         """(table, numbers of codes, their keys, whether they are at home)."""
@@ -172,18 +176,18 @@ def _meeting(tables: Tables, t: int, a: dict, i: np.ndarray, b: dict, j: np.ndar
     return (a["home"][i] | b["home"][j]) & (tables.first(apart) == t)
 
 
-def _candidates(count: int):
+def _candidates(count: int, within: int, radius: int):
     """mapInPandas function over codes in buckets: those that meet another one, or hold several vectors, stay."""
     columns = ["code", "home", "bits", "several"]
     known: dict[int, Tables] = {}
 
     def tables(bits: int) -> Tables:
         if bits not in known:
-            known[bits] = Tables(bits, count)
+            known[bits] = Tables(bits, count, within)
         return known[bits]
 
     def near(t: int, a: dict, i: np.ndarray, b: dict, j: np.ndarray) -> np.ndarray:
-        close = np.bitwise_count(a["code"][i] ^ b["code"][j]) <= RADIUS
+        close = np.bitwise_count(a["code"][i] ^ b["code"][j]) <= radius
         out = np.zeros(len(i), bool)
         if close.any():
             out[close] = _meeting(tables(int(a["bits"][0])), t, a, i[close], b, j[close])
@@ -198,7 +202,7 @@ def _candidates(count: int):
             i = np.flatnonzero(group[d:] == group[:-d])
             if not len(i):
                 break
-            i = i[np.bitwise_count(data["code"][i] ^ data["code"][i + d]) <= RADIUS]
+            i = i[np.bitwise_count(data["code"][i] ^ data["code"][i + d]) <= radius]
             for bits in np.unique(data["bits"][i]):
                 for t in np.unique(data["t"][i]):
                     own = i[(data["bits"][i] == bits) & (data["t"][i] == t)]
@@ -242,7 +246,7 @@ def _candidates(count: int):
                 for a in range(0, len(seek["code"]), STEP):
                     for b in range(0, len(part["code"]), STEP):
                         left, right = ({c: v[x : x + STEP] for c, v in y.items()} for x, y in ((a, seek), (b, part)))
-                        i, j = np.nonzero(np.bitwise_count(left["code"][:, None] ^ right["code"][None, :]) <= RADIUS)
+                        i, j = np.nonzero(np.bitwise_count(left["code"][:, None] ^ right["code"][None, :]) <= radius)
                         other = left["code"][i] != right["code"][j]
                         i, j = i[other], j[other]
                         mark[a + i[near(key[1], left, i, right, j)]] = True
@@ -255,7 +259,7 @@ def _candidates(count: int):
     return work
 
 
-def _rerank(threshold: float, count: int):
+def _rerank(threshold: float, count: int, within: int):
     """mapInPandas function over vectors in buckets: links of every seeker, and links that join what they join."""
     columns = ["node", "n", "code", "home", "bits", "e"]
 
@@ -270,7 +274,7 @@ def _rerank(threshold: float, count: int):
         for key, seek, part in _searches(batches, columns):
             if links is None:
                 links, whole = np.zeros(len(seek["node"]), np.int64), unit(seek)
-                tables = Tables(int(seek["bits"][0]), count)
+                tables = Tables(int(seek["bits"][0]), count, within)
             if part is None:
                 own = np.flatnonzero(links)
                 if len(own):
@@ -306,12 +310,11 @@ def _rerank(threshold: float, count: int):
 
 def _dealt(rows: DataFrame, sizes: DataFrame, by: str, hot: int) -> DataFrame:
     """``rows`` of buckets (g, t, k) with ``chunk`` and ``role``; the seekers of a hot bucket are dealt to chunks by a
-    hash of ``by``, and all its members are searched in each chunk. A bucket is hot if it has more than ``hot`` and
-    more than one in 10,000 of all rows, so that the table of hot ones may be broadcast."""
-    total = sizes.agg(F.sum("size").alias("all_"))
-    large = sizes.crossJoin(F.broadcast(total)).where((F.col("size") > hot) & (F.col("size") * 10_000 > F.col("all_")))
-    large = large.select("g", "t", "k", F.ceil(F.col("size") / hot).cast("int").alias("chunks"))
-    marked = rows.join(F.broadcast(large), ["g", "t", "k"], "left")
+    hash of ``by``, and all its members are searched in each chunk. A bucket is hot if it has more than ``hot`` members;
+    the table of hot ones is broadcast up to ``FEW_HOT`` rows and joined like others beyond that."""
+    large = sizes.where(F.col("size") > hot).select("g", "t", "k", F.ceil(F.col("size") / hot).cast("int").alias("chunks"))
+    large = materialise(large, "hot")
+    marked = rows.join(F.broadcast(large) if large.count() <= FEW_HOT else large, ["g", "t", "k"], "left")
     own = F.pmod(F.xxhash64(F.lit(11), by), F.col("chunks")).cast("int")
     places = F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("chunk"), F.lit(2).alias("role")))).otherwise(
         F.concat(
@@ -330,12 +333,16 @@ def link_embeddings(
     label_col: str = "label",
     hot: int = HOT,
     sample: int = SAMPLE,
+    within: int = WITHIN,
+    radius: int = RADIUS,
 ) -> DataFrame:
-    """(id, n_links, component_id) of every row: how many other rows of its label have a cosine of ``threshold``
-    or more in double precision, and the smallest id that such links reach, itself included.
+    """(id, n_links, component_id) of every row: how many other rows of its label were found with a cosine of
+    ``threshold`` or more in double precision, and the smallest id that such links reach, itself included.
 
-    Codes are cut into tables (:class:`Tables`), which find all pairs whose codes differ in ``WITHIN`` bits or fewer.
-    Codes alone travel to the tables; there, those stay that meet a code within ``RADIUS`` bits, and only their
+    Codes are cut into tables (:class:`Tables`), which find all pairs whose codes differ in ``within`` bits or fewer,
+    and some of those up to ``radius`` bits; pairs of more distant codes are not found, however near their vectors
+    are (README gives the recall by cosine). The exact way is ``within=64, radius=64``: all pairs of a label are decided by
+    their vectors, in blocks. Codes alone travel to the tables; there, those stay that meet a code, and only their
     vectors are fetched. Every pair is decided by the original vectors, in the first bucket in which it meets, block
     by block, and never emitted. Equal vectors of a label are one node with a count. A bucket of more than ``hot``
     members is dealt to several tasks, each with its own share of the searchers.
@@ -378,7 +385,7 @@ def link_embeddings(
         for b in batches:
             for bits in b["bits"].unique().tolist():
                 own = b[b["bits"] == bits]
-                for t, at, key, home in Tables(bits, count).entries(own["code"].to_numpy().view(np.uint64)):
+                for t, at, key, home in Tables(bits, count, within).entries(own["code"].to_numpy().view(np.uint64)):
                     part = own.iloc[at]
                     yield pd.DataFrame({"g": part["g"], "t": t, "k": key, "home": home, "code": part["code"], "bits": bits, "several": part["several"]})
 
@@ -388,7 +395,7 @@ def link_embeddings(
     sizes = sampled.groupBy("g", "t", "k").agg((F.count(F.lit(1)) * SHARE).alias("size"))
     dealt = _dealt(light.mapInPandas(spread, schema), sizes, "code", hot)
     order = [*KEY, "role"]
-    met = dealt.repartition(*KEY).sortWithinPartitions(*order).mapInPandas(_candidates(count), "g long, t int, k long, home boolean, code long")
+    met = dealt.repartition(*KEY).sortWithinPartitions(*order).mapInPandas(_candidates(count, within, radius), "g long, t int, k long, home boolean, code long")
     alone = cells.where("several").mapInPandas(
         lambda batches: (x[x["home"] & (x["t"] == 0)] for x in spread(b[["g", "code", "bits", "several"]] for b in batches)), schema
     )
@@ -409,7 +416,7 @@ def link_embeddings(
     sizes = members.groupBy("g", "t", "k").agg(F.count(F.lit(1)).alias("size"))
     placed = _dealt(members, sizes, "node", hot).join(own, ["h1", "h2"])
     placed = placed.select(*KEY, "role", "home", "code", "bits", "node", "n", "e").repartition(*KEY).sortWithinPartitions(*order)
-    found = materialise(placed.mapInPandas(_rerank(threshold, count), "node long, links long, root long"), "links")
+    found = materialise(placed.mapInPandas(_rerank(threshold, count, within), "node long, links long, root long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("node <> root").select("node", "root")).select(F.col("node").alias("m"), "root")
     rooted = nodes.join(links, "node", "left").join(roots, F.col("node") == F.col("m"), "left")
