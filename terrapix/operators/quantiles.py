@@ -50,10 +50,11 @@ def quantiles(df: DataFrame, columns: dict[str, Column], qs: list[float], by: li
     counts = dealt.groupBy(*key, "b_").agg(F.count(F.lit(1)).alias("c_"))
     along = Window.partitionBy(*key).orderBy("b_")
     counts = counts.withColumns({"before_": F.sum("c_").over(along) - F.col("c_"), "n_": F.sum("c_").over(Window.partitionBy(*key))})
-    at = lambda q: F.lit(q) * (F.col("n_") - 1)
-    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), how(at(q)).cast("long").alias("at"), at(q).alias("pos")) for i, q in enumerate(qs) for side, how in ((0, F.floor), (1, F.ceil))])
-    want = counts.withColumn("w_", F.explode(ranks)).where("w_.at >= before_ and w_.at < before_ + c_")
-    want = want.select(*key, "b_", "w_.i", "w_.side", (F.col("w_.at") - F.col("before_")).alias("at_"), "w_.pos")
+    asked = counts.select("*", F.posexplode(F.array(*[F.lit(float(q)) for q in qs])).alias("i", "share_"))
+    asked = asked.withColumn("pos", F.col("share_") * (F.col("n_") - 1))
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), how("pos").cast("long").alias("at")) for side, how in ((0, F.floor), (1, F.ceil))])
+    want = asked.withColumn("w_", F.explode(sides)).where("w_.at >= before_ and w_.at < before_ + c_")
+    want = want.select(*key, "b_", "i", "w_.side", (F.col("w_.at") - F.col("before_")).alias("at_"), "pos")
     inner = [*key, "b_"]
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in inner]
     needed = want.select(*inner).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,16 +156,26 @@ def state_integrals(df: DataFrame, state: str, orders: list[str], metrics: list[
 
     Bins are closed at both ends, so a value on an edge counts in both, and a run of equal edges in all bins between.
     The running sum and its trapezoids are linear in the bins' sums, and the bins of a value are a run, so that a
-    row's weight has a closed form and one aggregate does without a window.
+    row's weight has a closed form and one aggregate does without a window. A row's places among the edges, a small
+    array, are looked up once in an Arrow batch: as column expressions, the search is too much code for one stage.
     """
     m = round(100 / step)
-    levels = (m + 1).bit_length()
-    edges = quantiles(df, {o: F.col(o) for o in orders}, [1 - i / m for i in reversed(range(m + 1))])
-    more = F.array_repeat(F.lit(float("inf")), (1 << levels) - 2 - m)
-    stack = F.explode(F.array(*[F.struct(F.lit(o).alias("sorted_by"), F.col(o).cast("double").alias("o_"), F.concat(F.col(f"e_{o}"), more).alias("e_")) for o in orders]))
-    wide = df.crossJoin(F.broadcast(edges.select(*[F.col(o).alias(f"e_{o}") for o in orders])))
-    long = wide.select(state, (F.col(area) / 1e4).alias("ha_"), *metrics, stack.alias("s_")).select(state, "ha_", *metrics, "s_.*").where("o_ is not null")
-    long = count_below(count_below(long, "o_", "e_", levels, "lo_"), "o_", "e_", levels, "hi_", True)
+    found = quantiles(df, {o: F.col(o) for o in orders}, [1 - i / m for i in reversed(range(m + 1))]).first()
+    edges = [np.array(found[o] if found[o] else [np.inf], np.float64) for o in orders]  # m + 1 numbers an order
+
+    @F.pandas_udf("array<int>")
+    def places(values: pd.DataFrame) -> pd.Series:
+        """For each order the numbers of edges below its value and up to it; null values have -1."""
+        out = np.full((len(values), 2 * len(edges)), -1, np.int32)
+        for i, e in enumerate(edges):
+            x = values.iloc[:, i].to_numpy(np.float64)
+            known = ~np.isnan(x)
+            out[known, 2 * i], out[known, 2 * i + 1] = np.searchsorted(e, x[known], "left"), np.searchsorted(e, x[known], "right")
+        return pd.Series(list(out))
+
+    asked = df.select(state, (F.col(area) / 1e4).alias("ha_"), *metrics, places(F.struct(*[F.col(o).cast("double").alias(f"x{i}") for i, o in enumerate(orders)])).alias("at_"))
+    stack = F.explode(F.array(*[F.struct(F.lit(o).alias("sorted_by"), F.get("at_", F.lit(2 * i)).alias("lo_"), F.get("at_", F.lit(2 * i + 1)).alias("hi_")) for i, o in enumerate(orders)]))
+    long = asked.withColumn("s_", stack).select(state, "ha_", *metrics, "s_.*").where("lo_ >= 0")
     first, last = F.greatest(F.col("lo_") - 1, F.lit(0)), F.least(F.col("hi_") - 1, F.lit(m - 1))
     n = last - first + 1
     weight = ((first + last) * n / 2 + n / 2 - F.when(last == m - 1, 0.5).otherwise(0.0)) / (m - 1)
