@@ -244,7 +244,7 @@ def pattern_score(weights: np.ndarray, means: np.ndarray, covs: np.ndarray, grou
 def hex_pattern(posterior: DataFrame, scores: DataFrame, cell: list[str]) -> DataFrame:
     """Pattern scores of components weighted by the mean posterior in a cell."""
     rows = posterior.select(*cell, F.posexplode("posterior").alias("component", "p")).groupBy(*cell, "component").agg(F.avg("p").alias("p"))
-    return rows.join(F.broadcast(scores), "component").groupBy(*cell, "pattern").agg(F.sum(F.col("p") * F.col("score")).alias("score"))
+    return rows.join(scores, "component").groupBy(*cell, "pattern").agg(F.sum(F.col("p") * F.col("score")).alias("score"))
 
 
 def classify_pattern(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

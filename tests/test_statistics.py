@@ -165,3 +165,30 @@ def test_models_are_compared_on_rows_they_have_not_seen(spark):
     curve = stats.learning_curve(df, ["a", "b"], "label", "k").collect()
     assert sorted(r["size"] for r in curve) == [0.2, 0.6, 1.0]
     assert all(r.valid > 0.9 and r.gap == pytest.approx(r.train - r.valid) for r in curve)
+
+
+def test_pattern_scores_of_cells_against_plain_means(spark):
+    rng = np.random.default_rng(11)
+    weights, means = np.array([0.2, 0.5, 0.3]), rng.normal(size=(3, 4))
+    covs = np.array([np.diag(rng.uniform(0.5, 2, 4)) for _ in range(3)])
+    groups = {"value": [0, 2], "carbon": [1], "weather": [3]}
+    table = stats.pattern_score(weights, means, covs, groups)
+    plain = {(k, g): sum(abs(means[k, i]) * math.sqrt(covs[k, i, i]) for i in idx) * weights[k] for k in range(3) for g, idx in groups.items()}
+    assert {(k, g): s for k, g, s in table} == pytest.approx(plain)
+    p = rng.dirichlet(np.ones(3), 60)
+    df = spark.createDataFrame([(i % 7, x.tolist()) for i, x in enumerate(p)], "cell int, posterior array<double>")
+    got = {(r.cell, r.pattern): r.score for r in stats.hex_pattern(df, spark.createDataFrame(table, "component int, pattern string, score double"), ["cell"]).collect()}
+    want = {(c, g): sum(p[np.arange(60) % 7 == c].mean(0)[k] * plain[k, g] for k in range(3)) for c in range(7) for g in groups}
+    assert got == pytest.approx(want)
+
+
+def test_the_pool_is_scored_by_the_best_model(spark):
+    rng = np.random.default_rng(12)
+    x = rng.uniform(-1, 1, (300, 2))
+    label = (x[:, 0] * x[:, 1] > 0).astype(int)  # no line parts these
+    df = spark.createDataFrame([(i, *map(float, v), int(y)) for i, (v, y) in enumerate(zip(x, label, strict=True))], "id int, a double, b double, label int")
+    train, test, pool = df.where("id < 200"), df.where("id between 200 and 249"), df.where("id >= 200")
+    scored, best = stats.score_pool(train, test, pool, df.where("id in (3, 201)"), ["a", "b"], "label", "id", ("logistic", "forest"))
+    got = {r.id: r.p for r in scored.collect()}
+    assert best == "forest" and set(got) == {3, *range(200, 300)} and got[3] == got[201] == 0
+    assert np.mean([(got[i] > 0.5) == label[i] for i in range(202, 300)]) > 0.85
