@@ -26,7 +26,7 @@ def documents(spark):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     found = con.execute(oracle_sql()[name])
     names = [d[0] for d in found.description]
