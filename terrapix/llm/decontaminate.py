@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import BitMap, bit_map
-from .scratch import materialise
+from .scratch import materialise, small_batches
 from .skew import hot_keys, salted_join
 
 WEIGHT = 8
@@ -150,6 +150,7 @@ def _seeds(benchmark: DataFrame, item_col: str, text_col: str, least: float) ->
 
 def _found(docs: DataFrame, benchmark: DataFrame, least: float, text_col: str, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame] | None:
     """((h1, h2, g1, g2, start_word, n_matched, n_words) by distinct document and item text, hot (h1, h2)); None without items."""
+    small_batches(docs.sparkSession)
     items = materialise(_seeds(benchmark, item_col, item_text_col, least), "items")
     seeds = items.select("g1", "g2", "weight", F.explode(F.arrays_zip("keys", "ats")).alias("s")).select("g1", "g2", "weight", F.col("s.keys").alias("key"), F.col("s.ats").alias("at"))
     count = seeds.count()

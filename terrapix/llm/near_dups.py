@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .bitmap import bit_map
 from .components import components
-from .scratch import materialise
+from .scratch import materialise, small_batches
 from .simhash import fingerprint, fingerprint_edges, words_of
 
 SAMPLE = 8192
@@ -234,6 +234,7 @@ def near_duplicate_groups(
     Null and empty texts are one group. Rows with null ids are in no group. Rows that repeat an id are one
     document. An empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("id"), docs[text_col].alias("t"))
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(chosen, shingle))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import materialise
+from .scratch import materialise, small_batches
 
 CAPACITY = 2048
 PART_ITEMS = 1 << 15
@@ -72,6 +72,7 @@ def token_pieces(
                     at += n
             yield pd.DataFrame(rows, columns=["id", "piece", "start", "ids"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].alias("t"))  # as a float, an id would lose digits
     found = chosen.mapInPandas(work, "id string, piece int, start bigint, ids binary")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import materialise
+from .scratch import materialise, small_batches
 
 WORD_SLOTS = 1 << 16
 STAT_SLOTS = 1 << 10
@@ -167,6 +167,7 @@ def fit_quality(
     thinned by the same hash. Null labels and labels without a document are left out, several labels of one id
     are averaged. Without labels, or with labels of one kind only, every score is the share of ones (or one half).
     """
+    small_batches(docs.sparkSession)
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
         .groupBy(F.col(id_col).alias("key"))
@@ -212,6 +213,7 @@ def score_quality(
 
     Every whole text is scored; null and empty texts by their statistics alone. An empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     meta = [c for c in metadata if c in docs.columns]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

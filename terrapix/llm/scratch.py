@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = 1000
+"""Texts that a Python worker gets at once."""
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``. Where the session names none, a local master gets a temporary
@@ -41,6 +44,17 @@ def clear(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let Spark hand whole texts and shingle sets to Python ``rows`` at a time, where the session has its default.
+
+    Memory of JVM and workers for a batch grows with its rows; a worker that has ended a stage keeps what it took.
+    A value that the user has set stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(key):
+        spark.conf.set(key, str(rows))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again, which cuts the lineage.
 
