@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import class_by
 from ..functions.distributions import t_critical
+from .globe import with_sphere_cell
 from .quantiles import quantiles
 from .ranking import ranked_prefix
 
@@ -142,8 +143,19 @@ def hex_agg(df: DataFrame, size: float, mean: list[str], skewed: list[str], clas
     A hexagon has as many cells as its area holds, whatever the table's size, so its values are ranked in one aggregate.
     """
     a, b = hex_cell(F.col(x), F.col(y), size)
+    return df.withColumns({"q": a, "r": b}).groupBy("q", "r").agg(*_hex_values(mean, skewed, classes, q))
+
+
+def _hex_values(mean: list[str], skewed: list[str], classes: list[str], q: float) -> list[Column]:
     most = [F.mode(c, True).alias(c) for c in classes]
-    return df.withColumns({"q": a, "r": b}).groupBy("q", "r").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in mean], *[F.percentile(F.when(F.col(c) > 0, F.col(c)), F.lit(q)).alias(c) for c in skewed], *most)
+    high = [F.percentile(F.when(F.col(c) > 0, F.col(c)), F.lit(q)).alias(c) for c in skewed]
+    return [F.count("*").alias("n"), *[F.avg(c).alias(c) for c in mean], *high, *most]
+
+
+def sphere_hex_agg(df: DataFrame, level: int, mean: list[str], skewed: list[str], classes: list[str], q: float = 0.75, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Like :func:`hex_agg`, by hexagon of the sphere (``cell``, see :mod:`globe`); points without coordinates are left out."""
+    rows = with_sphere_cell(df.select(lat, lon, *dict.fromkeys([*mean, *skewed, *classes])), level, "cell", lat, lon)
+    return rows.where("cell is not null").groupBy("cell").agg(*_hex_values(mean, skewed, classes, q))
 
 
 def lat_band_ci(df: DataFrame, value: str, step: float = 0.5, by: list[str] | None = None) -> DataFrame:
