@@ -26,6 +26,9 @@ from .spatial import nearest
 START = 4096
 """Rows from which the starts of a mixture are drawn."""
 RIDGE = 1e-6
+STIFF = 1e9
+"""Greatest product of a precision and a squared distance from the centre at which log densities come from products: they
+keep an error of about 1e-6."""
 
 # Bounds of the difficulty levels and their shares by strategy.
 PIT_BINS = {3: (0.0, 0.05, 0.25, 0.60), 2: (0.0, 0.05, 0.30)}
@@ -68,6 +71,17 @@ class Mixture:
         z = np.einsum("kij,nkj->nki", self.inverse, x[:, None, :] - self.means[None])
         return np.log(self.weights) - 0.5 * (z * z).sum(2) - self.log_scale - 0.5 * x.shape[1] * np.log(2 * np.pi)
 
+    def forms(self) -> tuple[np.ndarray, float]:
+        """Coefficients of :meth:`parts` by component on 1, x and the products of x, and the greatest precision."""
+        k, d = self.means.shape
+        precision = self.inverse.transpose(0, 2, 1) @ self.inverse
+        slope = np.einsum("kij,kj->ki", precision, self.means)
+        level = np.log(self.weights) - self.log_scale - 0.5 * d * np.log(2 * np.pi) - 0.5 * (slope * self.means).sum(1)
+        return np.concatenate([level[:, None], slope, -0.5 * precision.reshape(k, -1)], 1), float(np.linalg.norm(precision, 2, (1, 2)).max())
+
+    def moved(self, by: np.ndarray) -> Mixture:
+        return Mixture(self.weights, self.means + by, self.covs, self.diagonal)
+
     def parameters(self) -> float:
         k, d = self.means.shape
         return k * (1 + d + (d if self.diagonal else d * (d + 1) / 2)) - 1
@@ -105,14 +119,20 @@ def fit_mixture(
     of a sample of ``START`` rows by a seeded hash. With ``criterion`` ``bic`` all rows are fitted and the least BIC is
     best; with ``heldout`` every tenth row by a hash of ``key`` is left out and the greatest mean log-likelihood there is
     best. A candidate rests once its mean log-likelihood gains less than ``tolerance``. Rows with a null are left out.
+
+    The log densities of all components are one matrix product of the values and their products, both less the starts'
+    mean; a candidate whose components are too narrow for that (``STIFF``) is taken by differences from its means.
     """
     hold = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(10)) == 0
     data = df.na.drop(subset=columns).select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)], F.xxhash64(F.lit(seed + 1), key).alias("h"), (hold if criterion == "heldout" else F.lit(False)).alias("held"))
-    data, d = stored(data, "mixture"), len(columns)
+    parts = max(2 * df.sparkSession.sparkContext.defaultParallelism, 1)  # every round's work is spread evenly, however the input is cut
+    data, d = stored(data.repartition(parts, "h"), "mixture"), len(columns)
     names = [f"x{i}" for i in range(d)]
     start = np.array([list(r)[:d] for r in data.where("not held").orderBy("h", *names).limit(START).select(*names).collect()], np.float64).reshape(-1, d)
     if not len(start):
         raise ValueError("no rows to fit")
+    centre = start.mean(0)
+    start = start - centre  # models stand in centred values until the end
     spread = np.cov(start, rowvar=False, ddof=0).reshape(d, d) if len(start) > 1 else np.eye(d)
     spread = (spread * np.eye(d) if diagonal else spread) + RIDGE * np.eye(d)
     models, resting = {}, set()
@@ -125,23 +145,34 @@ def fit_mixture(
     def sums_of(current: dict) -> dict:
         """Of each candidate: (sums by component, log-likelihood, rows, held-out log-likelihood, held-out rows)."""
 
+        forms, at, to = {c: m.forms() for c, m in current.items()}, {}, 0
+        for c, m in current.items():
+            at[c], to = slice(to, to + len(m.weights)), to + len(m.weights)
+        form = np.concatenate([f for f, _ in forms.values()])
+
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = {c: np.zeros((len(m.weights), 1 + d + d * d)) for c, m in current.items()}
+            total = np.zeros(form.shape)
             ends = {c: np.zeros(4) for c in current}
             for b in batches:
-                for lo in range(0, len(b), 2048):
-                    part = b.iloc[lo : lo + 2048]
-                    x, held = part[names].to_numpy(np.float64), part["held"].to_numpy(bool)
+                values, away = b[names].to_numpy(np.float64) - centre, b["held"].to_numpy(bool)
+                for lo in range(0, len(values), 512):
+                    x, held = values[lo : lo + 512], away[lo : lo + 512]
                     both = np.concatenate([np.ones((len(x), 1)), x, (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)], 1)
+                    share, reach = form @ both.T, (x * x).sum(1).max()  # components by rows
                     for c, m in current.items():
-                        logs = m.parts(x)
-                        top = logs.max(1)
-                        dens = top + np.log(np.exp(logs - top[:, None]).sum(1))
-                        share = np.exp(logs - dens[:, None])
-                        total[c] += share[~held].T @ both[~held]
+                        own = share[at[c]]
+                        if forms[c][1] * reach > STIFF:
+                            own[:] = m.parts(x).T
+                        top = own.max(0)
+                        own -= top
+                        np.exp(own, out=own)
+                        dens = own.sum(0)
+                        own /= dens
+                        dens = top + np.log(dens)
                         ends[c] += [dens[~held].sum(), (~held).sum(), dens[held].sum(), held.sum()]
+                    total += share @ (both * ~held[:, None])
             for c in current:
-                values = np.concatenate([total[c].ravel(), ends[c]])
+                values = np.concatenate([total[at[c]].ravel(), ends[c]])
                 yield pd.DataFrame({"c": order.index(c), "i": np.arange(len(values)), "v": values})
 
         got = data.mapInPandas(work, "c int, i int, v double").groupBy("c", "i").agg(F.sum("v").alias("v")).toPandas()
@@ -167,7 +198,7 @@ def fit_mixture(
         ll, n, held_ll, held_n = last[c]
         table.append((*c, ll, math.log(max(1.0, n)) * m.parameters() - 2 * ll, held_ll / held_n if held_n else float("nan")))
     best = min(table, key=lambda t: t[3]) if criterion == "bic" else max(table, key=lambda t: t[4])
-    return models[best[:2]], table
+    return models[best[:2]].moved(centre), table
 
 
 def mixture_arrays(model: Mixture) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -116,6 +116,20 @@ def test_mixture_is_that_of_plain_steps_and_finds_what_was_planted(spark):
     assert len(chosen.weights) == 3 and max(held, key=lambda t: t[4])[0] == 3
 
 
+def test_log_densities_as_products_of_values(spark):
+    rng = np.random.default_rng(8)
+    covs = np.array([np.cov(rng.normal(size=(3, 9))) for _ in range(4)])
+    model = stats.Mixture(np.array([0.1, 0.2, 0.3, 0.4]), rng.normal(size=(4, 3)), covs, False)
+    x = rng.normal(size=(50, 3)) * 3
+    forms, stiff = model.forms()
+    both = np.concatenate([np.ones((50, 1)), x, (x[:, :, None] * x[:, None, :]).reshape(50, -1)], 1)
+    assert np.allclose(both @ forms.T, model.parts(x), rtol=1e-10)
+    assert stiff == pytest.approx(1 / np.linalg.eigvalsh(covs).min())
+    far = np.concatenate([np.repeat([1e3, 3e3], 40), 1e3 + 1e3 * rng.random(40)])  # two values held by many rows: precisions of 1e6
+    best, table = stats.fit_mixture(spark.createDataFrame([(k, float(v)) for k, v in enumerate(far)], "k int, a double"), ["a"], [3], "k", restarts=1)
+    assert table[0][2] == pytest.approx(np.log(np.exp(best.parts(far[:, None])).sum(1)).sum(), rel=1e-3)
+
+
 def test_distribution_functions(spark):
     p = [1e-9, 0.001, 0.02, 0.3, 0.5, 0.9, 0.99, 1 - 1e-6]
     df = spark.createDataFrame([(x,) for x in [*p, 0.0, 1.0]], "p double")
