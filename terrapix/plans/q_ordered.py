@@ -315,7 +315,8 @@ def e17(t):
     "SELECT a.pixel_id, rcp_category, analysis_year, round(-cost_usd + CASE WHEN analysis_year - 2020 >= 30 THEN least(60e0 + carbon, prob * 30) * 0.4e0 * 150e0 / pow(1.05e0, 30) ELSE 0e0 END, 4) AS npv FROM alts a JOIN pixels p ON a.pixel_id = p.pixel_id",
 )
 def e18(t):
-    df = t.alts.join(t.pixels.select("pixel_id", (60.0 + F.col("carbon")).alias("pot_agb"), F.col("prob").alias("sequestration")), "pixel_id").withColumnRenamed("cost_usd", "cost")
+    growth = t.pixels.select("pixel_id", (60.0 + F.col("carbon")).alias("pot_agb"), F.col("prob").alias("sequestration"))
+    df = t.alts.join(growth.hint("shuffle_hash"), "pixel_id").withColumnRenamed("cost_usd", "cost")  # a task holds its cells once, not sorted rows by scenario and year
     return df.select("pixel_id", "rcp_category", "analysis_year", r4(T.npv_forest(df, F.col("analysis_year"), 0.4, 150.0)).alias("npv"))
 
 
