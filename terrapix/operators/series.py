@@ -145,23 +145,43 @@ def npv_pv_adjusted(pixels: DataFrame, factors: DataFrame, adjusted: DataFrame,
     return out.withColumns({"npv_ha": value("a", "b"), "cost_ha": kw * (F.col("capex") + F.col("b")) / ha, "npv_adj_ha": value("a_adj", "b_adj")})
 
 
+def total_of(values: Column) -> Column:
+    """Sum of an array of doubles, 0 if it is empty."""
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def crop_revenues(yields: Column, prices: Column) -> Column:
+    """Of an array of (crop, kg) and a map of arrays of prices by crop: the crops' (kg, r), r the revenue under each price."""
+    met = lambda y: F.transform(F.try_element_at(prices, y["crop"]), lambda p: F.struct(y["kg"].alias("kg"), (y["kg"] * p / 1000).alias("r")))
+    return F.flatten(F.filter(F.transform(yields, met), lambda x: x.isNotNull()))
+
+
+def prices_by_crop(prices: DataFrame, by: list[str]) -> DataFrame:
+    """``by`` and ``p_``, a map of each crop's prices; null crops, which match none, are left out."""
+    each = prices.groupBy(*by, "crop").agg(F.collect_list(F.struct("price")).alias("l_"))
+    lists = F.collect_list(F.when(F.col("crop").isNotNull(), F.struct("crop", F.transform("l_", lambda x: x["price"]))))
+    return each.groupBy(*by).agg(F.map_from_entries(lists).alias("p_"))
+
+
 def npv_crop(yields: DataFrame, prices: DataFrame, key: str, targets: list[int], scenario: str | None = None) -> DataFrame:
     """Discounted margin of crops by cell, price scenario (a column of the prices, if named) and target year.
 
     ``yields`` has (key, crop, kg); ``prices`` has (crop, year, price) for every year. A year's revenue is the
     revenue-weighted mean of the crops' revenues, sum(r * r) / sum(r). Prices are a table of crops, scenarios and years.
+    A cell's crops travel as one row; scenarios and years are met after that shuffle, inside the row.
     """
     by = [scenario] if scenario else []
-    r = F.col("kg") * F.col("price") / 1000
-    rows = yields.where("kg > 0").join(F.broadcast(prices.where(f"price > 0 and year > {START} and year <= {START + LIFE}")), "crop")
-    yearly = rows.groupBy(key, *by, "year").agg(F.try_divide(F.sum(r * r), F.sum(r)).alias("rev"))
-    gain = F.coalesce(F.col("rev"), F.lit(0.0)) * CROP_MARGIN / F.pow(F.lit(RATE), F.col("year") - START)
-    per = yearly.groupBy(key, *by).agg(*[F.sum(F.when(F.col("year") <= t, gain).otherwise(0.0)).alias(str(t)) for t in targets])
-    every = yields.select(key).distinct()
-    every = every.crossJoin(F.broadcast(prices.select(*by).distinct())) if by else every
-    every = every.join(per, [key, *by], "left").na.fill(0.0, [str(t) for t in targets])
-    long = every.unpivot([key, *by], [str(t) for t in targets], "target", "gain")
-    return long.select(key, *by, F.col("target").cast("int").alias("target"), (F.col("gain") - CROP_INVESTMENT).alias("npv_ha"))
+    cells = yields.groupBy(key).agg(F.collect_list(F.when(F.col("kg") > 0, F.struct("crop", "kg"))).alias("y_"))
+    asked = (F.col("price") > 0) & (F.col("year") > START) & (F.col("year") <= START + LIFE)
+    yearly = prices_by_crop(prices.where(asked), [*by, "year"]).groupBy(*by).agg(F.collect_list(F.struct("year", "p_")).alias("s_"))
+    series = prices.select(*by).distinct().join(yearly, by, "left") if by else yearly
+    revenues = lambda s: F.transform(crop_revenues(F.col("y_"), s["p_"]), lambda x: x["r"])
+    mean = lambda r: F.coalesce(F.try_divide(total_of(F.transform(r, lambda x: x * x)), total_of(r)), F.lit(0.0))
+    gain = lambda s: mean(revenues(s)) * CROP_MARGIN / F.pow(F.lit(RATE), s["year"] - START)
+    rows = cells.crossJoin(F.broadcast(series)).select(key, *by, F.transform(F.coalesce("s_", F.array()), lambda s: F.struct(s["year"].alias("year"), gain(s).alias("gain"))).alias("g_"))
+    upto = lambda t: total_of(F.transform(F.filter("g_", lambda g: g["year"] <= t), lambda g: g["gain"]))
+    long = rows.select(key, *by, F.inline(F.array(*[F.struct(F.lit(t).cast("int").alias("target"), upto(t).alias("gain")) for t in targets])))
+    return long.select(key, *by, "target", (F.col("gain") - CROP_INVESTMENT).alias("npv_ha"))
 
 
 def wood_omega(half_lives: dict[str, float], years: int = 30, delta: float = 0.05, bef: float = 1.3) -> float:
