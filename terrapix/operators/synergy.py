@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import stored
 from .quantiles import bounds_of, count_below, quantiles
 from .ranking import kernel_weight, ranked_prefix
+from .series import crop_revenues, prices_by_crop, total_of
 
 
 CHAMPIONS = 512
@@ -371,8 +372,16 @@ def decade_carbon(pixels: DataFrame, grams: list[float], kwh: str, area: str, ke
 
 
 def crop_revenue_cells(yields: DataFrame, prices: DataFrame, keys: list[str], margin: float = 0.20, rate: float = 1.05, years: int = 30) -> DataFrame:
-    """By keys (the cell, and a price's scenario and year): tonnes, revenue, revenue-weighted revenue and its discounted margin."""
+    """By keys (the cell, and a price's scenario and year): tonnes, revenue, revenue-weighted revenue and its discounted margin.
+
+    A cell's crops travel as one row; scenarios and years are met after that shuffle, inside the row.
+    """
     annuity = sum(margin / rate**t for t in range(1, years + 1))
-    rows = yields.join(F.broadcast(prices), "crop").withColumn("r_", F.col("kg") * F.col("price") / 1000).where("kg > 0")
-    out = rows.groupBy(*keys).agg((F.sum("kg") / 1000).alias("tonnes"), F.sum("r_").alias("revenue"), (F.sum(F.col("r_") * F.col("r_")) / F.sum("r_")).alias("weighted"))
+    cell = [k for k in keys if k in yields.columns]
+    cells = yields.where("kg > 0").groupBy(*cell).agg(F.collect_list(F.struct("crop", "kg")).alias("y_"))
+    series = prices_by_crop(prices, [k for k in keys if k not in cell])
+    rows = cells.crossJoin(F.broadcast(series)).select(*keys, crop_revenues(F.col("y_"), F.col("p_")).alias("r_")).where("size(r_) > 0")
+    r = F.filter(F.transform("r_", lambda x: x["r"]), lambda x: x.isNotNull())
+    revenue = F.when(F.size(r) > 0, total_of(r))
+    out = rows.select(*keys, (total_of(F.transform("r_", lambda x: x["kg"])) / 1000).alias("tonnes"), revenue.alias("revenue"), (total_of(F.transform(r, lambda x: x * x)) / revenue).alias("weighted"))
     return out.withColumn("npv", F.col("weighted") * annuity)
