@@ -298,7 +298,9 @@ def describe_shape(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "name", "v")
     stats = long.groupBy("name").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev("v").alias("sd"), F.skewness("v").alias("skew"), F.kurtosis("v").alias("kurt"))
-    stats = stats.join(quantiles(long, {"q": F.col("v")}, [0.25, 0.5, 0.75], ["name"]), "name")
+    found = quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75])
+    quarters = found.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("q")) for c in columns]))).where("q is not null")
+    stats = stats.join(F.broadcast(quarters), "name")
     iqr = F.col("q")[2] - F.col("q")[0]
     out = long.join(F.broadcast(stats), "name").groupBy("name").agg(
         F.count_if((F.col("v") < F.col("q")[0] - 1.5 * iqr) | (F.col("v") > F.col("q")[2] + 1.5 * iqr)).alias("iqr_outliers"),
@@ -306,7 +308,7 @@ def describe_shape(df: DataFrame, columns: list[str]) -> DataFrame:
     )
     skew = F.col("skew")
     advice = F.when(F.abs(skew) <= 0.5, "none").when(skew > 1, "log").when(skew > 0.5, "sqrt").otherwise("square")
-    return stats.join(out, "name").select("name", "n", "mean", "sd", "skew", "kurt", F.col("q")[1].alias("median"), "iqr_outliers", "z_outliers", advice.alias("advice"))
+    return stats.join(F.broadcast(out), "name").select("name", "n", "mean", "sd", "skew", "kurt", F.col("q")[1].alias("median"), "iqr_outliers", "z_outliers", advice.alias("advice"))
 
 
 def class_by_nonzero_quantile(df: DataFrame, column: str, qs: tuple[float, ...] = (0.1, 0.3, 0.5, 0.7, 0.9)) -> DataFrame:
