@@ -10,10 +10,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..sources.tables import stored
+from .orders import sums_along
 from .quantiles import bounds_of, count_below, quantiles
-from .ranking import kernel_weight, ranked_prefix
+from .ranking import ranked_prefix
 from .series import crop_revenues, prices_by_crop, total_of
 
 
@@ -24,7 +26,7 @@ RANGE = 8192
 """Points of a front that one task holds of one range."""
 STEP = 512
 MOST_WEIGHTS = 10_000
-"""Weights that one evaluation takes; their table is broadcast."""
+"""Weights that one evaluation takes; their table goes with its tasks."""
 
 
 def ccd(columns: list[str], weights: list[float | Column] | None = None, form: str = "product") -> tuple[Column, Column, Column]:
@@ -147,21 +149,26 @@ def simplex_step(w: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> np.ndarra
 
 
 def evaluate_lambdas(df: DataFrame, grid: DataFrame, columns: list[str], key: str, kernel: str = "decreasing", area: str = "area_m2") -> DataFrame:
-    """By weights: kernel and performance efficiencies of three objectives in the order of their weighted sum.
+    """By weights: kernel (decreasing or increasing) and performance efficiencies of three objectives in the order of their
+    weighted sum, then the key.
 
-    Every row is scored under every weight; ranks come from ranges of the score within a weight, so that neither
-    a weight nor a task sorts the table alone.
+    Both are sums of values times a number that is linear in a row's place, which :func:`sums_along` adds up: only scores
+    and places are shuffled for every weight, not rows.
     """
-    u = [F.col(c) for c in columns]
-    weights = grid.count()
-    if weights > MOST_WEIGHTS:
-        raise ValueError(f"{weights} weights; evaluate them in parts of {MOST_WEIGHTS} at most")
-    rows = df.select(key, area, *columns).crossJoin(F.broadcast(grid)).withColumn("s_", F.col("l1") * u[0] + F.col("l2") * u[1] + F.col("l3") * u[2])
-    ranked = ranked_prefix(rows, "s_", key, [], by=["lam_id"], levels=4, groups=weights, share=8)
-    w = kernel_weight(F.col("rank"), F.col("n"), kernel)
-    ha = F.col(area) / 1e4
-    place = ha * (F.col("n") - F.col("rank") + 0.5) / F.col("n")
-    return ranked.groupBy("lam_id", "l1", "l2", "l3").agg(*[F.sum(F.col(c) * w).alias(f"kernel_{c}") for c in columns], *[(F.sum(F.col(c) * place) / F.sum(ha)).alias(f"perf_{c}") for c in columns])
+    if kernel not in ("decreasing", "increasing"):
+        raise ValueError(f"kernel {kernel} is not linear in the place")
+    weights = grid.limit(MOST_WEIGHTS + 1).collect()
+    if len(weights) > MOST_WEIGHTS:
+        raise ValueError(f"over {MOST_WEIGHTS} weights; evaluate them in parts")
+    numbered = df.sparkSession.createDataFrame([(i, *w) for i, w in enumerate(weights)], StructType([StructField("weight", IntegerType()), *grid.schema.fields]))
+    ha, side = F.col(area) / 1e4, "late" if kernel == "decreasing" else "early"
+    rows = df.select(F.col(key).alias("key"), *[F.col(c).cast("double").alias(f"k_{c}") for c in columns], *[(F.col(c) * ha).alias(f"p_{c}") for c in columns], ha.alias("ha"))
+    own = [f"k_{c}" for c in columns]
+    table = np.array([[w["l1"], w["l2"], w["l3"]] for w in weights], np.float64).reshape(-1, 3)
+    sums = sums_along(rows, table, own, "key", [*own, *[f"p_{c}" for c in columns], "ha"], own if side == "early" else [])
+    n = F.col("n")
+    found = sums.join(F.broadcast(numbered), "weight")
+    return found.select("lam_id", "l1", "l2", "l3", *[(F.col(f"{side}_k_{c}") / n / n).alias(f"kernel_{c}") for c in columns], *[(F.col(f"late_p_{c}") / n / F.col("sum_ha")).alias(f"perf_{c}") for c in columns])
 
 
 def _dominated(x: np.ndarray, by: np.ndarray) -> np.ndarray:
