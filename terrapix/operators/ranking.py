@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import t_critical
-from .quantiles import bounds_of, count_below, quantiles
+from ..sources.tables import stored
+from .quantiles import LEVELS, bounds_of, count_below, quantiles
 
 FEW = 4096
 """Groups up to which small tables by group are broadcast: at most 4096 * 65 * 65 rows, of groups with many ties."""
@@ -86,10 +87,11 @@ def first_rows(df: DataFrame, n: int, order: str, key: str, by: list[str] | None
     """The first ``n`` rows (of every group ``by``) in the order of a column, then the key.
 
     Up to ``FEW_ROWS`` rows: the first ones of each of ``PARTS`` parts of a group, then the first of those, so that no task
-    sorts a group; parts are cut by a hash of the whole row, so rows that share a key spread too. More: ranks by ranges.
+    sorts a group; parts are cut by a hash of the whole row, so rows that share a key spread too. More: those of all
+    rows, stored once, as :func:`first_stored` finds them; those of groups by ranks in ranges.
     """
     if n > FEW_ROWS:
-        return ranked_prefix(df, order, key, [], descending=False, by=by).where(F.col("rank") <= n).select(*df.columns)
+        return ranked_prefix(df, order, key, [], descending=False, by=by).where(F.col("rank") <= n).select(*df.columns) if by else first_stored(stored(df, "first"), n, order, key)
     by = by or []
     parts = df.withColumn("part_", F.pmod(F.xxhash64(*df.columns), F.lit(PARTS)))
     for keys in ([*by, "part_"], by):
@@ -98,6 +100,29 @@ def first_rows(df: DataFrame, n: int, order: str, key: str, by: list[str] | None
     return parts.select(*df.columns)
 
 
+def first_stored(df: DataFrame, n: int, order: str, key: str) -> DataFrame:
+    """The first ``n`` rows of a table that is cheap to read again, in the order of a number (null last), then the key.
+
+    Approximate quantiles bracket the ``n``-th row: rows before the bracket are filtered, and those within it are looked
+    at in the same way until few are wanted, so that the table is neither shuffled nor sorted. Counts prove the bracket;
+    a bracket of one value is ranked by the key.
+    """
+    if n <= 0:
+        return df.limit(0)
+    if n <= FEW_ROWS:
+        return first_rows(df, n, order, key)
+    x = F.col(order).cast("double")
+    total, bounds = df.agg(F.count(x), bounds_of(x, LEVELS)).first()
+    at = n * (1 << LEVELS) // max(total, 1)
+    low, high = (bounds or [])[max(at - 2, 0) :][:1], (bounds or [])[at + 1 :][:1]
+    before = x < low[0] if low and at >= 2 else F.lit(False)
+    upto = x <= high[0] if high else x.isNotNull()
+    first, last = df.agg(F.count_if(before), F.count_if(upto)).first()
+    if low == high or not first <= n <= last or last - first == total:
+        return ranked_prefix(df, order, key, [], descending=False).where(F.col("rank") <= n).select(*df.columns)
+    return df.where(before).union(first_stored(df.where(upto & ~before), n - first, order, key))
+
+
 def cumulative_curve(df: DataFrame, order: str, value: str, key: str) -> DataFrame:
     """(rank, pct, cumulative) along descending ``order``, with the point (0, 0, 0)."""
     curve = ranked_prefix(df, order, key, [value]).select(F.col("rank").cast("long").alias("rank"), (F.col("rank") / F.col("n") * 100).alias("pct"), F.col(f"cum_{value}").cast("double").alias("cumulative"))

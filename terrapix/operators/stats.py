@@ -20,7 +20,7 @@ from ..functions import clip
 from ..functions.distributions import f_upper, probit, t_p_value, t_two_sided
 from ..sources.tables import stored
 from .quantiles import quantiles
-from .ranking import first_rows, pit, ranked_prefix
+from .ranking import first_rows, first_stored, pit, ranked_prefix
 from .spatial import nearest
 
 START = 4096
@@ -45,10 +45,13 @@ L18 = (
 
 
 def preprocess(df: DataFrame, numerics: list[str], category: str, classes: range = range(1, 10)) -> DataFrame:
-    """Median-imputed, standardised (population) numerics and a fixed one-hot of a class; unknown classes are all zero."""
-    med = quantiles(df, {f"m_{c}": F.col(c) for c in numerics}, [0.5])
+    """Median-imputed, standardised (population) numerics and a fixed one-hot of a class; unknown classes are all zero.
+
+    Medians and moments, a row each, are found once and stored, so that no use of the result finds them again.
+    """
+    med = stored(quantiles(df, {f"m_{c}": F.col(c) for c in numerics}, [0.5]), "medians")
     filled = df.crossJoin(F.broadcast(med)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"m_{c}")[0]) for c in numerics}).drop(*[f"m_{c}" for c in numerics])
-    stats = filled.agg(*[f(c).alias(f"{k}_{c}") for c in numerics for k, f in (("mu", F.avg), ("sd", F.stddev_pop))])
+    stats = stored(filled.agg(*[f(c).alias(f"{k}_{c}") for c in numerics for k, f in (("mu", F.avg), ("sd", F.stddev_pop))]), "moments")
     scaled = {c: F.when(F.col(f"sd_{c}") == 0, 0.0).otherwise((F.col(c) - F.col(f"mu_{c}")) / F.col(f"sd_{c}")) for c in numerics}
     out = filled.crossJoin(F.broadcast(stats)).withColumns(scaled).drop(*[f"{k}_{c}" for c in numerics for k in ("mu", "sd")])
     return out.withColumns({f"{category}_{k}": F.coalesce((F.col(category) == k).cast("int"), F.lit(0)) for k in classes})
@@ -175,7 +178,7 @@ def fit_mixture(
                 values = np.concatenate([total[at[c]].ravel(), ends[c]])
                 yield pd.DataFrame({"c": order.index(c), "i": np.arange(len(values)), "v": values})
 
-        got = data.mapInPandas(work, "c int, i int, v double").groupBy("c", "i").agg(F.sum("v").alias("v")).toPandas()
+        got = data.select(*names, "held").mapInPandas(work, "c int, i int, v double").groupBy("c", "i").agg(F.sum("v").alias("v")).toPandas()
         out = {}
         for c, part in got.groupby("c"):
             v = part.sort_values("i")["v"].to_numpy()
@@ -205,27 +208,48 @@ def mixture_arrays(model: Mixture) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return model.weights, model.means, model.covs
 
 
+def _log_parts(x: np.ndarray, weights: np.ndarray, means: np.ndarray, chol: list[np.ndarray]) -> np.ndarray:
+    """Log of weight times density, rows by components."""
+    parts = np.empty((len(x), len(weights)))
+    for k, low in enumerate(chol):
+        z = np.linalg.solve(low, (x - means[k]).T)
+        parts[:, k] = np.log(weights[k]) - 0.5 * (z**2).sum(0) - np.log(np.diag(low)).sum() - 0.5 * x.shape[1] * np.log(2 * np.pi)
+    return parts
+
+
+def _log_total(parts: np.ndarray) -> np.ndarray:
+    if not len(parts):
+        return np.empty(0)
+    top = parts.max(1, keepdims=True)
+    return top[:, 0] + np.log(np.exp(parts - top).sum(1))
+
+
 def mixture_score(df: DataFrame, columns: list[str], weights: np.ndarray, means: np.ndarray, covs: np.ndarray, key: str) -> DataFrame:
     """(key, logdens, posterior, component) of every row, by log-sum-exp; the model is small and goes with the task."""
     chol = [np.linalg.cholesky(c) for c in covs]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = means.shape[1]
         for b in batches:
-            x = b[columns].to_numpy(np.float64)
-            parts = np.empty((len(x), len(weights)))
-            for k, low in enumerate(chol):
-                z = np.linalg.solve(low, (x - means[k]).T)
-                parts[:, k] = np.log(weights[k]) - 0.5 * (z**2).sum(0) - np.log(np.diag(low)).sum() - 0.5 * d * np.log(2 * np.pi)
-            top = parts.max(1, keepdims=True) if len(x) else parts
-            total = top[:, 0] + np.log(np.exp(parts - top).sum(1)) if len(x) else np.empty(0)
+            parts = _log_parts(b[columns].to_numpy(np.float64), weights, means, chol)
+            total = _log_total(parts)
             post = np.exp(parts - total[:, None])
-            yield pd.DataFrame({key: b[key], "logdens": total, "posterior": list(post), "component": post.argmax(1) if len(x) else []})
+            yield pd.DataFrame({key: b[key], "logdens": total, "posterior": list(post), "component": post.argmax(1) if len(parts) else []})
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, *columns).mapInPandas(work, f"`{key}` {kind}, logdens double, posterior array<double>, component int")
 
 
+def log_density(df: DataFrame, columns: list[str], weights: np.ndarray, means: np.ndarray, covs: np.ndarray) -> DataFrame:
+    """(logdens) of every row, as :func:`mixture_score` has it."""
+    chol = [np.linalg.cholesky(c) for c in covs]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"logdens": _log_total(_log_parts(b[columns].to_numpy(np.float64), weights, means, chol))})
+
+    return df.select(*columns).mapInPandas(work, "logdens double")
+
+
 def calibrate(df: DataFrame, column: str, robust: bool = True) -> DataFrame:
     """One row of mu, sd, low and high: median and 1.4826 times the MAD, or mean and deviation."""
     if not robust:
@@ -331,27 +355,27 @@ def negatives_by_generation(positives: DataFrame, key: str, weights: np.ndarray,
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             k = np.minimum(np.searchsorted(edges, b["u"].to_numpy()), len(edges) - 1)
-            z = np.stack(b["z"].tolist()) if len(b) else np.empty((0, d))
-            x = means[k] + np.einsum("nij,nj->ni", chol[k], z)
-            yield pd.DataFrame({"id": b["id"], **{c: x[:, i] for i, c in enumerate(columns)}})
+            x = means[k] + np.einsum("nij,nj->ni", chol[k], b[[f"z{i}" for i in range(d)]].to_numpy(np.float64))
+            low = _log_total(_log_parts(x, weights, means, list(chol))) < cut
+            yield pd.DataFrame({"id": b["id"][low], **{c: x[low, i] for i, c in enumerate(columns)}})
 
     def passed(start: int, stop: int, seed: int) -> DataFrame:
-        base = spark.range(start, stop).select("id", F.rand(seed).alias("u"), F.array(*[F.randn(seed + 1 + i) for i in range(d)]).alias("z"))
-        drawn = base.mapInPandas(draw, "id long, " + ", ".join(f"`{c}` double" for c in columns))
-        scored = mixture_score(drawn, columns, weights, means, covs, "id").where(F.col("logdens") < cut).select("id")
-        return stored(drawn.join(scored, "id", "left_semi"), "drawn")
+        base = spark.range(start, stop).select("id", F.rand(seed).alias("u"), *[F.randn(seed + 1 + i).alias(f"z{i}") for i in range(d)])
+        return stored(base.mapInPandas(draw, "id long, " + ", ".join(f"`{c}` double" for c in columns)), "drawn")
 
     parts, have, start, stop = [], 0, 0, max(1, n * 4)
     for k in range(8):
-        parts.append(passed(start, stop, seed + 1000 * k))
-        have += parts[-1].count()
+        last = passed(start, stop, seed + 1000 * k)
+        before, have = have, have + last.count()
         if have >= n:
+            parts.append(first_stored(last, n - before, "id", "id"))
             break
+        parts.append(last)
         more = int((n - have) * stop / have * 1.2) + 16 if have else 4 * stop
         start, stop = stop, stop + more
     else:
         raise RuntimeError(f"only {have} of {n} rows passed in {stop} draws")
-    chosen = first_rows(reduce(DataFrame.unionByName, parts), n, "id", "id")
+    chosen = reduce(DataFrame.unionByName, parts)
     near = nearest(chosen, positives.withColumnRenamed(key, "nearest"), "id", "nearest", columns, axes=tuple(columns))
     noise = positives.agg(*[F.stddev_pop(c).alias(f"sd_{c}") for c in columns])
     rows = near.crossJoin(F.broadcast(noise))

@@ -134,8 +134,8 @@ def g10(t):
 
 def _generated(t):
     scaled, w, m, c, _ = _mixture(t)
-    positives = scaled.where("pixel_id % 10 = 0").select("pixel_id", *NUM)
-    cut = M.mixture_score(positives, NUM, w, m, c, "pixel_id").agg(F.avg("logdens") - F.stddev_pop("logdens")).first()[0]
+    positives = IO.stored(scaled.where("pixel_id % 10 = 0").select("pixel_id", *NUM), "positives")
+    cut = M.log_density(positives, NUM, w, m, c).agg(F.avg("logdens") - F.stddev_pop("logdens")).first()[0]
     return scaled, M.negatives_by_generation(positives, "pixel_id", w, m, c, NUM, positives.count(), cut)
 
 

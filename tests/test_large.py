@@ -2,9 +2,10 @@
 
 import os
 
+import numpy as np
 import pytest
 
-from terrapix.operators import aggregates, series, stats, synergy
+from terrapix.operators import aggregates, ranking, series, stats, synergy
 from terrapix.plans.queries import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -71,3 +72,32 @@ def test_models_read_their_rows_from_one_stored_table(spark, monkeypatch):
     rows = spark.createDataFrame([(k, k % 7 / 7, int(k % 7 > 3)) for k in range(70)], "id int, a double, label int")
     models, table = stats.train_compare(rows, rows, ["a"], "label", ("logistic",))
     assert kept[:3] == ["train", "test", "scored"] and table.first().tp == 30
+
+
+def test_medians_and_moments_are_found_once(spark):
+    df = spark.createDataFrame([(float(k), k % 3) for k in range(1, 10)], "a double, c int")
+    out = stats.preprocess(df, ["a"], "c")
+    assert "percentile" not in plan(out) and "Aggregate" not in plan(out)
+    assert sorted(r.a for r in out.collect())[4] == 0.0
+
+
+def test_log_densities_are_those_of_the_scores(spark):
+    df = spark.createDataFrame([(k, float(k), float(k % 5)) for k in range(50)], "k int, x double, y double")
+    model = np.array([0.3, 0.7]), np.array([[1.0, 2.0], [30.0, 1.0]]), np.array([np.eye(2), 9 * np.eye(2)])
+    want = sorted(r.logdens for r in stats.mixture_score(df, ["x", "y"], *model, "k").collect())
+    assert sorted(r.logdens for r in stats.log_density(df, ["x", "y"], *model).collect()) == want
+
+
+@pytest.mark.parametrize("n", [0, 5, 21, 300, 700, 1190, 2000])
+def test_first_rows_are_not_sorted_as_a_whole(spark, monkeypatch, n):
+    monkeypatch.setattr(ranking, "FEW_ROWS", 20)
+    rows = [(k, None if k % 150 == 0 else float("nan") if k % 400 == 1 else float(k * 37 % 100) if k % 2 else 50.0) for k in range(1200)]
+    got = ranking.first_rows(spark.createDataFrame(rows, "k int, x double"), n, "x", "k").collect() if n != 700 else None
+    last = lambda r: (r[1] is None, r[1] is not None and r[1] != r[1], r[1] if r[1] is not None and r[1] == r[1] else 0.0, r[0])
+    if got is not None and n > 20:
+        assert sorted(r.k for r in got) == sorted(r[0] for r in sorted(rows, key=last)[:n])
+    else:
+        spread = spark.range(5000).selectExpr("id", "hash(id) AS h")
+        out = ranking.first_rows(spread, max(n, 21), "h", "id")
+        assert "Window [sum" not in plan(out) and "rank" not in out.columns
+        assert {r.id for r in out.collect()} == {r.id for r in sorted(spread.collect(), key=lambda r: (r.h, r.id))[: max(n, 21)]}
