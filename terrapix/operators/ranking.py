@@ -241,11 +241,11 @@ def priority_rank(df: DataFrame, columns: list[str], threshold: float = 70.0) ->
 def pit(reference: DataFrame, pool: DataFrame, column: str) -> DataFrame:
     """``pool`` with ``pit``: the share of reference values that are not above the row's."""
     both = reference.select(F.col(column), F.lit(1).alias("ref_")).unionByName(pool.select(F.col(column), F.lit(0).alias("ref_")))
-    values = both.where(F.col(column).isNotNull()).groupBy(column).agg(F.sum("ref_").alias("r_"))
+    values = stored(both.where(F.col(column).isNotNull()).groupBy(column).agg(F.sum("ref_").alias("r_")), "values")
     ranked = ranked_prefix(values, column, column, ["r_"], descending=False)
     n = values.agg(F.sum("r_").alias("n_"))
     share = ranked.crossJoin(F.broadcast(n)).select(column, F.try_divide("cum_r_", "n_").alias("pit"))
-    return pool.join(share, column, "left")
+    return pool.join(stored(share, "share"), column, "left")
 
 
 def kernel_weight(rank: Column, n: Column, kind: str = "decreasing", sigma: float = 0.15, scale: Column | None = None) -> Column:

@@ -322,7 +322,7 @@ def classify_pattern(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def negatives_by_selection(positives: DataFrame, pool: DataFrame, column: str, key: str, ratio: float = 1.0, strategy: str = "mixed", levels: int = 3, seed: int = 42) -> DataFrame:
     """Pool rows chosen as negatives: by bins of their share of positives that are not above them, so many of each bin.
 
-    Rows of a bin are chosen by the order of a seeded hash, ranked in ranges, so that no task sorts a whole bin.
+    Rows of a bin are the first ones in the order of a seeded hash; no task sorts a whole bin.
     """
     bins, shares = PIT_BINS[levels], SHARES[levels][strategy]
     need = max(1, round(positives.count() * ratio))
@@ -330,9 +330,9 @@ def negatives_by_selection(positives: DataFrame, pool: DataFrame, column: str, k
     scored = pit(positives, pool, column)
     level = reduce(lambda o, i: F.when((F.col("pit") >= bins[i]) & (F.col("pit") < bins[i + 1]), i).otherwise(o), range(levels), F.lit(None).cast("int"))
     rows = scored.withColumn("level", level).where("level is not null").withColumn("h_", F.xxhash64(F.lit(seed), key).cast("double"))
-    ranked = ranked_prefix(rows, "h_", key, [], descending=False, by=["level"], groups=levels)
-    wanted = F.get(F.array(*map(F.lit, quota)), F.col("level"))
-    return ranked.where(F.col("rank") <= wanted).select(*pool.columns, "pit", "level")
+    rows = stored(rows, "levels")
+    chosen = [first_stored(rows.where(F.col("level") == i), q, "h_", key) for i, q in enumerate(quota)]
+    return reduce(DataFrame.unionByName, chosen).select(*pool.columns, "pit", "level")
 
 
 def labelled_union(positives: DataFrame, negatives: DataFrame, columns: list[str]) -> DataFrame:
