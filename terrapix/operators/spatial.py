@@ -162,7 +162,8 @@ def nearest(
     only tells how rows are dealt). A target is looked up in its own leaf, which gives a first bound; after that only
     leaves whose boxes are within the bound are asked. Inside a leaf a small tree does the same. A leaf that many targets
     ask is copied for parts of them, and of sources at one place only the first ``k`` count, so dense towns and repeated
-    places cost no more than others. Sources and targets with a null coordinate are left out; fewer than ``k`` sources
+    places cost no more than others. Where targets share places (by an estimate, two or more a place), each place is looked
+    up once and joined to its targets. Sources and targets with a null coordinate are left out; fewer than ``k`` sources
     give fewer rows. Keys are numbers or texts; target keys are not repeated.
 
     With ``parts``, names of the columns ax, ay, bx, by (a segment) and cx, cy, dx, dy (the part of it that a row stands for),
@@ -176,6 +177,9 @@ def nearest(
     left = known(targets).select(F.col(target_key).alias("t_"), *at("t"))
     sc, tc, dims = [f"s{i}_" for i in range(len(axes))], [f"t{i}_" for i in range(len(axes))], len(axes)
     names = ["t_", "s_", *[f"v_{c}" for c in keep], "d2"]
+    every, (asking, places) = left, left.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*tc))).first()
+    shared = asking >= 2 * places > 0
+    left = stored(every.groupBy(*tc).agg(F.min("t_").alias("t_")).select("t_", *tc), "asked") if shared else every
     shape = [f"g_{c}" for c in parts] if parts else sc
     src = _first_of_places(stored(src, "sources"), shape, k)
     n = src.count()
@@ -256,6 +260,9 @@ def nearest(
     else:
         w = Window.partitionBy("t_").orderBy("d2", "s_")  # k rows for each leaf that a target has asked
         best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if shared:
+        found = stored(left.join(best, "t_").select(*tc, *names[1:], "rank"), "found")  # a stored table's size is known: a small one is broadcast
+        best = every.join(found, tc)
     return best.select(*names, "rank").toDF(target_key, source_key, *keep, "d2", "rank")
 
 
@@ -310,11 +317,12 @@ def distance_to_lines(cells: DataFrame, lines: DataFrame, key: str, line_key: st
     projection, and the segment's key (the least of ties).
 
     Segments are cut into parts, about ``parts`` times as many as there are segments and each no longer than that asks
-    for, which are dealt and looked up like points; the distance is the exact one to the segment. Segments with a null
-    are left out.
+    for, which are dealt and looked up like points; the distance is the exact one to the segment. Equal segments are cut
+    once, under their least key. Segments with a null are left out.
     """
     (ax, ay), (bx, by) = (equal_area_xy(F.col(f"y{i}"), F.col(f"x{i}")) for i in (1, 2))
     flat = lines.na.drop(subset=["x1", "y1", "x2", "y2"]).select(line_key, ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
+    flat = stored(flat.groupBy("ax", "ay", "bx", "by").agg(F.min(line_key).alias(line_key)), "lines")
     size = flat.agg(F.count("*").alias("n"), F.sum(F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)).alias("m")).first()
     cut = cut_lines(flat, [line_key], max((size.m or 0.0) / max(1, parts * size.n), 1e-3))
     x, y = equal_area_xy(F.col("lat"), F.col("lon"))

@@ -134,3 +134,26 @@ def test_distance_to_segments_against_brute_force(spark, small):
     far = np.sqrt(((p[:, None] - (a + t[:, :, None] * d)) ** 2).sum(2))
     for i in range(len(tgt)):
         assert got[i][0] == far[i].argmin() and abs(got[i][1] - far[i].min()) < 1e-6
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_targets_that_share_places_are_looked_up_once(spark, small, monkeypatch, k):
+    kept, real = {}, spatial.stored
+    monkeypatch.setattr(spatial, "stored", lambda df, name: kept.setdefault(name, real(df, name)))
+    rng = np.random.default_rng(11)
+    src, spots = rng.normal(size=(120, 2)), np.concatenate([rng.normal(size=(40, 2)) * 2, [[0.0, 0.0], [-0.0, 0.0]]])
+    tgt = spots[rng.integers(0, len(spots), 500)]
+    frame = points(spark, tgt, "t").union(spark.createDataFrame([(900, None, 1.0)], "t int, lon double, lat double"))
+    have = {}
+    for r in spatial.nearest(frame, points(spark, src, "s"), "t", "s", [], k).collect():
+        have.setdefault(r.t, []).append((r["rank"], r.s, r.d2))
+    assert {t: [(s, d) for _, s, d in sorted(v)] for t, v in have.items()} == brute(tgt, src, k)
+    assert kept["asked"].count() <= 42
+
+
+def test_equal_segments_are_cut_once(spark, small, monkeypatch):
+    kept, real = {}, spatial.stored
+    monkeypatch.setattr(spatial, "stored", lambda df, name: kept.setdefault(name, real(df, name)))
+    lines = spark.createDataFrame([(i, 0.0, float(i % 2), 1.0, float(i % 2)) for i in range(7, 27)], "line int, x1 double, y1 double, x2 double, y2 double")
+    got = spatial.distance_to_lines(points(spark, [[0.5, -1.0], [0.5, 3.0]], "t"), lines, "t", "line").collect()
+    assert {r.t: r.line for r in got} == {0: 8, 1: 7} and kept["lines"].count() == 2
