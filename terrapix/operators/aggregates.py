@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import class_by
 from ..functions.distributions import t_critical
+from ..sources.tables import stored
 from .globe import with_sphere_cell
 from .quantiles import quantiles
 from .ranking import ranked_prefix
@@ -81,9 +82,12 @@ def profit_totals(df: DataFrame, key: str, value: str, area: str = "area_m2") ->
 
 
 def decile_extremes(df: DataFrame, value: str, key: str) -> DataFrame:
-    """Means of the lowest and of the highest tenth of the rows (at least one row each), by distributed ranks."""
+    """Means of the lowest and of the highest tenth of the rows (at least one row each), by distributed ranks.
+
+    The values are stored once, as ranks read them in several passes and sums of doubles may differ from pass to pass.
+    """
     k = F.greatest(F.floor(F.col("n") / 10), F.lit(1))
-    ranked = ranked_prefix(df, value, key, [], descending=False)
+    ranked = ranked_prefix(stored(df.select(*dict.fromkeys([key, value])), "extremes"), value, key, [], descending=False)
     return ranked.agg(F.avg(F.when(F.col("rank") <= k, F.col(value))).alias("lowest_mean"), F.avg(F.when(F.col("rank") > F.col("n") - k, F.col(value))).alias("highest_mean"), F.max(k).alias("k"))
 
 

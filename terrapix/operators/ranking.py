@@ -55,6 +55,9 @@ def ranked_prefix(
     Bounds and totals are broadcast if ``groups``, the number of groups ``by``, is at most ``FEW`` (counted if not
     given), else joined as Spark sees fit. With ``share`` the bounds come from every ``share``-th key, which only
     tells how rows are dealt.
+
+    ``df`` is read in several passes, which must see the same order values: sums and means of doubles may differ in the
+    last bit from pass to pass, as shuffled parts arrive in any order, and have to be ``stored`` first.
     """
     by = by or []
     used = {order, key, *values, *by}
@@ -316,5 +319,5 @@ def policy_paths(df: DataFrame, key: str, policy: Column, value: str, names: lis
     """Cumulative sums of each policy and of their total along descending total; missing policies count 0."""
     wide = df.groupBy(key).pivot("p_", names).agg(F.avg(value)) if "p_" in df.columns else df.withColumn("p_", policy).groupBy(key).pivot("p_", names).agg(F.avg(value))
     wide = wide.na.fill(0.0, names)
-    wide = wide.withColumn("total", sum((F.col(n) for n in names), F.lit(0.0)))
+    wide = stored(wide.withColumn("total", sum((F.col(n) for n in names), F.lit(0.0))), "paths")  # means, ranked in several passes
     return ranked_prefix(wide, "total", key, [*names, "total"]).select(key, "rank", *[f"cum_{n}" for n in [*names, "total"]])

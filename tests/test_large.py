@@ -1,9 +1,11 @@
 """Plans and passes that keep large tables within bounds."""
 
 import os
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrapix.operators import aggregates, ranking, series, stats, synergy
 from terrapix.plans.queries import queries
@@ -101,3 +103,20 @@ def test_first_rows_are_not_sorted_as_a_whole(spark, monkeypatch, n):
         out = ranking.first_rows(spread, max(n, 21), "h", "id")
         assert "Window [sum" not in plan(out) and "rank" not in out.columns
         assert {r.id for r in out.collect()} == {r.id for r in sorted(spread.collect(), key=lambda r: (r.h, r.id))[: max(n, 21)]}
+
+
+def varying(spark, n):
+    """Values 0, 10, ... whose last digits differ whenever they are computed, as those of sums of shuffled doubles do."""
+    noise = F.udf(lambda: random.random() * 1e-6, "double").asNondeterministic()
+    return spark.range(n).select("id", (F.col("id") * 10.0 + noise()).alias("v"))
+
+
+def test_values_that_differ_from_pass_to_pass_are_ranked_once(spark):
+    row = aggregates.decile_extremes(varying(spark, 60), "v", "id").first()
+    assert row.k == 6 and (row.lowest_mean, row.highest_mean) == pytest.approx((25.0, 565.0))
+    spark.conf.set("spark.sql.exchange.reuse", "false")  # every pass adds up anew
+    try:
+        rows = ranking.policy_paths(varying(spark, 200), "id", F.concat(F.lit("P"), F.col("id") % 3 + 1), "v", ["P1", "P2", "P3"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert sorted((r["rank"], r.id) for r in rows) == [(k + 1, 199 - k) for k in range(200)]
