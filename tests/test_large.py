@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrapix.operators import aggregates, ranking, series, stats, synergy
+from terrapix.operators import aggregates, joins, ranking, series, stats, synergy
 from terrapix.plans.queries import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -24,6 +24,22 @@ def test_values_are_rounded_before_they_are_joined(spark):
     assert "round" not in text[: text.index("Join Inner")]
 
 
+def test_gathered_rows_give_the_rows_of_the_join(spark, monkeypatch):
+    monkeypatch.setattr(joins, "GATHERED", 3)
+    table = lambda name, n, cells: spark.range(n).select((F.col("id") % cells).alias("i"), F.when(F.col("id") % cells != 4, F.col("id") % 2).alias("j"), F.when(F.col("id") % 5 != 0, F.col("id")).alias(name), F.lit(name).alias("who"))
+    frames = [table("a", 40, 6), table("b", 30, 5), table("c", 70, 7).withColumn("d", F.concat("who", "c"))]
+    got, want = joins.join_gathered(frames, ["i", "j"]), joins.join_cells(frames, ["i", "j"])
+    assert got.columns == want.columns and got.count() == 420
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert joins.join_gathered([frames[0], frames[2].select("i", "j")], ["i", "j"]).count() == joins.join_cells([frames[0], frames[2]], ["i", "j"]).count()
+
+
+@small
+def test_rows_of_a_cell_meet_as_arrays(spark):
+    text = plan(queries()["c1_join_cells"](spark, SMALL))
+    assert "posexplode" in text[: text.index("Join")] and text.count("Exchange hashpartitioning") == 3
+
+
 YIELDS = [(1, "a", 10.0), (1, "b", 20.0), (2, "a", 0.0), (3, "c", 5.0), (4, "a", 7.0), (4, "a", 3.0)]
 PRICES = [("a", "x", 2021, 100.0), ("a", "x", 2040, 50.0), ("b", "x", 2021, 200.0), ("a", "y", 2019, 9.0), ("b", "y", 2022, 10.0), ("b", "y", 2022, 30.0)]
 
